@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import line_dedup, ngram_join
+from skysift.llm import chat, line_dedup, mixing, ngram_join, quality, secrets_scan, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat.op1_chat_format,
+    "op2_url_filter": urls.op2_url_filter,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_secret_scan": secrets_scan.op4_secret_scan,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
