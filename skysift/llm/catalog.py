@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import chat, line_dedup, mixing, ngram_join, quality, secrets_scan, urls
+from skysift.llm import chat, line_dedup, mixing, ngram_join, quality, secrets_scan, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_url_filter": urls.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
     "op4_secret_scan": secrets_scan.op4_secret_scan,
+    "op5_topk_search": topk.op5_topk_search,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op5_topk_search": topk.ORACLE, "op9_quality_rules": quality.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
