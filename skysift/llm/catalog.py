@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import chat, line_dedup, mixing, ngram_join, quality, secrets_scan, topk, toxicity, urls
+from skysift.llm import chat, line_dedup, mixing, ngram_join, packing, quality, secrets_scan, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.op3_mixing,
     "op4_secret_scan": secrets_scan.op4_secret_scan,
     "op5_topk_search": topk.op5_topk_search,
+    "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_rules": quality.op9_quality_rules,
