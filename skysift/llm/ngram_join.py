@@ -69,8 +69,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = np.frombuffer(b"".join(x[:8] for x in ids), np.int64)
             empty = np.diff(firsts) == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(nodes), pa.array([s.tobytes() for s in signatures], pa.binary()), pa.array(empty)],
-                names=["doc_id", "id", "node", "sig", "empty"],
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(nodes), pa.array([s.tobytes() for s in signatures], pa.binary()), pa.array(empty)],
+                names=["doc_id", "row_hash", "id", "node", "sig", "empty"],
             )
 
 
@@ -92,43 +92,53 @@ def _text_shingles(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
 
-def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text is the one that `id` names (a doc_id may come with several texts)."""
-    for batch in batches:
-        ids, want = [], batch.column("id").to_pylist()
-        data, starts = utf8_buffers(batch.column("text"))
-        for lo, hi in chunks(starts):
-            words, firsts = word_hashes(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
-            raw = words.tobytes()
-            ids += [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
-        yield batch.filter(pa.array([a == b for a, b in zip(ids, want)], pa.bool_()))
-
-
-def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, class_id, n_links), a row for each row of docs.
-
-    Two documents are linked if the Jaccard similarity of their sets of five-word runs is at least `threshold`. A text of one to four words has
-    one run, of all its words; texts without words are equal to each other only; null counts as empty. class_id: the least doc_id of the connected
-    component (null doc_ids count as least only among themselves); n_links: the other documents linked to it, equal copies included.
-    Repeated rows count as copies. Candidates: 24 bands of 4 MinHash values, which a pair at the threshold misses with probability 3e-6."""
+def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_hash, id) for each row, and (id, root, rep, n_links) for each distinct text; row_hash is of the text as it is."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     bare = docs.select("doc_id", "text")
-    signed = materialize(bare.mapInArrow(_sign, f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, id binary, node long, sig binary, empty boolean"), "signed")
-    classes = signed.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("empty").alias("empty"))
+    signed = bare.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(_sign, f"doc_id {id_type}, row_hash long, id binary, node long, sig binary, empty boolean")
+    signed = materialize(signed, "signed")
+    classes = signed.groupBy("id").agg(
+        F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.count("*").alias("copies"), F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("empty").alias("empty")
+    )
     classes = materialize(classes, "classes")
     bands = classes.where("not empty").select("node", "sig").mapInArrow(_bands, near.BAND_SCHEMA)
     groups = near.candidate_groups(bands)
     members = materialize(classes.join(groups, "node").select("grp", "n_blocks", "block", "id", "rep", "copies", "sig"), "members")
-    texts = bare.withColumnRenamed("doc_id", "rep").join(near.small_side(members.select("id", "rep")), "rep")
-    texts = texts.mapInArrow(_matching, f"rep {bare.schema['doc_id'].dataType.simpleString()}, text string, id binary").select("id", "text").dropDuplicates(["id"])
+    named = near.small_side(members.select(F.col("rep.doc_id").alias("_doc"), F.col("rep.row_hash").alias("_hash"), "id"))
+    texts = bare.join(named, bare["doc_id"].eqNullSafe(named["_doc"]) & (F.xxhash64(bare["text"]) == named["_hash"])).select("id", "text").dropDuplicates(["id"])
     rows = members.drop("rep").join(texts, "id")
     roots, links = near.verified(rows, near.verifier(_text_shingles, threshold, bayesian_pruner(threshold, tolerance)))
     classes = classes.select("id", "rep", "copies").join(roots, "id", "left").join(links, "id", "left")
-    classes = materialize(classes.select("id", F.coalesce("root", "id").alias("root"), "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
-    named = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return signed.select("doc_id", "row_hash", "id"), materialize(classes.select("id", F.coalesce("root", "id").alias("root"), "rep", n_links), "linked")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, class_id, n_links), a row for each row of docs.
+
+    Two documents are linked if the Jaccard similarity of their sets of five-word runs is at least `threshold`. A text of one to four words has
+    one run, of all its words; texts without words are equal to each other only; null counts as empty. class_id: the least doc_id of the connected
+    component, null first; n_links: the other documents linked to it, equal copies included. Repeated rows count as copies.
+    Candidates: 24 bands of 4 MinHash values, which a pair at the threshold misses with probability 3e-6."""
+    signed, classes = _classes(docs, threshold, tolerance)
+    named = classes.groupBy("root").agg(F.min("rep").getField("doc_id").alias("class_id"))
     named = classes.join(named, "root").select("id", "class_id", "n_links")
     return signed.select("doc_id", "id").join(named, "id").select("doc_id", "class_id", "n_links")
 
 
+def survivors(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs -> one row of each class, with all its columns: that of the least (doc_id, hash of the text), null doc_ids first. Repeated rows leave one.
+
+    A column named _row_hash or _keep is replaced."""
+    _, classes = _classes(docs, threshold, tolerance)
+    keep = materialize(classes.groupBy("root").agg(F.min("rep").alias("r")).select(F.col("r.doc_id").alias("_keep"), F.col("r.row_hash").alias("_keep_hash")), "survivors")
+    keep = near.small_side(keep)
+    d = docs.withColumn("_row_hash", F.xxhash64("text"))
+    left = d.join(keep, d["doc_id"].eqNullSafe(keep["_keep"]) & (d["_row_hash"] == keep["_keep_hash"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "_row_hash"]).select(*docs.columns)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class and number of links over all documents."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
