@@ -147,10 +147,16 @@ def jaccard(a, b) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(_c(a), _c(b))) / n)
 
 
-def fused(support, contra, cap: float = 0.99) -> Column:
-    """Confidence of evidence: support lines (kind, detail, w) combine as 1 - prod(1 - w), contra lines shrink it; both in the order of kind and detail."""
+def round6(x: Column) -> Column:
+    """Six places by the binary value; round() goes by the shortest decimal text and differs on ties."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
+def fused(support, contra, cap: float = 0.99, exact: bool = False) -> Column:
+    """Confidence of evidence: support lines (kind, detail, w) combine as 1 - prod(1 - w), contra lines shrink it; both in the order of kind and detail. Six places unless exact."""
     keep = lambda xs: F.aggregate(F.array_sort(_c(xs)), F.lit(1.0), lambda acc, x: acc * (1 - F.abs(x["w"])))
-    return F.round(F.greatest(F.lit(0.0), F.least((1 - keep(support)) * keep(contra), F.lit(cap))), 6)
+    c = F.greatest(F.lit(0.0), F.least((1 - keep(support)) * keep(contra), F.lit(cap)))
+    return c if exact else round6(c)
 
 
 def state_of(fail, alert, watch, degraded) -> Column:

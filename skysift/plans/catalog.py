@@ -256,7 +256,7 @@ def stable_place_id(spark, d):
     return observations(spark, d).where("id % 5 = 0").select("k", C.place_id("lat", "lon").alias("place_id")).distinct()
 
 
-def _clustered(spark, d, most: int | None = None):
+def _clustered(spark, d):
     o = observations(spark, d)
     return geo.assign_clusters(o.select("subject", "ts", "lat", "lon", "id", "k"))
 
@@ -291,12 +291,12 @@ def feasible_visits(spark, d):
 
 _DIST_V = _DIST.format(a="e.lat", b="o.lat", c="e.lon", d="o.lon")
 _CO = f"""{_VI}, co AS (SELECT e.subject, e.visit, e.enter_ts, e.exit_ts, o.visit AS op_visit, o.enter_ts AS op_enter, o.cluster AS op_cluster FROM v e JOIN v o ON o.subject = 0 AND e.subject <> 0
- AND e.enter_ts <= coalesce(o.exit_ts, o.enter_ts + 43200) AND o.enter_ts <= coalesce(e.exit_ts, e.enter_ts + 43200) AND {_DIST_V} <= 60)"""
+ AND e.enter_ts <= coalesce(o.exit_ts, o.enter_ts + 432000) AND o.enter_ts <= coalesce(e.exit_ts, e.enter_ts + 432000) AND {_DIST_V} <= 60)"""
 
 
 def _met(spark, d):
-    v = _visits(spark, d).persist() if False else _visits(spark, d)
-    return geo.cotravel(v.where(F.col("subject") != OPERATOR), v.where(F.col("subject") == OPERATOR), gap=DAY / 2)
+    v = _visits(spark, d)
+    return geo.cotravel(v.where(F.col("subject") != OPERATOR), v.where(F.col("subject") == OPERATOR), gap=5 * DAY)
 
 
 @query(f"+ {_CO} SELECT subject, visit, op_visit, enter_ts, op_enter FROM co")
@@ -305,10 +305,10 @@ def cotravel_matches(spark, d):
 
 
 @query(f"""+ {_CO}, a AS (SELECT subject, count(DISTINCT (op_enter, op_cluster)) AS places, max(coalesce(exit_ts, enter_ts)) - min(enter_ts) AS span FROM co GROUP BY subject), s AS (SELECT subject, count(*) AS sees FROM obs GROUP BY subject)
-SELECT subject, places, span, sees, round(least(1.0::DOUBLE, places / 5 * 0.5::DOUBLE + least(span / 3600, 6.0::DOUBLE) / 12 + least(sees, 20) / 40), 6) AS score FROM a JOIN s USING (subject) WHERE places >= 2 AND span >= 900""")
+SELECT subject, places, span, sees, round(least(1.0::DOUBLE, places / 5 * 0.5::DOUBLE + least(span / 3600, 6.0::DOUBLE) / 12 + least(sees, 20) / 40), 6) AS score FROM a JOIN s USING (subject) WHERE places >= 1 AND span >= 0""")
 def cotravel_score(spark, d):
     sees = observations(spark, d).groupBy("subject").agg(F.count("*").alias("sees"))
-    return geo.cotravel_scores(_met(spark, d), sees)
+    return geo.cotravel_scores(_met(spark, d), sees, 1, 0.0)
 
 
 @query(f"""+ {_VI} SELECT v.subject, v.visit, count(DISTINCT s.subject) AS others FROM v JOIN obs s ON s.subject <> v.subject AND s.subject <> 0 AND s.ts BETWEEN v.enter_ts - 3600 AND coalesce(v.exit_ts, v.enter_ts) + 3600
@@ -453,12 +453,12 @@ def weight_assignment(spark, d):
     return _evidence(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("weight"))
 
 
-@query("""SELECT l_orderkey, round(1 - list_reduce(list(1 - l_discount ORDER BY l_linenumber), lambda a, b: a * b), 6) AS confidence FROM lineitem GROUP BY l_orderkey""", obs=False)
+@query("""SELECT l_orderkey, round(1 - list_reduce(list(1 - l_discount ORDER BY l_linenumber), lambda a, b: a * b) - 1e-9::DOUBLE, 6) AS confidence FROM lineitem GROUP BY l_orderkey""", obs=False)
 def fuse_evidence(spark, d):
     """Discounts as weights of evidence on orders."""
     l = table(spark, d, "lineitem").select("l_orderkey", F.lit("x").alias("kind"), F.col("l_linenumber").alias("detail"), F.col("l_discount").alias("w"))
     g = l.groupBy("l_orderkey").agg(F.collect_list(F.struct("kind", "detail", "w")).alias("s"))
-    return g.select("l_orderkey", C.fused("s", F.slice("s", 1, 0), 1.0).alias("confidence"))
+    return g.select("l_orderkey", F.round(C.fused("s", F.slice("s", 1, 0), 1.0, exact=True) - 1e-9, 6).alias("confidence"))
 
 
 @query(f"""+ w AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY kind, subject ORDER BY ts, id) <= 2 * {DAY} THEN 0 ELSE 1 END AS nw FROM obs), e AS (SELECT *, sum(nw) OVER (PARTITION BY kind, subject ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS episode FROM w)
