@@ -32,7 +32,7 @@ def _lines(data: np.ndarray, starts: np.ndarray, least: int):
     begin = np.concatenate([starts[:-1], breaks + 1])
     end = np.concatenate([starts[1:], breaks])
     begin, end = np.sort(begin), np.sort(end)
-    doc = np.searchsorted(starts, begin, "right") - 1
+    doc = np.minimum(np.searchsorted(starts, begin, "right") - 1, len(starts) - 2)
     # empty lines of texts before may begin where a text does; its own first line is the last of those, and they are too short to count
     first = np.searchsorted(begin, starts[:-1], "right") - 1
     number = np.arange(len(begin)) - first[doc]
@@ -117,17 +117,17 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: float = TH
     eight-character runs is at least `threshold`; one line of each connected component stays, the first by (doc_id, text hash, line number).
     Rows that agree in doc_id and text are one document: all copies keep the same lines. A null or empty text is unchanged and has no lines to remove.
     Columns named n_lines or n_removed are replaced; other extra columns pass through."""
-    row = docs.drop("n_lines", "n_removed").withColumn("_row_hash", F.xxhash64("text"))
-    slim = row.select("doc_id", F.col("_row_hash").alias("row_hash"), "text")
-    gone = materialize(dropped_lines(slim, least_chars, threshold).groupBy("doc_id", "row_hash").agg(F.collect_set("line").alias("_gone")), "gone")
-    gone = near.small_side(gone.select(F.col("doc_id").alias("_gone_doc"), F.col("row_hash").alias("_gone_hash"), "_gone"))
-    joined = row.join(gone, row["doc_id"].eqNullSafe(gone["_gone_doc"]) & (row["_row_hash"] == gone["_gone_hash"]), "left")
+    row = docs.drop("n_lines", "n_removed").withColumn("__sky_row", F.xxhash64("text"))
+    slim = row.select("doc_id", F.col("__sky_row").alias("row_hash"), "text")
+    gone = materialize(dropped_lines(slim, least_chars, threshold).groupBy("doc_id", "row_hash").agg(F.collect_set("line").alias("__sky_gone")), "gone")
+    gone = near.small_side(gone.select(F.col("doc_id").alias("__sky_gone_doc"), F.col("row_hash").alias("__sky_gone_hash"), "__sky_gone"))
+    joined = row.join(gone, row["doc_id"].eqNullSafe(gone["__sky_gone_doc"]) & (row["__sky_row"] == gone["__sky_gone_hash"]), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__sky_gone", i)), "\n")
     return joined.select(
-        *(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else row[c] for c in row.columns if c != "_row_hash"),
+        *(F.when(F.col("__sky_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else row[c] for c in row.columns if c != "__sky_row"),
         F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__sky_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -78,8 +78,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     whole = [min(int(MOST_TIMES), math.floor(t / s + 1e-12)) if s else 0 for t, s in zip(goal, sizes)]
     table = [(r["source"], i, s, float(t), k, max(0.0, t - k * s), max(1, math.isqrt(int(r["n"])))) for i, (r, s, t, k) in enumerate(zip(rows, sizes, goal, whole))]
     names = "source string, sid int, source_size long, target double, passes int, rest double, n_blocks long"
-    sources = F.broadcast(spark.createDataFrame(table, names).withColumnRenamed("source", "_source"))
-    d = sized.join(sources, sized["source"].eqNullSafe(sources["_source"])).withColumn("block", F.pmod("h", "n_blocks"))
+    sources = F.broadcast(spark.createDataFrame(table, names).withColumnRenamed("source", "__sky_source"))
+    d = sized.join(sources, sized["source"].eqNullSafe(sources["__sky_source"])).withColumn("block", F.pmod("h", "n_blocks"))
     by_block = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = d.groupBy("sid", "block", "rest").agg(F.sum("size").alias("w")).withColumn("upto", F.sum("w").over(by_block))
     edge = blocks.where("upto > rest").groupBy("sid").agg(F.min(F.struct("block", (F.col("upto") - F.col("w")).alias("before"))).alias("e"))
@@ -112,12 +112,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, source and size are taken alike, as often as the first of them. A column named shard is replaced."""
     seed = options.get("seed", SEED)
-    p = plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.min_by("shards", "row_id").alias("_shards")).where(F.size("_shards") > 0)
-    p = small_side(materialize(p.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")), "_shards"), "taken"))
-    d = docs.drop("shard").withColumn("_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    on = d["doc_id"].eqNullSafe(p["_doc_id"]) & d["source"].eqNullSafe(p["_source"]) & (d["_words"] == p["_size"])
-    out = d.join(p, on).select(*docs.drop("shard").columns, F.posexplode("_shards").alias("_copy", "shard"))
-    return out.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(32))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "_copy")).drop("_copy")
+    p = plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.min_by("shards", "row_id").alias("__sky_shards")).where(F.size("__sky_shards") > 0)
+    p = small_side(materialize(p.select(*(F.col(c).alias(f"__sky_{c}") for c in ("doc_id", "source", "size")), "__sky_shards"), "taken"))
+    d = docs.drop("shard").withColumn("__sky_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+    on = d["doc_id"].eqNullSafe(p["__sky_doc_id"]) & d["source"].eqNullSafe(p["__sky_source"]) & (d["__sky_words"] == p["__sky_size"])
+    out = d.join(p, on).select(*docs.drop("shard").columns, F.posexplode("__sky_shards").alias("__sky_copy", "shard"))
+    return out.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(32))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "__sky_copy")).drop("__sky_copy")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,8 +105,8 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     bands = classes.where("not empty").select("node", "sig").mapInArrow(_bands, near.BAND_SCHEMA)
     groups = near.candidate_groups(bands)
     members = materialize(classes.join(groups, "node").select("grp", "n_blocks", "block", "id", "rep", "copies", "sig"), "members")
-    named = near.small_side(members.select(F.col("rep.doc_id").alias("_doc"), F.col("rep.row_hash").alias("_hash"), "id"))
-    texts = bare.join(named, bare["doc_id"].eqNullSafe(named["_doc"]) & (F.xxhash64(bare["text"]) == named["_hash"])).select("id", "text").dropDuplicates(["id"])
+    named = near.small_side(members.select(F.col("rep.doc_id").alias("__sky_doc"), F.col("rep.row_hash").alias("__sky_hash"), "id"))
+    texts = bare.join(named, bare["doc_id"].eqNullSafe(named["__sky_doc"]) & (F.xxhash64(bare["text"]) == named["__sky_hash"])).select("id", "text").dropDuplicates(["id"])
     rows = members.drop("rep").join(texts, "id")
     roots, links = near.verified(rows, near.verifier(_text_shingles, threshold, bayesian_pruner(threshold, tolerance)))
     classes = classes.select("id", "rep", "copies").join(roots, "id", "left").join(links, "id", "left")
@@ -130,13 +130,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 def survivors(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """docs -> one row of each class, with all its columns: that of the least (doc_id, hash of the text), null doc_ids first. Repeated rows leave one.
 
-    A column named _row_hash or _keep is replaced."""
+    Column names that begin with __sky are reserved."""
     _, classes = _classes(docs, threshold, tolerance)
-    keep = materialize(classes.groupBy("root").agg(F.min("rep").alias("r")).select(F.col("r.doc_id").alias("_keep"), F.col("r.row_hash").alias("_keep_hash")), "survivors")
+    keep = materialize(classes.groupBy("root").agg(F.min("rep").alias("r")).select(F.col("r.doc_id").alias("__sky_keep"), F.col("r.row_hash").alias("__sky_keep_hash")), "survivors")
     keep = near.small_side(keep)
-    d = docs.withColumn("_row_hash", F.xxhash64("text"))
-    left = d.join(keep, d["doc_id"].eqNullSafe(keep["_keep"]) & (d["_row_hash"] == keep["_keep_hash"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "_row_hash"]).select(*docs.columns)
+    d = docs.withColumn("__sky_row", F.xxhash64("text"))
+    left = d.join(keep, d["doc_id"].eqNullSafe(keep["__sky_keep"]) & (d["__sky_row"] == keep["__sky_keep_hash"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "__sky_row"]).select(*docs.columns)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

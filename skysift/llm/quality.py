@@ -44,15 +44,15 @@ def ledger(docs: DataFrame) -> DataFrame:
     and all rows stay, repeated ones too. Native expressions only; one pass, no shuffle."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaims", "n_upper", "n_chars_read", "fail_bits"]
     text = F.coalesce("text", F.lit(""))
-    d = docs.drop(*names).withColumns({"_w": F.array_remove(F.split(text, SPACE), ""), "_l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    d = d.withColumn("_h", F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get("_w", i + k) for k in range(1, WINDOW)))))
+    d = docs.drop(*names).withColumns({"__sky_w": F.array_remove(F.split(text, SPACE), ""), "__sky_l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    d = d.withColumn("__sky_h", F.transform(F.slice("__sky_w", 1, F.greatest(F.size("__sky_w") - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get("__sky_w", i + k) for k in range(1, WINDOW)))))
     d = d.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+        "n_words": F.size("__sky_w").cast("long"),
+        "word_chars": F.length(F.array_join("__sky_w", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "_lines": F.size("_l"),
-        "n_repeat_words": F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _repeat_words(F.col("_h"))).otherwise(F.lit(0)).cast("long"),
+        "n_dup_lines": (F.size("__sky_l") - F.size(F.array_distinct("__sky_l"))).cast("long"),
+        "__sky_lines": F.size("__sky_l"),
+        "n_repeat_words": F.when(F.size(F.array_distinct("__sky_h")) < F.size("__sky_h"), _repeat_words(F.col("__sky_h"))).otherwise(F.lit(0)).cast("long"),
         "n_exclaims": F.regexp_count(text, F.lit("!")).cast("long"),
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
         "n_chars_read": F.length(text).cast("long"),
@@ -64,13 +64,13 @@ def ledger(docs: DataFrame) -> DataFrame:
         "exclamation_ratio": 4 * F.col("n_exclaims") > F.col("n_words"),
         "upper_ratio": 5 * F.col("n_upper") > 2 * F.col("n_chars_read"),
         "word_length": (F.col("word_chars") > 16 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")),
-        "duplicate_lines": 2 * F.col("n_dup_lines") > F.col("_lines"),
+        "duplicate_lines": 2 * F.col("n_dup_lines") > F.col("__sky_lines"),
     }
     bits = F.lit(0).cast("long")
     for i, r in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(fails[r], F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     # the row number keeps filters on fail_bits above this projection: pushed below, they would evaluate every rule again
-    return d.withColumn("fail_bits", F.when(F.monotonically_increasing_id() >= 0, bits)).drop("_w", "_l", "_h", "_lines")
+    return d.withColumn("fail_bits", F.when(F.monotonically_increasing_id() >= 0, bits)).drop("__sky_w", "__sky_l", "__sky_h", "__sky_lines")
 
 
 def passes(version: str) -> Column:
