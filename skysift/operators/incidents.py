@@ -39,8 +39,8 @@ def fuse_by(evidence: DataFrame, keys: list[str], cap: float = 0.99) -> DataFram
     """evidence (keys, kind, detail, w, contra) -> (keys, confidence, kinds, may_alert)."""
     line = F.struct("kind", "detail", "w")
     independent = F.when(~F.col("contra") & F.col("kind").isin([k for k in WEIGHTS if k not in SELF_REFERENCE]), F.col("kind"))
-    g = evidence.groupBy(*keys).agg(F.collect_list(F.when(~F.col("contra"), line)).alias("s"), F.collect_list(F.when(F.col("contra"), line)).alias("c"), F.count_distinct(independent).alias("kinds"))
-    return g.select(*keys, fused("s", "c", cap).alias("confidence"), "kinds", (F.col("kinds") >= 2).alias("may_alert"))
+    g = evidence.groupBy(*keys).agg(F.collect_list(F.when(~F.col("contra"), line)).alias("_for"), F.collect_list(F.when(F.col("contra"), line)).alias("_against"), F.count_distinct(independent).alias("kinds"))
+    return g.select(*keys, fused("_for", "_against", cap).alias("confidence"), "kinds", (F.col("kinds") >= 2).alias("may_alert"))
 
 
 def gated(confidence, may_alert) -> F.Column:
