@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skysift.functions import columns as C
 from skysift.operators import geo, identity, incidents, legacy_stats, radio, upserts, windows
@@ -716,6 +717,181 @@ def legacy_probe_stats(spark, d):
     return legacy_stats.probe_stats(aps(spark, d), "ssid")
 
 
+# ---- smaller operators -----------------------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT coalesce({NOW} - max(ts) > 180, true) AS deaf, max(ts) AS last_ts FROM obs WHERE kind = 'error'")
+def deaf_capture(spark, d):
+    a = observations(spark, d).where("kind = 'error'").agg(F.max("ts").alias("last_ts"))
+    return a.select(F.coalesce(NOW - F.col("last_ts") > 180, F.lit(True)).alias("deaf"), "last_ts")
+
+
+@query("+ g AS (SELECT subject, ts, ts - lag(ts) OVER (PARTITION BY subject ORDER BY ts, id) AS gap FROM obs) SELECT subject, count(*) FILTER (gap > 90000) AS dropouts, max(gap) AS longest FROM g GROUP BY subject")
+def gps_dropout(spark, d):
+    g = legacy_stats.gaps(observations(spark, d))
+    return g.groupBy("subject").agg(F.count_if(F.col("gap") > 90000).alias("dropouts"), F.max("gap").alias("longest"))
+
+
+@query(f"""+ h AS (SELECT subject, max(ts) AS t, bool_or(kind = 'error' AND ts >= {NOW} - 172800) AS alert, bool_or(kind = 'purchase' AND ts >= {NOW} - 172800) AS watch, bool_or(k = 3) AS degraded FROM obs GROUP BY subject)
+SELECT subject, CASE WHEN {NOW} - t > 200000 THEN 'fail' WHEN alert THEN 'alert' WHEN watch THEN 'watch' WHEN degraded THEN 'degraded' ELSE 'clear' END AS state FROM h""")
+def effective_state(spark, d):
+    recent = F.col("ts") >= NOW - 172800
+    h = observations(spark, d).groupBy("subject").agg(
+        F.max("ts").alias("t"), F.bool_or((F.col("kind") == "error") & recent).alias("alert"), F.bool_or((F.col("kind") == "purchase") & recent).alias("watch"), F.bool_or(F.col("k") == 3).alias("degraded")
+    )
+    return h.select("subject", C.state_of(NOW - F.col("t") > 200000, "alert", "watch", "degraded").alias("state"))
+
+
+@query("SELECT kind, count(*) AS n, count(DISTINCT k) AS places FROM obs GROUP BY kind")
+def observations_by_kind(spark, d):
+    return observations(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("k").alias("places"))
+
+
+@query("+ e AS (SELECT subject, min(ts) AS first_seen, count(*) AS see_count FROM obs GROUP BY subject) SELECT o.id AS seq, o.subject, o.kind, e.see_count FROM obs o JOIN e USING (subject) WHERE o.id > (SELECT max(id) * 0.9 FROM obs) ORDER BY seq")
+def touched_since(spark, d):
+    """Rows behind a sequence cursor with their entity."""
+    o = observations(spark, d)
+    cursor = o.agg((F.max("id") * 0.9).alias("c"))
+    e = upserts.entities(o, ["subject"]).select("subject", "see_count")
+    return o.join(F.broadcast(cursor), F.col("id") > F.col("c")).join(e, "subject").select(F.col("id").alias("seq"), "subject", "kind", "see_count").orderBy("seq")
+
+
+@query(f"+ {_INC} SELECT incident_key, 1000 + row_number() OVER (ORDER BY coalesce(last_ts, 0), incident_key) AS updated_seq FROM inc WHERE severity = 'alert'")
+def sequence_backfill(spark, d):
+    """Sequence numbers behind the present maximum, in order of time (Z16). Numbering incidents is one ordered pass over a derived table."""
+    w = Window.orderBy(F.coalesce("last_ts", F.lit(0.0)), "incident_key")
+    return _incidents(spark, d).where("severity = 'alert'").select("incident_key", (F.row_number().over(w) + 1000).cast("long").alias("updated_seq"))
+
+
+@query(f"""+ {_DE} SELECT target, source, count(*) AS n FROM de WHERE target IN (2, 3, 5, 8) OR target = (SELECT max(target) FROM de) GROUP BY ALL HAVING count(*) >= 2""")
+def protected_attacks(spark, d):
+    """Attacks on protected devices or the broadcast target (Z20); the highest subject stands for broadcast."""
+    e = deauths(spark, d)
+    protected = spark.createDataFrame([(i,) for i in (2, 3, 5, 8)], "target long").unionByName(e.agg(F.max("target").alias("target")))
+    return e.join(protected.distinct(), "target", "left_semi").groupBy("target", "source").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query(f"""+ {_RATE}, sv AS (SELECT target, source, n, CASE WHEN rate > 0.005 OR (target < 40 AND n > 20) THEN 0 WHEN rate > 0.002 OR (target < 40 AND n > 10) THEN 1 WHEN rate > 0.001 OR n > 20 THEN 2 ELSE 3 END AS o FROM rates)
+SELECT target, source, n, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][o + 1] AS severity FROM sv ORDER BY o, target, source LIMIT 20""")
+def attack_filings(spark, d):
+    a = radio.attack_severity(radio.peak_rates(deauths(spark, d), 86400), 0.001, F.col("target") < 40)
+    return radio.first_filings(a).select("target", "source", "n", "severity")
+
+
+@query(f"""+ {_RATE}, sv AS (SELECT target, source, n, CASE WHEN rate > 0.005 OR (target < 40 AND n > 20) THEN 0 WHEN rate > 0.002 OR (target < 40 AND n > 10) THEN 1 WHEN rate > 0.001 OR n > 20 THEN 2 ELSE 3 END AS o FROM rates)
+SELECT target, source, n, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][o + 1] AS severity FROM sv ORDER BY o DESC, target DESC, source DESC LIMIT 20""")
+def attack_filings_last(spark, d):
+    a = radio.attack_severity(radio.peak_rates(deauths(spark, d), 86400), 0.001, F.col("target") < 40)
+    return radio.first_filings(a, last=True).select("target", "source", "n", "severity")
+
+
+@query(f"+ {_RATE}, sv AS (SELECT CASE WHEN rate > 0.005 OR (target < 40 AND n > 20) THEN 'CRITICAL' WHEN rate > 0.002 OR (target < 40 AND n > 10) THEN 'HIGH' WHEN rate > 0.001 OR n > 20 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM rates) SELECT severity, count(*) AS n FROM sv GROUP BY severity")
+def severity_counts(spark, d):
+    a = radio.attack_severity(radio.peak_rates(deauths(spark, d), 86400), 0.001, F.col("target") < 40)
+    return a.groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT upper(trim(c_name)) AS subject FROM customer WHERE trim(c_name) <> ''", obs=False)
+def ignore_list_generate(spark, d):
+    from skysift.sources.sinks import generate_ignore_list
+
+    return generate_ignore_list(table(spark, d, "customer").select(F.col("c_name").alias("devmac")))
+
+
+@query("SELECT s_suppkey, upper(trim(split_part('  aa:' || s_suppkey || '/24', '/', 1))) AS mac FROM supplier", obs=False)
+def mac_normalize(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", C.normalize_mac(F.concat(F.lit("  aa:"), F.col("s_suppkey").cast("string"), F.lit("/24"))).alias("mac"))
+
+
+@query("""SELECT n_nationkey, i::INTEGER AS i, round(33.4::DOUBLE + n_nationkey * 0.01::DOUBLE + 0.001::DOUBLE * sin(radians(10 * i)), 9) AS lat, round(-112.0::DOUBLE + 0.001::DOUBLE * cos(radians(10 * i)), 9) AS lon FROM nation, (SELECT unnest(range(0, 37)) AS i)""", obs=False)
+def circle_polygon(spark, d):
+    """37 points around each place."""
+    n = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(36))).alias("i"))
+    lat = F.lit(33.4) + F.col("n_nationkey") * F.lit(0.01) + F.lit(0.001) * F.sin(F.radians(10 * F.col("i")))
+    return n.select("n_nationkey", "i", F.round(lat, 9).alias("lat"), F.round(F.lit(-112.0) + F.lit(0.001) * F.cos(F.radians(10 * F.col("i"))), 9).alias("lon"))
+
+
+@query("""+ x AS (SELECT subject, array_to_string(list_sort(list(id)), ',') AS ids FROM obs WHERE kind = 'error' GROUP BY subject) SELECT c.subject, c.kind, CASE WHEN c.k = 0 THEN 'own' ELSE coalesce(x.ids, '') END AS obs_ids FROM obs c LEFT JOIN x USING (subject) WHERE c.kind = 'signup'""")
+def attach_obs_ids(spark, d):
+    """Provenance fills only lines that have none."""
+    o = observations(spark, d)
+    x = o.where("kind = 'error'").groupBy("subject").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    c = o.where("kind = 'signup'").withColumn("own", F.when(F.col("k") == 0, F.lit("own"))).join(x, "subject", "left")
+    return c.select("subject", "kind", F.coalesce("own", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), F.lit("")).alias("obs_ids"))
+
+
+@query(f"""+ {_VIEWS} SELECT key_a, key_b, round(len(list_intersect(a.ssids, b.ssids)) / len(list_distinct(a.ssids || b.ssids)), 6) AS jaccard FROM pr JOIN vw a ON a.key = key_a JOIN vw b ON b.key = key_b WHERE shared >= 3""")
+def ssid_jaccard(spark, d):
+    v = _views(spark, d).select("key", "ssids")
+    p = identity.candidate_pairs(v).where("shared >= 3")
+    a, b = v.select(F.col("key").alias("key_a"), F.col("ssids").alias("sa")), v.select(F.col("key").alias("key_b"), F.col("ssids").alias("sb"))
+    return p.join(a, "key_a").join(b, "key_b").select("key_a", "key_b", F.round(C.jaccard("sa", "sb"), 6).alias("jaccard"))
+
+
+@query("""+ g AS (SELECT k, list_sort(list(DISTINCT subject) FILTER (kind = 'view')) AS a, list_sort(list(DISTINCT subject) FILTER (kind = 'click')) AS b FROM obs WHERE subject < 4 GROUP BY k) SELECT k, coalesce(a, []) = coalesce(b, []) AS same FROM g""")
+def entity_set_equality(spark, d):
+    g = observations(spark, d).where("subject < 4").groupBy("k").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("subject")))).alias(n) for k, n in (("view", "a"), ("click", "b"))))
+    return g.select("k", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query(f"+ {_INC} SELECT incident_key, CASE WHEN last_ts < {NOW} - 5 * {DAY} THEN 'closed' ELSE 'open' END AS status FROM inc")
+def stale_close(spark, d):
+    status = F.when(F.col("last_ts") < NOW - 5 * DAY, "closed").otherwise("open")
+    return _incidents(spark, d).select("incident_key", status.alias("status"))
+
+
+@query(f"+ {_INC}, old AS (SELECT incident_key FROM inc WHERE last_ts < {NOW} - 7 * {DAY}) SELECT id FROM obs WHERE kind || '|' || subject IN (SELECT incident_key FROM old)")
+def child_purge(spark, d):
+    """Children of purged parents."""
+    old = _incidents(spark, d).where(F.col("last_ts") < NOW - 7 * DAY).select("incident_key")
+    o = observations(spark, d).withColumn("incident_key", F.concat_ws("|", "kind", F.col("subject").cast("string")))
+    return o.join(old, "incident_key", "left_semi").select("id")
+
+
+@query(f"""+ {_DE}, x AS (SELECT target, source, list(DISTINCT id) AS ids FROM de GROUP BY ALL HAVING count(*) >= 3) SELECT target, source, array_to_string(list_sort(ids), ',') AS obs_ids FROM x""")
+def attack_obs_ids(spark, d):
+    g = deauths(spark, d).groupBy("target", "source").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") >= 3)
+    return g.select("target", "source", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("obs_ids"))
+
+
+@query(f"""+ {_LINK}, ro AS (SELECT unnest(range(0, 12)) AS key) SELECT a.key AS key_a, b.key AS key_b, confidence FROM ro a JOIN ro b ON a.key < b.key JOIN ls ON key_a = a.key AND key_b = b.key WHERE together OR confidence >= 0.3""")
+def roster_links(spark, d):
+    """Standing hypotheses between all pairs of a roster."""
+    v = _views(spark, d)
+    h = identity.link_scores(v, identity.candidate_pairs(v))
+    roster = spark.range(12)
+    return h.join(roster, h.key_a == roster.id, "left_semi").join(roster, h.key_b == roster.id, "left_semi").select("key_a", "key_b", "confidence")
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '>', '&gt;'), '<', '&lt;')) AS escaped FROM documents", obs=False)
+def escape_xml(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(C.escape_xml("text")).alias("escaped"))
+
+
+@query(f"""+ {_CL}, g AS (SELECT *, CASE WHEN lag(k) OVER w IS DISTINCT FROM k OR ts - lag(ts) OVER w > 600 THEN 1 ELSE 0 END AS nw FROM cl WINDOW w AS (PARTITION BY subject ORDER BY ts, lat, lon)),
+v0 AS (SELECT *, sum(nw) OVER (PARTITION BY subject ORDER BY ts, lat, lon ROWS UNBOUNDED PRECEDING) AS visit FROM g) SELECT subject, visit::BIGINT AS session, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM v0 GROUP BY subject, visit""")
+def legacy_location_sessions(spark, d):
+    """Sessions at places of 100 m, ten minutes apart."""
+    o = observations(spark, d)
+    c = geo.assign_clusters(o.select("subject", "ts", "lat", "lon"), 100.0)
+    w = Window.partitionBy("subject").orderBy("ts", "lat", "lon")
+    new = (F.lag("cluster").over(w) != F.col("cluster")) | (F.col("ts") - F.lag("ts").over(w) > 600)
+    s = windows.islands(c.withColumn("_b", new), ["subject"], ["ts", "lat", "lon"], F.col("_b"), "session")
+    return s.groupBy("subject", "session").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
+
+
+@query(f"""+ s AS (SELECT unnest([{NOW}, {NOW} - 3600]) AS now), b AS (SELECT now, unnest([5, 10, 15, 20, 2]) AS m FROM s) SELECT now, m::INTEGER AS minutes, now - 60 * m AS boundary FROM b""")
+def time_boundaries(spark, d):
+    s = spark.createDataFrame([(NOW,), (NOW - 3600,)], "now double").select("now", F.explode(F.array(*(F.lit(m) for m in (5, 10, 15, 20, 2)))).alias("minutes"))
+    return s.withColumn("boundary", F.col("now") - 60 * F.col("minutes"))
+
+
+@query("SELECT subject, max(updated) AS updated FROM (SELECT subject, greatest(id, coalesce(max(id) OVER (PARTITION BY subject ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS updated FROM obs) GROUP BY subject")
+def cursor_advance(spark, d):
+    """A cursor never goes back."""
+    return observations(spark, d).groupBy("subject").agg(F.max("id").alias("updated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
