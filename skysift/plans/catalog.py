@@ -758,9 +758,10 @@ def touched_since(spark, d):
 
 @query(f"+ {_INC} SELECT incident_key, 1000 + row_number() OVER (ORDER BY coalesce(last_ts, 0), incident_key) AS updated_seq FROM inc WHERE severity = 'alert'")
 def sequence_backfill(spark, d):
-    """Sequence numbers behind the present maximum, in order of time (Z16). Numbering incidents is one ordered pass over a derived table."""
-    w = Window.orderBy(F.coalesce("last_ts", F.lit(0.0)), "incident_key")
-    return _incidents(spark, d).where("severity = 'alert'").select("incident_key", (F.row_number().over(w) + 1000).cast("long").alias("updated_seq"))
+    """Sequence numbers behind the present maximum, in order of time."""
+    i = _incidents(spark, d).where("severity = 'alert'").withColumn("at", F.coalesce("last_ts", F.lit(0.0)))
+    r = windows.global_rank(i, "at", DAY, ["incident_key"], "nr")
+    return r.select("incident_key", (F.col("nr") + 1000).alias("updated_seq"))
 
 
 @query(f"""+ {_DE} SELECT target, source, count(*) AS n FROM de WHERE target IN (2, 3, 5, 8) OR target = (SELECT max(target) FROM de) GROUP BY ALL HAVING count(*) >= 2""")
