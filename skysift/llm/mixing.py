@@ -18,6 +18,7 @@ SHARE = 1.5
 MOST_TIMES = 2.0
 SHARDS = 16
 SEED = 20240229
+MOST_BROADCAST = 50_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST_TIMES) -> list[float]:
@@ -56,6 +57,12 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
     return out
 
 
+def _side(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A row per source; broadcast if the sources are no more than MOST_BROADCAST."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MOST_BROADCAST else df
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, source, text, ...) -> (row_id, doc_id, size, source_size, target, copies, shards), a row for each row of docs.
 
@@ -78,13 +85,13 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     whole = [min(int(MOST_TIMES), math.floor(t / s + 1e-12)) if s else 0 for t, s in zip(goal, sizes)]
     table = [(r["source"], i, s, float(t), k, max(0.0, t - k * s), max(1, math.isqrt(int(r["n"])))) for i, (r, s, t, k) in enumerate(zip(rows, sizes, goal, whole))]
     names = "source string, sid int, source_size long, target double, passes int, rest double, n_blocks long"
-    sources = F.broadcast(spark.createDataFrame(table, names).withColumnRenamed("source", "__sky_source"))
+    sources = _side(spark, table, names).withColumnRenamed("source", "__sky_source")
     d = sized.join(sources, sized["source"].eqNullSafe(sources["__sky_source"])).withColumn("block", F.pmod("h", "n_blocks"))
     by_block = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = d.groupBy("sid", "block", "rest").agg(F.sum("size").alias("w")).withColumn("upto", F.sum("w").over(by_block))
     edge = blocks.where("upto > rest").groupBy("sid").agg(F.min(F.struct("block", (F.col("upto") - F.col("w")).alias("before"))).alias("e"))
     edges = [(r["sid"], r["e"]["block"], float(r["e"]["before"])) for r in edge.collect()]
-    bound = F.broadcast(spark.createDataFrame(edges, "sid int, edge long, before double"))
+    bound = _side(spark, edges, "sid int, edge long, before double")
     d = d.join(bound, "sid", "left")
     inside = Window.partitionBy("sid").orderBy("h", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     cut = d.where("block = edge").withColumn("extra", (F.col("before") + F.sum("size").over(inside) <= F.col("rest")).cast("int"))
@@ -92,15 +99,15 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     chosen = materialize(cut.unionByName(others).withColumn("extra", F.when(F.col("passes") >= MOST_TIMES, 0).otherwise(F.col("extra"))), "chosen")
     gap = chosen.groupBy("sid").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
     gaps = {r["sid"]: r["gap"] for r in gap.collect()}
-    gap = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in gaps.items()], "sid int, gap double"))
+    gap = _side(spark, [(k, float(v)) for k, v in gaps.items()], "sid int, gap double")
     off = F.abs(F.col("gap") - F.col("size"))
     best = chosen.join(gap, "sid").where((F.col("extra") == 0) & (F.col("passes") < MOST_TIMES) & (off < F.abs("gap"))).groupBy("sid").agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "row_id")).alias("b"))
-    last = F.broadcast(spark.createDataFrame([(r["sid"], r["b"]["row_id"]) for r in best.collect()], "sid int, last_row long"))
+    last = _side(spark, [(r["sid"], r["b"]["row_id"]) for r in best.collect()], "sid int, last_row long")
     chosen = chosen.join(last, "sid", "left").withColumn("extra", F.when(F.col("row_id") == F.col("last_row"), 1).otherwise(F.col("extra")))
     where = {sid: e for sid, e, _ in edges}
     quota = [r[4] * r[6] + (where.get(r[1], 0) + 1 if r[5] > 0 else 0) for r in table]
     ends = np.cumsum(split_quotas(quota, shards, seed), axis=0) if table else np.zeros((shards, 0), np.int64)
-    lanes = F.broadcast(spark.createDataFrame([(i, ends[:, i].tolist()) for i in range(len(table))], "sid int, ends array<long>"))
+    lanes = _side(spark, [(i, ends[:, i].tolist()) for i in range(len(table))], "sid int, ends array<long>")
     chosen = chosen.join(lanes, "sid").withColumn("copies", F.col("passes") + F.col("extra"))
     slot = lambda k: F.least(F.size(F.filter("ends", lambda e: e <= F.col("block") + k * F.col("n_blocks"))), F.lit(shards - 1))
     places = F.transform(F.sequence(F.lit(1), F.lit(int(MOST_TIMES))), lambda k: F.when(k <= F.col("copies"), slot((k - 1).cast("long"))))
