@@ -17,6 +17,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_TIMES = 2.0
 SHARDS = 16
+#: Rounds in which each source may add or give back one document to come nearer to its target.
+SETTLING = 4
 SEED = 20240229
 MOST_BROADCAST = 50_000
 
@@ -68,7 +70,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
 
     size: words of the text (null: 0). Sources, sorted by code point with null last, weigh `weights` in turn and share `share` times all sizes (see
     targets). A source's documents fall by hash into about sqrt(n) blocks; the quota is whole passes over the blocks, then whole blocks in their
-    permuted order, then documents of the boundary block, and at last the document that brings the sum nearest to the target. copies: 0, 1 or 2;
+    permuted order, then documents of the boundary block; at last up to four documents are added or given back, each
+    the one that brings the sum nearest to the target. copies: 0, 1 or 2;
     shards: the output shard of each copy. Rows of equal doc_id are separate documents. An empty table gives an empty one.
     The driver holds a few numbers for each source and shard, nothing for each document."""
     spark = docs.sparkSession
@@ -97,13 +100,22 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     cut = d.where("block = edge").withColumn("extra", (F.col("before") + F.sum("size").over(inside) <= F.col("rest")).cast("int"))
     others = d.where("edge is null or block <> edge").withColumn("extra", F.when(F.col("edge").isNotNull() & (F.col("block") < F.col("edge")), 1).otherwise(0))
     chosen = materialize(cut.unionByName(others).withColumn("extra", F.when(F.col("passes") >= MOST_TIMES, 0).otherwise(F.col("extra"))), "chosen")
-    gap = chosen.groupBy("sid").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
-    gaps = {r["sid"]: r["gap"] for r in gap.collect()}
-    gap = _side(spark, [(k, float(v)) for k, v in gaps.items()], "sid int, gap double")
-    off = F.abs(F.col("gap") - F.col("size"))
-    best = chosen.join(gap, "sid").where((F.col("extra") == 0) & (F.col("passes") < MOST_TIMES) & (off < F.abs("gap"))).groupBy("sid").agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "row_id")).alias("b"))
-    last = _side(spark, [(r["sid"], r["b"]["row_id"]) for r in best.collect()], "sid int, last_row long")
-    chosen = chosen.join(last, "sid", "left").withColumn("extra", F.when(F.col("row_id") == F.col("last_row"), 1).otherwise(F.col("extra")))
+    gaps = {r["sid"]: float(r["gap"]) for r in chosen.groupBy("sid").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap")).collect()}
+    turned: list[tuple] = []
+    for _ in range(SETTLING):
+        swaps = _side(spark, [(r,) for r in turned], "turned_row long")
+        now = chosen.join(swaps, chosen["row_id"] == swaps["turned_row"], "left").withColumn("extra", F.when(F.col("turned_row").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra")))
+        gap = _side(spark, sorted(gaps.items()), "sid int, gap double")
+        step = F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size"))
+        off = F.abs(F.col("gap") - step)
+        best = now.where(F.col("turned_row").isNull() & (F.col("passes") < MOST_TIMES)).join(gap, "sid").where(off < F.abs("gap"))
+        best = best.groupBy("sid").agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "row_id", step.alias("step"))).alias("b")).collect()
+        if not best:
+            break
+        turned += [r["b"]["row_id"] for r in best]
+        gaps |= {r["sid"]: gaps[r["sid"]] - r["b"]["step"] for r in best}
+    swaps = _side(spark, [(r,) for r in turned], "turned_row long")
+    chosen = chosen.join(swaps, chosen["row_id"] == swaps["turned_row"], "left").withColumn("extra", F.when(F.col("turned_row").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra"))).drop("turned_row")
     where = {sid: e for sid, e, _ in edges}
     quota = [r[4] * r[6] + (where.get(r[1], 0) + 1 if r[5] > 0 else 0) for r in table]
     ends = np.cumsum(split_quotas(quota, shards, seed), axis=0) if table else np.zeros((shards, 0), np.int64)
