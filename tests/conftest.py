@@ -3,6 +3,8 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
+from skysift.session import ship
+
 DATA = os.environ.get("SKYSIFT_TEST_DATA", "/root/testdata/sf0.001")
 
 
@@ -17,6 +19,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
 
