@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 
 from skysift.llm import near
 from skysift.llm.storage import materialize
-from skysift.llm.textkit import MinHasher, char_shingles, chunks, utf8_buffers
+from skysift.llm.textkit import IS_SPACE, MinHasher, char_shingles, chunks, utf8_buffers
 
 #: Runs of 2**3 code points; two lines are the same if the Jaccard similarity of their sets is at least 0.8.
 DOUBLINGS = 3
 THRESHOLD = 0.8
-#: Shorter lines recur by chance; they are always kept.
-LEAST_CHARS = 32
+#: Every line with a word takes part; lines without one (empty or blank) part paragraphs and stay.
+LEAST_CHARS = 1
 ROWS, BANDS = 4, 12
 HASHER = MinHasher(ROWS * BANDS, seed=10)
 
 
 def _lines(data: np.ndarray, starts: np.ndarray, least: int):
-    """Of the lines of `least` code points or more: their text, line number in it, byte span and code-point span; and all code points."""
+    """Of the lines with a word and `least` code points or more: their text, line number in it, byte span and code-point span; and all code points."""
     text = data.tobytes()
     points = np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -33,11 +33,12 @@ def _lines(data: np.ndarray, starts: np.ndarray, least: int):
     end = np.concatenate([starts[1:], breaks])
     begin, end = np.sort(begin), np.sort(end)
     doc = np.minimum(np.searchsorted(starts, begin, "right") - 1, len(starts) - 2)
-    # empty lines of texts before may begin where a text does; its own first line is the last of those, and they are too short to count
+    # empty lines of texts before may begin where a text does; its own first line is the last of those, and they have no word
     first = np.searchsorted(begin, starts[:-1], "right") - 1
     number = np.arange(len(begin)) - first[doc]
     a, b = lead[begin], lead[end]
-    keep = (b - a >= least) & (end > begin)
+    solid = np.concatenate([[0], np.cumsum(~IS_SPACE[data])])
+    keep = (b - a >= least) & (solid[end] > solid[begin])
     return text, points, doc[keep], number[keep], begin[keep], end[keep], a[keep], b[keep]
 
 
@@ -48,6 +49,8 @@ def _line_rows(data, starts, least):
 
 
 def _bands(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Lines with at least one run; shorter ones have no set to compare and are matched exactly only."""
+    least = max(least, 1 << DOUBLINGS)
     for batch in batches:
         data, starts = utf8_buffers(batch.column(0))
         nodes, keys = [], []
@@ -113,8 +116,8 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: fl
 def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text, ...) -> the same rows and columns, text without the lines that repeat an earlier one, and n_lines, n_removed (long).
 
-    Lines are split at \\n. Lines under `least_chars` code points always stay. Two lines are similar if the Jaccard similarity of their sets of
-    eight-character runs is at least `threshold`; one line of each connected component stays, the first by (doc_id, text hash, line number).
+    Lines are split at \\n. Lines without a word always stay, and any under `least_chars` code points. Two lines are similar if they are equal or if the
+    Jaccard similarity of their sets of eight-character runs is at least `threshold` (lines under eight characters have no runs); one line of each connected component stays, the first by (doc_id, text hash, line number).
     Rows that agree in doc_id and text are one document: all copies keep the same lines. A null or empty text is unchanged and has no lines to remove.
     Columns named n_lines or n_removed are replaced; other extra columns pass through."""
     row = docs.drop("n_lines", "n_removed").withColumn("__sky_row", F.xxhash64("text"))

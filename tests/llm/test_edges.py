@@ -174,6 +174,13 @@ def test_line_dedup(spark, edge, empty):
     assert by_doc(line_dedup.dedup(df), "doc_id", "text", "n_removed") == [(1, f"{a}1\n", 1), (2, "\n\n", 1), (3, "x", 0)]
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of any length with a word: equal ones once, near ones from eight characters on; blank lines stay."""
+    texts = ["All rights reserved.\nok\n\n \nfirst", "ok\nAll rights reserved.\n\n \nsecond", "\nünï\nok \nabcdefghijklmnopqrst", "ünï\nabcdefghijklmnopqrstu\n1234567\n12345678", "1234567\n123456789\n12345678"]
+    got = [(r.text, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [(texts[0], 0), ("\n \nsecond", 2), (texts[2], 0), ("1234567\n12345678", 2), ("123456789", 2)]
+
+
 def test_quality(edge, empty):
     got = rows(quality.ledger(edge).select("doc_id", "fail_bits", quality.passes("v1").alias("ok"), "n_words"))
     assert len(got) == 12 and all(r.fail_bits & 1 for r in got if r.doc_id in (3, 4, 5, 7))
