@@ -31,6 +31,9 @@ SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3,
 PLACEHOLDERS = {"changeme", "password", "secret", "example", "none", "null", "true", "false", "undefined", "placeholder", "xxxxxxxx", "todo", "string", "your_password"}
 LEAST_SCORE = 3
 LEAST_LENGTH = 8
+LEAST_DISTINCT = 4
+#: First characters of a value that its test looks at: more than the longest placeholder has, as longer values equal none.
+HEAD = max(LEAST_LENGTH, *map(len, PLACEHOLDERS)) + 1
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -40,33 +43,66 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(w, 0) for w in words)
 
 
-def _plausible(value: str) -> bool:
-    low = value.lower()
-    return len(value) >= LEAST_LENGTH and low not in PLACEHOLDERS and len(set(value)) >= 4 and not any(c.isspace() for c in value) and (any(c.isdigit() for c in value) or not value.isalpha())
+class _Value:
+    """What a name stands for: its own literals and the values that it is put together from, by reference, and what the test of plausibility needs of
+    the whole text: its first characters, up to four distinct ones, and three flags. So repeated doubling costs no more than the source text is long."""
+
+    __slots__ = ("spans", "parts", "head", "some", "blank", "digit", "alpha")
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[_Value] = []
+        self.head, self.some, self.blank, self.digit, self.alpha = "", frozenset(), False, False, True
+
+    def _extend(self, head: str, some: frozenset, blank: bool, digit: bool, alpha: bool) -> None:
+        if len(self.head) < HEAD:
+            self.head = (self.head + head)[:HEAD]
+        if len(self.some) < LEAST_DISTINCT:
+            self.some = frozenset([*(self.some | some)][:LEAST_DISTINCT])
+        self.blank, self.digit, self.alpha = self.blank or blank, self.digit or digit, self.alpha and alpha
+
+    def literal(self, text: str, a: int, b: int) -> None:
+        self.spans.append((a, b))
+        chars = frozenset(text[a:b])
+        self._extend(text[a : min(b, a + HEAD)], chars, any(c.isspace() for c in chars), any(c.isdigit() for c in chars), all(c.isalpha() for c in chars))
+
+    def value(self, other: _Value) -> None:
+        self.parts.append(other)
+        self._extend(other.head, other.some, other.blank, other.digit, other.alpha)
+
+    def plausible(self) -> bool:
+        return len(self.head) >= LEAST_LENGTH and self.head.lower() not in PLACEHOLDERS and len(self.some) >= LEAST_DISTINCT and not self.blank and (self.digit or not self.alpha)
 
 
 def named_literals(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, directly or through other names and concatenation."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, _Value] = {}
     found = []
     for m in PAIR.finditer(text):
         at, value = m.start("value"), m.group("value")
-        spans: list[tuple[int, int]] = []
-        if m.group("sum") or value[0] in "\"'`":
-            for p in PART.finditer(value):
-                if p.group("string"):
-                    spans.append((at + p.start() + 1, at + p.end() - 1))
-                else:
-                    spans += constants.get(p.group("name"), [])
-        elif (r := REFERENCE.match(value)) and r.group(1) in constants:
-            spans = constants[r.group(1)]
+        if not m.group("sum") and value[0] not in "\"'`" and (r := REFERENCE.match(value)) and r.group(1) in constants:
+            v = constants[r.group(1)]
         else:
-            spans = [(at, at + len(value))]
-        spans = spans[:64]
-        constants[m.group("name")] = spans
-        if name_score(m.group("name")) >= LEAST_SCORE and _plausible("".join(text[a:b] for a, b in spans)):
-            found += spans
-    return sorted(set(found))
+            v = _Value()
+            if m.group("sum") or value[0] in "\"'`":
+                for p in PART.finditer(value):
+                    if p.group("string"):
+                        v.literal(text, at + p.start() + 1, at + p.end() - 1)
+                    elif p.group("name") in constants:
+                        v.value(constants[p.group("name")])
+            else:
+                v.literal(text, at, at + len(value))
+        constants[m.group("name")] = v
+        if name_score(m.group("name")) >= LEAST_SCORE and v.plausible():
+            found.append(v)
+    spans, visited = set(), set()
+    while found:
+        v = found.pop()
+        if id(v) not in visited:
+            visited.add(id(v))
+            spans.update(v.spans)
+            found += v.parts
+    return sorted(spans)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

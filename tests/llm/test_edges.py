@@ -88,6 +88,17 @@ def test_secrets(edge, empty):
     assert secrets_scan.scan(None) == ([], [])
 
 
+def test_secrets_of_many_literals():
+    """A secret keeps all its literals, whether they come line after line or in one sum; doubling stays cheap."""
+    named = lambda text: [text[a:b] for a, k, b in secrets_scan.scan(text)[1] if k == 3]
+    parts = [f"p{i:04d}" for i in range(300)]
+    assert named('private_key = ""\n' + "".join(f'private_key = private_key + "{p}"\n' for p in parts)) == ["", *parts]
+    assert named("private_key = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    assert named("".join(f'a{i} = "{p}"\n' for i, p in enumerate(parts)) + "secret_key = " + " + ".join(f"a{i}" for i in range(300))) == parts
+    assert named('a = "k9Z"\nb = "x8"\n' + "a = a + a + b\n" * 2000 + "api_key = a\n") == ["k9Z", "x8"]
+    assert named('a = "' + "x" * 70 + '"\nsecret_key = a + "has blank"\n') == []
+
+
 def test_topk(spark):
     t = "vec_id long, embedding array<float>"
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, -0.5]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (2, [0.5, -0.5]), (50, [1.0, 0.0])]
