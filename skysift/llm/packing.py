@@ -25,7 +25,7 @@ CELL, ISLANDS, GENERATIONS, EPOCHS, POPULATION = 8192, 2, 6, 2, 4
 # ---- tokens ------------------------------------------------------------------------------------------------------------------------------------
 
 #: Classes of bytes for texts of Latin-1 characters, lower-cased, as the vocabulary's pre-tokenizer splits them: runs of letters, single numbers, runs of
-#: other marks, blanks dropped. A two-byte character has one class. Texts with other characters, apostrophes (contractions split) or <| go to the tokenizer whole.
+#: other marks, blanks dropped. A two-byte character has one class. Texts with other characters (before lower-casing), apostrophes (contractions split) or <| go to the tokenizer whole.
 BLANK, LETTER, NUMBER, OTHER, FOREIGN = range(5)
 
 
@@ -99,6 +99,10 @@ class _Words:
             strange[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
         odd = np.add.reduceat(np.append(strange, False).astype(np.int64), np.minimum(starts[:-1], len(data)))
         odd[np.diff(starts) == 0] = 0
+        # judged on the bytes as they came too: lower-casing makes a plain i of U+0130, where the tokenizer makes two characters
+        raw, at = utf8_buffers(texts)
+        foreign = np.concatenate([[0], np.cumsum(raw >= 0xC4, dtype=np.int32)])
+        odd |= foreign[at[1:]] > foreign[at[:-1]]
         if odd.any():
             kind[np.repeat(odd > 0, np.diff(starts))] = BLANK
         kept = kind != BLANK

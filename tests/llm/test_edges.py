@@ -132,6 +132,19 @@ def test_packing(spark, edge, empty):
     assert rows(packing.pack(empty, path)) == []
 
 
+def test_packing_ids_of_letters_that_lower_case_to_plain_ones():
+    """U+0130, the Kelvin and the Angstrom sign: ids are the tokenizer's own, beside texts that take the fast path."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(path)
+    texts = ["plain Text", "\u0130stanbul", None, "", "5 \u212a and \u212b", "CAF\u00c9 \u00b5 \u00df", "x \u0130", "\u0130", "tail"]
+    got = [x.tolist() for x in packing._Words(path).ids(pa.array(texts).slice(1))]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
+
+
 def test_genetic_operators():
     import random
 
