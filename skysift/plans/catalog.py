@@ -334,10 +334,16 @@ r AS (SELECT subject, nr, id, lat, lon, true AS keep FROM n WHERE nr = 1 UNION A
   FROM (SELECT n.*, r.lat AS plat, r.lon AS plon, sqrt((n.lat - r.lat) * (n.lat - r.lat) + (n.lon - r.lon) * (n.lon - r.lon)) * 111000 >= 5000 AS far FROM r JOIN n ON n.subject = r.subject AND n.nr = r.nr + 1) n)
 SELECT id, subject FROM r WHERE keep""", obs=False)
 def gps_thin(spark, d):
-    """Points 5 km from the last one kept (F11), of the first twenty subjects: the recursive oracle is the reason for the number."""
+    """Points 5 km from the last one kept (F11), of the first twenty subjects as in the recursive oracle; gps_thin_all has every subject."""
     return geo.thin(observations(spark, d).where("subject < 20").select("id", "ts", "subject", "lat", "lon"), 5000.0).select("id", "subject")
 
 
+@query()
+def gps_thin_all(spark, d):
+    """gps_thin over every subject: tested against a plain loop."""
+    return geo.thin(observations(spark, d).select("id", "ts", "subject", "lat", "lon"), 5000.0).select("id", "subject")
+
+
 # ---- upserts -----------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -831,7 +837,17 @@ def ssid_jaccard(spark, d):
 
 @query("""+ g AS (SELECT k, list_sort(list(DISTINCT subject) FILTER (kind = 'view')) AS a, list_sort(list(DISTINCT subject) FILTER (kind = 'click')) AS b FROM obs WHERE subject < 4 GROUP BY k) SELECT k, coalesce(a, []) = coalesce(b, []) AS same FROM g""")
 def entity_set_equality(spark, d):
-    g = observations(spark, d).where("subject < 4").groupBy("k").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("subject")))).alias(n) for k, n in (("view", "a"), ("click", "b"))))
+    """Of the first four subjects; entity_set_equality_all has every subject."""
+    return _same_sets(observations(spark, d).where("subject < 4"))
+
+
+@query(ORACLES["entity_set_equality"].replace(" WHERE subject < 4", ""), obs=False)
+def entity_set_equality_all(spark, d):
+    return _same_sets(observations(spark, d))
+
+
+def _same_sets(o):
+    g = o.groupBy("k").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("subject")))).alias(n) for k, n in (("view", "a"), ("click", "b"))))
     return g.select("k", (F.col("a") == F.col("b")).alias("same"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from skysift.functions import columns as C
 from skysift.operators import geo, identity, incidents, normalize, radio, windows
+from skysift.plans import catalog
+from skysift.sources import bindings
 
 DEAUTH = ("deauth", [("deauth_pattern", "a", 0.35, False), ("attack_signature", "b", 0.20, False), ("source_severity", "c", 0.15, False)])
 TRAVEL = ("cotravel", [("copresence", "a", 0.30, False), ("travel_span", "b", 0.25, False), ("score", "c", 0.10, False)])
@@ -170,3 +172,14 @@ def test_normalizers(spark):
     assert [(r.kind, r.identity_key, r.reject) for r in normalize.alerts(a, "s").collect()] == [("deauth_alert", "AA", None), ("deauth_alert", "CC", None), ("kismet_alert", None, "no identity")]
     g = spark.createDataFrame([(33.4, -112.0, 5.0, 3.0), (99.0, 0.0, 5.0, None), (1.0, 1.0, None, None)], "lat double, lon double, ts double, accuracy_m double")
     assert [r.reject for r in normalize.gps_fixes(g, "s").collect()] == [None, "no place", "no time"]
+
+
+def test_thinning_covers_every_subject(spark, data):
+    rows = sorted(map(tuple, bindings.observations(spark, data).select("subject", "ts", "id", "lat", "lon").collect()))
+    want, last = [], {}
+    for subject, _, i, lat, lon in rows:
+        if subject not in last or math.hypot(lat - last[subject][0], lon - last[subject][1]) * 111000 >= 5000:
+            last[subject] = lat, lon
+            want.append((i, subject))
+    assert sorted(map(tuple, catalog.QUERIES["gps_thin_all"](spark, data).collect())) == sorted(want) and {r[0] for r in rows} == {x for _, x in want}
+    assert "subject <" not in catalog.ORACLES["entity_set_equality_all"]
