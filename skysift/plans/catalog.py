@@ -387,8 +387,9 @@ _VIEWS = """vw AS (SELECT subject AS key, list_sort(list(DISTINCT k)) AS ssids,
 ex AS (SELECT key, unnest(ssids) AS f FROM vw), pr AS (SELECT a.key AS key_a, b.key AS key_b, count(*) AS shared FROM ex a JOIN ex b ON a.f = b.f AND a.key < b.key GROUP BY ALL)"""
 
 
-def _views(spark, d):
-    return identity.views(observations(spark, d).where("id % 7 < 2").withColumn("tag", F.col("k") % 8), "subject", "k", "tag")
+def _views(spark, d, rows="id % 7 < 2"):
+    """Identities of two sevenths of the rows, as in the oracles' _VIEWS; the queries named ..._all pass every row."""
+    return identity.views(observations(spark, d).where(rows).withColumn("tag", F.col("k") % 8), "subject", "k", "tag")
 
 
 @query(f"+ {_VIEWS} SELECT * FROM pr WHERE shared >= 5")
@@ -396,6 +397,11 @@ def fingerprint_pairs(spark, d):
     return identity.candidate_pairs(_views(spark, d)).where("shared >= 5")
 
 
+@query(ORACLES["fingerprint_pairs"].replace(" WHERE id % 7 < 2", ""), obs=False)
+def fingerprint_pairs_all(spark, d):
+    return identity.candidate_pairs(_views(spark, d, "true")).where("shared >= 5")
+
+
 _LINK = f"""{_VIEWS}, j AS (SELECT pr.*, a.ssids AS sa, b.ssids AS sb, a.tags AS ta, b.tags AS tb, a.first_ts AS fa, b.first_ts AS fb, a.last_ts AS la, b.last_ts AS lb, a.n AS na, b.n AS nb FROM pr JOIN vw a ON a.key = key_a JOIN vw b ON b.key = key_b),
 sc AS (SELECT *, greatest(fa, fb) - least(la, lb) <= 30 AS together,
  0.45::DOUBLE * (len(list_intersect(sa, sb)) / len(list_distinct(sa || sb))) + CASE WHEN shared >= 2 THEN 0.06::DOUBLE * least(shared - 1, 5) ELSE 0 END + 0.25::DOUBLE * (len(list_intersect(ta, tb)) / len(list_distinct(ta || tb)))
@@ -411,6 +417,12 @@ def link_score(spark, d):
     return identity.link_scores(v, identity.candidate_pairs(v))
 
 
+@query(ORACLES["link_score"].replace(" WHERE id % 7 < 2", ""), obs=False)
+def link_score_all(spark, d):
+    v = _views(spark, d, "true")
+    return identity.link_scores(v, identity.candidate_pairs(v))
+
+
 @query("""+ f AS (SELECT subject AS key_a, k AS key_b, id AS seq, value AS confidence, CASE WHEN kind = 'signup' AND id % 10 = 0 THEN 'rejected' WHEN value > 60 THEN 'linked' ELSE 'candidate' END AS status FROM obs)
 SELECT key_a, key_b, count(*) AS n, min(seq) AS created_seq, CASE WHEN bool_or(status = 'rejected') THEN 0.0::DOUBLE ELSE max(confidence) END AS confidence, CASE WHEN bool_or(status = 'rejected') THEN 'rejected' ELSE arg_max(status, (confidence, seq)) END AS status FROM f GROUP BY ALL""")
 def hypothesis_merge(spark, d):
@@ -829,7 +841,16 @@ def attach_obs_ids(spark, d):
 
 @query(f"""+ {_VIEWS} SELECT key_a, key_b, round(len(list_intersect(a.ssids, b.ssids)) / len(list_distinct(a.ssids || b.ssids)), 6) AS jaccard FROM pr JOIN vw a ON a.key = key_a JOIN vw b ON b.key = key_b WHERE shared >= 3""")
 def ssid_jaccard(spark, d):
-    v = _views(spark, d).select("key", "ssids")
+    return _jaccards(_views(spark, d))
+
+
+@query(ORACLES["ssid_jaccard"].replace(" WHERE id % 7 < 2", ""), obs=False)
+def ssid_jaccard_all(spark, d):
+    return _jaccards(_views(spark, d, "true"))
+
+
+def _jaccards(v):
+    v = v.select("key", "ssids")
     p = identity.candidate_pairs(v).where("shared >= 3")
     a, b = v.select(F.col("key").alias("key_a"), F.col("ssids").alias("sa")), v.select(F.col("key").alias("key_b"), F.col("ssids").alias("sb"))
     return p.join(a, "key_a").join(b, "key_b").select("key_a", "key_b", F.round(C.jaccard("sa", "sb"), 6).alias("jaccard"))
@@ -874,7 +895,15 @@ def attack_obs_ids(spark, d):
 @query(f"""+ {_LINK}, ro AS (SELECT unnest(range(0, 12)) AS key) SELECT a.key AS key_a, b.key AS key_b, confidence FROM ro a JOIN ro b ON a.key < b.key JOIN ls ON key_a = a.key AND key_b = b.key WHERE together OR confidence >= 0.3""")
 def roster_links(spark, d):
     """Standing hypotheses between all pairs of a roster."""
-    v = _views(spark, d)
+    return _roster(spark, _views(spark, d))
+
+
+@query(ORACLES["roster_links"].replace(" WHERE id % 7 < 2", ""), obs=False)
+def roster_links_all(spark, d):
+    return _roster(spark, _views(spark, d, "true"))
+
+
+def _roster(spark, v):
     h = identity.link_scores(v, identity.candidate_pairs(v))
     roster = spark.range(12)
     return h.join(roster, h.key_a == roster.id, "left_semi").join(roster, h.key_b == roster.id, "left_semi").select("key_a", "key_b", "confidence")
