@@ -247,7 +247,17 @@ def ble_tracker_score(spark, d):
 
 @query(f"""+ p AS (SELECT DISTINCT k, lat, lon FROM obs WHERE id % 5 = 0) SELECT a.k AS k_a, b.k AS k_b, round({_DIST.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')}, 3) AS metres FROM p a JOIN p b ON a.k + 1 = b.k""")
 def haversine_pairs(spark, d):
-    p = observations(spark, d).where("id % 5 = 0").select("k", "lat", "lon").distinct()
+    """Between a fifth of the positions; haversine_pairs_all has every position."""
+    return _neighbours(observations(spark, d).where("id % 5 = 0"))
+
+
+@query(ORACLES["haversine_pairs"].replace(" WHERE id % 5 = 0", ""), obs=False)
+def haversine_pairs_all(spark, d):
+    return _neighbours(observations(spark, d))
+
+
+def _neighbours(o):
+    p = o.select("k", "lat", "lon").distinct()
     q = p.select(F.col("k").alias("k_b"), (F.col("k") - 1).alias("k_a"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     return p.withColumnRenamed("k", "k_a").join(q, "k_a").select("k_a", "k_b", F.round(C.haversine("lat", "lon", "lat_b", "lon_b"), 3).alias("metres"))
 
@@ -257,6 +267,11 @@ def stable_place_id(spark, d):
     return observations(spark, d).where("id % 5 = 0").select("k", C.place_id("lat", "lon").alias("place_id")).distinct()
 
 
+@query(ORACLES["stable_place_id"].replace(" WHERE id % 5 = 0", ""), obs=False)
+def stable_place_id_all(spark, d):
+    return observations(spark, d).select("k", C.place_id("lat", "lon").alias("place_id")).distinct()
+
+
 def _clustered(spark, d):
     o = observations(spark, d)
     return geo.assign_clusters(o.select("subject", "ts", "lat", "lon", "id", "k"))
@@ -442,9 +457,10 @@ def relink_incidents(spark, d):
 # ---- fusion and incidents ---------------------------------------------------------------------------------------------------------------------------------------
 
 
-def _evidence(spark, d):
+def _evidence(spark, d, rows="id % 9 = 0"):
+    """Evidence of a ninth of the rows, as in the oracles' _EV; the queries named ..._all pass every row."""
     kinds = F.array(*(F.lit(k) for k in list(incidents.WEIGHTS)[:8]))
-    o = observations(spark, d).where("id % 9 = 0").select("subject", F.get(kinds, F.col("k") % 8).alias("kind"), F.lpad(F.col("id").cast("string"), 12, "0").alias("detail"), (F.col("k") % 10 == 9).alias("contra"))
+    o = observations(spark, d).where(rows).select("subject", F.get(kinds, F.col("k") % 8).alias("kind"), F.lpad(F.col("id").cast("string"), 12, "0").alias("detail"), (F.col("k") % 10 == 9).alias("contra"))
     return incidents.weigh(o.withColumn("kind", F.when(F.col("contra"), "density").otherwise(F.col("kind"))))
 
 
@@ -461,9 +477,23 @@ def fuse_by_subject(spark, d):
     return incidents.fuse_by(_evidence(spark, d), ["subject"])
 
 
+@query(ORACLES["fuse_by_subject"].replace(" WHERE id % 9 = 0", ""), obs=False)
+def fuse_by_subject_all(spark, d):
+    return incidents.fuse_by(_evidence(spark, d, "true"), ["subject"])
+
+
 @query(f"+ {_EV} SELECT CASE WHEN confidence >= 0.6 AND may_alert THEN 'alert' WHEN confidence >= 0.3 THEN 'watch' ELSE 'info' END AS level, count(*) AS n FROM fz GROUP BY 1")
 def alert_gate(spark, d):
-    f = incidents.fuse_by(_evidence(spark, d), ["subject"])
+    return _gated(_evidence(spark, d))
+
+
+@query(ORACLES["alert_gate"].replace(" WHERE id % 9 = 0", ""), obs=False)
+def alert_gate_all(spark, d):
+    return _gated(_evidence(spark, d, "true"))
+
+
+def _gated(evidence):
+    f = incidents.fuse_by(evidence, ["subject"])
     return f.groupBy(incidents.gated("confidence", "may_alert").alias("level")).agg(F.count("*").alias("n"))
 
 
@@ -472,6 +502,11 @@ def weight_assignment(spark, d):
     return _evidence(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("weight"))
 
 
+@query(ORACLES["weight_assignment"].replace(" WHERE id % 9 = 0", ""), obs=False)
+def weight_assignment_all(spark, d):
+    return _evidence(spark, d, "true").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("weight"))
+
+
 @query("""SELECT l_orderkey, round(1 - list_reduce(list(1 - l_discount ORDER BY l_linenumber), lambda a, b: a * b) - 1e-9::DOUBLE, 6) AS confidence FROM lineitem GROUP BY l_orderkey""", obs=False)
 def fuse_evidence(spark, d):
     """Discounts as weights of evidence on orders."""

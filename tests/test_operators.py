@@ -193,3 +193,11 @@ def test_pairs_of_all_observations(spark, data):
         seen.setdefault(r.subject, set()).add(r.k)
     want = {(a, b, len(seen[a] & seen[b])) for a in seen for b in seen if a < b and len(seen[a] & seen[b]) >= 5}
     assert {(r.key_a, r.key_b, r.shared) for r in catalog.QUERIES[names[0]](spark, data).collect()} == want
+
+
+def test_evidence_and_positions_of_all_observations(spark, data):
+    names = ["fuse_by_subject_all", "alert_gate_all", "weight_assignment_all", "haversine_pairs_all", "stable_place_id_all"]
+    assert not any("id % 9" in catalog.ORACLES[n] or "id % 5 =" in catalog.ORACLES[n] for n in names)
+    o = bindings.observations(spark, data)
+    assert sum(r.n for r in catalog.QUERIES["weight_assignment_all"](spark, data).collect()) == o.count()
+    assert catalog.QUERIES["stable_place_id_all"](spark, data).count() == o.select("k", "lat", "lon").distinct().count()
