@@ -655,8 +655,18 @@ def incident_detail_nested(spark, d):
 
 @query(f"SELECT floor(ts / {DAY})::BIGINT AS cycle_id, max(ts) AS clock_ts, count(*) AS n, array_to_string(list(id::VARCHAR ORDER BY ts, id)[1:20], ',') AS first_rows FROM obs GROUP BY 1")
 def scenario_export_cycles(spark, d):
+    """The first rows of each cycle; scenario_export_cycles_all has every row."""
+    return _cycles(spark, d, "first_rows", lambda r: F.slice(r, 1, 20))
+
+
+@query(ORACLES["scenario_export_cycles"].replace("[1:20]", "").replace("first_rows", "row_ids"), obs=False)
+def scenario_export_cycles_all(spark, d):
+    return _cycles(spark, d, "row_ids", F.col)
+
+
+def _cycles(spark, d, name, part):
     g = observations(spark, d).groupBy(F.floor(F.col("ts") / DAY).cast("long").alias("cycle_id")).agg(F.max("ts").alias("clock_ts"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("r"))
-    return g.select("cycle_id", "clock_ts", "n", F.array_join(F.transform(F.slice("r", 1, 20), lambda x: x["id"].cast("string")), ",").alias("first_rows"))
+    return g.select("cycle_id", "clock_ts", "n", F.array_join(F.transform(part("r"), lambda x: x["id"].cast("string")), ",").alias(name))
 
 
 @query(f"SELECT subject, (min(floor(ts / {DAY})) FILTER (kind = 'error'))::BIGINT AS first_cycle, (min(floor(ts / {DAY})) FILTER (kind = 'error') - min(floor(ts / {DAY})))::BIGINT AS latency FROM obs GROUP BY subject")

@@ -201,3 +201,8 @@ def test_evidence_and_positions_of_all_observations(spark, data):
     o = bindings.observations(spark, data)
     assert sum(r.n for r in catalog.QUERIES["weight_assignment_all"](spark, data).collect()) == o.count()
     assert catalog.QUERIES["stable_place_id_all"](spark, data).count() == o.select("k", "lat", "lon").distinct().count()
+
+
+def test_export_has_every_row(spark, data):
+    got = [int(i) for r in catalog.QUERIES["scenario_export_cycles_all"](spark, data).collect() for i in r.row_ids.split(",")]
+    assert sorted(got) == sorted(r.id for r in bindings.observations(spark, data).select("id").collect())
