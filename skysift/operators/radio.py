@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skysift.functions.columns import encryption_matches
+
 
 def attacks(events: DataFrame, now: float, window: float = 1800.0, least: int = 5) -> DataFrame:
     """(target, source, n, first_ts, last_ts, channels) of the pairs with enough frames in the attack window."""
@@ -35,12 +37,22 @@ def new_radios(sightings: DataFrame) -> DataFrame:
 
 
 def trusted_check(sightings: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(ssid, bssid, n, verdict): radios of trusted networks, known or not. trusted: (ssid, bssid)."""
-    seen = sightings.groupBy("ssid", "bssid").agg(F.count("*").alias("n"))
+    """(ssid, bssid, n, verdict): radios of trusted networks; CRITICAL if not known, MEDIUM if known but once seen with other encryption or another channel.
+
+    trusted: (ssid, bssid), a row for each radio. encryption and channel are compared where both tables have them; null, empty or 0 is unknown."""
+    traits = [c for c in ("encryption", "channel") if c in sightings.columns and c in trusted.columns]
+    seen = sightings.groupBy("ssid", "bssid", *traits).agg(F.count("*").alias("n"))
     nets = trusted.select("ssid").distinct()
-    known = trusted.select("ssid", "bssid", F.lit(True).alias("known"))
-    v = F.when(F.col("known"), "trusted").otherwise("CRITICAL")
-    return seen.join(nets, "ssid").join(known, ["ssid", "bssid"], "left").select("ssid", "bssid", "n", v.alias("verdict"))
+    known = trusted.select("ssid", "bssid", *(F.col(c).alias(f"_{c}") for c in traits), F.lit(True).alias("known"))
+    differs = {
+        "encryption": lambda: (F.col("_encryption") != "") & (F.col("encryption") != "") & ~encryption_matches("_encryption", "encryption"),
+        "channel": lambda: (F.col("_channel") != 0) & (F.col("channel") != 0) & (F.col("_channel") != F.col("channel")),
+    }
+    changed = F.lit(False)
+    for c in traits:
+        changed = changed | F.coalesce(differs[c](), F.lit(False))
+    v = F.when(F.bool_or(changed) & F.bool_or("known"), "MEDIUM").when(F.bool_or("known"), "trusted").otherwise("CRITICAL")
+    return seen.join(nets, "ssid").join(known, ["ssid", "bssid"], "left").groupBy("ssid", "bssid").agg(F.sum("n").alias("n"), v.alias("verdict"))
 
 
 def interference(rows: DataFrame) -> DataFrame:

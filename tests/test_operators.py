@@ -117,6 +117,26 @@ def test_link_rules(spark):
     assert ("a", "d") not in got
 
 
+def test_link_score_with_places(spark):
+    """Half of a's places lie at b's one, and all of b's at a's: 0.10 * 0.75 more than without places."""
+    rows = [("a", "x", 1, 0.0, 33.4, -112.0), ("a", "x", 1, 100.0, 33.5, -112.0), ("b", "x", 1, 5000.0, 33.4003, -112.0), ("b", "x", 1, 5100.0, None, -112.0), ("c", "x", 1, 9000.0, None, None)]
+    o = spark.createDataFrame(rows, "key string, ssid string, tag int, ts double, lat double, lon double")
+    got = []
+    for located in (False, True):
+        v = identity.views(o, "key", "ssid", "tag", located)
+        got.append({(r.key_a, r.key_b): r.confidence for r in identity.link_scores(v, identity.candidate_pairs(v)).collect()})
+    assert got[1] == pytest.approx({**got[0], ("a", "b"): got[0]["a", "b"] + 0.075}, abs=1e-6)
+
+
+def test_trusted_radio_with_changed_traits(spark):
+    trusted = spark.createDataFrame([("n", b, "WPA2-PSK", 6) for b in range(5)], "ssid string, bssid long, encryption string, channel int")
+    seen = [("n", 0, "WPA2", 6), ("n", 0, None, None), ("n", 1, "WPA2-PSK", 6), ("n", 1, "OPEN", 6), ("n", 2, "WPA2-PSK", 11), ("n", 3, "", 0), ("n", 9, "WPA2-PSK", 6), ("m", 1, "OPEN", 1)]
+    s = spark.createDataFrame(seen, "ssid string, bssid long, encryption string, channel int")
+    want = {0: (2, "trusted"), 1: (2, "MEDIUM"), 2: (1, "MEDIUM"), 3: (1, "trusted"), 9: (1, "CRITICAL")}
+    assert {r.bssid: (r.n, r.verdict) for r in radio.trusted_check(s, trusted).collect()} == want
+    assert {r.bssid: r.verdict for r in radio.trusted_check(s, trusted.select("ssid", "bssid")).collect()} == {b: "CRITICAL" if b == 9 else "trusted" for b in want}
+
+
 def test_hypothesis_rejection_sticks(spark):
     f = spark.createDataFrame([("a", "b", 1, 0.9, "linked"), ("a", "b", 2, 0.0, "rejected"), ("a", "b", 3, 0.95, "linked"), ("c", "d", 1, 0.5, "candidate"), ("c", "d", 2, 0.5, "linked"), ("c", "d", 3, 0.4, "candidate")], "key_a string, key_b string, seq long, confidence double, status string")
     got = {r.key_a: (r.confidence, r.status) for r in identity.merge_hypotheses(f).collect()}
