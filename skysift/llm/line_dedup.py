@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skysift.llm import near
 from skysift.llm.storage import materialize
-from skysift.llm.textkit import IS_SPACE, MinHasher, char_shingles, chunks, utf8_buffers
+from skysift.llm.textkit import IS_SPACE, MinHasher, char_hashes, char_shingles, chunks, utf8_buffers
 
 #: Runs of 2**3 code points; two lines are the same if the Jaccard similarity of their sets is at least 0.8.
 DOUBLINGS = 3
@@ -21,67 +21,68 @@ THRESHOLD = 0.8
 LEAST_CHARS = 1
 ROWS, BANDS = 4, 12
 HASHER = MinHasher(ROWS * BANDS, seed=10)
+#: Bytes of text whose lines are hashed at a time: what the processor's cache holds.
+CHUNK = 256 << 10
+#: Line numbers that may be broadcast.
+BROADCAST_LINES = 1_000_000
 
 
 def _lines(data: np.ndarray, starts: np.ndarray, least: int):
-    """Of the lines with a word and `least` code points or more: their text, line number in it, byte span and code-point span; and all code points."""
+    """Of the lines with a word and `least` code points or more: all text and code points, each line's text, number in it, byte span and code-point span."""
     text = data.tobytes()
-    points = np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32)
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    breaks = np.flatnonzero(data == 10)
-    begin = np.concatenate([starts[:-1], breaks + 1])
-    end = np.concatenate([starts[1:], breaks])
+    begin, end = np.concatenate([starts[:-1], np.flatnonzero(data == 10) + 1]), np.concatenate([starts[1:], np.flatnonzero(data == 10)])
     begin, end = np.sort(begin), np.sort(end)
     doc = np.minimum(np.searchsorted(starts, begin, "right") - 1, len(starts) - 2)
     # empty lines of texts before may begin where a text does; its own first line is the last of those, and they have no word
     first = np.searchsorted(begin, starts[:-1], "right") - 1
     number = np.arange(len(begin)) - first[doc]
-    a, b = lead[begin], lead[end]
-    solid = np.concatenate([[0], np.cumsum(~IS_SPACE[data])])
+    solid = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~IS_SPACE[data], out=solid[1:])
+    if (data < 0x80).all():
+        points, a, b = data, begin, end
+    else:
+        points = np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32)
+        lead = np.zeros(len(data) + 1, np.int32)
+        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+        a, b = lead[begin].astype(np.int64), lead[end].astype(np.int64)
     keep = (b - a >= least) & (solid[end] > solid[begin])
     return text, points, doc[keep], number[keep], begin[keep], end[keep], a[keep], b[keep]
 
 
-def _line_rows(data, starts, least):
-    text, points, doc, number, begin, end, a, b = _lines(data, starts, least)
-    ids = [xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist())]
-    return text, points, doc, number, begin, end, a, b, ids
+def _occurrences(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, row_hash, text in; a row for each line out: doc_id, row_hash, line, id, node, bytes, and the line's band keys.
 
-
-def _bands(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Lines with at least one run; shorter ones have no set to compare and are matched exactly only."""
-    least = max(least, 1 << DOUBLINGS)
+    keys is null for lines without a run, which have no set to compare, and where the same line stands before in this piece of the batch."""
+    runs = max(least, 1 << DOUBLINGS)
     for batch in batches:
-        data, starts = utf8_buffers(batch.column(0))
-        nodes, keys = [], []
-        for lo, hi in chunks(starts):
-            _, points, _, _, _, _, a, b, ids = _line_rows(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], least)
-            if not ids:
+        data, starts = utf8_buffers(batch.column("text"))
+        for lo, hi in chunks(starts, CHUNK):
+            text, points, doc, number, begin, end, a, b = _lines(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], least)
+            if not len(doc):
                 continue
-            new = np.unique(np.frombuffer(b"".join(x[:8] for x in ids), np.int64), return_index=True)
-            a, b = a[new[1]], b[new[1]]
-            shingles, ends = char_shingles(points, a, b, DOUBLINGS)
-            nodes.append(new[0])
-            keys.append(MinHasher.band_keys(HASHER.signatures(shingles, ends)))
-        if nodes:
-            yield near.band_batch(np.concatenate(nodes), np.concatenate(keys))
+            ids = [xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist())]
+            nodes = np.frombuffer(b"".join(x[:8] for x in ids), np.int64)
+            new = np.unique(nodes, return_index=True)[1]
+            new = np.sort(new[(b - a)[new] >= runs])
+            keys = np.ascontiguousarray(MinHasher.band_keys(HASHER.signatures(*char_hashes(points, a[new], b[new], DOUBLINGS))))
+            sizes = np.zeros(len(ids), np.int32)
+            sizes[new] = 8 * BANDS
+            valid = np.packbits(sizes > 0, bitorder="little")
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(ids), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets), pa.py_buffer(keys)])
+            at = pa.array(doc + lo)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(number.astype(np.int32)), pa.array(ids, pa.binary()), pa.array(nodes), pa.array(end - begin), column],
+                names=["doc_id", "row_hash", "line", "id", "node", "bytes", "keys"],
+            )
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], least: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each line; columns doc_id, row_hash, text in, doc_id, row_hash, line, id, node (and line_text) out."""
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, keys -> rows for near.candidate_groups."""
     for batch in batches:
-        data, starts = utf8_buffers(batch.column("text"))
-        for lo, hi in chunks(starts):
-            text, _, doc, number, begin, end, _, _, ids = _line_rows(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], least)
-            if not ids:
-                continue
-            at = pa.array(doc + lo)
-            columns = [batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(number.astype(np.int32)), pa.array(ids, pa.binary()), pa.array(np.frombuffer(b"".join(x[:8] for x in ids), np.int64))]
-            names = ["doc_id", "row_hash", "line", "id", "node"]
-            if with_text:
-                columns.append(pa.array([text[i:j] for i, j in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string()))
-                names.append("line_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        if batch.num_rows:
+            keys = np.frombuffer(utf8_buffers(batch.column(1))[0].tobytes(), np.int64).reshape(batch.num_rows, BANDS)
+            yield near.band_batch(batch.column(0).to_numpy(), keys)
 
 
 def _line_shingles(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -91,26 +92,36 @@ def _line_shingles(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return char_shingles(points, at[:-1], at[1:], DOUBLINGS)
 
 
+def _line_texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidates (id, grp, bytes, first) -> members with line_text, read from the documents that hold their first places only; repeated rows repeat."""
+    wanted = candidates.groupBy(F.col("first.doc_id").alias("at_doc"), F.col("first.row_hash").alias("at_hash")).agg(F.collect_list(F.struct("id", "grp", "first.line")).alias("wanted"))
+    few = candidates.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES // 4
+    wanted = F.broadcast(wanted) if few else wanted
+    d = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["at_doc"]) & (docs["row_hash"] == wanted["at_hash"]))
+    # transform over a one-element array binds the lines to a variable, so that a text is split once
+    member = lambda parts: F.transform("wanted", lambda w: F.struct(w["id"], w["grp"], F.get(parts, w["line"]).alias("line_text")))
+    found = d.select(F.explode(F.element_at(F.transform(F.array(F.split("text", "\n", -1)), member), 1)).alias("m"))
+    return found.select("m.id", "m.grp", "m.line_text", F.lit(1).cast("long").alias("copies"))
+
+
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, row_hash, text) -> (doc_id, row_hash, line): the lines that repeat an earlier one, fuzzily or exactly.
 
-    Of each component of similar lines the first by (doc_id, row_hash, line number) stays, null doc_ids first."""
+    Of each component of similar lines the first by (doc_id, row_hash, line number) stays, null doc_ids first. The texts are split and hashed once; what
+    follows reads the table of lines, and the texts of documents that hold a candidate."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    bands = docs.select("text").mapInArrow(lambda it: _bands(it, least_chars), near.BAND_SCHEMA)
-    groups = near.candidate_groups(bands)
-    schema = f"doc_id {id_type}, row_hash long, line int, id binary, node long"
-    lines = materialize(docs.select("doc_id", "row_hash", "text").mapInArrow(lambda it: _occurrences(it, least_chars, False), schema), "lines")
+    schema = f"doc_id {id_type}, row_hash long, line int, id binary, node long, bytes long, keys binary"
+    lines = materialize(docs.select("doc_id", "row_hash", "text").mapInArrow(lambda it: _occurrences(it, least_chars), schema), "lines")
+    groups = near.candidate_groups(lines.where("keys is not null").select("node", "keys").mapInArrow(_bands, near.BAND_SCHEMA))
     place = F.struct("doc_id", "row_hash", "line")
-    texts = docs.select("doc_id", "row_hash", "text").mapInArrow(lambda it: _occurrences(it, least_chars, True), f"{schema}, line_text string")
-    members = texts.join(near.small_side(groups), "node").groupBy("id").agg(
-        *(F.first(c).alias(c) for c in ("grp", "n_blocks", "block", "line_text")), F.lit(1).cast("long").alias("copies")
-    )
-    roots, _ = near.verified(members, near.verifier(_line_shingles, threshold))
+    held = lines.drop("keys").join(near.small_side(groups), "node")
+    candidates = materialize(held.groupBy("id").agg(F.first("grp").alias("grp"), F.first("bytes").alias("bytes"), F.min(place).alias("first")), "candidates")
+    roots, _ = near.verified(_line_texts(docs, candidates), candidates, near.verifier(_line_shingles, threshold), False)
     exact = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     exact = materialize(exact.join(roots, "id", "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "first"), "repeated")
     keepers = exact.groupBy("root").agg(F.min("first").alias("keep"))
-    exact = exact.join(keepers, "root").select("id", "keep")
-    return lines.join(exact, "id").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "row_hash", "line")
+    exact = near.small_side(materialize(exact.join(keepers, "root").select("id", "keep"), "keepers"))
+    return lines.select("doc_id", "row_hash", "line", "id").join(exact, "id").where(~place.eqNullSafe(F.col("keep"))).select("doc_id", "row_hash", "line")
 
 
 def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: float = THRESHOLD) -> DataFrame:
@@ -119,17 +130,19 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: float = TH
     Lines are split at \\n. Lines without a word always stay, and any under `least_chars` code points. Two lines are similar if they are equal or if the
     Jaccard similarity of their sets of eight-character runs is at least `threshold` (lines under eight characters have no runs); one line of each connected component stays, the first by (doc_id, text hash, line number).
     Rows that agree in doc_id and text are one document: all copies keep the same lines. A null or empty text is unchanged and has no lines to remove.
-    Columns named n_lines or n_removed are replaced; other extra columns pass through."""
+    An empty table gives an empty one. Columns named n_lines or n_removed are replaced; other extra columns pass through; names that begin with __sky are reserved."""
     row = docs.drop("n_lines", "n_removed").withColumn("__sky_row", F.xxhash64("text"))
     slim = row.select("doc_id", F.col("__sky_row").alias("row_hash"), "text")
     gone = materialize(dropped_lines(slim, least_chars, threshold).groupBy("doc_id", "row_hash").agg(F.collect_set("line").alias("__sky_gone")), "gone")
-    gone = near.small_side(gone.select(F.col("doc_id").alias("__sky_gone_doc"), F.col("row_hash").alias("__sky_gone_hash"), "__sky_gone"))
+    gone = gone.select(F.col("doc_id").alias("__sky_gone_doc"), F.col("row_hash").alias("__sky_gone_hash"), "__sky_gone")
+    sizes = gone.agg(F.count("*") + F.sum(F.size("__sky_gone"))).first()[0] or 0
+    gone = F.broadcast(gone) if sizes <= BROADCAST_LINES else gone
     joined = row.join(gone, row["doc_id"].eqNullSafe(gone["__sky_gone_doc"]) & (row["__sky_row"] == gone["__sky_gone_hash"]), "left")
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__sky_gone", i)), "\n")
     return joined.select(
         *(F.when(F.col("__sky_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else row[c] for c in row.columns if c != "__sky_row"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("__sky_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 

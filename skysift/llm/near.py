@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.graph import components
+from skysift.llm.graph import components, roots_of
 from skysift.llm.storage import materialize
-from skysift.llm.textkit import runs
+from skysift.llm.textkit import changes, utf8_buffers, whole_runs
 
-#: Nodes of a group that one kernel call compares with as many others.
-BLOCK = 256
+#: Nodes of a group, and their text, that one kernel call compares with as many others.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Groups of so many nodes are judged together; a place has four bits of a key.
+SMALL = 8
 #: A side is broadcast only if it has at most so many rows of a few numbers each; beyond that Spark shuffles both.
 BROADCAST_ROWS = 400_000
 
@@ -74,19 +76,20 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_groups(bands: DataFrame) -> DataFrame:
-    """bands (key, node, edge) -> (node, grp, n_blocks, block): groups of two nodes or more, cut into blocks."""
+    """bands (key, node, edge) -> (node, grp): groups of two nodes or more."""
     edges = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a long, b long")
-    groups = components(edges).withColumnRenamed("root", "grp")
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    return materialize(
-        groups.join(sizes, "grp").select("node", "grp", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int").alias("block")), "groups"
-    )
+    return materialize(components(edges).withColumnRenamed("root", "grp"), "groups")
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """A row of members (grp, n_blocks, block, ...) for each pair of blocks that it takes part in."""
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    return members.withColumn("_other", other).withColumns({"bi": F.least("block", "_other"), "bj": F.greatest("block", "_other")}).drop("_other")
+def block_pairs(members: DataFrame, slim: DataFrame) -> DataFrame:
+    """members (grp, id, ...), slim (grp, bytes) with a row for each -> a row (grp, bi, bj, block, id, ...) for each pair of blocks of its group that a
+    member takes part in. A block has about BLOCK members, and BLOCK_BYTES of text."""
+    sizes = slim.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    sizes = small_side(materialize(sizes.where("n_blocks > 1"), "sizes"))
+    m = members.join(sizes, "grp", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    m = m.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks").cast("long")).cast("int"))
+    m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return m.withColumns({"bi": F.least("block", "_other"), "bj": F.greatest("block", "_other")}).drop("_other", "n_blocks")
 
 
 def intersections(shingles: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +113,7 @@ def intersections(shingles: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
     keep = shared[column] if len(column) else np.zeros(0, bool)
     column, d = (np.cumsum(shared) - 1)[column[keep]] if keep.any() else np.zeros(0, np.int64), d[keep]
     out = np.zeros((n, n))
-    width = 16384
+    width = 8192
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         i, j = np.searchsorted(column, [at, at + width])
         m = np.zeros((n, min(width, int(column[-1]) + 1 - at)), np.float32)
@@ -120,95 +123,114 @@ def intersections(shingles: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
     return sizes, out
 
 
-def local_roots(n: int, adjacent: np.ndarray) -> np.ndarray:
-    """The first node of each node's component in a small dense graph."""
-    root = np.full(n, -1)
-    for i in range(n):
-        if root[i] >= 0:
-            continue
-        root[i] = i
-        reach = [i]
-        while reach:
-            near = adjacent[reach].any(axis=0) & (root < 0)
-            reach = np.flatnonzero(near).tolist()
-            root[reach] = i
-    return root
-
-
 VERIFIED_SCHEMA = "id binary, root binary, links long"
-
-
-def verifier(
-    shingle: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    threshold: float,
-    prune: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray] | None = None,
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A kernel over rows (grp, bi, bj, block, id, copies, ...) sorted by (grp, bi, bj).
-
-    Per id and block pair: the first id of its component there, and the documents linked to it (partners' copies)."""
-
-    def one(table: pa.Table) -> tuple[list, list, list] | None:
-        ids = table.column("id").to_pylist()
-        if len(set(ids)) < len(ids):
-            seen: dict = {}
-            for at, i in enumerate(ids):
-                seen.setdefault(i, at)
-            table = table.take(list(seen.values()))
-            ids = list(seen)
-        n = len(ids)
-        if n < 2:
-            return None
-        i, j = np.triu_indices(n, 1)
-        if table.column("bi")[0].as_py() != table.column("bj")[0].as_py():
-            block = table.column("block").to_numpy()
-            cross = block[i] != block[j]
-            i, j = i[cross], j[cross]
-        if prune is not None:
-            left = prune(table, i, j)
+Shingler = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
+Pruner = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _all_pairs(size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j), i < j, of all pairs inside groups of consecutive rows."""
+    row = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    after = np.repeat(start + size, size) - row - 1
+    i = np.repeat(row, after)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def _common(shingles: np.ndarray, ends: np.ndarray, group: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the distinct shingle sets, and of the intersections of the pairs (i, j) inside small groups, by one sort over all of them.
+
+    A key has 12 bits of group, 48 of shingle and 4 of place."""
+    n = len(group)
+    row = np.repeat((group.astype(np.uint64) << np.uint64(52)) | place.astype(np.uint64), np.diff(ends))
+    key = np.sort(row | ((shingles >> np.uint64(16)) << np.uint64(4)))
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    base = np.zeros(int(group.max()) + 1, np.int64)
+    base[group[::-1]] = np.arange(n)[::-1]
+    owner = base[(key >> np.uint64(52)).astype(np.int64)] + (key & np.uint64(15)).astype(np.int64)
+    sizes = np.bincount(owner, minlength=n)
+    what = key >> np.uint64(4)
+    first = np.flatnonzero(np.concatenate([[True], what[1:] != what[:-1]])) if len(what) else np.zeros(0, np.int64)
+    run = np.diff(np.append(first, len(what)))
+    x, y = _all_pairs(run[run > 1], first[run > 1])
+    counts = np.bincount(owner[x] * SMALL + (owner[y] - owner[x]), minlength=n * SMALL)
+    return sizes, counts[i * SMALL + (j - i)]
+
+
+def verifier(shingle: Shingler, threshold: float, prune: Pruner | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A kernel over rows (grp, bi, bj, block, id, copies, ...) sorted by (grp, bi, bj, id).
+
+    Per id and block pair: the first id of its component there, and the documents linked to it (partners' copies). Small groups are judged many at a
+    time, large ones by matrix products, block against block."""
+
+    def similar(sizes: np.ndarray, i: np.ndarray, j: np.ndarray, inter: np.ndarray) -> np.ndarray:
+        return (inter > 0) & (inter >= threshold * (sizes[i] + sizes[j] - inter) - 1e-9)
+
+    def judged(table: pa.Table, start: np.ndarray, size: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Verified pairs of the groups at start."""
+        i, j = _all_pairs(size, start)
+        block = table.column("block").to_numpy()
+        across = (table.column("bi").to_numpy() != table.column("bj").to_numpy())[i]
+        left = np.flatnonzero(~across | (block[i] != block[j]))
+        i, j = i[left], j[left]
+        if prune is not None and len(i):
+            sig = utf8_buffers(table.column("sig"))[0].tobytes()
+            left = prune(np.frombuffer(sig, np.uint16).reshape(table.num_rows, -1), i, j)
             i, j = i[left], j[left]
-        if len(i) == 0:
-            return None
+        if not len(i):
+            return i, j
         used = np.unique(np.concatenate([i, j]))
-        sizes, common = intersections(*shingle(table.take(used)))
-        at = np.zeros(n, np.int64)
+        at = np.zeros(table.num_rows, np.int64)
         at[used] = np.arange(len(used))
+        shingles, ends = shingle(table.take(pa.array(used)))
         x, y = at[i], at[j]
-        inter = common[x, y]
-        yes = inter >= threshold * (sizes[x] + sizes[y] - inter) - 1e-9
-        yes &= inter > 0
-        i, j = i[yes], j[yes]
-        if len(i) == 0:
-            return None
-        copies = table.column("copies").to_numpy().astype(np.float64)
-        links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-        if n == 2:
-            root = np.zeros(2, np.int64)
+        if small:
+            group = np.repeat(np.arange(len(size)), size)
+            where = np.zeros(table.num_rows, np.int64)
+            where[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)] = group
+            g = where[used]
+            head = np.concatenate([[True], g[1:] != g[:-1]])
+            place = np.arange(len(g)) - np.maximum.accumulate(np.where(head, np.arange(len(g)), 0))
+            sizes, inter = _common(shingles, ends, np.cumsum(head) - 1, place, x, y)
         else:
-            adjacent = np.zeros((n, n), bool)
-            adjacent[i, j] = adjacent[j, i] = True
-            root = local_roots(n, adjacent)
+            sizes, common = intersections(shingles, ends)
+            inter = common[x, y]
+        yes = similar(sizes, x, y, inter)
+        return i[yes], j[yes]
+
+    def one(table: pa.Table, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = []
+        small = (size > 1) & (size <= SMALL)
+        for at in range(0, int(small.sum()), 4096):
+            found.append(judged(table, start[small][at : at + 4096], size[small][at : at + 4096], True))
+        for a, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            i, j = judged(table.slice(a, n), np.array([0]), np.array([n]), False)
+            found.append((i + a, j + a))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if not len(i):
+            return
+        copies = table.column("copies").to_numpy().astype(np.float64)
+        links = (np.bincount(i, copies[j], table.num_rows) + np.bincount(j, copies[i], table.num_rows)).astype(np.int64)
+        root = roots_of(table.num_rows, i, j)
         linked = np.flatnonzero(links > 0)
-        return [ids[k] for k in linked], [ids[root[k]] for k in linked], links[linked].astype(np.int64).tolist()
+        ids = table.column("id").combine_chunks()
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(linked)), ids.take(pa.array(root[linked])), pa.array(links[linked])], names=["id", "root", "links"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, c = [], [], []
-        for table in runs(batches, ["grp", "bi", "bj"]):
-            if (got := one(table)) is not None:
-                a += got[0]
-                b += got[1]
-                c += got[2]
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["id", "root", "links"])
-                a, b, c = [], [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["id", "root", "links"])
+        for table in whole_runs(batches, ["grp", "bi", "bj"], 4096, 2 << 20):
+            change = changes(table, ["grp", "bi", "bj"])
+            again = ~changes(table, ["grp", "bi", "bj", "id"])
+            if again.any():  # a repeated row of one id
+                table, change = table.filter(pa.array(~again)), change[~again]
+            start = np.flatnonzero(change)
+            yield from one(table.combine_chunks(), start, np.diff(np.append(start, table.num_rows)))
 
     return kernel
 
 
-def verified(members: DataFrame, kernel: Callable) -> tuple[DataFrame, DataFrame]:
-    """members (grp, n_blocks, block, id, copies, ...) -> (id, root) of verified components, and (id, links)."""
+def verified(members: DataFrame, slim: DataFrame, kernel: Callable, counted: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """members (grp, id, copies, ...), slim (grp, bytes) -> (id, root) of verified components, and (id, links) if they are counted."""
     keys = ["grp", "bi", "bj"]
-    found = materialize(block_pairs(members).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(kernel, VERIFIED_SCHEMA), "verified")
+    found = materialize(block_pairs(members, slim).repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(kernel, VERIFIED_SCHEMA), "verified")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-    return roots, found.groupBy("id").agg(F.sum("links").alias("links"))
+    return roots, found.groupBy("id").agg(F.sum("links").alias("links")) if counted else None

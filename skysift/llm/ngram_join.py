@@ -41,8 +41,7 @@ def least_matches(values: int, threshold: float, tolerance: float, step: int = S
 def bayesian_pruner(threshold: float, tolerance: float):
     gates = least_matches(ROWS * BANDS, threshold, tolerance)
 
-    def prune(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+    def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         left = np.arange(len(i))
         matches = np.zeros(len(i), np.int32)
         done = 0
@@ -69,8 +68,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = np.frombuffer(b"".join(x[:8] for x in ids), np.int64)
             empty = np.diff(firsts) == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(nodes), pa.array([s.tobytes() for s in signatures], pa.binary()), pa.array(empty)],
-                names=["doc_id", "row_hash", "id", "node", "sig", "empty"],
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(nodes), pa.array([s.tobytes() for s in signatures], pa.binary()), pa.array(empty), pa.array(np.diff(starts[lo : hi + 1]))],
+                names=["doc_id", "row_hash", "id", "node", "sig", "empty", "bytes"],
             )
 
 
@@ -96,19 +95,19 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     """(doc_id, row_hash, id) for each row, and (id, root, rep, n_links) for each distinct text; row_hash is of the text as it is."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     bare = docs.select("doc_id", "text")
-    signed = bare.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(_sign, f"doc_id {id_type}, row_hash long, id binary, node long, sig binary, empty boolean")
+    signed = bare.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(_sign, f"doc_id {id_type}, row_hash long, id binary, node long, sig binary, empty boolean, bytes long")
     signed = materialize(signed, "signed")
     classes = signed.groupBy("id").agg(
-        F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.count("*").alias("copies"), F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("empty").alias("empty")
+        F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("node", "sig", "empty", "bytes"))
     )
     classes = materialize(classes, "classes")
     bands = classes.where("not empty").select("node", "sig").mapInArrow(_bands, near.BAND_SCHEMA)
     groups = near.candidate_groups(bands)
-    members = materialize(classes.join(groups, "node").select("grp", "n_blocks", "block", "id", "rep", "copies", "sig"), "members")
+    members = materialize(classes.join(groups, "node").select("grp", "id", "rep", "copies", "sig", "bytes"), "members")
     named = near.small_side(members.select(F.col("rep.doc_id").alias("__sky_doc"), F.col("rep.row_hash").alias("__sky_hash"), "id"))
     texts = bare.join(named, bare["doc_id"].eqNullSafe(named["__sky_doc"]) & (F.xxhash64(bare["text"]) == named["__sky_hash"])).select("id", "text").dropDuplicates(["id"])
-    rows = members.drop("rep").join(texts, "id")
-    roots, links = near.verified(rows, near.verifier(_text_shingles, threshold, bayesian_pruner(threshold, tolerance)))
+    rows = members.drop("rep", "bytes").join(texts, "id")
+    roots, links = near.verified(rows, members, near.verifier(_text_shingles, threshold, bayesian_pruner(threshold, tolerance)))
     classes = classes.select("id", "rep", "copies").join(roots, "id", "left").join(links, "id", "left")
     n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     return signed.select("doc_id", "row_hash", "id"), materialize(classes.select("id", F.coalesce("root", "id").alias("root"), "rep", n_links), "linked")

@@ -13,15 +13,17 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset (local tests)."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a folder of our own if everything runs in this process (master local), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="skysift-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="skysift-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
+    return f"file://{_own[sc.applicationId]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -29,4 +31,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sky_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote and that no later plan reads."""
+    jvm, path = df.sparkSession._jvm, df._sky_path
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -19,6 +19,8 @@ WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 CHUNK_BYTES = 2 << 20
+#: Hashes whose minima are taken at a time.
+CACHED = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,24 +103,47 @@ def word_shingles(words: np.ndarray, firsts: np.ndarray, size: int = 5) -> tuple
     return mix(acc), ends
 
 
-def char_shingles(points: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, doublings: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of 2**doublings code points of the spans [first, last), and each span's first."""
-    size = 1 << doublings
-    h = points.astype(np.uint64) + np.uint64(0x1F123BB5)
+def _rolled(points: np.ndarray, doublings: int) -> np.ndarray:
+    """Polynomial hashes of all runs of 2**doublings code points, by doubling."""
+    h = points.astype(np.uint64)
+    h += np.uint64(0x1F123BB5)
     base = SHINGLE_BASE
     with np.errstate(over="ignore"):
         for d in range(doublings):
             step = 1 << d
             if len(h) <= step:
-                return np.zeros(0, np.uint64), np.zeros(len(firsts) + 1, np.int64)
-            h = h[:-step] * base + h[step:]
-            base = base * base
+                return np.zeros(0, np.uint64)
+            g = h[:-step] * base
+            g += h[step:]
+            h, base = g, base * base
+    return h
+
+
+def _places(firsts: np.ndarray, lasts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of `size` in the spans [first, last) begins, and each span's first run."""
     number = np.maximum(lasts - firsts - size + 1, 0)
     ends = np.concatenate([[0], np.cumsum(number)])
-    if ends[-1] == 0:
-        return np.zeros(0, np.uint64), ends
-    at = np.arange(int(ends[-1])) + np.repeat(firsts - ends[:-1], number)
-    return mix(h[at]), ends
+    return np.arange(int(ends[-1])) + np.repeat(firsts - ends[:-1], number), ends
+
+
+def char_shingles(points: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, doublings: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of 2**doublings code points of the spans [first, last), and each span's first."""
+    at, ends = _places(firsts, lasts, 1 << doublings)
+    return (mix(_rolled(points, doublings)[at]) if len(at) else np.zeros(0, np.uint64)), ends
+
+
+def char_hashes(points: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, doublings: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """As char_shingles, in 32 bits: enough for signatures."""
+    at, ends = _places(firsts, lasts, 1 << doublings)
+    if not len(at):
+        return np.zeros(0, np.uint32), ends
+    h = _rolled(points, doublings)
+    h *= WORD_BASE
+    x = (h >> np.uint64(32)).astype(np.uint32)[at]
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    return x, ends
 
 
 class MinHasher:
@@ -130,19 +155,24 @@ class MinHasher:
         self.a = r.integers(0, 2**32, values, dtype=np.uint32) | np.uint32(1)
         self.b = r.integers(0, 2**32, values, dtype=np.uint32)
 
-    def signatures(self, shingles: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One row for each set; rows of empty sets are zero."""
+    def signatures(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One row for each set; rows of empty sets are zero. Runs of sets that fit the processor's cache are hashed at a time."""
+        x = hashes if hashes.dtype == np.uint32 else (hashes >> np.uint64(32)).astype(np.uint32)
         out = np.zeros((len(ends) - 1, self.values), np.uint16)
         full = np.flatnonzero(np.diff(ends) > 0)
-        if len(full) == 0:
-            return out
-        at = ends[:-1][full]
-        x = (shingles >> np.uint64(32)).astype(np.uint32)
-        buffer = np.empty_like(x)
-        for i in range(self.values):
-            np.multiply(x, self.a[i], out=buffer)
-            np.add(buffer, self.b[i], out=buffer)
-            out[full, i] = (np.minimum.reduceat(buffer, at) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        first, last = ends[:-1][full], ends[1:][full]
+        i = 0
+        while i < len(full):
+            j = max(i + 1, int(np.searchsorted(last, first[i] + CACHED, "right")))
+            part, at = x[first[i] : last[j - 1]], first[i:j] - first[i]
+            buffer, least = np.empty_like(part), np.empty((self.values, j - i), np.uint32)
+            for k in range(self.values):
+                np.multiply(part, self.a[k], out=buffer)
+                np.add(buffer, self.b[k], out=buffer)
+                np.minimum.reduceat(buffer, at, out=least[k])
+            least *= np.uint32(0x9E3779B1)
+            out[full[i:j]] = (least >> np.uint32(16)).T
+            i = j
         return out
 
     @staticmethod
@@ -178,3 +208,31 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             last = key
     if held:
         yield pa.concat_tables(held)
+
+
+def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows that differ in a key from the one before; the first does."""
+    out = np.zeros(table.num_rows, bool)
+    out[:1] = True
+    for k in keys:
+        col = table.column(k).combine_chunks()
+        if table.num_rows > 1:
+            out[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal keys from batches sorted by keys: about so many rows or bytes, more only if one run has more."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append(pa.Table.from_batches([batch.slice(at, rows)]))
+            if sum(t.num_rows for t in held) < rows and sum(t.nbytes for t in held) < size:
+                continue
+            table = pa.concat_tables(held)
+            last = int(np.flatnonzero(changes(table, keys))[-1])
+            if last:
+                yield table.slice(0, last)
+            held = [table.slice(last)]
+    if held:
+        yield pa.concat_tables(held)
