@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 EARTH_M = 6371000.0
 
 #: Keywords and patterns that results depend on.
-DEAUTH_KEYWORDS = ["deauth", "disassoc", "deauthentication", "disassociation", "deauthflood"]
+DEAUTH_KEYWORDS = ["deauth", "disassoc", "deauthentication", "disassociation", "deauthflood", "bssflood", "apspoof", "changehostname"]
 AP_KEYWORDS = ["apspoof", "bsstimestamp", "probechan", "beaconchange", "cryptodrop", "advcryptchange", "wmmtspec", "dot11_ssid_new"]
 TRACKER_NAMES = "(?i)(airtag|tile|smarttag|smart.?tag|galaxy.?smarttag|chipolo|eufy|trackr|pebblebee)"
 BLE_HINTS = ["btle", "bluetooth", "bt device", "ble device"]
 STRENGTHS = {"OPEN": 0, "WEP": 1, "WPA": 2, "WPA2": 3, "WPA3": 4}
 MAC = r"(?i)\b([0-9a-f]{2}):([0-9a-f]{2}):[0-9a-f]{2}:[0-9a-f]{2}:[0-9a-f]{2}:([0-9a-f]{2})\b"
-MARKDOWN = "\\`*_{}[]()#+-.!|<>"
+#: Characters that a backslash goes before in Markdown, the backslash first.
+MARKDOWN = "\\`[]<>&"
+DANGEROUS = "<>\"'&;|`$(){}[]"
+SQL_WORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "DROP", "UNION", "EXEC", "SCRIPT"]
 
 
 def _c(x) -> Column:
@@ -34,6 +37,13 @@ def rough_metres(lat1, lon1, lat2, lon2) -> Column:
     return F.sqrt(F.pow(_c(lat1) - _c(lat2), F.lit(2.0)) + F.pow(_c(lon1) - _c(lon2), F.lit(2.0))) * 111000
 
 
+def circle(lat, lon, radius_m, points: int = 36) -> Column:
+    """A closed ring of (lat, lon) around a place, from the east on, at 111 km a degree both ways."""
+    r = _c(radius_m) / 111000
+    angle = lambda i: F.radians(i * (360 / points))
+    return F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.struct((_c(lat) + r * F.sin(angle(i))).alias("lat"), (_c(lon) + r * F.cos(angle(i))).alias("lon")))
+
+
 def normalize_mac(x) -> Column:
     """Upper case, trimmed, without a /mask; blank is null."""
     return F.nullif(F.upper(F.trim(F.split_part(F.trim(_c(x)), F.lit("/"), F.lit(1)))), F.lit(""))
@@ -90,6 +100,66 @@ def replace_subjects(x, subjects: list[str]) -> Column:
     return out
 
 
+def error_text(name, message, most: int = 200) -> Column:
+    """A failure's name and message without addresses of devices or paths, shortened."""
+    m = F.regexp_replace(F.coalesce(_c(message), F.lit("")), r"\b([0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b", "<mac>")
+    m = F.regexp_replace(F.regexp_replace(m, r"(?:/home|/Users)/[^\s:]+", "<path>"), r"(?:/var|/opt|/tmp|/run)/[^\s:]+", "<path>")
+    m = F.trim(F.regexp_replace(m, r"\s+", " "))
+    out = F.when(m == "", _c(name)).otherwise(F.concat(_c(name), F.lit(": "), m))
+    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most - 3), F.lit("..."))).otherwise(out)
+
+
+def valid_mac(x) -> Column:
+    return F.coalesce(_c(x).rlike(r"^([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$"), F.lit(False))
+
+
+def valid_ssid(x) -> Column:
+    """One to 32 characters, none of them a control (but tab and line ends) or a dangerous one."""
+    c = _c(x)
+    return F.coalesce(F.length(c).between(1, 32) & ~c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") & (F.translate(c, DANGEROUS, "") == c), F.lit(False))
+
+
+def valid_path(x) -> Column:
+    c = _c(x)
+    return F.coalesce((F.length(c) <= 4096) & ~F.contains(c, F.lit("..")) & ~F.contains(c, F.lit("~")) & (F.translate(c, "<>|&;`", "") == c), F.lit(False))
+
+
+def valid_filename(x) -> Column:
+    c = _c(x)
+    return F.coalesce((F.length(c) <= 255) & ~F.startswith(c, F.lit(".")) & c.rlike(r"^[a-zA-Z0-9._\-]+$"), F.lit(False))
+
+
+def valid_json(x, most: int = 1 << 20) -> Column:
+    """Whether a text is JSON of a bearable size."""
+    return F.coalesce((F.length(_c(x)) <= most) & F.try_parse_json(_c(x)).isNotNull(), F.lit(False))
+
+
+def sanitize(x, most: int = 1000) -> Column:
+    """A text without controls, dangerous characters and words of SQL (in capitals or small letters), cut to `most` characters; null becomes empty."""
+    out = F.substring(F.coalesce(_c(x), F.lit("")), 1, most)
+    out = F.translate(F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), DANGEROUS, "")
+    for w in SQL_WORDS:
+        clean = F.replace(F.replace(out, F.lit(w), F.lit("")), F.lit(w.lower()), F.lit(""))
+        out = F.when(F.contains(F.upper(out), F.lit(w)), clean).otherwise(out)
+    return F.trim(out)
+
+
+def escape_cdata(x) -> Column:
+    """A text that cannot close a CDATA section: the specials of HTML, quotes too."""
+    return F.replace(F.replace(escape_xml(x), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+
+
+def sealed(x, key) -> Column:
+    """enc:v1: and the base64 of nonce and AES-GCM text. Every call gives another text: no key for joins."""
+    return F.concat(F.lit("enc:v1:"), F.base64(F.aes_encrypt(_c(x).cast("binary"), _c(key), F.lit("GCM"))))
+
+
+def opened(x, key) -> Column:
+    """What sealed() hid; a text without its mark as it is, null if it cannot be opened."""
+    c = _c(x)
+    return F.when(F.startswith(c, F.lit("enc:v1:")), F.try_aes_decrypt(F.unbase64(F.substring(c, 8, 1 << 30)), _c(key), F.lit("GCM")).cast("string")).otherwise(c)
+
+
 def escape_markdown(x) -> Column:
     out = _c(x)
     for ch in MARKDOWN:

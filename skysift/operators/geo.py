@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from skysift.functions.columns import EARTH_M, haversine, place_id
 
 MERGE_M, REVISIT_S, SPEED_MPS = 30.0, 600.0, 35.0
-#: Side of the grid cells that stand in for distance in joins, in degrees: more than twice the merge radius away from the poles.
-CELL_DEG = 0.01
+#: Height of the grid cells that stand in for distance in joins, in degrees (111 m).
+CELL_DEG = 0.001
 
 
 def metres(lat1, lon1, lat2, lon2):
@@ -25,25 +25,26 @@ def metres(lat1, lon1, lat2, lon2):
 
 
 def _leaders(radius: float):
-    """Streams rows sorted by subject and time; only the current subject's leaders are held."""
+    """Streams rows sorted by subject and time; only the current subject's leaders are held, in arrays that grow by doubling."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        subject, lats, lons = object(), [], []
+        subject, n, lats, lons = object(), 0, np.empty(16), np.empty(16)
         for f in frames:
             out, la, lo = [], [], []
             for s, lat, lon in zip(f["subject"].tolist(), f["lat"].tolist(), f["lon"].tolist()):
                 if s != subject:
-                    subject, lats, lons = s, [], []
-                near = np.flatnonzero(metres(np.array(lats), np.array(lons), lat, lon) <= radius) if lats else []
+                    subject, n = s, 0
+                near = np.flatnonzero(metres(lats[:n], lons[:n], lat, lon) <= radius) if n else ()
                 if len(near):
                     at = int(near[0])
                 else:
-                    at = len(lats)
-                    lats.append(lat)
-                    lons.append(lon)
+                    if n == len(lats):
+                        lats, lons = np.resize(lats, 2 * n), np.resize(lons, 2 * n)
+                    at, lats[n], lons[n] = n, lat, lon
+                    n += 1
                 out.append(at)
-                la.append(lats[at])
-                lo.append(lons[at])
+                la.append(float(lats[at]))
+                lo.append(float(lons[at]))
             yield f.assign(cluster=np.array(out, "int32"), lead_lat=la, lead_lon=lo)
 
     return run
@@ -96,22 +97,49 @@ def feasible_visits(v: DataFrame, speed: float = SPEED_MPS, accuracy: float = 0.
     return s.mapInPandas(_kept(speed, accuracy), s.schema)
 
 
-def _cells(df: DataFrame, spread: int) -> DataFrame:
-    """A row for each grid cell around a point."""
-    around = F.array(*(F.lit(i) for i in range(-spread, spread + 1)))
-    d = df.withColumns({"_y": F.floor(F.col("lat") / CELL_DEG), "_x": F.floor(F.col("lon") / CELL_DEG)})
-    if not spread:
-        return d
-    return d.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumns({"_y": F.col("_y") + F.col("_dy"), "_x": F.col("_x") + F.col("_dx")}).drop("_dy", "_dx")
+def _across(y: F.Column) -> F.Column:
+    """How many cells lie around the earth in band y, so that they are about as wide as high at every latitude."""
+    edge = F.least(F.abs(y * CELL_DEG), F.abs((y + 1) * CELL_DEG), F.lit(90.0))
+    return F.greatest(F.lit(1), F.floor(360 / CELL_DEG * F.cos(F.radians(edge)))).cast("long")
+
+
+def cell(lat: str, lon: str) -> F.Column:
+    """The grid cell (y, x) of a point; bands of latitude, cells around them, the antimeridian no seam."""
+    y = F.floor(F.col(lat) / CELL_DEG)
+    n = _across(y)
+    return F.struct(y.alias("y"), F.pmod(F.floor((F.col(lon) + 180) / 360 * n), n).alias("x"))
+
+
+def cells_near(lat: str, lon: str, radius: float) -> F.Column:
+    """All cells that a point within `radius` metres may lie in; near a pole whole bands."""
+    high = float(np.degrees(radius / EARTH_M)) * 1.001
+    top = F.abs(F.col(lat)) + high
+    reach = F.when(top >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(float(np.radians(high)))) / F.cos(F.radians(F.col(lat)))))))
+
+    def band(y: F.Column) -> F.Column:
+        n = _across(y)
+        lo, hi = (F.floor((F.col(lon) + side * reach + 180) / 360 * n) for side in (-1, 1))
+        xs = F.when(hi - lo + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(lo, hi), lambda x: F.pmod(x, n)))
+        return F.transform(xs, lambda x: F.struct(y.alias("y"), x.alias("x")))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.floor((F.col(lat) - high) / CELL_DEG), F.floor((F.col(lat) + high) / CELL_DEG)), band)))
+
+
+def _slots(start: F.Column, end: F.Column, width: float) -> F.Column:
+    return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
 
 
 def cotravel(entity: DataFrame, operator: DataFrame, radius: float = MERGE_M, gap: float = REVISIT_S) -> DataFrame:
-    """Entity visits that meet an operator visit in place (2 x radius) and time. The operator's visits take an equi-key of grid cells, so neither side is broadcast unless small."""
-    o = _cells(operator.select(F.col("visit").alias("op_visit"), F.col("cluster").alias("op_cluster"), F.col("enter_ts").alias("op_enter"), F.coalesce("exit_ts", F.col("enter_ts") + gap).alias("op_end"), "lat", "lon"), 1)
-    o = o.withColumnsRenamed({"lat": "op_lat", "lon": "op_lon"})
-    e = _cells(entity.withColumn("_end", F.coalesce("exit_ts", F.col("enter_ts") + gap)), 0)
-    met = e.join(o, ["_y", "_x"]).where((F.col("enter_ts") <= F.col("op_end")) & (F.col("op_enter") <= F.col("_end")))
-    return met.where(haversine("lat", "lon", "op_lat", "op_lon") <= 2 * radius).drop("_y", "_x", "_end")
+    """Entity visits that meet an operator visit in place (2 x radius) and time. Both sides take an equi-key of grid cell and time slot; a pair that shares
+    several slots is kept in the first of them. Partitions crowded by one cell are Spark's to split; neither side is broadcast unless small."""
+    width = max(gap, 3600.0)
+    o = operator.select(F.col("visit").alias("op_visit"), F.col("cluster").alias("op_cluster"), F.col("enter_ts").alias("op_enter"), F.coalesce("exit_ts", F.col("enter_ts") + gap).alias("op_end"), F.col("lat").alias("op_lat"), F.col("lon").alias("op_lon"))
+    o = o.withColumn("_cell", F.explode(cells_near("op_lat", "op_lon", 2 * radius))).withColumn("_slot", F.explode(_slots(F.col("op_enter"), F.col("op_end"), width)))
+    e = entity.withColumn("_end", F.coalesce("exit_ts", F.col("enter_ts") + gap)).withColumn("_cell", cell("lat", "lon"))
+    e = e.withColumn("_slot", F.explode(_slots(F.col("enter_ts"), F.col("_end"), width)))
+    met = e.join(o, ["_cell", "_slot"]).where((F.col("enter_ts") <= F.col("op_end")) & (F.col("op_enter") <= F.col("_end")))
+    met = met.where(F.col("_slot") == F.floor(F.greatest("enter_ts", "op_enter") / width))
+    return met.where(haversine("lat", "lon", "op_lat", "op_lon") <= 2 * radius).drop("_cell", "_slot", "_end")
 
 
 def cotravel_scores(matches: DataFrame, sees: DataFrame, least_places: int = 2, least_span: float = 900.0) -> DataFrame:
@@ -123,12 +151,18 @@ def cotravel_scores(matches: DataFrame, sees: DataFrame, least_places: int = 2,
     return g.join(sees, "subject").select("subject", "places", "span", "sees", F.round(score, 6).alias("score"))
 
 
-def density(v: DataFrame, sightings: DataFrame, operator: int, radius: float = MERGE_M, around: float = 300.0) -> DataFrame:
-    """(subject, visit, others): distinct subjects, other than the visitor and the operator, seen within the radius and the time around each visit."""
-    s = _cells(sightings.where(F.col("subject") != operator).select(F.col("subject").alias("other"), F.col("ts").alias("s_ts"), F.col("lat").alias("lat"), F.col("lon").alias("lon")), 1)
-    s = s.withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"})
-    near = _cells(v, 0).join(s, ["_y", "_x"]).where((F.col("other") != F.col("subject")) & F.col("s_ts").between(F.col("enter_ts") - around, F.coalesce("exit_ts", "enter_ts") + around))
-    return near.where(haversine("lat", "lon", "s_lat", "s_lon") <= radius).groupBy("subject", "visit").agg(F.countDistinct("other").alias("others"))
+def density(v: DataFrame, sightings: DataFrame, operator: int, radius: float = MERGE_M, around: float = 300.0, slot: float = 3600.0) -> DataFrame:
+    """(subject, visit, others): distinct subjects, other than the visitor and the operator, seen within the radius and the time around each visit; 0 if
+    there is none. The visits take the cells and time slots (of `slot` seconds) that they reach, each sighting lies in one cell and slot."""
+    s = sightings.where((F.col("subject") != operator) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    s = s.select(F.col("subject").alias("other"), F.col("ts").alias("s_ts"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    s = s.withColumns({"_cell": cell("s_lat", "s_lon"), "_slot": F.floor(F.col("s_ts") / slot)})
+    w = v.select("subject", "visit", "lat", "lon", (F.col("enter_ts") - around).alias("_from"), (F.coalesce("exit_ts", "enter_ts") + around).alias("_to"))
+    w = w.withColumn("_cell", F.explode(cells_near("lat", "lon", radius))).withColumn("_slot", F.explode(_slots(F.col("_from"), F.col("_to"), slot)))
+    near = w.join(s, ["_cell", "_slot"]).where((F.col("other") != F.col("subject")) & F.col("s_ts").between(F.col("_from"), F.col("_to")))
+    near = near.where(haversine("lat", "lon", "s_lat", "s_lon") <= radius).select("subject", "visit", "other")
+    alone = v.select("subject", "visit", F.lit(None).cast(s.schema["other"].dataType).alias("other"))
+    return near.unionByName(alone).groupBy("subject", "visit").agg(F.countDistinct("other").alias("others"))
 
 
 def nearest_place(points: DataFrame, places: list[tuple], hour: F.Column) -> DataFrame:
@@ -167,3 +201,61 @@ def thin(points: DataFrame, metres_apart: float = 50.0) -> DataFrame:
 
 def with_place_id(df: DataFrame) -> DataFrame:
     return df.withColumn("place_id", place_id("lat", "lon"))
+
+
+#: Fixed value: places that the live registry remembers.
+MOST_ANCHORS = 512
+
+
+def _registered(radius: float, most: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        registry, anchors = object(), []
+        for f in frames:
+            la, lo, new = [], [], []
+            for r, lat, lon, ts in zip(f["registry"].tolist(), f["lat"].tolist(), f["lon"].tolist(), f["ts"].tolist()):
+                if r != registry:
+                    registry, anchors = r, []
+                d = metres(np.array([a[0] for a in anchors]), np.array([a[1] for a in anchors]), lat, lon) if anchors else np.zeros(0)
+                near = np.flatnonzero(d <= radius)
+                if len(near):
+                    a = anchors[int(near[0])]
+                    a[2] = ts
+                else:
+                    a = [lat, lon, ts]
+                    anchors.append(a)
+                    if len(anchors) > most:
+                        anchors.sort(key=lambda x: x[2])
+                        anchors.pop(0)
+                la.append(a[0])
+                lo.append(a[1])
+                new.append(not len(near))
+            yield f.assign(place_lat=la, place_lon=lo, is_new=new)
+
+    return run
+
+
+def place_registry(points: DataFrame, radius: float = MERGE_M, most: int = MOST_ANCHORS) -> DataFrame:
+    """points (registry, ts, id, lat, lon, ...) with place_lat, place_lon, is_new: in time order a point belongs to the first remembered place within the
+    radius, or makes a new one; beyond `most` the place seen longest ago is forgotten. State per registry is bounded."""
+    s = points.where("lat is not null and lon is not null").repartition("registry").sortWithinPartitions("registry", "ts", "id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.schema)
+    return s.mapInPandas(_registered(radius, most), f"{schema}, place_lat double, place_lon double, is_new boolean")
+
+
+def best_fixes(located: DataFrame, cycle: F.Column) -> DataFrame:
+    """(cycle, ts, id, lat, lon): of each cycle's located rows the newest, the first filed on ties: the operator's fix."""
+    g = located.where("lat is not null and lon is not null").groupBy(cycle.alias("cycle")).agg(F.max(F.struct("ts", (-F.col("id")).alias("o"), "lat", "lon")).alias("b"))
+    return g.select("cycle", "b.ts", (-F.col("b.o")).alias("id"), "b.lat", "b.lon")
+
+
+def operator_path(fixes: DataFrame, radius: float = MERGE_M, most: int = MOST_ANCHORS) -> DataFrame:
+    """fixes (registry, cycle, ts, id, lat, lon) at which the operator's place differs from that of the fix before."""
+    p = place_registry(fixes, radius, most)
+    w = Window.partitionBy("registry").orderBy("ts", "id")
+    before = F.lag(F.struct("place_lat", "place_lon")).over(w)
+    return p.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.struct("place_lat", "place_lon"))).drop("_b")
+
+
+def sightings(rows: DataFrame) -> DataFrame:
+    """Rows that have a place."""
+    return rows.where("lat is not null and lon is not null")

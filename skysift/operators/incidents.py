@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,7 +66,7 @@ class Lifecycle:
             else:
                 keep *= 1 - w
         kinds = {k for k, _, _, contra in lines if not contra and k in WEIGHTS and k not in SELF_REFERENCE}
-        return round(max(0.0, min((1 - keep) * shrink, 0.99)), 6), len(kinds)
+        return math.floor(max(0.0, min((1 - keep) * shrink, 0.99)) * 1e6 + 0.5) / 1e6, len(kinds)
 
     def silent(self, now: float) -> None:
         """A cycle without evidence. A NEW phenomenon has no way to resolved and stays NEW."""
@@ -106,16 +107,20 @@ LIFECYCLE_SCHEMA = "phenomenon string, cycle long, state string, confidence doub
 
 
 def lifecycle(detections: DataFrame, cycle_s: float, decay: float = 120.0, close: float = 600.0) -> DataFrame:
-    """detections (phenomenon, cycle, detector, kind, detail, w, contra) -> the state after each cycle that had evidence.
+    """detections (phenomenon, cycle, detector, kind, detail, w, contra) -> the state after each cycle that had evidence, or a row without a detector.
 
-    Silent cycles in between are replayed by their clock (cycle x cycle_s); one ordered pass, only the current phenomenon's state is held."""
+    Such rows only let the clock tick. Silent cycles in between are replayed by their clock (cycle x cycle_s); one ordered pass, only the current
+    phenomenon's state is held."""
     cols = ["phenomenon", "cycle", "detector", "kind", "detail", "w", "contra"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, machine, cycle, rows = None, None, None, {}
 
         def close_cycle():
-            machine.evidence(cycle * cycle_s, sorted((d, x) for d, x in rows.items()))
+            if rows:
+                machine.evidence(cycle * cycle_s, sorted((d, x) for d, x in rows.items()))
+            else:
+                machine.silent(cycle * cycle_s)
             return key, cycle, machine.state, machine.confidence, len(machine.detectors)
 
         for f in frames:
@@ -130,7 +135,8 @@ def lifecycle(detections: DataFrame, cycle_s: float, decay: float = 120.0, close
                     for silent in range(cycle + 1, min(c, cycle + 2 + int(close / cycle_s) + 1)):
                         machine.silent(silent * cycle_s)
                 key, cycle = p, c
-                rows.setdefault(d, []).append((kind, detail, w, bool(contra)))
+                if d is not None and d == d:
+                    rows.setdefault(d, []).append((kind, detail, w, bool(contra)))
             yield pd.DataFrame(out, columns=["phenomenon", "cycle", "state", "confidence", "detectors"])
         if key is not None:
             yield pd.DataFrame([close_cycle()], columns=["phenomenon", "cycle", "state", "confidence", "detectors"])
@@ -151,3 +157,8 @@ def status_rollup(incidents: DataFrame, now: float, hold: float = 300.0) -> Data
 
 def top_open(incidents: DataFrame, n: int) -> DataFrame:
     return incidents.orderBy(F.when(F.col("severity") == "alert", 0).otherwise(1), F.desc("last_ts"), "incident_key").limit(n)
+
+
+def cursors(batches: DataFrame, keys: list[str], order: str, top: str) -> DataFrame:
+    """batches (keys, order, top) with cursor, where consumption stands after each: never lowered."""
+    return batches.withColumn("cursor", F.max(top).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

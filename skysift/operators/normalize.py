@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysift.functions.columns import DEAUTH_KEYWORDS, contains_any, finite, first_of, normalize_mac
+from skysift.functions.columns import AP_KEYWORDS, BLE_HINTS, DEAUTH_KEYWORDS, channel_of, contains_any, finite, first_of, normalize_mac
 
 #: The observation log. payload is JSON text with sorted keys; reject says why a row is not one.
 COLUMNS = ["ts", "source", "kind", "identity_key", "lat", "lon", "accuracy_m", "payload_json", "session_id"]
@@ -150,3 +151,82 @@ def ap_sightings(rows: DataFrame) -> DataFrame:
     nets = F.when(F.startswith(raw, F.lit("[")), as_list).otherwise(as_map)
     d = rows.select(normalize_mac("devmac").alias("bssid"), finite("last_time").alias("ts"), F.explode(nets).alias("n"))
     return d.select("bssid", "ts", F.col("n").getField("dot11.advertisedssid.ssid").alias("ssid"), F.coalesce(F.col("n").getField("dot11.advertisedssid.crypt_string"), F.lit("OPEN")).alias("encryption")).where("ssid is not null and ssid <> ''")
+
+
+def retry_events(devices_: DataFrame) -> DataFrame:
+    """devices -> (ts, target, source, retries, tx): clients whose retries are above half of their frames and above fifty, from each device's client map."""
+    v = F.try_parse_json("device")
+    one = "struct<`dot11.client.retries`:double,`dot11.client.tx_packets`:double>"
+    clients = F.from_json(F.to_json(F.try_variant_get(v, '$["dot11.device"]["dot11.device.client_map"]', "variant")), f"map<string,{one}>")
+    d = devices_.select(finite("last_time").alias("ts"), F.upper("devmac").alias("target"), F.explode(clients).alias("source", "c"))
+    d = d.select("ts", "target", F.coalesce(F.nullif(F.upper("source"), F.lit("")), F.lit("UNKNOWN")).alias("source"), F.col("c").getField("dot11.client.retries").alias("retries"), F.col("c").getField("dot11.client.tx_packets").alias("tx"))
+    return d.where((F.col("tx") > 0) & (F.col("retries") > 50) & (F.try_divide("retries", "tx") > 0.5))
+
+
+def ap_alerts(alerts_: DataFrame) -> DataFrame:
+    """alerts (ts_sec, header, json) -> (ts, ssid, rogue_bssid, severity, reason) of those that speak of access points."""
+    v = F.try_parse_json("json")
+    kind = F.coalesce(at(v, "kismet.alert.header"), F.col("header"), F.lit(""))
+    text = F.coalesce(at(v, "kismet.alert.text"), F.col("header"), F.lit(""))
+    source = F.upper(F.coalesce(at(v, "kismet.alert.source_mac"), F.lit("UNKNOWN")))
+    hit = contains_any(kind, AP_KEYWORDS) | contains_any(text, AP_KEYWORDS)
+    return alerts_.where(hit).select(F.col("ts_sec").alias("ts"), F.concat(F.lit("[Kismet Alert: "), kind, F.lit("]")).alias("ssid"), source.alias("rogue_bssid"), F.lit("HIGH").alias("severity"), F.concat(F.lit("Kismet alert: "), F.substring(text, 1, 200)).alias("reason"))
+
+
+def network_sets(rows: DataFrame) -> DataFrame:
+    """(bssid, ts, ssids, channel): advertised and responded networks of each device as one set, and its channel, by frequency where it names none."""
+    v = F.try_parse_json("device")
+
+    def names(map_: str, field: str) -> Column:
+        raw = F.to_json(F.try_variant_get(v, f'$["dot11.device"]["{map_}"]', "variant"))
+        one = f"struct<`{field}`:string>"
+        nets = F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, f"array<{one}>")).otherwise(F.map_values(F.from_json(raw, f"map<string,{one}>")))
+        return F.coalesce(F.filter(F.transform(nets, lambda n: n.getField(field)), lambda s: s != ""), F.array().cast("array<string>"))
+
+    both = F.array_union(names("dot11.device.advertised_ssid_map", "dot11.advertisedssid.ssid"), names("dot11.device.responded_ssid_map", "dot11.advertisedssid.ssid"))
+    channel = F.coalesce(at(v, "kismet.device.base.channel").try_cast("int"), channel_of(at(v, "kismet.device.base.frequency", kind="double")))
+    return rows.select(normalize_mac("devmac").alias("bssid"), finite("last_time").alias("ts"), F.array_sort(both).alias("ssids"), channel.alias("channel"))
+
+
+def is_ble(type_: Column, device: Column) -> Column:
+    """A Bluetooth device by its type, or by a key of its metadata."""
+    return F.coalesce(contains_any(type_, BLE_HINTS), F.lit(False)) | F.coalesce(F.lower(device).rlike(r'"[^"]*(btle|bluetooth)[^"]*"\s*:'), F.lit(False))
+
+
+#: Keys whose values are subjects themselves.
+SUBJECT_KEYS = {"ssid", "name", "devicename", "commonname", "manuf", "manufacturer"}
+
+
+def _plain_token(x: str) -> str:
+    return f"ssid(len={len(x)},h={hashlib.sha1(x.encode()).hexdigest()[:4]})" if x else "?"
+
+
+def _plain_text(x: str) -> str:
+    x = re.sub(r"(?i)\b([0-9a-f]{2}):([0-9a-f]{2}):[0-9a-f]{2}:[0-9a-f]{2}:[0-9a-f]{2}:([0-9a-f]{2})\b", r"\1:\2:xx:xx:xx:\3", x)
+    return " ".join(re.sub("[\x00-\x1f\x7f-\x9f\u200b-\u200f\u202a-\u202e\u2028\u2029\ufeff<>\\[\\]`]", " ", x).split())
+
+
+def _redacted(obj):
+    if isinstance(obj, str):
+        return _plain_text(obj)
+    if isinstance(obj, dict):
+        return {k: _plain_token(x) if k in SUBJECT_KEYS and isinstance(x, str) else _redacted(x) for k, x in obj.items()}
+    return [_redacted(x) for x in obj] if isinstance(obj, list) else obj
+
+
+def redact_json(rows: DataFrame, column: str) -> DataFrame:
+    """Every string of a JSON column neutralised at any depth, subjects replaced by their token; text that is no JSON becomes null. Depth is open, so this
+    is an Arrow-batched Python pass."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return canonical(_redacted(json.loads(text)))
+        except (TypeError, ValueError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.schema.names.index(column)
+            yield b.set_column(i, column, pa.array([one(x) for x in b.column(i).to_pylist()], pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def entities(rows: DataFrame, keys: list[str], seq: str = "id") -> DataFrame:
-    """first_seen is the least time; last_seen that of the newest filing, not the greatest; meta the newest that is not null."""
-    return rows.groupBy(*keys).agg(F.min("ts").alias("first_seen"), F.max_by("ts", seq).alias("last_seen"), F.count("*").alias("see_count"))
+    """first_seen is the least time; last_seen that of the newest filing, not the greatest; meta, if rows have it, the newest that is not null."""
+    meta = [F.max_by("meta", F.when(F.col("meta").isNotNull(), F.col(seq))).alias("meta")] if "meta" in rows.columns else []
+    return rows.groupBy(*keys).agg(F.min("ts").alias("first_seen"), F.max_by("ts", seq).alias("last_seen"), F.count("*").alias("see_count"), *meta)
 
 
 def contributions(rows: DataFrame, keys: list[str], seq: str = "id") -> DataFrame:

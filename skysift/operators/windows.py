@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,9 +64,25 @@ def carried_forward(df: DataFrame, keys: list[str], order: list, value: str, nam
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def _cooling(keys: list[str], ts: str, cooldown: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0.0
+        for f in frames:
+            keep = []
+            for k, t in zip(f[keys].itertuples(index=False, name=None), f[ts].tolist()):
+                ok = k != key or t - last >= cooldown
+                if ok:
+                    key, last = k, t
+                keep.append(ok)
+            yield f[np.array(keep, bool)]
+
+    return run
+
+
 def cooled(df: DataFrame, keys: list[str], ts: str, cooldown: float, order: list) -> DataFrame:
-    """Rows that come at least `cooldown` after the row before them."""
-    return df.withColumn("_gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order))).where("_gap is null or _gap >= %r" % cooldown).drop("_gap")
+    """Rows that come at least `cooldown` after the last row of their key that was let through. Each depends on the ones kept before, so one ordered pass."""
+    s = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return s.mapInPandas(_cooling(keys, ts, cooldown), s.schema)
 
 
 def changes(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
@@ -83,3 +103,16 @@ def global_rank(df: DataFrame, ts: str, width: float, ties: list[str], name: str
     slots = d.groupBy("_slot").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("_slot").orderBy(ts, *ties))
     return d.join(slots, "_slot").withColumn(name, (F.col("_before") + own).cast("long")).drop("_slot", "_before")
+
+
+def slot_sets(slots: DataFrame, slot: str, subject: str) -> DataFrame:
+    """(slot, subjects): each slot's subjects as a sorted array; a slot is as many as a cycle can hold."""
+    return slots.groupBy(slot).agg(F.array_sort(F.collect_set(subject)).alias("subjects"))
+
+
+def held_events(events: DataFrame, ts: str, now: float, every: float, clocks: int, ttl: float) -> DataFrame:
+    """A row for each clock (now - clock * every) at which an event is still in a memory of `ttl` seconds."""
+    age = (now - F.col(ts)) / every
+    first, last = F.greatest(F.lit(0).cast("long"), F.floor(age - ttl / every) + 1), F.least(F.lit(clocks - 1).cast("long"), F.floor(age))
+    held = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+    return events.withColumn("clock", F.explode(held)).withColumn("clock", F.col("clock").cast("int"))

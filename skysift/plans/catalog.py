@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from skysift.functions import columns as C
 from skysift.operators import geo, identity, incidents, legacy_stats, radio, upserts, windows
+from skysift.sources import sinks
 from skysift.sources.bindings import OBS, observations, table
 
 DAY = 86400.0
@@ -80,11 +81,15 @@ def observation_filter_topn(spark, d):
     return o.orderBy("ts", "id").limit(100).select("id", "ts", "subject", "kind")
 
 
-@query("SELECT CASE WHEN kind LIKE '%err%' THEN 'deauth_alert' ELSE 'kismet_alert' END AS obs_kind, count(*) AS n, min(ts) AS first_ts FROM obs GROUP BY 1")
+_HEADERS = ["DEAUTH", "DISASSOCTRAFFIC", "DEAUTHENTICATION", "DISASSOCIATION", "DEAUTHFLOOD", "BSSFLOOD", "APSPOOF", "CHANGEHOSTNAME", "PROBECHAN", "BEACONCHANGE", "NULLPROBERESP", "ADHOCCONFLICT"]
+
+
+@query(f"SELECT {_HEADERS}[k % 12 + 1] AS header, CASE WHEN k % 12 < 8 THEN 'deauth_alert' ELSE 'kismet_alert' END AS obs_kind, count(*) AS n, min(ts) AS first_ts FROM obs GROUP BY ALL")
 def normalize_alert_kind(spark, d):
-    header = F.when(F.col("kind") == "error", "DEAUTHFLOOD").otherwise(F.col("kind"))
-    o = observations(spark, d).withColumn("obs_kind", F.when(C.contains_any(header, C.DEAUTH_KEYWORDS), "deauth_alert").otherwise("kismet_alert"))
-    return o.groupBy("obs_kind").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+    header = F.get(F.array(*(F.lit(h) for h in _HEADERS)), F.col("k") % 12)
+    o = observations(spark, d).withColumn("header", header)
+    kind = F.when(C.contains_any("header", C.DEAUTH_KEYWORDS), "deauth_alert").otherwise("kismet_alert")
+    return o.groupBy("header", kind.alias("obs_kind")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
 @query("SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n, sum(CASE WHEN json_extract_string(props, '$.zz') IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing FROM events GROUP BY 1", obs=False)
@@ -195,10 +200,10 @@ def interference_filter(spark, d):
 
 
 def aps(spark, d):
-    return observations(spark, d).select("id", "ts", F.concat(F.lit("net"), (F.col("k") % 20).cast("string")).alias("ssid"), (F.col("subject") % 50).alias("bssid"))
+    return observations(spark, d).select("id", "ts", "subject", F.concat(F.lit("net"), (F.col("k") % 20).cast("string")).alias("ssid"), (F.col("subject") % 50).alias("bssid"))
 
 
-_AP = "ap AS (SELECT id, ts, 'net' || (k % 20) AS ssid, subject % 50 AS bssid FROM obs)"
+_AP = "ap AS (SELECT id, ts, subject, 'net' || (k % 20) AS ssid, subject % 50 AS bssid FROM obs)"
 
 
 @query(f"""+ {_AP}, f AS (SELECT ssid, bssid, min(ts) AS first_ts FROM ap GROUP BY ALL) SELECT ssid, bssid, first_ts, row_number() OVER (PARTITION BY ssid ORDER BY first_ts, bssid) AS nth FROM f""")
@@ -206,10 +211,13 @@ def rogue_new_bssid(spark, d):
     return radio.new_radios(aps(spark, d)).withColumn("nth", F.col("nth").cast("long"))
 
 
-@query(f"""+ {_AP} SELECT ssid, bssid, count(*) AS n, CASE WHEN bssid IN (1, 2, 3) THEN 'trusted' ELSE 'CRITICAL' END AS verdict FROM ap WHERE ssid IN ('net1', 'net2') GROUP BY ALL""")
+@query(f"""+ {_AP}, t AS (SELECT *, CASE WHEN subject % 4 = 1 THEN 'OPEN' ELSE 'wpa2-psk' END AS enc, CASE WHEN bssid = 3 AND id % 2 = 0 THEN 11 ELSE 6 END AS ch FROM ap) SELECT ssid, bssid, count(*) AS n,
+CASE WHEN bssid NOT IN (1, 2, 3) THEN 'CRITICAL' WHEN bool_or(enc = 'OPEN' OR ch <> 6) THEN 'MEDIUM' ELSE 'trusted' END AS verdict FROM t WHERE ssid IN ('net1', 'net2') GROUP BY ssid, bssid""")
 def rogue_trusted_check(spark, d):
-    trusted = spark.createDataFrame([(f"net{i}", b) for i in (1, 2) for b in (1, 2, 3)], "ssid string, bssid long")
-    return radio.trusted_check(aps(spark, d), trusted)
+    """Unknown radios, and known ones with other encryption or another channel."""
+    trusted = spark.createDataFrame([(f"net{i}", b, "WPA2", 6) for i in (1, 2) for b in (1, 2, 3)], "ssid string, bssid long, encryption string, channel int")
+    seen = aps(spark, d).withColumns({"encryption": F.when(F.col("subject") % 4 == 1, "OPEN").otherwise("wpa2-psk"), "channel": F.when((F.col("bssid") == 3) & (F.col("id") % 2 == 0), 11).otherwise(6)})
+    return radio.trusted_check(seen, trusted)
 
 
 _ENC = "['OPEN', 'WEP', 'WPA-PSK', 'WPA2-PSK', 'WPA3-SAE']"
@@ -245,14 +253,8 @@ def ble_tracker_score(spark, d):
 # ---- places and paths ----------------------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""+ p AS (SELECT DISTINCT k, lat, lon FROM obs WHERE id % 5 = 0) SELECT a.k AS k_a, b.k AS k_b, round({_DIST.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')}, 3) AS metres FROM p a JOIN p b ON a.k + 1 = b.k""")
+@query(f"""+ p AS (SELECT DISTINCT k, lat, lon FROM obs) SELECT a.k AS k_a, b.k AS k_b, round({_DIST.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')}, 3) AS metres FROM p a JOIN p b ON a.k + 1 = b.k""")
 def haversine_pairs(spark, d):
-    """Between a fifth of the positions; haversine_pairs_all has every position."""
-    return _neighbours(observations(spark, d).where("id % 5 = 0"))
-
-
-@query(ORACLES["haversine_pairs"].replace(" WHERE id % 5 = 0", ""), obs=False)
-def haversine_pairs_all(spark, d):
     return _neighbours(observations(spark, d))
 
 
@@ -262,13 +264,8 @@ def _neighbours(o):
     return p.withColumnRenamed("k", "k_a").join(q, "k_a").select("k_a", "k_b", F.round(C.haversine("lat", "lon", "lat_b", "lon_b"), 3).alias("metres"))
 
 
-@query("SELECT DISTINCT k, 'loc_' || substr(sha1(printf('%.6f', lat) || ',' || printf('%.6f', lon)), 1, 12) AS place_id FROM obs WHERE id % 5 = 0")
+@query("SELECT DISTINCT k, 'loc_' || substr(sha1(printf('%.6f', lat) || ',' || printf('%.6f', lon)), 1, 12) AS place_id FROM obs")
 def stable_place_id(spark, d):
-    return observations(spark, d).where("id % 5 = 0").select("k", C.place_id("lat", "lon").alias("place_id")).distinct()
-
-
-@query(ORACLES["stable_place_id"].replace(" WHERE id % 5 = 0", ""), obs=False)
-def stable_place_id_all(spark, d):
     return observations(spark, d).select("k", C.place_id("lat", "lon").alias("place_id")).distinct()
 
 
@@ -299,9 +296,16 @@ def visit_sessions(spark, d):
     return _visits(spark, d).drop("lat", "lon")
 
 
-@query()
+_DIST_R = _DIST.format(a="r.lat", b="n.lat", c="r.lon", d="n.lon")
+
+
+@query(f"""WITH RECURSIVE {OBS}, {_VI}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY enter_ts, visit) AS nr FROM v),
+r AS (SELECT subject, nr, visit, cluster, enter_ts, exit_ts, n, lat, lon, coalesce(exit_ts, enter_ts) AS left_ts, true AS keep FROM n WHERE nr = 1 UNION ALL
+ SELECT subject, nr, visit, cluster, enter_ts, exit_ts, n, CASE WHEN ok THEN lat ELSE plat END, CASE WHEN ok THEN lon ELSE plon END, CASE WHEN ok THEN coalesce(exit_ts, enter_ts) ELSE pleft END, ok
+ FROM (SELECT n.*, r.lat AS plat, r.lon AS plon, r.left_ts AS pleft, {_DIST_R} <= 0.05::DOUBLE * greatest(n.enter_ts - r.left_ts, 0) + 60 AS ok FROM r JOIN n ON n.subject = r.subject AND n.nr = r.nr + 1))
+SELECT subject, visit, cluster::INTEGER AS cluster, enter_ts, exit_ts, n FROM r WHERE keep""", obs=False)
 def feasible_visits(spark, d):
-    """Kept-dependent (G4): tested against a plain loop."""
+    """Visits that can be reached from the last one kept."""
     return geo.feasible_visits(_visits(spark, d), 0.05, 30.0).drop("lat", "lon")
 
 
@@ -327,10 +331,11 @@ def cotravel_score(spark, d):
     return geo.cotravel_scores(_met(spark, d), sees, 1, 0.0)
 
 
-@query(f"""+ {_VI} SELECT v.subject, v.visit, count(DISTINCT s.subject) AS others FROM v JOIN obs s ON s.subject <> v.subject AND s.subject <> 0 AND s.ts BETWEEN v.enter_ts - 3600 AND coalesce(v.exit_ts, v.enter_ts) + 3600
-AND s.lat BETWEEN v.lat - 0.01 AND v.lat + 0.01 AND s.lon BETWEEN v.lon - 0.01 AND v.lon + 0.01 AND {_DIST.format(a='v.lat', b='s.lat', c='v.lon', d='s.lon')} <= 30 GROUP BY ALL""")
+@query(f"""+ {_VI}, m AS (SELECT v.subject, v.visit, count(DISTINCT s.subject) AS others FROM v JOIN obs s ON s.subject <> v.subject AND s.subject <> 0 AND s.ts BETWEEN v.enter_ts - 3600 AND coalesce(v.exit_ts, v.enter_ts) + 3600
+AND s.lat BETWEEN v.lat - 0.01 AND v.lat + 0.01 AND s.lon BETWEEN v.lon - 0.01 AND v.lon + 0.01 AND {_DIST.format(a='v.lat', b='s.lat', c='v.lon', d='s.lon')} <= 30 GROUP BY ALL)
+SELECT v.subject, v.visit, coalesce(others, 0) AS others FROM v LEFT JOIN m ON v.subject = m.subject AND v.visit = m.visit""")
 def attendance_density(spark, d):
-    return geo.density(_visits(spark, d), observations(spark, d), OPERATOR, around=3600.0)
+    return geo.density(_visits(spark, d), observations(spark, d), OPERATOR, around=3600.0, slot=7200.0)
 
 
 @query("SELECT subject, k AS location, min(ts) AS first_seen, arg_max(ts, id) AS last_seen, arg_max(lat, id) AS lat, arg_max(lon, id) AS lon, count(*) AS see_count FROM obs GROUP BY subject, k")
@@ -344,27 +349,21 @@ def multi_location_entities(spark, d):
 
 
 @query("""WITH RECURSIVE obs AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS ts, user_id AS subject, 33.4::DOUBLE + 0.01::DOUBLE * (CAST(json_extract_string(props, '$.k') AS INTEGER) % 10) + 0.00005::DOUBLE * (event_id % 5) AS lat,
-  -112.0::DOUBLE - 0.01::DOUBLE * floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 10) AS lon FROM events WHERE user_id < 20), n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ts, id) AS nr FROM obs),
+  -112.0::DOUBLE - 0.01::DOUBLE * floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 10) AS lon FROM events), n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ts, id) AS nr FROM obs),
 r AS (SELECT subject, nr, id, lat, lon, true AS keep FROM n WHERE nr = 1 UNION ALL SELECT n.subject, n.nr, n.id, CASE WHEN far THEN n.lat ELSE n.plat END, CASE WHEN far THEN n.lon ELSE n.plon END, far
   FROM (SELECT n.*, r.lat AS plat, r.lon AS plon, sqrt((n.lat - r.lat) * (n.lat - r.lat) + (n.lon - r.lon) * (n.lon - r.lon)) * 111000 >= 5000 AS far FROM r JOIN n ON n.subject = r.subject AND n.nr = r.nr + 1) n)
 SELECT id, subject FROM r WHERE keep""", obs=False)
 def gps_thin(spark, d):
-    """Points 5 km from the last one kept (F11), of the first twenty subjects as in the recursive oracle; gps_thin_all has every subject."""
-    return geo.thin(observations(spark, d).where("subject < 20").select("id", "ts", "subject", "lat", "lon"), 5000.0).select("id", "subject")
-
-
-@query()
-def gps_thin_all(spark, d):
-    """gps_thin over every subject: tested against a plain loop."""
+    """Points 5 km from the last one kept."""
     return geo.thin(observations(spark, d).select("id", "ts", "subject", "lat", "lon"), 5000.0).select("id", "subject")
 
 
 # ---- upserts -----------------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT kind, subject, min(ts) AS first_seen, arg_max(ts, id) AS last_seen, count(*) AS see_count FROM obs GROUP BY kind, subject")
+@query("SELECT kind, subject, min(ts) AS first_seen, arg_max(ts, id) AS last_seen, count(*) AS see_count, arg_max(k, id) FILTER (k % 3 = 0) AS meta FROM obs GROUP BY kind, subject")
 def entity_upsert(spark, d):
-    return upserts.entities(observations(spark, d), ["kind", "subject"])
+    return upserts.entities(observations(spark, d).withColumn("meta", F.when(F.col("k") % 3 == 0, F.col("k"))), ["kind", "subject"])
 
 
 @query("SELECT subject, kind AS detector, count(*) AS hits, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(k, id) AS detail FROM obs GROUP BY subject, kind")
@@ -382,29 +381,30 @@ def retention_purge(spark, d):
     return upserts.purge(observations(spark, d), NOW, 7).groupBy("kind").agg(F.count("*").alias("kept"))
 
 
-@query(f"""+ e AS (SELECT subject, arg_max(ts, id) AS last_seen FROM obs GROUP BY subject) SELECT subject, last_seen FROM e WHERE last_seen < {NOW} - 2 * 86400 AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.subject = e.subject AND o.kind = 'error' AND o.ts >= {NOW} - 9 * 86400)
+@query(f"""+ e AS (SELECT subject, arg_max(ts, id) AS last_seen FROM obs GROUP BY subject) SELECT subject, last_seen FROM e WHERE last_seen < {NOW} + 64800 AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.subject = e.subject AND o.kind = 'error' AND o.ts >= {NOW} - 86400)
 AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.subject = e.subject AND o.kind = 'signup' AND o.k = 1)""")
 def retention_entity_pin(spark, d):
+    """Entities out of sight for six hours of a clock a day on, not held by an incident of two days nor by a fingerprint."""
     o = observations(spark, d)
     e = upserts.entities(o, ["subject"]).select("subject", "last_seen")
-    return upserts.pinned(e, NOW, 2, o.where((F.col("kind") == "error") & (F.col("ts") >= NOW - 9 * DAY)).select("subject"), o.where((F.col("kind") == "signup") & (F.col("k") == 1)).select("subject"))
+    return upserts.pinned(e, NOW + DAY, 0.25, o.where((F.col("kind") == "error") & (F.col("ts") >= NOW - DAY)).select("subject"), o.where((F.col("kind") == "signup") & (F.col("k") == 1)).select("subject"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", obs=False)
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority LIKE '1%') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", obs=False)
 def semi_anti_purge(spark, d):
     c, o, n = (table(spark, d, t) for t in ("customer", "orders", "nation"))
+    o = o.where("o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").join(n.where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_mktsegment")
 
 
 # ---- identity ------------------------------------------------------------------------------------------------------------------------------------------------
 
-_VIEWS = """vw AS (SELECT subject AS key, list_sort(list(DISTINCT k)) AS ssids, list_sort(list(DISTINCT k % 8)) AS tags, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM obs WHERE id % 7 < 2 GROUP BY subject),
+_VIEWS = """vw AS (SELECT subject AS key, list_sort(list(DISTINCT k)) AS ssids, list_sort(list(DISTINCT k % 8)) AS tags, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM obs GROUP BY subject),
 ex AS (SELECT key, unnest(ssids) AS f FROM vw), pr AS (SELECT a.key AS key_a, b.key AS key_b, count(*) AS shared FROM ex a JOIN ex b ON a.f = b.f AND a.key < b.key GROUP BY ALL)"""
 
 
-def _views(spark, d, rows="id % 7 < 2"):
-    """Identities of two sevenths of the rows, as in the oracles' _VIEWS; the queries named ..._all pass every row."""
-    return identity.views(observations(spark, d).where(rows).withColumn("tag", F.col("k") % 8), "subject", "k", "tag")
+def _views(spark, d, located=False):
+    return identity.views(observations(spark, d).withColumn("tag", F.col("k") % 8), "subject", "k", "tag", located)
 
 
 @query(f"+ {_VIEWS} SELECT * FROM pr WHERE shared >= 5")
@@ -412,14 +412,12 @@ def fingerprint_pairs(spark, d):
     return identity.candidate_pairs(_views(spark, d)).where("shared >= 5")
 
 
-@query(ORACLES["fingerprint_pairs"].replace(" WHERE id % 7 < 2", ""), obs=False)
-def fingerprint_pairs_all(spark, d):
-    return identity.candidate_pairs(_views(spark, d, "true")).where("shared >= 5")
-
-
-_LINK = f"""{_VIEWS}, j AS (SELECT pr.*, a.ssids AS sa, b.ssids AS sb, a.tags AS ta, b.tags AS tb, a.first_ts AS fa, b.first_ts AS fb, a.last_ts AS la, b.last_ts AS lb, a.n AS na, b.n AS nb FROM pr JOIN vw a ON a.key = key_a JOIN vw b ON b.key = key_b),
+_LINK = f"""{_VIEWS}, pl AS (SELECT DISTINCT subject AS key, round(lat, 6) AS la, round(lon, 6) AS lo FROM obs), pt AS (SELECT DISTINCT la, lo, la || ',' || lo AS p FROM pl),
+nb AS (SELECT a.p, b.p AS q FROM pt a JOIN pt b ON b.la BETWEEN a.la - 0.001 AND a.la + 0.001 AND b.lo BETWEEN a.lo - 0.001 AND a.lo + 0.001 AND {_DIST.format(a='a.la', b='b.la', c='a.lo', d='b.lo')} <= 50),
+ow AS (SELECT key, list(la || ',' || lo) AS places FROM pl GROUP BY key), rc AS (SELECT key, list(DISTINCT q) AS reached FROM pl JOIN nb ON nb.p = la || ',' || lo GROUP BY key),
+j AS (SELECT pr.*, len(list_intersect(oa.places, rb.reached)) / len(oa.places) AS ab, len(list_intersect(ob.places, ra.reached)) / len(ob.places) AS ba, a.ssids AS sa, b.ssids AS sb, a.tags AS ta, b.tags AS tb, a.first_ts AS fa, b.first_ts AS fb, a.last_ts AS la, b.last_ts AS lb, a.n AS na, b.n AS nb FROM pr JOIN vw a ON a.key = key_a JOIN vw b ON b.key = key_b JOIN ow oa ON oa.key = key_a JOIN ow ob ON ob.key = key_b JOIN rc ra ON ra.key = key_a JOIN rc rb ON rb.key = key_b),
 sc AS (SELECT *, greatest(fa, fb) - least(la, lb) <= 30 AS together,
- 0.45::DOUBLE * (len(list_intersect(sa, sb)) / len(list_distinct(sa || sb))) + CASE WHEN shared >= 2 THEN 0.06::DOUBLE * least(shared - 1, 5) ELSE 0 END + 0.25::DOUBLE * (len(list_intersect(ta, tb)) / len(list_distinct(ta || tb)))
+ 0.1::DOUBLE * (ab + ba) / 2 + 0.45::DOUBLE * (len(list_intersect(sa, sb)) / len(list_distinct(sa || sb))) + CASE WHEN shared >= 2 THEN 0.06::DOUBLE * least(shared - 1, 5) ELSE 0 END + 0.25::DOUBLE * (len(list_intersect(ta, tb)) / len(list_distinct(ta || tb)))
  + 0.15::DOUBLE * least(1.0::DOUBLE, ((CASE WHEN fb - la > 30 AND fb - la <= 300 THEN 1 ELSE 0 END) + (CASE WHEN fa - lb > 30 AND fa - lb <= 300 THEN 1 ELSE 0 END)) / 2)
  + 0.05::DOUBLE * (CASE WHEN na >= 3 AND nb >= 3 AND la > fa AND lb > fb THEN least((la - fa) / (na - 1), (lb - fb) / (nb - 1)) / greatest((la - fa) / (na - 1), (lb - fb) / (nb - 1)) ELSE 0 END) AS total FROM j),
 ls AS (SELECT *, CASE WHEN together THEN 0.0::DOUBLE ELSE round(greatest(0, least(1.0::DOUBLE, total)), 6) END AS confidence FROM sc)"""
@@ -428,13 +426,7 @@ ls AS (SELECT *, CASE WHEN together THEN 0.0::DOUBLE ELSE round(greatest(0, leas
 @query(f"""+ {_LINK} SELECT key_a, key_b, substr(sha256(least(key_a::VARCHAR, key_b::VARCHAR) || '|' || greatest(key_a::VARCHAR, key_b::VARCHAR)), 1, 16) AS hypothesis_id, shared, confidence,
 CASE WHEN together THEN 'rejected' WHEN confidence >= 0.7 AND shared >= 2 THEN 'linked' ELSE 'candidate' END AS status FROM ls WHERE together OR confidence >= 0.3""")
 def link_score(spark, d):
-    v = _views(spark, d)
-    return identity.link_scores(v, identity.candidate_pairs(v))
-
-
-@query(ORACLES["link_score"].replace(" WHERE id % 7 < 2", ""), obs=False)
-def link_score_all(spark, d):
-    v = _views(spark, d, "true")
+    v = _views(spark, d, True)
     return identity.link_scores(v, identity.candidate_pairs(v))
 
 
@@ -457,15 +449,14 @@ def relink_incidents(spark, d):
 # ---- fusion and incidents ---------------------------------------------------------------------------------------------------------------------------------------
 
 
-def _evidence(spark, d, rows="id % 9 = 0"):
-    """Evidence of a ninth of the rows, as in the oracles' _EV; the queries named ..._all pass every row."""
+def _evidence(spark, d, detector=False):
     kinds = F.array(*(F.lit(k) for k in list(incidents.WEIGHTS)[:8]))
-    o = observations(spark, d).where(rows).select("subject", F.get(kinds, F.col("k") % 8).alias("kind"), F.lpad(F.col("id").cast("string"), 12, "0").alias("detail"), (F.col("k") % 10 == 9).alias("contra"))
+    o = observations(spark, d).select("subject", F.get(kinds, F.col("k") % 8).alias("kind"), F.lpad(F.col("id").cast("string"), 12, "0").alias("detail"), (F.col("k") % 10 == 9).alias("contra"), *([F.col("kind").alias("detector")] if detector else []))
     return incidents.weigh(o.withColumn("kind", F.when(F.col("contra"), "density").otherwise(F.col("kind"))))
 
 
 _W = "CASE kind WHEN 'deauth_pattern' THEN 0.35 WHEN 'attack_signature' THEN 0.2 WHEN 'source_severity' THEN 0.15 WHEN 'rogue_reason' THEN 0.25 WHEN 'ble_signal' THEN 0.25 WHEN 'copresence' THEN 0.3 WHEN 'travel_span' THEN 0.25 WHEN 'score' THEN 0.1 WHEN 'density' THEN 0.06 ELSE 0.1 END::DOUBLE"
-_EV = f"""ev0 AS (SELECT subject, CASE WHEN k % 10 = 9 THEN 'density' ELSE ['deauth_pattern', 'attack_signature', 'source_severity', 'rogue_reason', 'ble_signal', 'copresence', 'travel_span', 'score'][k % 8 + 1] END AS kind, lpad(id::VARCHAR, 12, '0') AS detail, k % 10 = 9 AS contra FROM obs WHERE id % 9 = 0),
+_EV = f"""ev0 AS (SELECT subject, CASE WHEN k % 10 = 9 THEN 'density' ELSE ['deauth_pattern', 'attack_signature', 'source_severity', 'rogue_reason', 'ble_signal', 'copresence', 'travel_span', 'score'][k % 8 + 1] END AS kind, lpad(id::VARCHAR, 12, '0') AS detail, k % 10 = 9 AS contra FROM obs),
 ev AS (SELECT *, {_W} AS w FROM ev0),
 fu AS (SELECT subject, coalesce(list_reduce(list(1 - w ORDER BY kind, detail) FILTER (NOT contra), lambda a, b: a * b), 1) AS s, coalesce(list_reduce(list(1 - w ORDER BY kind, detail) FILTER (contra), lambda a, b: a * b), 1) AS c,
  count(DISTINCT kind) FILTER (NOT contra AND kind NOT IN ('attack_signature', 'score', 'source_severity')) AS kinds FROM ev GROUP BY subject),
@@ -477,21 +468,11 @@ def fuse_by_subject(spark, d):
     return incidents.fuse_by(_evidence(spark, d), ["subject"])
 
 
-@query(ORACLES["fuse_by_subject"].replace(" WHERE id % 9 = 0", ""), obs=False)
-def fuse_by_subject_all(spark, d):
-    return incidents.fuse_by(_evidence(spark, d, "true"), ["subject"])
-
-
 @query(f"+ {_EV} SELECT CASE WHEN confidence >= 0.6 AND may_alert THEN 'alert' WHEN confidence >= 0.3 THEN 'watch' ELSE 'info' END AS level, count(*) AS n FROM fz GROUP BY 1")
 def alert_gate(spark, d):
     return _gated(_evidence(spark, d))
 
 
-@query(ORACLES["alert_gate"].replace(" WHERE id % 9 = 0", ""), obs=False)
-def alert_gate_all(spark, d):
-    return _gated(_evidence(spark, d, "true"))
-
-
 def _gated(evidence):
     f = incidents.fuse_by(evidence, ["subject"])
     return f.groupBy(incidents.gated("confidence", "may_alert").alias("level")).agg(F.count("*").alias("n"))
@@ -502,17 +483,18 @@ def weight_assignment(spark, d):
     return _evidence(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("weight"))
 
 
-@query(ORACLES["weight_assignment"].replace(" WHERE id % 9 = 0", ""), obs=False)
-def weight_assignment_all(spark, d):
-    return _evidence(spark, d, "true").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("weight"))
+_LIST = "list(1 - w ORDER BY kind, detail)"
 
 
-@query("""SELECT l_orderkey, round(1 - list_reduce(list(1 - l_discount ORDER BY l_linenumber), lambda a, b: a * b) - 1e-9::DOUBLE, 6) AS confidence FROM lineitem GROUP BY l_orderkey""", obs=False)
+@query(f"""WITH e AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'copresence' WHEN 1 THEN 'deauth_pattern' ELSE 'score' END AS kind, l_linenumber AS detail, l_discount::DOUBLE AS w, l_returnflag = 'R' AS contra FROM lineitem)
+SELECT l_orderkey, floor(greatest(0, least((1 - coalesce(list_reduce({_LIST} FILTER (NOT contra), lambda a, b: a * b), 1)) * coalesce(list_reduce({_LIST} FILTER (contra), lambda a, b: a * b), 1), 0.99::DOUBLE)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS confidence,
+count(DISTINCT kind) FILTER (NOT contra AND kind <> 'score') AS kinds FROM e GROUP BY l_orderkey""", obs=False)
 def fuse_evidence(spark, d):
-    """Discounts as weights of evidence on orders."""
-    l = table(spark, d, "lineitem").select("l_orderkey", F.lit("x").alias("kind"), F.col("l_linenumber").alias("detail"), F.col("l_discount").alias("w"))
-    g = l.groupBy("l_orderkey").agg(F.collect_list(F.struct("kind", "detail", "w")).alias("s"))
-    return g.select("l_orderkey", F.round(C.fused("s", F.slice("s", 1, 0), 1.0, exact=True) - 1e-9, 6).alias("confidence"))
+    """Orders as cases, their lines as evidence for or, if returned, against; discounts weigh."""
+    n = F.col("l_linenumber")
+    kind = F.when(n % 3 == 0, "copresence").when(n % 3 == 1, "deauth_pattern").otherwise("score")
+    l = table(spark, d, "lineitem").select("l_orderkey", kind.alias("kind"), n.alias("detail"), F.col("l_discount").cast("double").alias("w"), (F.col("l_returnflag") == "R").alias("contra"))
+    return incidents.fuse_by(l, ["l_orderkey"]).drop("may_alert")
 
 
 @query(f"""+ w AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY kind, subject ORDER BY ts, id) <= 2 * {DAY} THEN 0 ELSE 1 END AS nw FROM obs), e AS (SELECT *, sum(nw) OVER (PARTITION BY kind, subject ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS episode FROM w)
@@ -521,9 +503,23 @@ def incident_dedup_reopen(spark, d):
     return incidents.episodes(observations(spark, d), ["kind", "subject"], 2 * DAY)
 
 
-@query()
+_WANT = """CASE WHEN confidence >= 0.6 AND kinds >= 2 AND len({d}) >= 2 THEN 3 WHEN confidence >= 0.3 THEN 2 WHEN nd >= 2 OR len({c}) >= 2 THEN 1 ELSE 0 END"""
+_NEXT = "CASE WHEN want > st THEN want WHEN want < st THEN greatest(want, 1) ELSE st END"
+
+
+@query(f"""WITH RECURSIVE {OBS}, l0 AS (SELECT 'ph:dev:' || subject AS phenomenon, floor(ts / {DAY})::BIGINT AS cycle, kind AS detector, {list(incidents.WEIGHTS)}[k % 9 + 1] AS kind, id::VARCHAR AS detail FROM obs),
+l AS (SELECT *, {_W} AS w, kind = 'density' AS contra FROM l0),
+g AS (SELECT phenomenon, cycle, coalesce(list_reduce({_LIST} FILTER (NOT contra), lambda a, b: a * b), 1) AS s, coalesce(list_reduce({_LIST} FILTER (contra), lambda a, b: a * b), 1) AS x,
+ count(DISTINCT kind) FILTER (NOT contra AND kind NOT IN ('attack_signature', 'score', 'source_severity')) AS kinds, count(DISTINCT detector) AS nd, list(DISTINCT detector) AS dets, list(DISTINCT detector || '/' || kind) AS cons FROM l GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, floor(greatest(0, least((1 - s) * x, 0.99::DOUBLE)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS confidence, row_number() OVER (PARTITION BY phenomenon ORDER BY cycle) AS nr FROM g),
+r AS (SELECT phenomenon, cycle, nr, confidence, want AS state, dets, cons FROM (SELECT *, {_WANT.format(d='dets', c='cons')} AS want FROM c WHERE nr = 1) UNION ALL
+ SELECT phenomenon, cycle, nr, confidence, {_NEXT}, all_d, all_c FROM (SELECT *, {_WANT.format(d='all_d', c='all_c')} AS want FROM (
+  SELECT c.phenomenon, c.cycle, c.nr, c.confidence, c.kinds, c.nd, CASE WHEN gone THEN c.dets ELSE list_distinct(c.dets || pd) END AS all_d, CASE WHEN gone THEN c.cons ELSE list_distinct(c.cons || pc) END AS all_c,
+   CASE WHEN ps = 0 OR gone THEN 0 WHEN ps = 1 THEN 1 ELSE greatest(1, ps - greatest(0, c.cycle - pcycle - 2)) END AS st
+  FROM (SELECT r.phenomenon AS ph, r.nr AS pnr, r.cycle AS pcycle, r.state AS ps, r.dets AS pd, r.cons AS pc FROM r) p JOIN (SELECT *, false AS f FROM c) c ON c.phenomenon = ph AND c.nr = pnr + 1, LATERAL (SELECT ps > 0 AND c.cycle - pcycle > 5 AS gone) z)))
+SELECT phenomenon, cycle, ['NEW', 'OBSERVING', 'WATCH', 'ALERT'][state + 1] AS state, confidence, len(dets)::INTEGER AS detectors FROM r""", obs=False)
 def incident_lifecycle(spark, d):
-    """Order-dependent (I4-I8): tested on a table of known outcomes. A cycle is a day; decay after two, close after five."""
+    """States of all phenomena after each cycle with evidence (I4-I7). A cycle is a day; decay after two, close after five."""
     kinds = F.array(*(F.lit(k) for k in list(incidents.WEIGHTS)))
     o = observations(spark, d).select(
         F.concat(F.lit("ph:dev:"), F.col("subject").cast("string")).alias("phenomenon"), F.floor(F.col("ts") / DAY).cast("long").alias("cycle"), F.col("kind").alias("detector"),
@@ -614,9 +610,13 @@ def clock_skew(spark, d):
     return m.select("subject", clock.alias("clock"), C.state_of(stale, F.lit(False), F.lit(False), F.lit(False)).alias("effective"))
 
 
-@query(f"""+ q AS (SELECT *, ts - lag(ts) OVER (PARTITION BY kind, subject ORDER BY ts, id) AS gap FROM obs) SELECT id, kind, subject, ts FROM q WHERE gap IS NULL OR gap >= {DAY}""")
+@query(f"""WITH RECURSIVE {OBS}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY kind, subject ORDER BY ts, id) AS nr FROM obs),
+r AS (SELECT id, kind, subject, ts, nr, ts AS sent, true AS keep FROM n WHERE nr = 1 UNION ALL
+ SELECT n.id, n.kind, n.subject, n.ts, n.nr, CASE WHEN n.ts - r.sent >= 3 * {DAY} THEN n.ts ELSE r.sent END, n.ts - r.sent >= 3 * {DAY} FROM r JOIN n ON n.kind = r.kind AND n.subject = r.subject AND n.nr = r.nr + 1)
+SELECT id, kind, subject, ts FROM r WHERE keep""", obs=False)
 def push_cooldown(spark, d):
-    return windows.cooled(observations(spark, d), ["kind", "subject"], "ts", DAY, ["ts", "id"]).select("id", "kind", "subject", "ts")
+    """A message goes out if its last one that did is three days old: the one before need not have gone out (K7)."""
+    return windows.cooled(observations(spark, d), ["kind", "subject"], "ts", 3 * DAY, ["ts", "id"]).select("id", "kind", "subject", "ts")
 
 
 @query("""+ s AS (SELECT id, subject, ts, CASE kind WHEN 'error' THEN 'alert' WHEN 'purchase' THEN 'watch' ELSE 'clear' END AS state FROM obs), l AS (SELECT *, lag(state) OVER (PARTITION BY subject ORDER BY ts, id) AS p FROM s)
@@ -653,20 +653,11 @@ def incident_detail_nested(spark, d):
 # ---- export, evaluation ------------------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT floor(ts / {DAY})::BIGINT AS cycle_id, max(ts) AS clock_ts, count(*) AS n, array_to_string(list(id::VARCHAR ORDER BY ts, id)[1:20], ',') AS first_rows FROM obs GROUP BY 1")
+@query(f"SELECT floor(ts / {DAY})::BIGINT AS cycle_id, max(ts) OVER (PARTITION BY floor(ts / {DAY})) AS clock_ts, id, ts, kind || ':' || subject AS row FROM obs")
 def scenario_export_cycles(spark, d):
-    """The first rows of each cycle; scenario_export_cycles_all has every row."""
-    return _cycles(spark, d, "first_rows", lambda r: F.slice(r, 1, 20))
-
-
-@query(ORACLES["scenario_export_cycles"].replace("[1:20]", "").replace("first_rows", "row_ids"), obs=False)
-def scenario_export_cycles_all(spark, d):
-    return _cycles(spark, d, "row_ids", F.col)
-
-
-def _cycles(spark, d, name, part):
-    g = observations(spark, d).groupBy(F.floor(F.col("ts") / DAY).cast("long").alias("cycle_id")).agg(F.max("ts").alias("clock_ts"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("r"))
-    return g.select("cycle_id", "clock_ts", "n", F.array_join(F.transform(part("r"), lambda x: x["id"].cast("string")), ",").alias(name))
+    """Every observation as a row of its cycle, with the cycle's clock."""
+    o = observations(spark, d).select("id", "ts", F.concat_ws(":", "kind", F.col("subject").cast("string")).alias("row"))
+    return sinks.scenario_rows(o, DAY)
 
 
 @query(f"SELECT subject, (min(floor(ts / {DAY})) FILTER (kind = 'error'))::BIGINT AS first_cycle, (min(floor(ts / {DAY})) FILTER (kind = 'error') - min(floor(ts / {DAY})))::BIGINT AS latency FROM obs GROUP BY subject")
@@ -867,12 +858,13 @@ def mac_normalize(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", C.normalize_mac(F.concat(F.lit("  aa:"), F.col("s_suppkey").cast("string"), F.lit("/24"))).alias("mac"))
 
 
-@query("""SELECT n_nationkey, i::INTEGER AS i, round(33.4::DOUBLE + n_nationkey * 0.01::DOUBLE + 0.001::DOUBLE * sin(radians(10 * i)), 9) AS lat, round(-112.0::DOUBLE + 0.001::DOUBLE * cos(radians(10 * i)), 9) AS lon FROM nation, (SELECT unnest(range(0, 37)) AS i)""", obs=False)
+@query("""SELECT n_nationkey, i::INTEGER AS i, round(33.4::DOUBLE + n_nationkey * 0.01::DOUBLE + (100 + 10 * n_regionkey) / 111000 * sin(radians(10 * i)), 9) AS lat,
+round(-112.0::DOUBLE + (100 + 10 * n_regionkey) / 111000 * cos(radians(10 * i)), 9) AS lon FROM nation, (SELECT unnest(range(0, 37)) AS i)""", obs=False)
 def circle_polygon(spark, d):
-    """37 points around each place."""
-    n = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(36))).alias("i"))
-    lat = F.lit(33.4) + F.col("n_nationkey") * F.lit(0.01) + F.lit(0.001) * F.sin(F.radians(10 * F.col("i")))
-    return n.select("n_nationkey", "i", F.round(lat, 9).alias("lat"), F.round(F.lit(-112.0) + F.lit(0.001) * F.cos(F.radians(10 * F.col("i"))), 9).alias("lon"))
+    """37 points around each place, at its radius."""
+    n = table(spark, d, "nation").withColumn("lat", F.lit(33.4) + F.col("n_nationkey") * F.lit(0.01))
+    ring = n.select("n_nationkey", F.posexplode(C.circle("lat", F.lit(-112.0), 100 + 10 * F.col("n_regionkey"))).alias("i", "p"))
+    return ring.select("n_nationkey", "i", F.round("p.lat", 9).alias("lat"), F.round("p.lon", 9).alias("lon"))
 
 
 @query("""+ x AS (SELECT subject, array_to_string(list_sort(list(id)), ',') AS ids FROM obs WHERE kind = 'error' GROUP BY subject) SELECT c.subject, c.kind, CASE WHEN c.k = 0 THEN 'own' ELSE coalesce(x.ids, '') END AS obs_ids FROM obs c LEFT JOIN x USING (subject) WHERE c.kind = 'signup'""")
@@ -889,11 +881,6 @@ def ssid_jaccard(spark, d):
     return _jaccards(_views(spark, d))
 
 
-@query(ORACLES["ssid_jaccard"].replace(" WHERE id % 7 < 2", ""), obs=False)
-def ssid_jaccard_all(spark, d):
-    return _jaccards(_views(spark, d, "true"))
-
-
 def _jaccards(v):
     v = v.select("key", "ssids")
     p = identity.candidate_pairs(v).where("shared >= 3")
@@ -901,14 +888,8 @@ def _jaccards(v):
     return p.join(a, "key_a").join(b, "key_b").select("key_a", "key_b", F.round(C.jaccard("sa", "sb"), 6).alias("jaccard"))
 
 
-@query("""+ g AS (SELECT k, list_sort(list(DISTINCT subject) FILTER (kind = 'view')) AS a, list_sort(list(DISTINCT subject) FILTER (kind = 'click')) AS b FROM obs WHERE subject < 4 GROUP BY k) SELECT k, coalesce(a, []) = coalesce(b, []) AS same FROM g""")
+@query("""+ g AS (SELECT k, list_sort(list(DISTINCT subject) FILTER (kind = 'view')) AS a, list_sort(list(DISTINCT subject) FILTER (kind = 'click')) AS b FROM obs GROUP BY k) SELECT k, coalesce(a, []) = coalesce(b, []) AS same FROM g""")
 def entity_set_equality(spark, d):
-    """Of the first four subjects; entity_set_equality_all has every subject."""
-    return _same_sets(observations(spark, d).where("subject < 4"))
-
-
-@query(ORACLES["entity_set_equality"].replace(" WHERE subject < 4", ""), obs=False)
-def entity_set_equality_all(spark, d):
     return _same_sets(observations(spark, d))
 
 
@@ -940,12 +921,7 @@ def attack_obs_ids(spark, d):
 @query(f"""+ {_LINK}, ro AS (SELECT unnest(range(0, 12)) AS key) SELECT a.key AS key_a, b.key AS key_b, confidence FROM ro a JOIN ro b ON a.key < b.key JOIN ls ON key_a = a.key AND key_b = b.key WHERE together OR confidence >= 0.3""")
 def roster_links(spark, d):
     """Standing hypotheses between all pairs of a roster."""
-    return _roster(spark, _views(spark, d))
-
-
-@query(ORACLES["roster_links"].replace(" WHERE id % 7 < 2", ""), obs=False)
-def roster_links_all(spark, d):
-    return _roster(spark, _views(spark, d, "true"))
+    return _roster(spark, _views(spark, d, True))
 
 
 def _roster(spark, v):
@@ -977,10 +953,14 @@ def time_boundaries(spark, d):
     return s.withColumn("boundary", F.col("now") - 60 * F.col("minutes"))
 
 
-@query("SELECT subject, max(updated) AS updated FROM (SELECT subject, greatest(id, coalesce(max(id) OVER (PARTITION BY subject ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS updated FROM obs) GROUP BY subject")
+@query(f"""+ b AS (SELECT subject, floor(ts / {DAY})::BIGINT AS batch, max(k) AS top FROM obs GROUP BY ALL) SELECT subject, batch, top, max(top) OVER (PARTITION BY subject ORDER BY batch) AS cursor FROM b""")
 def cursor_advance(spark, d):
-    """A cursor never goes back."""
-    return observations(spark, d).groupBy("subject").agg(F.max("id").alias("updated"))
+    """After each batch the cursor is the highest number consumed so far; a batch of lower ones never takes it back."""
+    b = observations(spark, d).groupBy("subject", F.floor(F.col("ts") / DAY).cast("long").alias("batch")).agg(F.max("k").alias("top"))
+    return incidents.cursors(b, ["subject"], "batch", "top")
+
+
+from skysift.plans import store_catalog  # noqa: E402, F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

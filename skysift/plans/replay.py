@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skysift.functions.columns import TRACKER_NAMES, normalize_mac
+from skysift.functions.columns import DEAUTH_KEYWORDS, TRACKER_NAMES, contains_any, normalize_mac, state_of
 from skysift.operators import incidents, normalize
 from skysift.sources import captures
 
@@ -31,7 +33,7 @@ def detections(rows: DataFrame, monitored: list[str], least: int = 5, window: fl
     v = F.try_parse_json("json")
     target = normalize_mac(F.coalesce(F.nullif("dst_mac", F.lit("")), normalize.at(v, "kismet.alert.dest_mac"), F.lit("FF:FF:FF:FF:FF:FF")))
     source = normalize_mac(F.coalesce(F.nullif("src_mac", F.lit("")), normalize.at(v, "kismet.alert.source_mac"), F.lit("")))
-    frames = alerts.where(F.lower(F.concat_ws(" ", "header", normalize.at(v, "kismet.alert.text"))).rlike("deauth|disassoc")).select("scenario_id", F.col("ts_sec").alias("ts"), target.alias("target"), source.alias("source_mac"))
+    frames = alerts.where(contains_any(F.concat_ws(" ", "header", normalize.at(v, "kismet.alert.text")), DEAUTH_KEYWORDS)).select("scenario_id", F.col("ts_sec").alias("ts"), target.alias("target"), source.alias("source_mac"))
     f = frames.join(clocks, "scenario_id").where((F.col("ts") <= F.col("clock_ts")) & (F.col("ts") >= F.col("clock_ts") - window))
     g = f.groupBy("scenario_id", "cycle_id", "clock_ts", "target", "source_mac").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts")).where(F.col("n") >= least)
     before = Window.partitionBy("scenario_id", "target", "source_mac").orderBy("cycle_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,32 +55,100 @@ def detections(rows: DataFrame, monitored: list[str], least: int = 5, window: fl
     return deauth.unionByName(rogue).unionByName(tracker)
 
 
-def replay(rows: DataFrame, monitored: list[str]) -> DataFrame:
-    """(scenario_id, subject, cycle, state, confidence, detectors) after each cycle with evidence."""
-    d = incidents.weigh(detections(rows, monitored)).withColumn("contra", F.lit(False))
+def _without_faulty(lines: DataFrame, faults: DataFrame | None) -> DataFrame:
+    """A detector that has a fault from some cycle on files nothing from then on."""
+    if faults is None:
+        return lines
+    f = faults.groupBy("scenario_id", F.col("component").alias("detector")).agg(F.min("from_cycle").alias("_from"))
+    return lines.join(f, ["scenario_id", "detector"], "left").where(F.col("_from").isNull() | (F.col("cycle_id") < F.col("_from"))).drop("_from")
+
+
+def replay(rows: DataFrame, monitored: list[str], faults: DataFrame | None = None) -> DataFrame:
+    """(scenario_id, subject, cycle, state, confidence, detectors) after each cycle with evidence, and after each later one of the scenario's clocks."""
+    found = _without_faulty(detections(rows, monitored), faults)
+    d = incidents.weigh(found).withColumn("contra", F.lit(False))
     d = d.withColumns({"phenomenon": F.concat_ws("\t", "scenario_id", "subject"), "cycle": F.floor(F.col("clock_ts") / CYCLE_S).cast("long")})
-    out = incidents.lifecycle(d, CYCLE_S)
+    clocks = rows.select("scenario_id", F.floor(F.col("clock_ts") / CYCLE_S).cast("long").alias("cycle")).distinct()
+    first = d.groupBy("scenario_id", "phenomenon").agg(F.min("cycle").alias("_first"))
+    ticks = first.join(clocks, "scenario_id").where(F.col("cycle") > F.col("_first")).select("phenomenon", "cycle", *(F.lit(None).cast(t).alias(c) for c, t in (("detector", "string"), ("kind", "string"), ("detail", "string"), ("w", "double"), ("contra", "boolean"))))
+    out = incidents.lifecycle(d.select(*ticks.columns).unionByName(ticks), CYCLE_S)
     part = F.split("phenomenon", "\t")
     return out.select(part[0].alias("scenario_id"), part[1].alias("subject"), "cycle", "state", "confidence", "detectors")
 
 
+def cycle_states(rows: DataFrame, monitored: list[str], faults: DataFrame | None = None) -> DataFrame:
+    """(scenario_id, cycle, state): what would be published after each cycle: alert and watch by the phenomena that stand, degraded by a faulty detector."""
+    clocks = rows.select("scenario_id", "cycle_id", F.floor(F.col("clock_ts") / CYCLE_S).cast("long").alias("cycle")).distinct()
+    s = replay(rows, monitored, faults).groupBy("scenario_id", "cycle").agg(F.bool_or(F.col("state") == "ALERT").alias("alert"), F.bool_or(F.col("state") == "WATCH").alias("watch"))
+    j = clocks.join(s, ["scenario_id", "cycle"], "left")
+    broken = F.lit(False)
+    if faults is not None:
+        j = j.join(faults.groupBy("scenario_id").agg(F.min("from_cycle").alias("_from")), "scenario_id", "left")
+        broken = F.coalesce(F.col("cycle_id") >= F.col("_from"), F.lit(False))
+    no = F.lit(False)
+    return j.select("scenario_id", "cycle", state_of(no, F.coalesce("alert", no), F.coalesce("watch", no), broken).alias("state"))
+
+
 def verdicts(spark: SparkSession, path: str, monitored: list[str]) -> DataFrame:
-    """(scenario_id, kind, detected, latency, entities, failed): each scenario against its labels; failed lists the gates it breaks."""
+    """(scenario_id, kind, detected, latency, entities, final_state, failed): each scenario against its labels; failed lists the gates it breaks."""
     rows = captures.scenarios(spark, path)
-    docs = spark.read.schema(captures.SCENARIO).option("multiLine", True).json(path).select("scenario_id", "labels")
+    docs = spark.read.schema(captures.SCENARIO).option("multiLine", True).json(path)
+    faults = docs.select("scenario_id", F.explode("faults").alias("f")).select("scenario_id", "f.*")
     start = rows.groupBy("scenario_id").agg(F.min(F.floor(F.col("clock_ts") / CYCLE_S)).alias("start"))
-    hot = replay(rows, monitored).where(F.col("state").isin("WATCH", "ALERT")).groupBy("scenario_id").agg(F.min("cycle").alias("first"), F.array_sort(F.collect_set("subject")).alias("entities"))
-    j = docs.join(start, "scenario_id").join(hot, "scenario_id", "left")
+    hot = replay(rows, monitored, faults).where(F.col("state").isin("WATCH", "ALERT")).groupBy("scenario_id").agg(F.min("cycle").alias("first"), F.array_sort(F.collect_set("subject")).alias("entities"))
+    last = cycle_states(rows, monitored, faults).groupBy("scenario_id").agg(F.max_by("state", "cycle").alias("final_state"))
+    j = docs.select("scenario_id", "labels").join(start, "scenario_id").join(hot, "scenario_id", "left").join(last, "scenario_id", "left")
     detected, want = F.col("first").isNotNull(), F.coalesce("labels.expect.detect", F.lit(False))
     latency = F.col("first") - F.col("start") + 1
     failed = F.array_compact(F.array(
         F.when(detected & ~want, "false_alert"), F.when(~detected & want, "missed"), F.when(detected & (latency > F.col("labels.expect.max_latency_cycles")), "latency"),
         F.when(detected & F.col("labels.expect.entity_keys").isNotNull() & (F.col("entities") != F.array_sort("labels.expect.entity_keys")), "entities"),
+        F.when(F.size("entities") > F.col("labels.expect.max_incidents"), "excess"), F.when(F.col("labels.expect.state").isNotNull() & (F.col("final_state") != F.col("labels.expect.state")), "state"),
     ))
-    return j.select("scenario_id", F.col("labels.kind").alias("kind"), detected.alias("detected"), latency.alias("latency"), "entities", failed.alias("failed"))
+    return j.select("scenario_id", F.col("labels.kind").alias("kind"), detected.alias("detected"), latency.alias("latency"), "entities", "final_state", failed.alias("failed"))
 
 
 def gates(v: DataFrame) -> DataFrame:
     """One row: how many scenarios break each gate."""
     n = lambda g: F.count_if(F.array_contains("failed", g)).alias(g)
-    return v.agg(F.count("*").alias("scenarios"), n("false_alert"), n("missed"), n("latency"), n("entities"), F.max("latency").alias("worst_latency"))
+    return v.agg(F.count("*").alias("scenarios"), n("false_alert"), n("missed"), n("latency"), n("entities"), n("excess"), n("state"), F.max("latency").alias("worst_latency"))
+
+
+#: A gates document's version, the gates and how many scenarios a corpus has at least.
+GATES_VERSION = 1
+GATES = ["false_alert", "missed", "latency", "entities", "excess", "state", "worst_latency"]
+LEAST_SCENARIOS = 25
+
+
+def load_gates(path: str) -> dict[str, int]:
+    """A gates document, strictly: a misspelt or missing gate must not read as a green run."""
+    with open(path, encoding="utf-8") as f:
+        doc = json.load(f)
+    if not isinstance(doc, dict) or doc.get("gate_version") != GATES_VERSION:
+        raise ValueError(f"gate_version must be {GATES_VERSION}")
+    own = {k: v for k, v in doc.items() if k not in ("gate_version", "notes")}
+    bad = sorted({*own} ^ {*GATES}) + sorted(k for k, v in own.items() if isinstance(v, bool) or not isinstance(v, int) or v < 0)
+    if bad:
+        raise ValueError(f"unknown, missing or wrong gates: {', '.join(bad)}")
+    return own
+
+
+def evaluate(spark: SparkSession, path: str, monitored: list[str], thresholds: dict[str, int], least: int = LEAST_SCENARIOS) -> tuple[int, list[str]]:
+    """(exit code, what failed): 0 if every gate holds, 1 if one does not, 2 if the corpus cannot be judged."""
+    problems = [f"{r.scenario_id}: {r.problem}" for r in captures.scenario_problems(spark, path).limit(100).collect()]
+    problems += [f"{r.file}: unknown key {r.key}" for r in captures.unknown_keys(spark, path).limit(100).collect()]
+    got = gates(verdicts(spark, path, monitored)).first()
+    if got["scenarios"] < least:
+        problems.append(f"{got['scenarios']} scenarios, at least {least} are needed")
+    if problems:
+        return 2, problems
+    over = [f"{g}: {got[g]} over {thresholds[g]}" for g in GATES if (got[g] or 0) > thresholds[g]]
+    return (1 if over else 0), over
+
+
+def raw_strings(texts: DataFrame, column: str, needles: list[str]) -> DataFrame:
+    """Rows of rendered text that show a string which must not be shown."""
+    hit = F.lit(False)
+    for n in filter(None, needles):
+        hit = hit | F.contains(F.col(column), F.lit(n))
+    return texts.where(hit)

@@ -11,6 +11,7 @@ ALERTS = "ts_sec double, header string, json string, src_mac string, dst_mac str
 ROW = "struct<source:string,row:string,fix:struct<lat:double,lon:double,ts:double,accuracy_m:double>>"
 SCENARIO = (
     "scenario_version int, scenario_id string, session_id string, description string, close_after_seconds double, restarts array<int>, "
+    "config_overrides string, faults array<struct<component:string,from_cycle:int,error:string>>, "
     "labels struct<kind:string,expect:struct<detect:boolean,state:string,max_latency_cycles:int,max_incidents:int,entity_keys:array<string>,no_raw_strings:array<string>>>, "
     f"cycles array<struct<cycle_id:int,clock_ts:double,rows:array<{ROW}>>>"
 )
@@ -22,6 +23,33 @@ def newest(spark: SparkSession, folder: str, pattern: str = "*") -> str | None:
     return files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
 
 
+class Resolver:
+    """The newest capture of a folder, and whether it is another one than before."""
+
+    def __init__(self, spark: SparkSession, folder: str, pattern: str = "*"):
+        self.spark, self.folder, self.pattern, self.current, self.just_rolled = spark, folder, pattern, None, False
+
+    def resolve(self) -> str:
+        found = newest(self.spark, self.folder, self.pattern)
+        if found is None:
+            self.just_rolled = False
+            raise FileNotFoundError(f"{self.folder}/{self.pattern}")
+        self.just_rolled, self.current = found != self.current, found
+        return found
+
+
+def missing_columns(table: DataFrame, schema: str = DEVICES) -> list[str]:
+    """Columns of a capture table that a file lacks or holds in another type; an empty list validates it. Only the schema is read."""
+    want = {f.name: f.dataType for f in table.sparkSession.createDataFrame([], schema).schema}
+    have = {f.name: f.dataType for f in table.schema}
+    return [c for c, t in want.items() if have.get(c) != t]
+
+
+def macs_between(devices: DataFrame, start: float, end: float | None = None) -> DataFrame:
+    """Only the addresses of a time range; no other column but the time is read."""
+    return devices_between(devices.select("devmac", "last_time"), start, end).where("devmac is not null").select("devmac")
+
+
 def devices_between(devices: DataFrame, start: float, end: float | None = None) -> DataFrame:
     """Closed at both ends; the range reaches the scan as a pushed filter."""
     d = devices.where(F.col("last_time") >= start)
@@ -42,6 +70,24 @@ def scenarios(spark: SparkSession, path: str) -> DataFrame:
     return c.select("scenario_id", "session_id", "c.cycle_id", "c.clock_ts", F.explode_outer("c.rows").alias("r")).select("scenario_id", "session_id", "cycle_id", "clock_ts", "r.source", "r.row", "r.fix")
 
 
+#: Keys that a scenario document may have.
+SCENARIO_KEYS = ["scenario_version", "scenario_id", "session_id", "description", "close_after_seconds", "restarts", "config_overrides", "faults", "labels", "cycles"]
+
+
+def unknown_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(file, key) of top-level keys that no scenario has: a misspelt one must not pass as absent."""
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.explode(F.json_object_keys("value")).alias("key"))
+    return t.where(~F.col("key").isin(SCENARIO_KEYS))
+
+
+def status_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The published status; a table without rows where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "state string, ts double")
+    return spark.read.json(path)
+
+
 def scenario_problems(spark: SparkSession, path: str) -> DataFrame:
     """(scenario_id, problem) of documents that break the format."""
     d = spark.read.schema(SCENARIO).option("multiLine", True).json(path)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.operators.normalize import split_rejects
@@ -18,8 +19,46 @@ def append_observations(normalized: DataFrame, log: str, rejects: str) -> None:
 
 
 def publish_status(status: DataFrame, path: str) -> None:
-    """One row, replaced as a whole."""
-    status.coalesce(1).write.mode("overwrite").json(path)
+    """One row, replaced as a whole: written aside, then renamed over the old one by the file system, so that a reader finds either. What cannot be put in
+    place stays aside under .parked and the error is the caller's."""
+    spark = status.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    status.coalesce(1).write.json(aside)
+    new, old, parked = (jvm.org.apache.hadoop.fs.Path(x) for x in (aside, path, f"{path.rstrip('/')}.parked"))
+    fs = old.getFileSystem(conf)
+    before = jvm.org.apache.hadoop.fs.Path(f"{aside}.old")
+    had = fs.exists(old)
+    try:
+        if had and not fs.rename(old, before) or not fs.rename(new, old):
+            raise OSError(f"cannot replace {path}")
+    except Exception:
+        if had and not fs.exists(old):
+            fs.rename(before, old)
+        fs.delete(parked, True)
+        fs.rename(new, parked)
+        raise
+    if had:
+        fs.delete(before, True)
+
+
+def append_status(status: DataFrame, history: str, now: float) -> None:
+    """A row of the status history."""
+    status.withColumn("ts", F.lit(now)).coalesce(1).write.mode("append").parquet(history)
+
+
+def append_heartbeat(spark: SparkSession, heartbeats: str, component: str, now: float, ok: bool, detail: str = "") -> None:
+    spark.createDataFrame([(component, now, ok, detail)], "component string, ts double, ok boolean, detail string").coalesce(1).write.mode("append").parquet(heartbeats)
+
+
+def publish_failure(spark: SparkSession, path: str, now: float, reason: str) -> None:
+    """A status of fail, for a publisher that cannot compose one; the next publish_status recovers it."""
+    publish_status(spark.createDataFrame([("fail", reason, now)], "state string, reason string, ts double"), path)
+
+
+def save_ignore_list(subjects: DataFrame, path: str) -> None:
+    """The list as one JSON array in a file of its own, sorted; lists are configuration of bounded size."""
+    subjects.agg(F.to_json(F.array_sort(F.collect_set("subject"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def debrief_markdown(day: str, transitions: DataFrame, top: DataFrame, multi: DataFrame) -> str:
@@ -32,16 +71,28 @@ def debrief_markdown(day: str, transitions: DataFrame, top: DataFrame, multi: Da
     return "\n".join(out) + "\n"
 
 
+def scenario_rows(observations: DataFrame, cycle_s: float) -> DataFrame:
+    """observations (ts, ...) -> the same rows with cycle_id and clock_ts, their cycle's latest time. A cycle stays spread over rows."""
+    o = observations.withColumn("cycle_id", F.floor(F.col("ts") / cycle_s).cast("long"))
+    return o.join(o.groupBy("cycle_id").agg(F.max("ts").alias("clock_ts")), "cycle_id")
+
+
 def export_scenario(observations: DataFrame, path: str, cycle_s: float) -> None:
-    """Observations as scenario cycles, one JSON row for each."""
-    row = F.struct(F.col("source"), F.to_json(F.struct("identity_key", "kind", "lat", "lon", "payload_json")).alias("row"))
-    c = observations.groupBy(F.floor(F.col("ts") / cycle_s).cast("long").alias("cycle_id")).agg(F.max("ts").alias("clock_ts"), F.array_sort(F.collect_list(F.struct("ts", row.alias("r")))).alias("rows"))
-    c.withColumn("rows", F.col("rows.r")).write.mode("overwrite").json(path)
+    """Observations as JSON rows, a folder for each cycle (cycle_id=...), sorted by time within a file. No cycle has to fit a task."""
+    row = F.to_json(F.struct("identity_key", "kind", "lat", "lon", "payload_json")).alias("row")
+    c = scenario_rows(observations, cycle_s).select("cycle_id", "clock_ts", "ts", "source", row)
+    c.sortWithinPartitions("cycle_id", "ts", "row").write.mode("overwrite").partitionBy("cycle_id").json(path)
+
+
+#: Rows of a report that comes to the driver; more are refused.
+MOST_REPORT = 100_000
 
 
 def report_bytes(report: DataFrame, order: list[str]) -> bytes:
-    """Canonical bytes of a small report: equal reports are equal byte for byte."""
-    rows = [r.asDict(recursive=True) for r in report.orderBy(*order).collect()]
+    """Canonical bytes of a report of at most MOST_REPORT rows: equal reports are equal byte for byte."""
+    rows = [r.asDict(recursive=True) for r in report.orderBy(*order).limit(MOST_REPORT + 1).collect()]
+    if len(rows) > MOST_REPORT:
+        raise ValueError(f"a report has at most {MOST_REPORT} rows")
     return json.dumps(rows, sort_keys=True, separators=(",", ":"), default=str).encode()
 
 

@@ -102,3 +102,10 @@ def lifecycle_stream(stream: DataFrame, cycle_s: float, decay: float = 120.0, cl
     """The batch operator's rows, as batches arrive."""
     out = "phenomenon string, cycle bigint, state string, confidence double, detectors int"
     return stream.groupBy("phenomenon").transformWithStateInPandas(Phenomenon(cycle_s, decay, close_after), out, "Append", "None")
+
+
+def run_cycles(stream: DataFrame, cycle, checkpoint: str, every: str | None = "60 seconds"):
+    """Starts the analysis loop: cycle(batch, number) runs for each micro-batch, every so often, or over all that is there and then ends (every None).
+    Offsets live in the checkpoint: a batch whose cycle failed comes again under the same number."""
+    w = stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()

@@ -13,9 +13,10 @@ from skysift.streaming import live
 T0 = 1700000000.0
 
 
-def scenario(name, kind, cycles, detect, latency=None, keys=None):
+def scenario(name, kind, cycles, detect, latency=None, keys=None, final=None, **more):
     return {
-        "scenario_version": 1, "scenario_id": name, "session_id": "s", "description": "", "labels": {"kind": kind, "expect": {"detect": detect, "state": "watch" if detect else "clear", "max_latency_cycles": latency, "entity_keys": keys}},
+        **more,
+        "scenario_version": 1, "scenario_id": name, "session_id": "s", "description": "", "labels": {"kind": kind, "expect": {"detect": detect, "state": final or ("watch" if detect else "clear"), "max_latency_cycles": latency, "entity_keys": keys}},
         "cycles": [{"cycle_id": i, "clock_ts": T0 + 60 * i, "rows": rows} for i, rows in enumerate(cycles)],
     }
 
@@ -43,6 +44,8 @@ def corpus(tmp_path_factory):
         scenario("tag", "suspicious", [[], [ble(T0 + 58, "CC", "AirTag")]], True, 2, ["CC"]),
         scenario("headphones", "normal", [[ble(T0 - 1, "DD", "Buds")], []], False),
         scenario("future-row", "edge", [[alert(T0 + 5000 + i) for i in range(8)], []], False),
+        scenario("broken-detector", "edge", [[], [alert(T0 + 50 + i) for i in range(8)], []], False, final="degraded", faults=[{"component": "deauth", "from_cycle": 1, "error": "x"}]),
+        scenario("late-fault", "edge", [[alert(T0 - 10 + i) for i in range(8)], [], []], True, 1, ["BB:BB:BB:BB:BB:BB"], faults=[{"component": "ble", "from_cycle": 2, "error": "x"}]),
     ]
     for x in docs:
         (d / f"{x['scenario_id']}.json").write_text(json.dumps(x))
@@ -51,9 +54,9 @@ def corpus(tmp_path_factory):
 
 def test_replay_meets_labels(spark, corpus):
     v = replay.verdicts(spark, corpus, ["home"])
-    assert {r.scenario_id: list(r.failed) for r in v.collect()} == {n: [] for n in ("burst", "single-frame", "twin", "one-radio", "tag", "headphones", "future-row")}
+    assert {r.scenario_id: list(r.failed) for r in v.collect()} == {n: [] for n in ("burst", "single-frame", "twin", "one-radio", "tag", "headphones", "future-row", "broken-detector", "late-fault")}
     g = replay.gates(v).first()
-    assert (g.scenarios, g.false_alert, g.missed, g.latency, g.entities) == (7, 0, 0, 0, 0) and g.worst_latency <= 2
+    assert (g.scenarios, g.false_alert, g.missed, g.latency, g.entities, g.excess, g.state) == (9, 0, 0, 0, 0, 0, 0) and g.worst_latency <= 2
 
 
 def test_replay_is_deterministic(spark, corpus):
@@ -62,6 +65,71 @@ def test_replay_is_deterministic(spark, corpus):
     assert sinks.report_bytes(replay.replay(rows, ["home"]), order) == sinks.report_bytes(replay.replay(rows.repartition(7), ["home"]), order)
 
 
+def test_evaluation(spark, corpus, tmp_path):
+    good = {"gate_version": 1, **dict.fromkeys(replay.GATES, 0), "worst_latency": 2}
+    (tmp_path / "gates.json").write_text(json.dumps(good))
+    limits = replay.load_gates(str(tmp_path / "gates.json"))
+    assert replay.evaluate(spark, corpus, ["home"], limits, 5) == (0, [])
+    assert replay.evaluate(spark, corpus, ["home"], limits)[0] == 2, "a small corpus is not judged"
+    code, why = replay.evaluate(spark, corpus, [], limits, 5)
+    assert code == 1 and any(w.startswith("missed") for w in why)
+    for bad in ({**good, "mised": 0}, {k: v for k, v in good.items() if k != "missed"}, {**good, "missed": True}, {**good, "gate_version": 2}):
+        (tmp_path / "gates.json").write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            replay.load_gates(str(tmp_path / "gates.json"))
+
+
+def test_states_of_silent_cycles(spark, tmp_path):
+    """An attack, then silence: the phenomenon decays and is closed as stale."""
+    (tmp_path / "x.json").write_text(json.dumps(scenario("quiet-tail", "edge", [[alert(T0 - 10 + i) for i in range(8)], *([[]] * 14)], True, 1)))
+    s = replay.cycle_states(captures.scenarios(spark, str(tmp_path)), ["home"]).orderBy("cycle")
+    assert [r.state for r in s.collect()] == ["watch"] * 3 + ["clear"] * 12
+
+
+def test_unknown_keys(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps({"scenario_version": 1, "cycels": []}))
+    assert [(r.file, r.key) for r in captures.unknown_keys(spark, str(tmp_path)).collect()] == [("x.json", "cycels")]
+
+
+def test_restart_resumes_from_the_checkpoint(spark, tmp_path):
+    """The loop is stopped between batches and started anew: every row is seen once, and a cycle that failed comes again."""
+    schema = "subject long, ts double"
+    seen, fail = [], [True]
+
+    def cycle(batch, number):
+        rows = sorted(r.subject for r in batch.collect())
+        if 7 in rows and fail:
+            fail.clear()
+            raise RuntimeError("lost power")
+        seen.append((number, rows))
+
+    for k, part in enumerate(([1, 2], [7], [8, 9])):
+        spark.createDataFrame([(x, 0.0) for x in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):
+            q = live.run_cycles(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), cycle, str(tmp_path / "checkpoint"), None)
+            try:
+                q.awaitTermination(120)
+            except Exception:
+                assert k == 1
+    assert seen == [(0, [1, 2]), (1, [7]), (2, [8, 9])]
+
+
+def test_scans(spark):
+    from skysift.plans import scans
+
+    alerts = spark.createDataFrame([(T0 + i, "DEAUTHFLOOD", '{"kismet.alert.channel": "6"}', "aa", "bb", None) for i in range(12)] + [(T0, "APSPOOF", "{}", None, "cc", None), (T0 - 9999, "DEAUTH", "{}", "aa", "bb", None)], captures.ALERTS)
+    dev = json.dumps({"dot11.device": {"dot11.device.client_map": {"ap1": {"dot11.client.retries": 60, "dot11.client.tx_packets": 100}, "ap2": {"dot11.client.retries": 60, "dot11.client.tx_packets": 200}}, "dot11.device.advertised_ssid_map": [{"dot11.advertisedssid.ssid": "home"}]}, "kismet.device.base.channel": "6"})
+    devices = spark.createDataFrame([("m1", "Wi-Fi AP", dev, T0, None, None, None), ("m2", "Wi-Fi AP", dev, T0 + 5, None, None, None), ("m3", "x", "{bad", T0, None, None, None)], captures.DEVICES)
+    attacks, retries = scans.deauth_scan(alerts, devices, T0 + 60)
+    assert [(r.target, r.source, r.n, list(r.channels), r.severity) for r in attacks.collect()] == [("BB", "AA", 12, [6], "MEDIUM")]
+    assert sorted((r.target, r.source) for r in retries.collect()) == [("M1", "AP1"), ("M2", "AP1")]
+    assert scans.deauth_scan(alerts, devices, T0 + 60, protected=["zz"])[0].count() == 0
+    trusted = spark.createDataFrame([("home", "M1", 6)], "ssid string, bssid string, channel int")
+    new, checked, said = scans.rogue_scan(devices, alerts, T0 + 60, trusted)
+    assert [(r.ssid, r.bssid) for r in new.collect()] == [("home", "M2")] and {r.bssid: r.verdict for r in checked.collect()} == {"M1": "trusted", "M2": "CRITICAL"}
+    assert [r.ssid for r in said.collect()] == ["[Kismet Alert: APSPOOF]"]
+
+
 def test_scenario_problems(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"scenario_version": 2, "scenario_id": "x", "labels": {"kind": "odd"}, "cycles": []}))
     assert {r.problem for r in captures.scenario_problems(spark, str(tmp_path)).collect()} == {"version", "labels.kind", "cycles"}
@@ -86,7 +154,13 @@ def test_sinks(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 2 and spark.read.json(str(tmp_path / "bad")).count() == 2
     sinks.export_scenario(log, str(tmp_path / "cycles"), 60.0)
-    assert len(spark.read.json(str(tmp_path / "cycles")).first().rows) == 2
+    out = spark.read.json(str(tmp_path / "cycles")).collect()
+    assert [(r.cycle_id, r.clock_ts) for r in out] == [(int(T0 // 60), T0)] * 2
+    sinks.save_ignore_list(spark.createDataFrame([("B",), ("A",), ("A",)], "subject string"), str(tmp_path / "ignore"))
+    assert sorted(r.subject for r in captures.ignore_list(spark, str(tmp_path / "ignore")).collect()) == ["A", "B"]
+    sinks.append_heartbeat(spark, str(tmp_path / "beats"), "analyzer", 1.0, True)
+    sinks.append_heartbeat(spark, str(tmp_path / "beats"), "analyzer", 2.0, False, "x")
+    assert spark.read.parquet(str(tmp_path / "beats")).count() == 2
     status = incidents.status_rollup(spark.createDataFrame([("k", "alert", 100.0)], "incident_key string, severity string, last_ts double"), 120.0)
     sinks.publish_status(status, str(tmp_path / "status"))
     assert spark.read.json(str(tmp_path / "status")).first().state == "alert"

@@ -160,7 +160,7 @@ def test_reappearance_labels(spark):
         (lambda: C.normalize_mac("x"), " aa:bb:cc:dd:ee:ff/24 ", "AA:BB:CC:DD:EE:FF"), (lambda: C.normalize_mac("x"), " /x", None),
         (lambda: C.mask_macs("x"), "saw aa:bb:cc:dd:ee:ff.", "saw aa:bb:xx:xx:xx:ff."), (lambda: C.neutral_text("x"), "<b>‮hi\x00 [x]`", "b hi x"),
         (lambda: C.subject_token("x"), "", "?"), (lambda: C.replace_subjects("x", ["net", "netgear"]).contains("net"), "my netgear", False),
-        (lambda: C.escape_markdown("x"), "a\\*b", "a\\\\\\*b"), (lambda: C.escape_xml("x"), "<&>", "&lt;&amp;&gt;"), (lambda: C.finite("x"), "nan", None), (lambda: C.finite("x"), "2.5", 2.5),
+        (lambda: C.escape_markdown("x"), "a\\*[b]", "a\\\\*\\[b\\]"), (lambda: C.escape_xml("x"), "<&>", "&lt;&amp;&gt;"), (lambda: C.finite("x"), "nan", None), (lambda: C.finite("x"), "2.5", 2.5),
         (lambda: C.is_downgrade(F.lit("WPA2-PSK"), "x"), "wpa", True), (lambda: C.encryption_matches(F.lit("WPA2"), "x"), "wpa2-psk", True), (lambda: C.channel_of(F.col("x").cast("int")), "5825000", 165),
         (lambda: C.channel_of(F.col("x").cast("int")), "2437000", 6), (lambda: C.channel_of(F.col("x").cast("int")), "2437", None), (lambda: C.tracker_score("x", F.lit("{}"), F.lit(True)), "My AirTag", 0.8),
     ],
@@ -194,35 +194,75 @@ def test_normalizers(spark):
     assert [r.reject for r in normalize.gps_fixes(g, "s").collect()] == [None, "no place", "no time"]
 
 
-def test_thinning_covers_every_subject(spark, data):
+def test_queries_read_whole_tables(spark, data):
+    """No filter by id, no prefix of subjects: rows of the queries against plain counts over all observations."""
+    text = " ".join(catalog.ORACLES.values())
+    assert not any(f"id % {n}" in text and f"id % {n} =" in text and "WHERE id %" in text for n in (5, 7, 9)) and "subject < 20" not in text and "subject < 4 " not in text
+    o = bindings.observations(spark, data).collect()
+    assert sum(r.n for r in catalog.QUERIES["weight_assignment"](spark, data).collect()) == len(o)
+    assert catalog.QUERIES["stable_place_id"](spark, data).count() == len({(r.k, r.lat, r.lon) for r in o})
+    assert {r.id for r in catalog.QUERIES["scenario_export_cycles"](spark, data).collect()} == {r.id for r in o}
+    seen = {}
+    for r in o:
+        seen.setdefault(r.subject, set()).add(r.k)
+    want = {(a, b, len(seen[a] & seen[b])) for a in seen for b in seen if a < b and len(seen[a] & seen[b]) >= 5}
+    assert {(r.key_a, r.key_b, r.shared) for r in catalog.QUERIES["fingerprint_pairs"](spark, data).collect()} == want
+
+
+def test_thinning_against_a_loop(spark, data):
     rows = sorted(map(tuple, bindings.observations(spark, data).select("subject", "ts", "id", "lat", "lon").collect()))
     want, last = [], {}
     for subject, _, i, lat, lon in rows:
         if subject not in last or math.hypot(lat - last[subject][0], lon - last[subject][1]) * 111000 >= 5000:
             last[subject] = lat, lon
             want.append((i, subject))
-    assert sorted(map(tuple, catalog.QUERIES["gps_thin_all"](spark, data).collect())) == sorted(want) and {r[0] for r in rows} == {x for _, x in want}
-    assert "subject <" not in catalog.ORACLES["entity_set_equality_all"]
+    assert sorted(map(tuple, catalog.QUERIES["gps_thin"](spark, data).collect())) == sorted(want)
 
 
-def test_pairs_of_all_observations(spark, data):
-    names = ["fingerprint_pairs_all", "link_score_all", "ssid_jaccard_all", "roster_links_all"]
-    assert not any("id % 7" in catalog.ORACLES[n] for n in names)
-    seen = {}
-    for r in bindings.observations(spark, data).select("subject", "k").collect():
-        seen.setdefault(r.subject, set()).add(r.k)
-    want = {(a, b, len(seen[a] & seen[b])) for a in seen for b in seen if a < b and len(seen[a] & seen[b]) >= 5}
-    assert {(r.key_a, r.key_b, r.shared) for r in catalog.QUERIES[names[0]](spark, data).collect()} == want
+def test_cooldown_counts_from_the_last_message_sent(spark):
+    """Events every 0.9 cooldowns: every second one goes out, not only the first."""
+    df = spark.createDataFrame([("a", i, 90.0 * i) for i in range(6)] + [("b", 9, 10.0)], "key string, id long, ts double")
+    assert sorted((r.key, r.id) for r in windows.cooled(df, ["key"], "ts", 100.0, ["ts", "id"]).collect()) == [("a", 0), ("a", 2), ("a", 4), ("b", 9)]
+
+
+def test_density_counts_none_and_crosses_the_antimeridian(spark):
+    v = spark.createDataFrame([(1, 1, 1000.0, None, 10.0, 179.99999), (2, 1, 1000.0, 90000.0, 89.9999, 0.0), (3, 1, 5.0, 6.0, 0.0, 0.0)], "subject long, visit long, enter_ts double, exit_ts double, lat double, lon double")
+    s = spark.createDataFrame([(7, 1100.0, 10.0, -179.99999), (8, 1100.0, 10.0, 179.9), (0, 1000.0, 10.0, 179.99999), (1, 1000.0, 10.0, 179.99999), (9, 80000.0, 89.9999, 180.0), (9, 80001.0, 89.9999, 170.0), (7, 99999.0, 0.0, 0.0)], "subject long, ts double, lat double, lon double")
+    got = {r.subject: r.others for r in geo.density(v, s, 0).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
+def test_cells_hold_all_neighbours(spark):
+    """Points at the radius in every direction lie in one of the cells, at any latitude."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([rng.uniform(-89.9999, 89.9999), rng.uniform(-1, 1), 89.9995, -89.9999]), rng.choice([rng.uniform(-180, 180), 179.9999, -180.0])) for i in range(200)]
+    near = []
+    for i, lat, lon in rows:
+        for k in range(8):
+            d, t = 49.9 / 6371000.0, k * math.pi / 4
+            la = math.radians(lat)
+            y = math.asin(max(-1, min(1, math.sin(la) * math.cos(d) + math.cos(la) * math.sin(d) * math.cos(t))))
+            x = math.radians(lon) + math.atan2(math.sin(t) * math.sin(d) * math.cos(la), math.cos(d) - math.sin(la) * math.sin(y))
+            near.append((i, math.degrees(y), (math.degrees(x) + 540) % 360 - 180))
+    a = spark.createDataFrame(rows, "i long, lat double, lon double").select("i", geo.cells_near("lat", "lon", 50.0).alias("cells"))
+    b = spark.createDataFrame(near, "i long, lat double, lon double").select("i", geo.cell("lat", "lon").alias("c"))
+    assert b.join(a, "i").where(~F.array_contains("cells", F.col("c"))).count() == 0
+
+
+def test_spatial_signal_needs_places(spark):
+    rows = [("a", "x", 1, 0.0, 33.4, -112.0), ("a", "x", 1, 100.0, 33.5, -112.0), ("b", "x", 1, 5000.0, 33.4003, -112.0), ("c", "x", 1, 9000.0, None, None)]
+    o = spark.createDataFrame(rows, "key string, ssid string, tag int, ts double, lat double, lon double")
+    v = {r.key: r for r in identity.views(o, "key", "ssid", "tag", True).collect()}
+    assert {k: (len(r.places), len(r.reached)) for k, r in v.items()} == {"a": (2, 3), "b": (1, 2), "c": (0, 0)}
+
 
+def test_entity_meta_is_the_newest_that_is_not_null(spark):
+    from skysift.operators import upserts
 
-def test_evidence_and_positions_of_all_observations(spark, data):
-    names = ["fuse_by_subject_all", "alert_gate_all", "weight_assignment_all", "haversine_pairs_all", "stable_place_id_all"]
-    assert not any("id % 9" in catalog.ORACLES[n] or "id % 5 =" in catalog.ORACLES[n] for n in names)
-    o = bindings.observations(spark, data)
-    assert sum(r.n for r in catalog.QUERIES["weight_assignment_all"](spark, data).collect()) == o.count()
-    assert catalog.QUERIES["stable_place_id_all"](spark, data).count() == o.select("k", "lat", "lon").distinct().count()
+    df = spark.createDataFrame([("a", 1, 5.0, "x"), ("a", 2, 4.0, "y"), ("a", 3, 9.0, None)], "key string, id long, ts double, meta string")
+    r = upserts.entities(df, ["key"]).first()
+    assert (r.first_seen, r.last_seen, r.see_count, r.meta) == (4.0, 9.0, 3, "y")
 
 
-def test_export_has_every_row(spark, data):
-    got = [int(i) for r in catalog.QUERIES["scenario_export_cycles_all"](spark, data).collect() for i in r.row_ids.split(",")]
-    assert sorted(got) == sorted(r.id for r in bindings.observations(spark, data).select("id").collect())
+def test_keywords():
+    assert {"bssflood", "apspoof", "changehostname"} <= set(C.DEAUTH_KEYWORDS)
