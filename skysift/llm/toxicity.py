@@ -20,12 +20,22 @@ THRESHOLD = 0.3
 MOST_TOXIC, MOST_CLEAN = 2_000, 3_000
 ROUNDS, RATE, DECAY, FAIRNESS, START = 120, 0.1, 1e-5, 1.0, -6.0
 
-#: Identity terms; those of a group are swapped for one another.
+#: Identity terms in the corpus's languages; those of a group are swapped for one another.
 IDENTITY_GROUPS = [
     ["women", "men"], ["woman", "man"], ["girls", "boys"], ["gay", "straight"], ["lesbian", "heterosexual"], ["transgender", "cisgender"],
     ["black", "white", "asian", "latino"], ["muslim", "christian", "jewish", "hindu", "buddhist"], ["muslims", "christians", "jews", "hindus", "buddhists"],
     ["immigrants", "natives"], ["immigrant", "native"], ["disabled", "blind", "deaf"], ["old", "young"],
+    ["frauen", "männer"], ["frau", "mann"], ["mädchen", "jungen"], ["muslime", "christen", "juden", "hinduisten", "buddhisten"], ["einwanderer", "einheimische"], ["schwule", "heterosexuelle"], ["alte", "junge"], ["blinde", "gehörlose", "behinderte"],
+    ["femmes", "hommes"], ["femme", "homme"], ["filles", "garçons"], ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes"], ["immigrés", "natifs"], ["gays", "hétéros"], ["vieux", "jeunes"], ["aveugles", "sourds", "handicapés"],
+    ["mujeres", "hombres"], ["mujer", "hombre"], ["niñas", "niños"], ["musulmanes", "cristianos", "judíos", "hindúes", "budistas"], ["inmigrantes", "nativos"], ["homosexuales", "heterosexuales"], ["viejos", "jóvenes"], ["ciegos", "sordos", "discapacitados"],
 ]
+#: Neutral mentions, put before short labelled texts so that there is something to swap; the label stays the text's own.
+MENTIONS = [
+    "the {} next door sold bread at the market", "two {} sat by the river and read", "a talk by {} in the library", "die {} von nebenan lasen am fluss", "am markt standen {} und redeten", "ein gespräch mit {} im garten",
+    "les {} du quartier lisent dans le jardin", "au marché les {} parlent du temps", "une lettre des {} de la ville", "los {} del barrio leen en el parque", "en el mercado hablan {} del tiempo", "una carta de {} del pueblo",
+]
+#: Texts of each label that get such a sentence: the shortest ones.
+MOST_MENTIONS = 300
 
 LETTER = np.zeros(256, bool)
 LETTER[ord("a") : ord("z") + 1] = True
@@ -79,7 +89,7 @@ def grams(stream: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tu
         word = np.repeat(np.arange(len(begin)), number)
         first = np.repeat(begin - 1 - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(len(word)) if len(word) else np.zeros(0, np.int64)
         h = np.full(len(x), np.uint32(n * 0x9E37))
-        for k in range(n):
+        for k in range(min(n, len(x))):
             h[: len(x) - k] = h[: len(x) - k] * _K + x[k:]
         yield _mix32(h[first]), word
 
@@ -97,14 +107,25 @@ class Model:
         return z
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """Probability that any word is toxic: 1 - exp(-sum of softplus(word logit))."""
-        data, starts = utf8_buffers(pc.utf8_lower(texts))
-        out = np.zeros(len(starts) - 1)
-        for lo, hi in chunks(starts, 1 << 20):
-            stream, begin, end, text = words_of(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
-            t = np.bincount(text, np.logaddexp(0, self.word_logits(stream, begin, end)), hi - lo)
-            out[lo:hi] = -np.expm1(-t)
-        return out
+        """Probability that any word is toxic: 1 - exp(-sum of softplus(word logit)). Each distinct word is judged once."""
+        tokens, text = _tokens(texts)
+        coded = tokens.dictionary_encode()
+        if not len(coded.dictionary):
+            return np.zeros(len(texts))
+        stream, begin, end, _ = words_of(*utf8_buffers(coded.dictionary))
+        soft = np.logaddexp(0, self.word_logits(stream, begin, end))
+        return -np.expm1(-np.bincount(text, soft[coded.indices.to_numpy()], len(texts)))
+
+
+def with_mentions(texts: list[str], labels: list[int], most: int = MOST_MENTIONS) -> tuple[list[str], list[int]]:
+    """The rows, and again the shortest `most` of each label with an identity term's neutral mention before them. Terms go round over both labels alike."""
+    terms = [t for g in IDENTITY_GROUPS for t in g]
+    more, label = [], []
+    for y in (1, 0):
+        rows = sorted((t for t, v in zip(texts, labels) if v == y and t), key=lambda t: (len(t), t))[:most]
+        more += [f"{MENTIONS[k % len(MENTIONS)].format(terms[(k * 7 + k // len(terms)) % len(terms)])} {t}" for k, t in enumerate(rows)]
+        label += [y] * len(rows)
+    return [*texts, *more], [*labels, *label]
 
 
 def train(texts: pa.Array | list[str], labels: list[int], rounds: int = ROUNDS, fairness: float = FAIRNESS, groups: list[list[str]] = IDENTITY_GROUPS) -> Model:
@@ -166,7 +187,8 @@ def train(texts: pa.Array | list[str], labels: list[int], rounds: int = ROUNDS,
 
 
 def held_out() -> F.Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a row is never trained on; a row without an id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[pa.Array, list[int]]:
@@ -182,9 +204,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOX
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs (doc_id, text, ...), labels (doc_id, toxic, ...) -> (doc_id, held_out, score, predicted), a row for each row of docs.
 
-    Rows whose crc32(doc_id as text) mod 4 is 2 are never trained on. Training takes at most 2,000 toxic and 3,000 other labelled rows to the driver;
-    scoring reads every whole text. Null and empty texts score 0. A null doc_id is not held out (null)."""
-    model = train(*training_rows(docs, labels), **options)
+    Rows whose crc32(doc_id as text) mod 4 is 2 are never trained on. Training takes at most 2,000 toxic and 3,000 other labelled rows to the driver, and
+    up to 300 of each once more behind a sentence with an identity term, so that terms can be swapped in every one of the corpus's languages; scoring
+    reads every whole text. Null and empty texts score 0. A null doc_id is not held out. Repeated rows, and rows of equal doc_id, are scored each; of a
+    doc_id with several texts the least is trained on. Without labels of both kinds all score near 0; empty tables give an empty one; extra columns,
+    whatever their names, are not read."""
+    texts, y = training_rows(docs, labels)
+    model = train(*with_mentions(texts.to_pylist(), y), **options)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
