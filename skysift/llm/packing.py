@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +20,10 @@ from skysift.llm.textkit import chunks, runs, utf8_buffers
 CAPACITY = 4096
 #: Id that closes each document.
 CLOSE = 1
-#: Pieces that one population packs; its islands; generations between migrations; migrations; individuals on an island.
-CELL, ISLANDS, GENERATIONS, EPOCHS, POPULATION = 8192, 2, 6, 2, 4
+#: Pieces that one population packs; its islands; children between migrations; rounds of children; individuals on an island.
+CELL, ISLANDS, CHILDREN, EPOCHS, POPULATION = 8192, 3, 60, 4, 8
+#: Loose items of which pairs are tried in exchange for one item of a bin.
+MOST_PAIRED = 48
 
 # ---- tokens ------------------------------------------------------------------------------------------------------------------------------------
 
@@ -202,11 +205,51 @@ def fitness(s: Solution, sizes: list[int], capacity: int) -> float:
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in s) / max(len(s), 1)
 
 
+def exchange(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Bins give one or two items for one or two loose ones that fill them better (Martello and Toth's dominance); what is loose then, which is smaller
+    and easier to place. Every exchange makes a bin fuller, so it ends."""
+    free = sorted((sizes[i], i) for i in loose)
+    for b in rng.sample(range(len(bins)), len(bins)):
+        members = bins[b]
+        room = capacity - sum(sizes[i] for i in members)
+        if not room or not free:
+            continue
+        best: tuple[int, list[int], list[tuple[int, int]]] = (0, [], [])
+        outs = [[i] for i in members] + ([[i, j] for x, i in enumerate(members) for j in members[:x]] if len(members) <= 12 else [])
+        for out in outs:
+            given = sum(sizes[i] for i in out)
+            k = bisect_right(free, (given + room, len(sizes))) - 1
+            if k >= 0 and free[k][0] - given > best[0]:
+                best = (free[k][0] - given, out, [free[k]])
+        if best[0] < room:
+            few = free if len(free) <= MOST_PAIRED else rng.sample(free, MOST_PAIRED)
+            few = sorted(few)
+            for i in members:
+                lo, hi, most = 0, len(few) - 1, sizes[i] + room
+                while lo < hi:
+                    total = few[lo][0] + few[hi][0]
+                    if total > most:
+                        hi -= 1
+                        continue
+                    if total - sizes[i] > best[0]:
+                        best = (total - sizes[i], [i], [few[lo], few[hi]])
+                    lo += 1
+        if best[0]:
+            gone = set(best[1])
+            bins[b] = [i for i in members if i not in gone] + [i for _, i in best[2]]
+            for x in best[2]:
+                free.remove(x)
+            for i in best[1]:
+                insort(free, (sizes[i], i))
+    return [i for _, i in free]
+
+
 def crossover(a: Solution, b: Solution, sizes: list[int], capacity: int, rng: random.Random) -> Solution:
-    """Whole well-filled bins of b go into a; bins of a that share an item with them are emptied, and their other items are best-fitted."""
+    """Whole well-filled bins of b go into a; bins of a that share an item with them are emptied, their other items are exchanged into fuller places and
+    best-fitted."""
     ranked = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
     top = ranked[: max(1, len(ranked) // 2)]
-    injected = rng.sample(top, max(1, len(top) // 4))
+    injected = rng.sample(top, max(1, len(top) // rng.choice((2, 4, 8))))
     taken = {i for x in injected for i in x}
     kept, loose = [], []
     for x in a:
@@ -214,40 +257,65 @@ def crossover(a: Solution, b: Solution, sizes: list[int], capacity: int, rng: ra
             kept.append(list(x))
         else:
             loose += [i for i in x if i not in taken]
-    return [tuple(x) for x in best_fit(loose, sizes, capacity, [*map(list, injected), *kept])]
+    bins = [*map(list, injected), *kept]
+    loose = exchange(bins, loose, sizes, capacity, rng)
+    return [tuple(x) for x in best_fit(loose, sizes, capacity, bins)]
 
 
 def mutate(s: Solution, sizes: list[int], capacity: int, rng: random.Random) -> Solution:
-    """The emptiest bins and a few others are emptied and best-fitted again."""
+    """The emptiest bins and a few others are emptied, exchanged and best-fitted again."""
     ranked = sorted(s, key=lambda x: sum(sizes[i] for i in x))
-    n = max(1, len(s) // 50)
+    n = max(1, len(s) // rng.choice((20, 50, 100)))
     out = ranked[:n] + rng.sample(ranked[n:], min(n, len(ranked) - n))
     gone = set(map(id, out))
-    return [tuple(x) for x in best_fit([i for x in out for i in x], sizes, capacity, [list(x) for x in ranked if id(x) not in gone])]
-
-
-def least_bins(sizes: list[int], capacity: int) -> int:
-    """No packing has fewer bins: the sum over capacity, or the items that exceed half of it."""
-    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
-
-
-def evolve(population: list[Solution], sizes: list[int], capacity: int, generations: int, rng: random.Random) -> list[Solution]:
-    """Generations of tournament, crossover and mutation; the best stays. Ends when the bound is met."""
-    bound = least_bins(sizes, capacity)
-    ranked = sorted(population, key=lambda s: -fitness(s, sizes, capacity))
-    for _ in range(generations):
-        if len(ranked[0]) <= bound:
+    bins = [list(x) for x in ranked if id(x) not in gone]
+    loose = exchange(bins, [i for x in out for i in x], sizes, capacity, rng)
+    return [tuple(x) for x in best_fit(loose, sizes, capacity, bins)]
+
+
+def least_bins(sizes: list[int], capacity: int, enough: int | None = None) -> int:
+    """No packing has fewer bins (Martello and Toth's second bound): for each k, items over capacity - k have bins of their own, those over half have one
+    each, and the rest from k on need what room these leave, or more bins. A sum that proves `enough` bins needed is not searched further."""
+    if not sizes:
+        return 0
+    if enough is not None and -(-sum(sizes) // capacity) >= enough:
+        return -(-sum(sizes) // capacity)
+    x = np.sort(np.array(sizes, np.int64))
+    upto = np.concatenate([[0], np.cumsum(x)])
+    best = -(-int(upto[-1]) // capacity)
+    half = int(np.searchsorted(x, capacity // 2, "right"))
+    for k in np.unique(x[: max(half, 1)]).tolist():
+        big, low = int(np.searchsorted(x, capacity - k, "right")), int(np.searchsorted(x, k, "left"))
+        big, low = max(big, half), min(low, half)
+        middle = big - half
+        rest = int(upto[half] - upto[low]) - (middle * capacity - int(upto[big] - upto[half]))
+        best = max(best, len(x) - big + middle + max(0, -(-rest // capacity)))
+    return best
+
+
+def evolve(population: list[Solution], sizes: list[int], capacity: int, children: int, rng: random.Random) -> list[Solution]:
+    """Children of tournament, crossover and mutation, one after another; a child takes the worst one's place if it is fitter and new. The fittest come
+    first. Ends when the bound is met."""
+    bound = least_bins(sizes, capacity, min(map(len, population)))
+    fit = lambda s: (-len(s), fitness(s, sizes, capacity))
+    ranked = sorted(((fit(s), k, s) for k, s in enumerate(population)), reverse=True)
+    for child in range(children):
+        if len(ranked[0][2]) <= bound:
             break
-        a, b = rng.choice(ranked), rng.choice(ranked)
-        child = mutate(crossover(a, b, sizes, capacity, rng), sizes, capacity, rng)
-        ranked = sorted([*ranked, child], key=lambda s: -fitness(s, sizes, capacity))[: len(population)]
-    return ranked
+        a, b = (max(rng.sample(ranked, min(2, len(ranked))))[2] for _ in range(2))
+        made = crossover(a, b, sizes, capacity, rng) if a is not b else mutate(a, sizes, capacity, rng)
+        if rng.random() < 0.5:
+            made = mutate(made, sizes, capacity, rng)
+        f = fit(made)
+        if f > ranked[-1][0] and all(f != r[0] for r in ranked) or len(ranked) < 2:
+            ranked = sorted([*ranked, (f, len(population) + child, made)], reverse=True)[: max(len(population), 2)]
+    return [s for _, _, s in ranked]
 
 
 def seeds(sizes: list[int], capacity: int, population: int, rng: random.Random) -> list[Solution]:
     """Best fit of the items in decreasing order, and of halves of them taken at random one after the other."""
     out = [[tuple(x) for x in best_fit(list(range(len(sizes))), sizes, capacity)]]
-    while len(out) < population and len(out[0]) > least_bins(sizes, capacity):
+    while len(out) < population and len(out[0]) > least_bins(sizes, capacity, len(out[0])):
         order = list(range(len(sizes)))
         rng.shuffle(order)
         half = best_fit(order[: len(order) // 2], sizes, capacity)
@@ -272,7 +340,7 @@ def _decode(raw: bytes) -> Solution:
 ISLAND_SCHEMA = "cell long, island int, lengths binary, population array<binary>, done boolean"
 
 
-def _settle(capacity: int, population: int, generations: int, seed: int):
+def _settle(capacity: int, population: int, children: int, seed: int):
     """An epoch on each island: rows (cell, island, lengths, population, done); an empty population is seeded first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +350,9 @@ def _settle(capacity: int, population: int, generations: int, seed: int):
                 rng = random.Random(f"{seed}:{r['cell']}:{r['island']}:{len(r['population'])}")
                 if not r["done"]:
                     people = [_decode(x) for x in r["population"]] or seeds(sizes, capacity, population, rng)
-                    people = evolve(people, sizes, capacity, generations, rng)
+                    people = evolve(people, sizes, capacity, children, rng)
                     r["population"] = [_encode(s, len(sizes)) for s in people[:population]]
-                    r["done"] = len(people[0]) <= least_bins(sizes, capacity)
+                    r["done"] = len(people[0]) <= least_bins(sizes, capacity, len(people[0]))
                 yield pa.RecordBatch.from_pylist([r], pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary())), ("done", pa.bool_())]))
 
     return run
@@ -335,7 +403,7 @@ def _pack_cells(items: DataFrame, cell_items: int, capacity: int, islands: int,
     start = ordered.mapInArrow(_gather(capacity), "cell long, lengths binary")
     state = start.select("cell", F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"), "lengths", F.array().cast("array<binary>").alias("population"), F.lit(False).alias("done"))
     for epoch in range(epochs):
-        state = state.repartition(parts * islands, "cell", "island").mapInArrow(_settle(capacity, POPULATION, GENERATIONS, seed + epoch), ISLAND_SCHEMA)
+        state = state.repartition(parts * islands, "cell", "island").mapInArrow(_settle(capacity, POPULATION, CHILDREN, seed + epoch), ISLAND_SCHEMA)
         state = materialize(state, "islands")
         if epoch + 1 < epochs:
             if not state.where("not done").limit(1).count():
@@ -359,7 +427,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, cell_it
 
     A document is its ids and the closing id 1 (null and empty texts: that one id); only one longer than `capacity` is cut. Cells of about
     `cell_items` pieces are packed by the genetic algorithm; sequences that a cell leaves under seven eighths full are opened, and their pieces packed
-    again together, until few are left. Repeated rows are packed each. Pieces of a sequence lie without gaps from offset 0."""
+    again together, until few are left. A cell whose best-fit seed already meets the lower bound is optimal and is not evolved. Repeated rows, and rows
+    of equal or null doc_id, are packed each. Pieces of a sequence lie without gaps from offset 0. An empty table gives an empty one; extra columns,
+    whatever their names, are not read."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row_id long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
