@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,8 @@ SHARDS = 16
 SETTLING = 4
 SEED = 20240229
 MOST_BROADCAST = 50_000
+#: Copies of one row that a task makes at a time, and rows that a piece of an output shard holds, about.
+COPIES, PIECE = 1000, 50_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST_TIMES) -> list[float]:
@@ -66,18 +68,18 @@ def _side(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, source, text, ...) -> (row_id, doc_id, size, source_size, target, copies, shards), a row for each row of docs.
+    """docs (doc_id, source, text, ...) -> (row_id, row_key, doc_id, source, size, source_size, target, copies, shards), a row for each row of docs.
 
     size: words of the text (null: 0). Sources, sorted by code point with null last, weigh `weights` in turn and share `share` times all sizes (see
-    targets). A source's documents fall by hash into about sqrt(n) blocks; the quota is whole passes over the blocks, then whole blocks in their
-    permuted order, then documents of the boundary block; at last up to four documents are added or given back, each
-    the one that brings the sum nearest to the target. copies: 0, 1 or 2;
-    shards: the output shard of each copy. Rows of equal doc_id are separate documents. An empty table gives an empty one.
-    The driver holds a few numbers for each source and shard, nothing for each document."""
+    targets). A source's documents fall by hash into about sqrt(n) blocks, which a seeded permutation puts in order; the quota is whole passes over the
+    blocks, then whole blocks in that order, then documents of the boundary block; at last up to four documents are added or given back, each
+    the one that brings the sum nearest to the target. copies: 0, 1 or 2; shards: the output shard of each copy. row_key: a hash of all columns, by which
+    mix() finds the row again. Rows of equal doc_id, and equal rows, are separate documents. An empty table gives an empty one; extra columns of any
+    name only enter row_key. The driver holds a few numbers for each source and shard, nothing for each document."""
     spark = docs.sparkSession
     sized = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"), "doc_id", "source",
+            F.monotonically_increasing_id().alias("row_id"), row_key(docs).alias("row_key"), "doc_id", "source",
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"),
         ), "sized",
     )
@@ -90,9 +92,12 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     names = "source string, sid int, source_size long, target double, passes int, rest double, n_blocks long"
     sources = _side(spark, table, names).withColumnRenamed("source", "__sky_source")
     d = sized.join(sources, sized["source"].eqNullSafe(sources["__sky_source"])).withColumn("block", F.pmod("h", "n_blocks"))
-    by_block = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = d.groupBy("sid", "block", "rest").agg(F.sum("size").alias("w")).withColumn("upto", F.sum("w").over(by_block))
-    edge = blocks.where("upto > rest").groupBy("sid").agg(F.min(F.struct("block", (F.col("upto") - F.col("w")).alias("before"))).alias("e"))
+    order = Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "sid", "block"), "block")
+    blocks = d.groupBy("sid", "block", "rest").agg(F.sum("size").alias("w"))
+    blocks = blocks.withColumns({"turn": F.row_number().over(order) - 1, "upto": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    blocks = materialize(blocks, "blocks")
+    edge = blocks.where("upto > rest").groupBy("sid").agg(F.min(F.struct(F.col("turn").alias("block"), (F.col("upto") - F.col("w")).alias("before"))).alias("e"))
+    d = d.join(small_side(blocks.select("sid", "block", "turn")), ["sid", "block"]).drop("block").withColumnRenamed("turn", "block")
     edges = [(r["sid"], r["e"]["block"], float(r["e"]["before"])) for r in edge.collect()]
     bound = _side(spark, edges, "sid int, edge long, before double")
     d = d.join(bound, "sid", "left")
@@ -123,20 +128,37 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     chosen = chosen.join(lanes, "sid").withColumn("copies", F.col("passes") + F.col("extra"))
     slot = lambda k: F.least(F.size(F.filter("ends", lambda e: e <= F.col("block") + k * F.col("n_blocks"))), F.lit(shards - 1))
     places = F.transform(F.sequence(F.lit(1), F.lit(int(MOST_TIMES))), lambda k: F.when(k <= F.col("copies"), slot((k - 1).cast("long"))))
-    return chosen.select("row_id", "doc_id", "source", "size", "source_size", "target", "copies", F.array_compact(places).alias("shards"))
+    return chosen.select("row_id", "row_key", "doc_id", "source", "size", "source_size", "target", "copies", F.array_compact(places).alias("shards"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns and of which are null; equal rows share it."""
+    nulls = [F.col(f"`{f.name}`").isNull() for f in docs.schema]
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*plain, *nulls)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs -> its rows as often as the mix takes them, with shard (int), shuffled within each shard by a seeded hash.
+    """docs -> its rows as often as plan() takes them, with shard (int), shuffled by a seeded hash within each piece of a shard.
 
-    Rows that agree in doc_id, source and size are taken alike, as often as the first of them. A column named shard is replaced."""
+    Every row counts by itself, rows of equal doc_id too; of equal rows one stands for all and is written as often as they are taken together. A column
+    named shard is replaced; names that begin with __sky are reserved. An empty table gives an empty one."""
     seed = options.get("seed", SEED)
-    p = plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.min_by("shards", "row_id").alias("__sky_shards")).where(F.size("__sky_shards") > 0)
-    p = small_side(materialize(p.select(*(F.col(c).alias(f"__sky_{c}") for c in ("doc_id", "source", "size")), "__sky_shards"), "taken"))
-    d = docs.drop("shard").withColumn("__sky_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    on = d["doc_id"].eqNullSafe(p["__sky_doc_id"]) & d["source"].eqNullSafe(p["__sky_source"]) & (d["__sky_words"] == p["__sky_size"])
-    out = d.join(p, on).select(*docs.drop("shard").columns, F.posexplode("__sky_shards").alias("__sky_copy", "shard"))
-    return out.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(32))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "__sky_copy")).drop("__sky_copy")
+    docs = docs.drop("shard")
+    p = plan(docs, **options).select(F.col("row_key").alias("__sky_key"), "shards", "copies")
+    rows = materialize(p.groupBy("__sky_key").agg(F.count("*").alias("n"), F.sum("copies").alias("taken")).where("taken > 0"), "taken_rows")
+    several = small_side(materialize(rows.where("n > 1").select("__sky_key"), "several"))
+    taken = p.select("__sky_key", F.explode("shards").alias("shard")).groupBy("__sky_key", "shard").agg(F.count("*").alias("n"))
+    lots = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("__sky_lot")
+    taken = taken.select("__sky_key", "shard", "n", lots).withColumn("__sky_n", F.least(F.lit(COPIES), F.col("n") - F.col("__sky_lot") * COPIES).cast("int")).drop("n")
+    taken = small_side(materialize(taken, "taken"))
+    d = docs.withColumn("__sky_key", row_key(docs))
+    once = d.join(several, "__sky_key", "left_anti").unionByName(d.join(several, "__sky_key", "left_semi").dropDuplicates(["__sky_key"]))
+    out = once.join(taken, "__sky_key").withColumn("__sky_copy", F.explode(F.sequence(F.lit(1), F.col("__sky_n"))))
+    out = out.withColumn("__sky_h", F.xxhash64(F.lit(seed), "__sky_key", "shard", "__sky_lot", "__sky_copy"))
+    pieces = max(1, -(-int(rows.agg(F.sum("taken")).first()[0] or 0) // (options.get("shards", SHARDS) * PIECE)))
+    out = out.repartition("shard", F.pmod("__sky_h", F.lit(pieces))).sortWithinPartitions("shard", "__sky_h")
+    return out.select(*docs.columns, "shard")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
