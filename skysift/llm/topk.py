@@ -16,17 +16,26 @@ from skysift.llm.storage import materialize
 ROWS, QUERIES = 4096, 256
 #: Low bits that the slices leave out; they decide the boundary rows.
 LOW_BITS = 3
+#: Scores are longs; one that does not fit is given as the nearest long, ranks follow the exact score.
+MOST_SCORE = 2**63 - 1
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int, columns: tuple[str, str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, quantised vectors) of up to `most` rows each; vectors that are null, or hold null or non-finite components, are left out."""
-    held: dict[int, list] = {}
-    counts: dict[int, int] = {}
+def wide_from(dims: int) -> int:
+    """Vectors with a component of this size or more are wide: sums of their products might not fit 64 bits, so they are multiplied as whole numbers of any length."""
+    return 1 << (30 - (dims.bit_length() + 1) // 2)
 
-    def full(size: int):
-        ids, vs = zip(*held.pop(size))
-        counts.pop(size)
-        return np.concatenate(ids), np.concatenate(vs)
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(ids, vectors, wide) of up to `most` rows each: quantised, or the doubles themselves if wide. Vectors that are null, or hold null or non-finite components, are left out."""
+    held: dict[tuple[int, bool], list] = {}
+    counts: dict[tuple[int, bool], int] = {}
+
+    def full(key: tuple[int, bool], rest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        ids, vectors = (np.concatenate(x) for x in zip(*held[key]))
+        end = len(ids) if rest else len(ids) - len(ids) % most
+        for k in range(0, end, most):
+            yield ids[k : min(k + most, end)], vectors[k : min(k + most, end)], key[1]
+        held[key], counts[key] = [(ids[end:], vectors[end:])], len(ids) - end
 
     for batch in batches:
         ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -35,52 +44,48 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int, columns: tuple[str, st
             pick = np.flatnonzero(sizes == size)
             flat = vectors.take(pa.array(pick)).flatten()
             x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size)
+            with np.errstate(over="ignore", invalid="ignore"):
+                q = np.floor(256 * x)
+                wide = (np.abs(q) >= wide_from(size)).any(axis=1)
             ok = np.isfinite(x).all(axis=1)
-            q = np.floor(256 * x[ok])
-            if np.abs(q).max(initial=0) >= 2**31:
-                raise ValueError("components of 2**23 or more do not fit the index")
-            i = ids[pick][ok]
-            for at in range(0, len(i), most):
-                room = i[at : at + most]
-                held.setdefault(size, []).append((room, q[at : at + most].astype(np.int64)))
-                counts[size] = counts.get(size, 0) + len(room)
-                if counts[size] >= most:
-                    a, b = full(size)
-                    for k in range(0, len(a) - len(a) % most, most):
-                        yield a[k : k + most], b[k : k + most]
-                    if rest := len(a) % most:
-                        held[size] = [(a[-rest:], b[-rest:])]
-                        counts[size] = rest
-    for size in list(held):
-        a, b = full(size)
-        for k in range(0, len(a), most):
-            yield a[k : k + most], b[k : k + most]
-
-
-INDEX_SCHEMA = "kind int, dims int, n int, ids binary, exact binary, low binary, widths binary, slices binary"
+            for w in (False, True):
+                rows = np.flatnonzero(ok & (wide == w))
+                for at in range(0, len(rows), most):
+                    part = rows[at : at + most]
+                    held.setdefault((size, w), []).append((ids[pick][part], x[part] if w else q[part].astype(np.int32)))
+                    counts[size, w] = counts.get((size, w), 0) + len(part)
+                    if counts[size, w] >= most:
+                        yield from full((size, w), False)
+    for key in list(held):
+        if counts[key]:
+            yield from full(key, True)
+
+
+INDEX_SCHEMA = "wide boolean, dims int, n int, ids binary, exact binary, widths binary, slices binary"
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block: row bitmaps of every attribute's bits from LOW_BITS up, least significant first, as unsigned offsets from its least value."""
-    for ids, x in _blocks(batches, ROWS, ("vec_id", "embedding")):
-        low = x.min(axis=0)
-        u = (x - low) >> LOW_BITS
+    """One row per block: row bitmaps of every attribute's bits from LOW_BITS up, least significant first, as unsigned offsets from its least value. Wide blocks have none."""
+    for ids, x, wide in _blocks(batches, ROWS):
+        if wide:
+            yield _row(x, ids, np.zeros(0, np.int64), b"", True)
+            continue
+        u = (x.astype(np.int64) - x.min(axis=0)) >> LOW_BITS
         widths = np.array([int(v).bit_length() for v in u.max(axis=0)], np.int64)
         bits = [((u[:, d] >> b) & 1).astype(np.uint8) for d in range(x.shape[1]) for b in range(widths[d])]
         padded = np.zeros((len(bits), -(-len(ids) // 64) * 64), np.uint8)
         if bits:
             padded[:, : len(ids)] = np.stack(bits)
-        yield _row(0, x, ids, low, widths, np.packbits(padded, axis=1, bitorder="little").tobytes())
+        yield _row(x, ids, widths, np.packbits(padded, axis=1, bitorder="little").tobytes(), False)
 
 
 def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, x in _blocks(batches, QUERIES, ("vec_id", "embedding")):
-        yield _row(1, x, ids, np.zeros(0, np.int64), np.zeros(0, np.int64), b"")
+    for ids, x, wide in _blocks(batches, QUERIES):
+        yield _row(x, ids, np.zeros(0, np.int64), b"", wide)
 
 
-def _row(kind: int, x: np.ndarray, ids: np.ndarray, low: np.ndarray, widths: np.ndarray, slices: bytes) -> pa.RecordBatch:
-    values = [[kind], [x.shape[1]], [len(ids)]]
-    arrays = [pa.array(v, pa.int32()) for v in values] + [pa.array([b], pa.binary()) for b in (ids.astype(np.int64).tobytes(), x.astype(np.int32).tobytes(), low.tobytes(), widths.tobytes(), slices)]
+def _row(x: np.ndarray, ids: np.ndarray, widths: np.ndarray, slices: bytes, wide: bool) -> pa.RecordBatch:
+    arrays = [pa.array([wide]), *(pa.array([v], pa.int32()) for v in (x.shape[1], len(ids)))] + [pa.array([b], pa.binary()) for b in (ids.astype(np.int64).tobytes(), np.ascontiguousarray(x).tobytes(), widths.tobytes(), slices)]
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in INDEX_SCHEMA.split(", ")])
 
 
@@ -153,7 +158,7 @@ def at_least(slices: list[np.ndarray | None], valid: np.ndarray, bound: int) ->
     return greater | equal
 
 
-def search_block(query: np.ndarray, exact: np.ndarray, widths: np.ndarray, slices: np.ndarray, first: np.ndarray, valid: np.ndarray, k: int) -> np.ndarray:
+def search_block(query: np.ndarray, widths: np.ndarray, slices: np.ndarray, first: np.ndarray, valid: np.ndarray, k: int) -> np.ndarray:
     """Row numbers that may be among the k best of a block, the k best certainly among them."""
     levels: dict[int, list[np.ndarray]] = {}
     picks: dict[tuple[int, int], list[int]] = {}
@@ -173,32 +178,54 @@ def search_block(query: np.ndarray, exact: np.ndarray, widths: np.ndarray, slice
     return np.flatnonzero(np.unpackbits(valid.view(np.uint8), bitorder="little"))
 
 
+def _numbers(raw: bytes, n: int, wide: bool, whole: bool) -> np.ndarray:
+    """A block's vectors as 64-bit integers, or as Python integers if either side of a product is wide: floor(256 x) of a double is exact as a ratio."""
+    x = np.frombuffer(raw, np.float64 if wide else np.int32).reshape(n, -1)
+    if not wide:
+        return x.astype(object) if whole else x.astype(np.int64)
+    ratios = (v.as_integer_ratio() for v in x.ravel().tolist())
+    return np.array([256 * a // b for a, b in ratios], object).reshape(x.shape)
+
+
+def _best_whole(ids: np.ndarray, exact: np.ndarray, qid: int, q: np.ndarray, k: int) -> list[tuple]:
+    """The k best of a block by products of Python integers: (query, row, score as the nearest long, text that orders scores beyond a long)."""
+    rows = np.flatnonzero(ids != qid)
+    scores = (exact[rows] @ q).tolist() if len(rows) else []
+    best = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
+    beyond = lambda s: f"{s + (1 << 2300):0600x}" if abs(s) >= MOST_SCORE else None
+    return [(qid, int(ids[rows[i]]), max(-MOST_SCORE - 1, min(MOST_SCORE, scores[i])), beyond(scores[i])) for i in best]
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                exact = np.frombuffer(r["exact"], np.int32).reshape(len(ids), -1).astype(np.int64)
+                ids, qids = (np.frombuffer(r[c], np.int64) for c in ("ids", "q_ids"))
+                whole = r["wide"] or r["q_wide"]
+                exact = _numbers(r["exact"], len(ids), r["wide"], whole)
+                queries = _numbers(r["q_exact"], len(qids), r["q_wide"], whole)
+                if whole:
+                    for qid, q in zip(qids.tolist(), queries):
+                        out += _best_whole(ids, exact, qid, q, k)
+                    continue
                 widths = np.frombuffer(r["widths"], np.int64)
                 words = -(-len(ids) // 64)
                 slices = np.frombuffer(r["slices"], np.uint64).reshape(-1, words)
                 first = np.concatenate([[0], np.cumsum(widths)]).tolist()
                 every = np.packbits(np.pad(np.ones(len(ids), np.uint8), (0, words * 64 - len(ids))), bitorder="little").view(np.uint64)
-                qids = np.frombuffer(r["q_ids"], np.int64)
-                queries = np.frombuffer(r["q_exact"], np.int32).reshape(len(qids), -1).astype(np.int64)
                 widths = widths.tolist()
                 for qid, q in zip(qids.tolist(), queries):
                     valid = every
                     if (own := np.flatnonzero(ids == qid)).size:
                         valid = every.copy()
                         np.bitwise_and.at(valid, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
-                    rows = search_block(q, exact, widths, slices, first, valid, k)
+                    rows = search_block(q, widths, slices, first, valid, k)
                     scores = exact[rows] @ q
                     best = np.lexsort((ids[rows], -scores))[:k]
-                    out += zip([qid] * len(best), ids[rows[best]].tolist(), scores[best].tolist())
-            a, b, c = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], names=["query_id", "vec_id", "score"])
+                    out += zip([qid] * len(best), ids[rows[best]].tolist(), scores[best].tolist(), [None] * len(best))
+            a, b, c, d = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, c)), pa.array(d, pa.string())], names=["query_id", "vec_id", "score", "beyond"])
 
     return run
 
@@ -208,18 +235,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Ties go to the smaller vec_id; a query does not meet rows of its own vec_id; all candidates come if there are fewer than k. Vectors that are null,
     empty, or hold null or non-finite components, and rows of null vec_id, take no part; vectors of another length than the query's are no candidates.
-    Repeated rows are candidates each; repeated query rows are one query, and queries that share a vec_id are answered together. The index has a row for each 4096 vectors; query blocks meet index blocks on a
-    shared lane number, so that a kernel call holds one of each. Every row is indexed and the result is exact."""
+    Repeated rows are candidates each; repeated query rows are one query, and queries that share a vec_id are answered together. Any finite component
+    will do: wide vectors are multiplied as whole numbers of any length, and a score beyond a long is given as the nearest long, ranked by what it is.
+    The index has a row for each 4096 vectors; query blocks meet index blocks on a shared lane number, so that a kernel call holds one of each. Every
+    row is indexed and the result is exact. Empty tables give an empty one; extra columns, whatever their names, are not read."""
     vectors, queries = (d.select("vec_id", "embedding").where("vec_id is not null") for d in (vectors, queries))
     queries = queries.dropDuplicates(["vec_id", "embedding"])
     index = materialize(vectors.mapInArrow(_index, INDEX_SCHEMA), "slices")
     lanes = max(1, min(index.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     blocks = index.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
-    q = queries.coalesce(max(1, lanes // 4)).mapInArrow(_query_blocks, INDEX_SCHEMA).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"))
+    q = queries.coalesce(max(1, lanes // 4)).mapInArrow(_query_blocks, INDEX_SCHEMA).select(*(F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "exact", "wide")))
     q = q.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    met = blocks.join(q, (blocks["lane"] == q["lane"]) & (F.col("dims") == F.col("q_dims"))).select("ids", "exact", "widths", "slices", "q_ids", "q_exact")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = blocks.join(q, (blocks["lane"] == q["lane"]) & (F.col("dims") == F.col("q_dims"))).select("ids", "exact", "widths", "slices", "wide", "q_ids", "q_exact", "q_wide")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long, beyond string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
