@@ -21,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op5_topk_search": topk.ORACLE, "op9_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat.ORACLE, "op5_topk_search": topk.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op9_quality_rules": quality.ORACLE, "op10_line_dedup": line_dedup.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -141,3 +141,27 @@ def survivors(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class and number of links over all documents."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), k AS (
+  SELECT ws, row_number() OVER () AS cid, count(*) AS copies, bool_or(doc_id IS NULL) AS nameless, min(doc_id) AS least FROM d GROUP BY ws
+), s AS (
+  SELECT DISTINCT cid, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: hash(ws[i:i + 4])) ELSE [hash(ws)] END) AS h FROM k WHERE len(ws) > 0
+), z AS (
+  SELECT cid, count(*) AS n FROM s GROUP BY cid
+), l AS (
+  SELECT p.a, p.b FROM (SELECT x.cid AS a, y.cid AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.cid < y.cid GROUP BY ALL) p JOIN z za ON za.cid = a JOIN z zb ON zb.cid = b WHERE c >= 0.8::DOUBLE * (za.n + zb.n - c) - 1e-9::DOUBLE
+), e AS (
+  SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT cid AS x, cid AS y FROM k UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y
+), c AS (
+  SELECT r.x AS cid, CASE WHEN bool_or(nameless) THEN NULL ELSE min(least) END AS class_id FROM r JOIN k ON k.cid = r.y GROUP BY r.x
+), n AS (
+  SELECT e.x AS cid, sum(copies) AS links FROM e JOIN k ON k.cid = e.y GROUP BY e.x
+)
+SELECT d.doc_id, c.class_id, (coalesce(links, 0) + copies - 1)::BIGINT AS n_links FROM d JOIN k ON k.ws = d.ws JOIN c ON c.cid = k.cid LEFT JOIN n ON n.cid = k.cid
+"""

@@ -41,7 +41,8 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     Words are runs of characters other than space and \\t \\n \\v \\f \\r; a null text counts as empty and fails few_words. Measurements: n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, n_exclaims, n_upper, n_chars_read (all long). Existing columns of these names are replaced,
-    and all rows stay, repeated ones too. Native expressions only; one pass, no shuffle."""
+    names that begin with __sky are reserved, other extra columns pass through. All rows stay, repeated ones too; an empty table gives an empty one.
+    Native expressions only; one pass, no shuffle."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaims", "n_upper", "n_chars_read", "fail_bits"]
     text = F.coalesce("text", F.lit(""))
     d = docs.drop(*names).withColumns({"__sky_w": F.array_remove(F.split(text, SPACE), ""), "__sky_l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})

@@ -144,7 +144,8 @@ def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_assign, n_access, n_hex, base_sha256, spans), a row for each row.
 
     Spans are kind:start:end in code points of the whole match, end exclusive, by start and then kind (assign, access, hex, named), joined by commas;
-    base_sha256 is of the base kinds' spans. A null or empty text has no spans: the digest is that of the empty string. Repeated rows are scanned alike."""
+    base_sha256 is of the base kinds' spans. A null or empty text has no spans: the digest is that of the empty string. Repeated rows are scanned alike;
+    a null doc_id is a row like any other. An empty table gives an empty one; extra columns, whatever their names, are not read. Texts are read whole."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_scan_batches, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skysift.llm import catalog, line_dedup, mixing, ngram_join, quality, topk, urls
+from skysift.llm import catalog, graph, mixing, near, ngram_join, packing, quality, topk, toxicity, urls
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
@@ -64,8 +64,8 @@ def near_classes(rows):
     return [(rows[i][0], rows[r][0], links[i]) for i, r in enumerate(roots(len(rows), pairs))]
 
 
-def deduped(rows, least=line_dedup.LEAST_CHARS):
-    lines = [(d, k, x) for d, t in sorted(rows) for k, x in enumerate((t or "").split("\n")) if len(x) >= least]
+def deduped(rows):
+    lines = [(d, k, x) for d, t in sorted(rows) for k, x in enumerate((t or "").split("\n")) if WORDS.search(x)]
     first = {}
     same = [(first.setdefault(x, i), i) for i, (_, _, x) in enumerate(lines)]
     own = sorted(set(first.values()))
@@ -92,6 +92,50 @@ def test_op8_many_near_copies(spark):
     assert all(got[i] == (0, 899) for i in range(600)) and all(got[1000 + i] == (0, 899) for i in range(300)) and got[5000] == (5000, 0)
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_components(spark, monkeypatch, broadcast):
+    """Rounds of stars, with and without broadcast centres, against plain union-find: random edges, a long path and a hub."""
+    monkeypatch.setattr(graph, "CHUNK", 3)
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", broadcast)
+    rng = np.random.default_rng(5)
+    edges = [tuple(map(int, x)) for x in rng.integers(0, 150, (90, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(300, 301 + i) for i in range(60)] + [(7, 7)]
+    want = roots(400, edges)
+    df = spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(7)
+    got = {r.node: r.root for r in graph.components(df).collect()}
+    assert got == {x: want[x] for e in edges for x in e if e[0] != e[1] or sum(want[x] == w for w in want) > 1}
+
+
+def test_union_of_links_only():
+    """Kernel output against all pairs: many small groups in one table, repeated rows, blocks across."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(300):
+        base = [f"w{rng.integers(40)}" for _ in range(30)]
+        for k in range(int(rng.integers(1, 12))):
+            words = [w if rng.random() > 0.01 * k else f"x{rng.integers(9)}" for w in base]
+            rows.append((g, 0, int(g % 3 == 0), k % 2, f"{g:04d}-{k:02d}".encode(), int(rng.integers(1, 4)), " ".join(words)))
+    rows += [r for r in rows if r[0] % 50 == 0]
+    rows.sort(key=lambda r: r[:3] + r[4:5])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["grp", "bi", "bj", "block", "id", "copies", "text"])
+    out = {}
+    for b in near.verifier(ngram_join._text_shingles, 0.8)(iter([batch.slice(0, 700), batch.slice(700)])):
+        out |= {i: (r, n) for i, r, n in zip(*(b.column(k).to_pylist() for k in range(3)))}
+    want = {}
+    for g in range(300):
+        own = list(dict.fromkeys(r for r in rows if r[0] == g))
+        pairs = [(a, b) for a, b in similar([shingles(r[6]) for r in own]) if own[a][2] == 0 or own[a][3] != own[b][3]]
+        links = Counter()
+        for a, b in pairs:
+            links[a] += own[b][5]
+            links[b] += own[a][5]
+        for k, r in enumerate(roots(len(own), pairs)):
+            if links[k]:
+                want[own[k][4]] = (own[r][4], links[k])
+    assert out == want and len(want) > 500
+
+
 def test_op10(spark, data, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = deduped(rows)
@@ -99,10 +143,10 @@ def test_op10(spark, data, docs):
         assert (r.text, r.n_removed) == want[r.doc_id]
 
 
-@pytest.mark.parametrize(("name", "tables"), [("op5_topk_search", ["embeddings"]), ("op9_quality_rules", ["documents"])])
-def test_oracles(spark, data, name, tables):
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_oracles(spark, data, name):
     con = duckdb.connect()
-    for t in tables:
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     rel = con.execute(catalog.oracle_sql()[name])
     cols = [d[0] for d in rel.description]
@@ -112,8 +156,8 @@ def test_oracles(spark, data, name, tables):
 def test_bit_slices():
     rng = np.random.default_rng(1)
     x = rng.integers(-90, 90, (300, 8))
-    (ids, q), = topk._blocks(iter([__import__("pyarrow").RecordBatch.from_pydict({"v": list(range(300)), "e": [(r / 256).tolist() for r in x]})]), 4096, ("v", "e"))
-    assert (q == x).all()
+    (ids, q, wide), = topk._blocks(iter([__import__("pyarrow").RecordBatch.from_pydict({"v": list(range(300)), "e": [(r / 256).tolist() for r in x]})]), 4096)
+    assert (q == x).all() and not wide
     for w in (-77, 0, 1, 13, 90):
         assert sum(d << e for e, d in topk.signed_digits(w)) == w
     planes = [np.array([v], np.uint64) for v in (5, 3, 6, 7)]
@@ -146,19 +190,128 @@ def test_op6(spark, data, docs):
     assert len(sequences) <= -(-total // 4096) * 1.02 + 1
 
 
+def larger(data, sf):
+    return str(Path(data).parent / sf)
+
+
 def test_op7_held_out(spark, data):
+    """Accuracy on rows that the model has not seen: toxic ones are caught, clean ones left alone."""
+    data = larger(data, "sf0.1")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     rows = catalog.queries()["op7_toxicity"](spark, data).collect()
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
     clean = [r.predicted for r in rows if r.held_out and labels.get(r.doc_id) == 0]
-    assert sum(clean) <= 0.05 * len(clean)
-
-
-def test_url_model_generalises():
-    m = urls.train(urls.seed_labels())
-    blocked = ["casino-slots.example.net", "cheap-pills.example.com", "free-bets.example.org", "spam-links.example.net"]
-    allowed = ["ththre.example.com", "blog.thering.example.net", "www.oururion.example.org", "m.lacidado.example.com"]
-    assert all(m.score(h, "/en/12") > 0.5 for h in blocked) and all(m.score(h, "/en/12") < 0.5 for h in allowed)
+    bad = [r.predicted for r in rows if r.held_out and labels.get(r.doc_id) == 1]
+    assert len(clean) > 500 and sum(clean) <= 0.03 * len(clean)
+    assert len(bad) > 100 and sum(bad) >= 0.85 * len(bad)
+
+
+def test_op7_scores_against_a_loop():
+    """A text's score from its words, one by one: probability that any of them is toxic."""
+    import pyarrow as pa
+
+    texts = ["You are vile scum", "a lovely day, scum!", "", None, "Stra\u00dfe und B\u00e4ume", "word " * 3000]
+    m = toxicity.train(["vile scum you", "lovely day", "scum vile", "trees and streets"] * 5, [1, 0, 1, 0] * 5, rounds=20)
+    for t, got in zip(texts, m.scores(pa.array(texts)).tolist()):
+        total = 0.0
+        for w in re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").lower()):
+            stream = np.frombuffer(b" " + w.encode() + b" ", np.uint8)
+            total += float(np.logaddexp(0, m.word_logits(stream, np.array([1]), np.array([len(stream) - 1]))[0]))
+        assert got == pytest.approx(1 - np.exp(-total), abs=1e-9)
+
+
+def test_op7_fairness(spark, data):
+    """A training table in which toxic texts speak of the first group and clean ones of the others. With the penalty the model does not learn the group: on
+    mentions that it has not seen, scores within a group come together and nobody is called toxic for being named."""
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"{larger(data, 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    own, y = (lambda t, v: (t.to_pylist(), v))(*toxicity.training_rows(docs, labels))
+    more, label = [], []
+    for v in (1, 0):
+        for k, t in enumerate(sorted((t for t, z in zip(own, y) if z == v and t), key=len)[:300]):
+            g = toxicity.IDENTITY_GROUPS[k % len(toxicity.IDENTITY_GROUPS)]
+            more.append(f"{toxicity.MENTIONS[k % 12].format(g[0] if v else g[1 + k % (len(g) - 1)])} {t}")
+            label.append(v)
+    spread, called = {}, {}
+    for f in (0.0, toxicity.FAIRNESS):
+        m = toxicity.train(own + more, y + label, fairness=f)
+        gaps, scores = [], []
+        for g in toxicity.IDENTITY_GROUPS:
+            for t in ("I met some {} today", "heute waren {} hier", "hier il y avait des {}", "ayer vinieron {}"):
+                s = m.scores(pa.array([t.format(x) for x in g]))
+                gaps.append(s.max() - s.min())
+                scores += s.tolist()
+        spread[f], called[f] = np.mean(gaps), np.mean(np.array(scores) >= toxicity.THRESHOLD)
+    assert spread[toxicity.FAIRNESS] < 0.1 * spread[0.0] and called[0.0] > 0.01 and called[toxicity.FAIRNESS] == 0
+    texts, _ = toxicity.with_mentions(own, y)
+    words = set(" ".join(texts[len(own) :]).lower().split())
+    assert sum(any(t in words for t in g) for g in toxicity.IDENTITY_GROUPS) == len(toxicity.IDENTITY_GROUPS), "every group is swapped in training"
+
+
+def naive_features(host, path):
+    """Distinct n-grams, one by one."""
+    out = set()
+    for mark, text in ((1, f"^{host}$"), (2, f"^{path}$")):
+        for n in (3, 4, 5):
+            for i in range(len(text) - n + 1):
+                h = mark * 0x9E37 + n
+                for c in text[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+                h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                out.add(h >> 16)
+    return out
+
+
+def test_op2_model():
+    """Held-out labels; hyphens and made-up names decide nothing; features against a plain loop, on a very long url too."""
+    import pyarrow as pa
+
+    table = urls.seed_labels()
+    assert 300 < len(table) <= urls.MOST_LABELS
+    for v in (0, 1):
+        own = [u.split("/")[2] for u, y in table if y == v]
+        assert 0.2 < sum("-" in h for h in own) / len(own) < 0.8
+    held = [x for k, x in enumerate(table) if k % 5 == 2]
+    m = urls.train([x for k, x in enumerate(table) if k % 5 != 2])
+    judge = lambda m, us: m.scores(*(pa.array(c) for c in zip(*map(urls.split_url, us)))) > 0.5
+    said = judge(m, [u for u, _ in held])
+    truth = np.array([v for _, v in held]) == 1
+    assert (said == truth).mean() >= 0.95 and said[truth].mean() >= 0.9 and said[~truth].mean() <= 0.05
+    m = urls.train(table)
+    made_up = ["https://m.quarvel.example.com/en/1", "https://tolm-besk.example.net/fr/2.html", "http://drefton.org", "https://a-vash.info/de/3"]
+    assert not judge(m, made_up).any()
+    assert judge(m, ["https://royalcasino.example.com/", "https://pokernight-24.net/en/7", "http://cheap-pills.io/promo/buy-3", "https://xn.viagrahub.de/"]).all()
+    assert not judge(m, ["https://well-kept-garden.example.com/articles/1", "https://city-library.net/", "http://universityofnorth.org/docs/2.html"]).any()
+    hosts, paths = ["casino.example.com", "", "b\u00fccher.de", "x" * 50000], ["/en/1", "", "/\U0001f600/a", "/" + "ab" * 40000]
+    row, f = urls.features(pa.array(hosts), pa.array(paths))
+    for k in range(4):
+        assert set(f[row == k].tolist()) == naive_features(hosts[k], paths[k])
+
+
+def test_op6_beats_best_fit(spark):
+    """Items of a quarter to a half of a sequence, which best fit wastes room on: crossover and migration on islands leave strictly fewer sequences."""
+    import random
+
+    rng = random.Random(7)
+    sizes = [rng.randint(1024, 2048) for _ in range(240)]
+    greedy = len(packing.best_fit(list(range(240)), sizes, 4096))
+    laid = packing._pack_cells(spark.createDataFrame(list(enumerate(sizes)), "uid long, length long"), 8192, 4096, 2, 2, 6).collect()
+    assert sorted(r.uid for r in laid) == list(range(240))
+    used = Counter()
+    for r in laid:
+        used[r.sequence_id] += sizes[r.uid]
+    assert max(used.values()) <= 4096 and packing.least_bins(sizes, 4096) <= len(used) <= greedy - 2
+
+
+def test_least_bins():
+    import random
+
+    assert packing.least_bins([], 10) == 0 and packing.least_bins([6, 6, 6], 10) == 3 and packing.least_bins([7, 7, 4, 4], 10) == 3 and packing.least_bins([5, 5, 5], 10) == 2
+    for k in range(30):
+        rng = random.Random(k)
+        sizes = [rng.randint(1, 60) for _ in range(40)]
+        assert -(-sum(sizes) // 60) <= packing.least_bins(sizes, 60) <= len(packing.best_fit(list(range(40)), sizes, 60))
 
 
 def test_pipeline(spark, data, docs):

@@ -58,6 +58,22 @@ def test_chat(spark):
     assert rows(chat.read_back(chat.windows(spark.createDataFrame([], t)))) == []
 
 
+@pytest.mark.parametrize("same_turn", [False, True])
+def test_chat_of_one_conversation(spark, same_turn):
+    """All turns in one conversation, far over a part; and all of them under one turn number, ordered by role and text then."""
+    import hashlib
+
+    turns = [(1, 0 if same_turn else i, ("user", "assistant")[i % 2], f"text {i:05d} " + "word " * (i % 23)) for i in range(2500)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    w = chat.windows(df, budget=512, history=100)
+    r = chat.read_back(w).collect()
+    want = sorted(turns, key=lambda t: t[1:])
+    assert len(r) == 1 and r[0].n_turns == 2500
+    assert r[0].turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in want).encode()).hexdigest()
+    assert r[0].loss_sha256 == hashlib.sha256("".join(t[3] for t in want if t[2] == "assistant").encode()).hexdigest()
+    assert w.where("n_tokens > 512").count() == 0 and w.where("n_context > 0").count() > 100
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(1, None), (2, "no scheme"), (None, "http://A.EXAMPLE.org"), (3, "x://h?a/b"), (4, "http://example.org/en/1#z"), (4, "http://example.org/en/1#z"), (5, "://")], "page_id long, url string").withColumn("host", F.lit("q"))
     got = [(r.page_id, r.host, r.path, r.rule) for r in rows(urls.judge(df))]
@@ -71,6 +87,15 @@ def test_mixing(spark, edge, empty):
     p = rows(mixing.plan(edge))
     assert len(p) == 12 and all(r.copies in (0, 1, 2) for r in p)
     assert {r.source_size for r in p if r.source is None} == {len(SENTENCE.split())}
+    taken, shards = {}, {}
+    for r in rows(mixing.plan(edge)):
+        taken[r.doc_id, r.source, r.size] = taken.get((r.doc_id, r.source, r.size), 0) + r.copies
+    size = lambda t: len((t or "").split())
+    mixed = rows(mixing.mix(edge))
+    for r in mixed:
+        k = r.doc_id, r.source, size(r.text)
+        shards[k] = shards.get(k, 0) + 1
+    assert shards == {k: n for k, n in taken.items() if n}, "rows of equal doc_id, and equal rows, count each"
     assert set(mixing.mix(edge).columns) == set(edge.columns)
     assert rows(mixing.plan(empty)) == [] and rows(mixing.mix(empty)) == []
     assert mixing.targets([0, 0], [5, 2], 0) == [0, 0]
@@ -78,6 +103,18 @@ def test_mixing(spark, edge, empty):
     assert q.sum(0).tolist() == [7, 0, 100] and q.min() >= 0 and q.sum(1).max() - q.sum(1).min() <= 1
 
 
+def test_mixing_of_one_row_many_times(spark):
+    """Half of the rows are equal: what is planned for them is written, in lots."""
+    df = spark.createDataFrame([(7, "a b c", "s")] * 3000 + [(i, f"w{i} x", "s") for i in range(1000)] + [(i, "y z", "t") for i in range(500)], "doc_id long, text string, source string")
+    plan = {}
+    for r in rows(mixing.plan(df)):
+        plan[r.doc_id, r.source] = plan.get((r.doc_id, r.source), 0) + r.copies
+    got = {}
+    for r in rows(mixing.mix(df)):
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+    assert got == {k: n for k, n in plan.items() if n} and got[7, "s"] > 1000
+
+
 def test_secrets(edge, empty):
     got = {(r.doc_id, r.spans) for r in rows(secrets_scan.find(edge))}
     assert len(rows(secrets_scan.find(edge))) == 12 and rows(secrets_scan.find(empty)) == []
@@ -109,6 +146,23 @@ def test_topk(spark):
     assert rows(topk.search(none, none)) == []
 
 
+def test_topk_of_any_finite_size(spark):
+    """Components far beyond 32 bits, beside small ones, against Python integers."""
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(2)
+    v = [(i, [rng.uniform(-1, 1) * 10.0 ** rng.choice((0, 0, 3, 7, 12, 30, 200)) for _ in range(3)]) for i in range(120)] + [(200, [1.7e308, -1.7e308, 1.0])]
+    whole = {i: [256 * Fraction(x).numerator // Fraction(x).denominator for x in e] for i, e in v}
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows(topk.search(df, df.where("vec_id % 50 = 0"), 4)))
+    want = []
+    for q in (0, 50, 100, 200):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:4]
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
 def test_packing(spark, edge, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -198,6 +252,18 @@ def test_line_dedup(spark, edge, empty):
     assert by_doc(line_dedup.dedup(df), "doc_id", "text", "n_removed") == [(1, f"{a}1\n", 1), (2, "\n\n", 1), (3, "x", 0)]
 
 
+def test_line_dedup_long_lines(spark):
+    """Lines far longer than a chunk, one of them alike but for a few characters, beside another of their length."""
+    import random
+
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghij ", k=400_000))
+    other = "".join(rng.choices("abcdefghij ", k=400_000))
+    near = long[:1000] + "zz" + long[1002:200_000] + long[200_005:]
+    df = spark.createDataFrame([(1, f"{long}\nshort line here"), (2, f"{near}\nshort line here\n{other}"), (3, other[:399_990])], "doc_id long, text string")
+    assert by_doc(line_dedup.dedup(df).select("doc_id", "n_removed", F.length("text").alias("n")), "doc_id", "n_removed", "n") == [(1, 0, 400_016), (2, 2, 400_000), (3, 1, 0)]
+
+
 def test_line_dedup_short_lines(spark):
     """Lines of any length with a word: equal ones once, near ones from eight characters on; blank lines stay."""
     texts = ["All rights reserved.\nok\n\n \nfirst", "ok\nAll rights reserved.\n\n \nsecond", "\nünï\nok \nabcdefghijklmnopqrst", "ünï\nabcdefghijklmnopqrstu\n1234567\n12345678", "1234567\n123456789\n12345678"]
