@@ -138,10 +138,9 @@ def sanitize(x, most: int = 1000) -> Column:
     """A text without controls, dangerous characters and words of SQL (in capitals or small letters), cut to `most` characters; null becomes empty."""
     out = F.substring(F.coalesce(_c(x), F.lit("")), 1, most)
     out = F.translate(F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), DANGEROUS, "")
-    for w in SQL_WORDS:
-        clean = F.replace(F.replace(out, F.lit(w), F.lit("")), F.lit(w.lower()), F.lit(""))
-        out = F.when(F.contains(F.upper(out), F.lit(w)), clean).otherwise(out)
-    return F.trim(out)
+    # a fold over the words binds the text at each step, so that the expression does not grow with their number
+    without = lambda t, w: F.when(F.contains(F.upper(t), w), F.replace(F.replace(t, w, F.lit("")), F.lower(w), F.lit(""))).otherwise(t)
+    return F.trim(F.aggregate(F.array(*(F.lit(w) for w in SQL_WORDS)), out, without))
 
 
 def escape_cdata(x) -> Column:

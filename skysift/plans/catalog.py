@@ -483,7 +483,7 @@ def weight_assignment(spark, d):
     return _evidence(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("weight"))
 
 
-_LIST = "list(1 - w ORDER BY kind, detail)"
+_LIST = "list(1 - w ORDER BY kind, detail, w)"
 
 
 @query(f"""WITH e AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'copresence' WHEN 1 THEN 'deauth_pattern' ELSE 'score' END AS kind, l_linenumber AS detail, l_discount::DOUBLE AS w, l_returnflag = 'R' AS contra FROM lineitem)

@@ -189,3 +189,34 @@ def test_explained_blocks_against_a_loop(spark, data):
         text = got[subject].split("\n")
         assert text[0].endswith(f"({n} independent kinds, {len({x[4] for x in own})} detector(s))") and abs(int(text[0].split()[1].rstrip("%")) - confidence * 100) <= 0.5 + 1e-6
         assert text[1:] == (["Why:", *for_] if for_ else ["Why: (no supporting evidence)"]) + (["Against:", *against] if against else []) + ([] if n >= 2 else [text[-1]])
+
+
+def test_status_report_is_honest_about_age(spark, tmp_path):
+    path = str(tmp_path / "status")
+    inputs, active = spark.createDataFrame([(1, 0)], "watch_open int, alert_open int"), spark.createDataFrame([("ph:dev:1", "watch")], "incident_key string, lifecycle_state string")
+    assert reports.status_report(captures.status_snapshot(spark, path), inputs, active, 100.0)["state"] == "unknown"
+    sinks.publish_status(spark.createDataFrame([("watch", 90.0)], "state string, ts double"), path)
+    fresh = reports.status_report(captures.status_snapshot(spark, path), inputs, active, 100.0)
+    assert (fresh["state"], fresh["counts"]["watch_open"], len(fresh["active"])) == ("watch", 1, 1)
+    assert reports.status_report(captures.status_snapshot(spark, path), inputs, active, 241.0)["state"] == "fail"
+    sinks.publish_failure(spark, path, 95.0, "no capture")
+    assert [(r.state, r.reason) for r in captures.status_snapshot(spark, path).collect()] == [("fail", "no capture")]
+
+
+def test_fusion_is_attached_or_left_out(spark):
+    fields = spark.createDataFrame([("a", '{"kind":"x"}'), ("b", '{"kind":"y"}')], "subject string, evidence_json string")
+    blocks = spark.createDataFrame([("a", 0.5)], "subject string, c double").select("subject", F.struct(F.col("c").alias("confidence")).alias("fusion"))
+    got = {r.subject: json.loads(r.evidence_json) for r in reports.attach_fusion(fields, blocks, ["subject"]).collect()}
+    assert got == {"a": {"kind": "x", "fusion": {"confidence": 0.5}}, "b": {"kind": "y"}}
+
+
+def test_rendered_text_and_recent_files(spark, tmp_path):
+    t = spark.createDataFrame([("shows home net",), ("shows ssid(len=8,h=0000)",)], "text string")
+    assert replay.raw_strings(t, "text", ["home net", ""]).count() == 1
+    for name in ("a.db", "b.db", "c.txt"):
+        (tmp_path / name).write_text("x")
+    import os
+
+    os.utime(tmp_path / "a.db", (T0, T0))
+    now = max((tmp_path / n).stat().st_mtime for n in ("b.db", "c.txt"))
+    assert [r.path.rsplit("/", 1)[1] for r in legacy.newest_files(spark, str(tmp_path), "*.db", now).collect()] == ["b.db"]
