@@ -50,9 +50,9 @@ def _lines(data: np.ndarray, starts: np.ndarray, least: int):
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, row_hash, text in; a row for each line out: doc_id, row_hash, line, id, node, bytes, and the line's band keys.
+    """doc_id, row_hash, text in; a row for each line out: doc_id, row_hash, line, id, node, bytes, and the line's signature.
 
-    keys is null for lines without a run, which have no set to compare, and where the same line stands before in this piece of the batch."""
+    sig is null for lines without a run, which have no set to compare, and where the same line stands before in this piece of the batch."""
     runs = max(least, 1 << DOUBLINGS)
     for batch in batches:
         data, starts = utf8_buffers(batch.column("text"))
@@ -64,25 +64,25 @@ def _occurrences(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
             nodes = np.frombuffer(b"".join(x[:8] for x in ids), np.int64)
             new = np.unique(nodes, return_index=True)[1]
             new = np.sort(new[(b - a)[new] >= runs])
-            keys = np.ascontiguousarray(MinHasher.band_keys(HASHER.signatures(*char_hashes(points, a[new], b[new], DOUBLINGS))))
+            sig = HASHER.signatures(*char_hashes(points, a[new], b[new], DOUBLINGS))
             sizes = np.zeros(len(ids), np.int32)
-            sizes[new] = 8 * BANDS
+            sizes[new] = 2 * ROWS * BANDS
             valid = np.packbits(sizes > 0, bitorder="little")
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(ids), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets), pa.py_buffer(keys)])
+            column = pa.Array.from_buffers(pa.binary(), len(ids), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets), pa.py_buffer(sig)])
             at = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(number.astype(np.int32)), pa.array(ids, pa.binary()), pa.array(nodes), pa.array(end - begin), column],
-                names=["doc_id", "row_hash", "line", "id", "node", "bytes", "keys"],
+                names=["doc_id", "row_hash", "line", "id", "node", "bytes", "sig"],
             )
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, keys -> rows for near.candidate_groups."""
+    """node, sig -> rows for near.candidate_groups."""
     for batch in batches:
         if batch.num_rows:
-            keys = np.frombuffer(utf8_buffers(batch.column(1))[0].tobytes(), np.int64).reshape(batch.num_rows, BANDS)
-            yield near.band_batch(batch.column(0).to_numpy(), keys)
+            sig = np.frombuffer(utf8_buffers(batch.column(1))[0].tobytes(), np.uint16).reshape(batch.num_rows, ROWS * BANDS)
+            yield near.band_batch(batch.column(0).to_numpy(), MinHasher.band_keys(sig), sig)
 
 
 def _line_shingles(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +110,12 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: fl
     Of each component of similar lines the first by (doc_id, row_hash, line number) stays, null doc_ids first. The texts are split and hashed once; what
     follows reads the table of lines, and the texts of documents that hold a candidate."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, row_hash long, line int, id binary, node long, bytes long, keys binary"
+    schema = f"doc_id {id_type}, row_hash long, line int, id binary, node long, bytes long, sig binary"
     lines = materialize(docs.select("doc_id", "row_hash", "text").mapInArrow(lambda it: _occurrences(it, least_chars), schema), "lines")
-    groups = near.candidate_groups(lines.where("keys is not null").select("node", "keys").mapInArrow(_bands, near.BAND_SCHEMA))
+    signed = lines.where("sig is not null").select("node", "sig")
+    groups = near.candidate_groups(signed.mapInArrow(_bands, near.BAND_SCHEMA), signed, ROWS * BANDS, threshold)
     place = F.struct("doc_id", "row_hash", "line")
-    held = lines.drop("keys").join(near.small_side(groups), "node")
+    held = lines.drop("sig").join(near.small_side(groups), "node")
     candidates = materialize(held.groupBy("id").agg(F.first("grp").alias("grp"), F.first("bytes").alias("bytes"), F.min(place).alias("first")), "candidates")
     roots, _ = near.verified(_line_texts(docs, candidates), candidates, near.verifier(_line_shingles, threshold), False)
     exact = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))

@@ -1,12 +1,14 @@
 """Candidate groups and exact verification, shared by the operators on near-duplicate texts.
 
-Texts that are equal form one node. Nodes whose signatures agree in a band are candidates; each band's bucket adds a star, not its pairs.
-The connected groups of stars hold every candidate pair, so all pairs of a group are judged inside vectorised kernels, block against block,
-and only a spanning forest and counts come out: no table ever has a row for each pair."""
+Texts that are equal form one node. Nodes whose signatures agree in a band meet in that band's bucket, and there pairs whose signatures differ too much are
+dropped at once: what is left of a bucket goes on as a spanning forest, not as its pairs. The connected groups of these forests hold every candidate pair, so
+all pairs of a group are judged inside vectorised kernels, block against block, and only a spanning forest and counts come out: no table ever has a row for
+each pair."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,24 @@ SMALL = 8
 BROADCAST_ROWS = 400_000
 
 BAND_SCHEMA = "key long, node long, edge boolean"
+#: Share of equal signature values from which a member is nearly its bucket's first one; members of a bucket that are compared all with all; and the
+#: probability of a link below which a pair is dropped.
+ABSORBED, BUCKET, TOLERANCE = 0.95, 8192, 1e-6
+
+
+def least_matches(values: int, threshold: float, tolerance: float, step: int) -> list[tuple[int, int]]:
+    """(values compared, least matches to go on): below it, with a uniform prior, P(similarity >= threshold | matches) < tolerance.
+
+    The posterior is Beta(m + 1, n - m + 1), and P(>= t) = P(Binomial(n + 1, t) <= m)."""
+    out = []
+    for n in range(step, values + 1, step):
+        tail, m = 0.0, 0
+        for m in range(n + 1):
+            tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            if tail >= tolerance:
+                break
+        out.append((n, m))
+    return out
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -32,53 +52,120 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def band_batch(nodes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """Rows for band_edges: within the batch, a bucket sends one member on and links the others to it (the map-side combine)."""
+def band_batch(nodes: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    """Rows for candidate_groups: within the batch, a member of a bucket whose signature is nearly that of the bucket's first one is linked to it and goes
+    no further (the map-side combine); all others go on."""
     flat = keys.ravel()
-    owner = np.repeat(nodes, keys.shape[1])
-    order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
+    at = np.repeat(np.arange(len(nodes)), keys.shape[1])
+    order = np.lexsort((at, flat))
+    flat, at = flat[order], at[order]
     head = np.ones(len(flat), bool)
     head[1:] = flat[1:] != flat[:-1]
-    hub = owner[np.maximum.accumulate(np.where(head, np.arange(len(flat)), 0))] if len(flat) else owner
-    link = ~head & (owner != hub)
-    pairs = np.unique(np.stack([owner[link], hub[link]], 1), axis=0) if link.any() else np.zeros((0, 2), np.int64)
+    hub = at[np.maximum.accumulate(np.where(head, np.arange(len(flat)), 0))] if len(flat) else at
+    link = np.flatnonzero(~head & (nodes[at] != nodes[hub]))
+    twin = np.flatnonzero(~head & (nodes[at] == nodes[hub]))
+    close = link[(sig[at[link]] == sig[hub[link]]).sum(1) >= ABSORBED * sig.shape[1]]
+    stays = np.ones(len(flat), bool)
+    stays[close] = stays[twin] = False
+    pairs = np.unique(np.stack([nodes[at[close]], nodes[hub[close]]], 1), axis=0) if len(close) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([flat[head], pairs[:, 0]])),
-            pa.array(np.concatenate([owner[head], pairs[:, 1]])),
-            pa.array(np.concatenate([np.zeros(int(head.sum()), bool), np.ones(len(pairs), bool)])),
+            pa.array(np.concatenate([flat[stays], pairs[:, 0]])),
+            pa.array(np.concatenate([nodes[at[stays]], pairs[:, 1]])),
+            pa.array(np.concatenate([np.zeros(int(stays.sum()), bool), np.ones(len(pairs), bool)])),
         ],
         names=["key", "node", "edge"],
     )
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: (member, first member) of each bucket, and the edges that come ready."""
-    last_key, last_hub = None, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, node): the members of buckets that have two or more, and the edges that come ready; repeats of a member go.
+
+    A bucket's members past the first BUCKET become edges to its first one, unpruned, so that no candidate is lost and no task holds more."""
+    key_, node_, hub_, rank_, sent = None, None, None, 0, False  # the member before: its bucket, itself, the bucket's first, its place there, and whether it went out
     for batch in batches:
         key, node, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        a, b = [key[edge]], [node[edge]]
+        out = [(key[edge], node[edge], np.ones(int(edge.sum()), bool))]
         key, node = key[~edge], node[~edge]
+        new = np.ones(len(key), bool)
+        if len(key):
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            new[0] = key_ is None or key[0] != key_ or node[0] != node_
+        key, node = key[new], node[new]
         if len(key):
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
-            if key[0] == last_key:
-                head[0] = False
-            at = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
-            hub = np.where(at >= 0, node[np.maximum(at, 0)], last_hub if last_hub is not None else 0)
-            link = ~head & (node != hub)
-            a.append(node[link])
-            b.append(hub[link])
-            last_key, last_hub = key[-1], hub[-1]
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def candidate_groups(bands: DataFrame) -> DataFrame:
-    """bands (key, node, edge) -> (node, grp): groups of two nodes or more."""
-    edges = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a long, b long")
-    return materialize(components(edges).withColumnRenamed("root", "grp"), "groups")
+            goes_on = key_ is not None and key[0] == key_
+            head[0] = not goes_on
+            first = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
+            rank = np.arange(len(key)) - np.where(first >= 0, first, -1 - rank_)
+            hub = np.where(first >= 0, node[np.maximum(first, 0)], hub_ if goes_on else 0)
+            with_next = np.zeros(len(key), bool)
+            with_next[:-1] = ~head[1:]
+            keep = ~head | with_next
+            if goes_on and not sent:
+                out.append((np.array([key_]), np.array([node_]), np.zeros(1, bool)))
+            late = keep & (rank >= BUCKET)
+            own = keep & ~late
+            out += [(key[own], node[own], np.zeros(int(own.sum()), bool)), (node[late], hub[late], np.ones(int(late.sum()), bool))]
+            key_, node_, hub_, rank_, sent = key[-1], node[-1], hub[-1], int(rank[-1]), bool(keep[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["key", "node", "edge"])
+
+
+def forest(sig: np.ndarray, passes: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of rows that pass: rows are reached from one another, and what is reached is compared no more."""
+    left = np.arange(len(sig))
+    a, b = [], []
+    reached: list[int] = []
+    while len(left):
+        if not reached:
+            i, left = int(left[0]), left[1:]
+        else:
+            i = reached.pop()
+        hit = passes(sig[i], sig[left])
+        found = left[hit]
+        a.append(found)
+        b.append(np.full(len(found), i))
+        reached += found.tolist()
+        left = left[~hit]
+    return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
+
+
+def _forests(passes: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (key, node, sig) sorted by (key, node): the edges of each bucket's forest; buckets of two are judged together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ["key"], BUCKET, 64 << 20):
+            key, node = (table.column(c).combine_chunks().to_numpy() for c in ("key", "node"))
+            sig = np.frombuffer(utf8_buffers(table.column("sig"))[0].tobytes(), np.uint16).reshape(len(key), -1)
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(key)))
+            two = start[size == 2]
+            two = two[passes(sig[two], sig[two + 1])] if len(two) else two
+            a, b = [node[two + 1]], [node[two]]
+            for i, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+                x, y = forest(sig[i : i + n], passes)
+                a.append(node[i + x])
+                b.append(node[i + y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+def candidate_groups(bands: DataFrame, signatures: DataFrame, values: int, threshold: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """bands (key, node, edge), signatures (node, sig) of so many values -> (node, grp): groups of two nodes or more.
+
+    In a bucket two members pass unless the posterior probability that their similarity reaches `threshold` less a tenth is under `tolerance`; the tenth
+    makes up for members that stand for nearly equal ones. Signatures travel only with members of buckets that several share."""
+    least = least_matches(values, threshold - 0.1, tolerance, values)[-1][1]
+    passes = lambda x, y: (x == y).sum(-1) >= least
+    shared = materialize(bands.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, BAND_SCHEMA), "shared")
+    ready = shared.where("edge").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    met = shared.where("not edge").select("key", "node")
+    wanted = small_side(materialize(met.select("node").distinct(), "wanted"))
+    sig = signatures.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    edges = met.join(sig, "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_forests(passes), "a long, b long")
+    return materialize(components(ready.unionByName(edges)).withColumnRenamed("root", "grp"), "groups")
 
 
 def block_pairs(members: DataFrame, slim: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +22,8 @@ TOLERANCE = 1e-6
 HASHER = MinHasher(ROWS * BANDS, seed=8)
 
 
-def least_matches(values: int, threshold: float, tolerance: float, step: int = STEP) -> list[tuple[int, int]]:
-    """(values compared, least matches to go on): below it, with a uniform prior, P(similarity >= threshold | matches) < tolerance.
-
-    The posterior is Beta(m + 1, n - m + 1), and P(>= t) = P(Binomial(n + 1, t) <= m)."""
-    out = []
-    for n in range(step, values + 1, step):
-        tail, m = 0.0, 0
-        for m in range(n + 1):
-            tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-            if tail >= tolerance:
-                break
-        out.append((n, m))
-    return out
-
-
 def bayesian_pruner(threshold: float, tolerance: float):
-    gates = least_matches(ROWS * BANDS, threshold, tolerance)
+    gates = near.least_matches(ROWS * BANDS, threshold, tolerance, STEP)
 
     def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         left = np.arange(len(i))
@@ -78,7 +62,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows == 0:
             continue
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-        yield near.band_batch(batch.column(0).to_numpy(), MinHasher.band_keys(sig))
+        yield near.band_batch(batch.column(0).to_numpy(), MinHasher.band_keys(sig), sig)
 
 
 def _text_shingles(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +86,7 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     )
     classes = materialize(classes, "classes")
     bands = classes.where("not empty").select("node", "sig").mapInArrow(_bands, near.BAND_SCHEMA)
-    groups = near.candidate_groups(bands)
+    groups = near.candidate_groups(bands, classes.where("not empty").select("node", "sig"), ROWS * BANDS, threshold, tolerance)
     members = materialize(classes.join(groups, "node").select("grp", "id", "rep", "copies", "sig", "bytes"), "members")
     named = near.small_side(members.select(F.col("rep.doc_id").alias("__sky_doc"), F.col("rep.row_hash").alias("__sky_hash"), "id"))
     texts = bare.join(named, bare["doc_id"].eqNullSafe(named["__sky_doc"]) & (F.xxhash64(bare["text"]) == named["__sky_hash"])).select("id", "text").dropDuplicates(["id"])

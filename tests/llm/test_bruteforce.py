@@ -105,6 +105,46 @@ def test_components(spark, monkeypatch, broadcast):
     assert got == {x: want[x] for e in edges for x in e if e[0] != e[1] or sum(want[x] == w for w in want) > 1}
 
 
+def test_buckets_of_many(monkeypatch):
+    """Members of shared buckets, whatever the batches are cut at; those past the limit are linked to the first."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(near, "BUCKET", 5)
+    for trial in range(60):
+        rows = sorted((int(k), int(n), False) for k, n in zip(rng.integers(0, 12, 60), rng.integers(0, 30, 60))) + [(99, 7, True)]
+        rows.sort()
+        cuts = sorted({0, len(rows), *rng.integers(0, len(rows), 6).tolist()})
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:j])], names=["key", "node", "edge"]) for i, j in zip(cuts, cuts[1:])]
+        got = sorted(tuple(r.values()) for b in near._shared(iter(batches)) for r in b.to_pylist())
+        want = [(99, 7, True)]
+        for k in range(12):
+            own = sorted({n for x, n, e in rows if x == k and not e})
+            if len(own) > 1:
+                want += [(k, n, False) for n in own[:5]] + [(n, own[0], True) for n in own[5:]]
+        assert got == sorted(want)
+
+
+def test_forest_spans_what_passes():
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 3, (80, 24)).astype(np.uint16)
+    passes = lambda x, y: (x == y).sum(-1) >= 13
+    a, b = near.forest(sig, passes)
+    pairs = [(i, j) for i, j in combinations(range(80), 2) if passes(sig[i], sig[j])]
+    assert pairs and roots(80, list(zip(a.tolist(), b.tolist()))) == roots(80, pairs) and len(a) < 80
+
+
+def test_half_alike_texts_make_no_group(spark):
+    """A chain of texts of which each shares under half with the next: bands collide, but no candidate group is left to compare."""
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[60 * i : 60 * i + 100])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(ngram_join._sign, "doc_id long, row_hash long, id binary, node long, sig binary, empty boolean, bytes long")
+    bands = signed.select("node", "sig").mapInArrow(ngram_join._bands, near.BAND_SCHEMA)
+    assert bands.count() > bands.select("key").distinct().count(), "bands do collide"
+    assert near.candidate_groups(bands, signed.select("node", "sig"), 96, 0.8).count() == 0
+
+
 def test_union_of_links_only():
     """Kernel output against all pairs: many small groups in one table, repeated rows, blocks across."""
     import pyarrow as pa

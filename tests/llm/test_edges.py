@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from skysift.llm import chat, line_dedup, mixing, ngram_join, packing, quality, secrets_scan, topk, toxicity, urls
+from skysift.llm import chat, line_dedup, mixing, near, ngram_join, packing, quality, secrets_scan, topk, toxicity, urls
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
@@ -235,7 +235,7 @@ def test_ngram_join(edge, empty):
 
 
 def test_least_matches():
-    gates = ngram_join.least_matches(96, 0.8, 1e-6)
+    gates = near.least_matches(96, 0.8, 1e-6, 16)
     assert gates[0][0] == 16 and gates[-1][0] == 96 and all(0 <= m <= n for n, m in gates)
     assert gates[-1][1] in range(50, 70)
 
