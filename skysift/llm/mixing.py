@@ -22,7 +22,7 @@ SETTLING = 4
 SEED = 20240229
 MOST_BROADCAST = 50_000
 #: Copies of one row that a task makes at a time, and rows that a piece of an output shard holds, about.
-COPIES, PIECE = 1000, 50_000
+COPIES, PIECE = 1000, 1000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST_TIMES) -> list[float]:

@@ -48,9 +48,9 @@ def _class_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 ONE, TWO = _class_tables()
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Words whose ids a worker keeps.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 
 class _Words:
@@ -147,8 +147,8 @@ def _pieces(path: str, capacity: int):
         words = _words(path)
         close = np.array([CLOSE], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 owner, number, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(words.ids(part.column(2))):
                     raw = ids.astype("<u4").tobytes() + close
