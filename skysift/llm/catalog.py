@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import chat, embedding_dedup, line_dedup, mixing, ngram_join, packing, quality, secrets_scan, topk, toxicity, urls, whitening
+from skysift.llm import chat, embedding_dedup, line_dedup, mixing, ngram_join, packing, quality, secrets_scan, spelling, topk, toxicity, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
@@ -19,13 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_embedding_dedup": embedding_dedup.op12_embedding_dedup,
     "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat.ORACLE, "op5_topk_search": topk.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op9_quality_rules": quality.ORACLE, "op10_line_dedup": line_dedup.ORACLE,
-    "op12_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE, "op12_embedding_dedup": embedding_dedup.ORACLE,
 }
 
 
