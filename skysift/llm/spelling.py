@@ -20,6 +20,8 @@ MISPRINT, LEAST_CHARS, LEAST_COUNT, RATIO = 97, 5, 3, 2
 RAREST = 3
 #: Letters are a to z and the 64 code points from U+00C0 (A to Z come lower-cased), so there are no more bigrams than this squared.
 LETTERS = 26 + 64
+#: Words up to so many code points are compared by the engine's distance, whose time grows with the square of the length; longer ones letter by letter.
+COMPARED = 64
 #: Distinct words whose counts a task holds before it passes them on; runs up to so many bytes are hashed side by side.
 HELD, SHORT = 200_000, 48
 
@@ -148,6 +150,14 @@ def _prefixes(rank: np.ndarray):
     return run
 
 
+def _one_edit(a: str, b: str, longer: str) -> F.Column:
+    """Whether b, of a's length or one longer, is another word one edit from a: behind the first place that differs, the rest is the same."""
+    x, y = F.split(a, ""), F.split(b, "")
+    first = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True).cast("int")
+    plain = F.slice(x, first + 1 - F.col(longer), F.length(a)) == F.slice(y, first + 1, F.length(b))
+    return (F.col(a) != F.col(b)) & F.when(F.length(a) <= COMPARED, F.levenshtein(a, b, 1) == 1).otherwise(plain)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (word, n): the words of at least LEAST_CHARS code points that occur LEAST_COUNT times or more, misprints as they are."""
     counts = docs.select(F.col("doc_id").cast("string").alias("name"), "text").mapInArrow(_counts, "word string, n long")
@@ -167,7 +177,7 @@ def near_words(words: DataFrame) -> DataFrame:
     steps = F.array(*(F.struct(F.lit(longer).alias("longer"), F.lit(on).alias("on")) for longer, on in ((0, 0), (1, 0), (1, 1))))
     left = prefixes.withColumn("s", F.explode(steps)).select(F.col("word").alias("a"), F.col("n").alias("an"), "gram", (F.col("length") + F.col("s.longer")).alias("length"), (F.col("place") + F.col("s.on")).alias("place"), "s.longer")
     right = prefixes.withColumnsRenamed({"word": "b", "n": "bn"})
-    one = ((F.col("longer") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
+    one = ((F.col("longer") == 1) | (F.col("a") < F.col("b"))) & _one_edit("a", "b", "longer")
     pairs = left.hint("merge").join(right, (left["gram"] == right["gram"]) & (left["place"] == right["place"]) & (left["length"] == right["length"]) & one).select("a", "an", "b", "bn").distinct()
     pairs = materialize(pairs, "pairs")
     return pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("bn").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("an").alias("near_n")))

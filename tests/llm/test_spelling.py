@@ -1,5 +1,6 @@
 """Spelling variants against plain Python: runs, checksums, near words, forms and roots."""
 
+import itertools
 import random
 import re
 import zlib
@@ -91,6 +92,15 @@ def test_near_words_of_few_letters(spark, letters):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_both_ways_of_comparing_agree(spark, monkeypatch):
+    words = sorted({"".join(p) for k in (5, 6) for p in itertools.product("aé", repeat=k)})
+    df = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
+    want = {(a, b) for a, bs in neighbours(set(words)).items() for b in bs}
+    for most in (0, 5, 64):
+        monkeypatch.setattr(spelling, "COMPARED", most)
+        assert {(r.word, r.near) for r in spelling.near_words(df).collect()} == want
+
+
 def test_checksums():
     rng = random.Random(2)
     for _ in range(30):
