@@ -25,9 +25,9 @@ RECALL = 0.995
 #: that each table probes beside a vector's own; rows of unrelated vectors that a cell may hold on average.
 SCALE, PROBES, CROWD = 0.5, 8, 16
 #: Sign bits of a sketch, and those in which a vector may differ from its cell's first one and be represented by it.
-BITS, ABSORBED = 256, 12
+BITS, ABSORBED = 512, 12
 #: Probability with which a pair at the threshold differs in more sketch bits than the gate lets pass.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-8
 #: Members of a cell that are compared all with all; members of a block of a group; rows of a kernel's product.
 BUCKET, BLOCK, TILE = 8192, 4096, 512
 #: Cells of so many members or fewer are judged many at a time.
