@@ -50,12 +50,19 @@ def gated(confidence, may_alert) -> F.Column:
     return F.when((c >= 0.60) & m, "alert").when(c >= 0.30, "watch").otherwise("info")
 
 
+#: States that an incident is closed in, and for how long evidence on it is only noted.
+CLOSED = ("RESOLVED", "FALSE_POSITIVE", "KNOWN_DEVICE")
+REOPEN_RESOLVED_S, REOPEN_DISPOSED_S = 0.0, 604800.0
+
+
 class Lifecycle:
-    """State of one phenomenon over its cycles. Evidence moves it one rank at a time; silence lets it decay, then resolve."""
+    """State of one phenomenon over its cycles. Evidence moves it one rank at a time; silence lets it decay, then resolve; a disposition closes it, and
+    evidence then is noted until the window is over and opens it anew."""
 
-    def __init__(self, decay: float = 120.0, close: float = 600.0):
+    def __init__(self, decay: float = 120.0, close: float = 600.0, reopen_resolved: float = REOPEN_RESOLVED_S, reopen_disposed: float = REOPEN_DISPOSED_S):
         self.decay, self.close = decay, close
-        self.state, self.confidence, self.last, self.detectors, self.contributions = None, 0.0, None, set(), set()
+        self.windows = dict(zip(CLOSED, (reopen_resolved, reopen_disposed, reopen_disposed)))
+        self.state, self.confidence, self.last, self.closed, self.detectors, self.contributions = None, 0.0, None, None, set(), set()
 
     @staticmethod
     def fuse(lines: list[tuple[str, str, float, bool]]) -> tuple[float, int]:
@@ -70,18 +77,35 @@ class Lifecycle:
 
     def silent(self, now: float) -> None:
         """A cycle without evidence. A NEW phenomenon has no way to resolved and stays NEW."""
-        if self.state in (None, "NEW", "RESOLVED"):
+        if self.state in (None, "NEW", *CLOSED):
             return
         gone = now - self.last
         if gone > self.close:
-            self.state = "RESOLVED"
+            self.state, self.closed = "RESOLVED", now
         elif gone > self.decay and self.state in ("ALERT", "WATCH"):
             self.state = RANKS[RANKS.index(self.state) - 1]
 
+    def dispose(self, now: float, what: str) -> None:
+        """The operator closes it; what is closed or unknown stays as it is, and a NEW one can't be resolved."""
+        if self.state in RANKS and what in CLOSED and (self.state, what) != ("NEW", "RESOLVED"):
+            self.state, self.closed = what, now
+
+    def next_change(self, cycle: int, cycle_s: float) -> int | None:
+        """The first later cycle whose clock moves the state, or ends the window of a closed one, if nothing comes meanwhile."""
+        if self.state in (None, "NEW"):
+            return None
+        since, limit = (self.closed, self.windows[self.state]) if self.state in CLOSED else (self.last, self.close if self.state == "OBSERVING" else min(self.decay, self.close))
+        k = max(cycle + 1, int((since + limit) // cycle_s))
+        while k * cycle_s - since < limit or self.state not in CLOSED and k * cycle_s - since <= limit:
+            k += 1
+        return k
+
     def evidence(self, now: float, rows: list[tuple[str, list[tuple[str, str, float, bool]]]]) -> None:
         """A cycle with detections (detector, lines)."""
         self.silent(now)
-        if self.state in (None, "RESOLVED"):
+        if self.state in CLOSED and now - self.closed < self.windows[self.state]:
+            return
+        if self.state is None or self.state in CLOSED:
             self.state, self.detectors, self.contributions = "NEW", set(), set()
         self.last = now
         for detector, lines in rows:
@@ -106,42 +130,49 @@ class Lifecycle:
 LIFECYCLE_SCHEMA = "phenomenon string, cycle long, state string, confidence double, detectors int"
 
 
-def lifecycle(detections: DataFrame, cycle_s: float, decay: float = 120.0, close: float = 600.0) -> DataFrame:
-    """detections (phenomenon, cycle, detector, kind, detail, w, contra) -> the state after each cycle that had evidence, or a row without a detector.
+def lifecycle(detections: DataFrame, cycle_s: float, decay: float = 120.0, close: float = 600.0, reopen_resolved: float = REOPEN_RESOLVED_S, reopen_disposed: float = REOPEN_DISPOSED_S) -> DataFrame:
+    """detections (phenomenon, cycle, detector, kind, detail, w, contra[, action]) -> the state after each cycle that had evidence, or a row without a detector.
 
-    Such rows only let the clock tick. Silent cycles in between are replayed by their clock (cycle x cycle_s); one ordered pass, only the current
-    phenomenon's state is held."""
-    cols = ["phenomenon", "cycle", "detector", "kind", "detail", "w", "contra"]
+    Such rows let the clock tick, or, if action names one of CLOSED, dispose of the phenomenon before the cycle's evidence. Silent cycles in between are
+    replayed by their clock (cycle x cycle_s); one ordered pass, only the current phenomenon's state is held."""
+    cols = ["phenomenon", "cycle", "detector", "kind", "detail", "w", "contra", "action"]
+    detections = detections if "action" in detections.columns else detections.withColumn("action", F.lit(None).cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, machine, cycle, rows = None, None, None, {}
+        key, machine, cycle, rows, actions = None, None, None, {}, []
 
         def close_cycle():
+            if actions:
+                machine.silent(cycle * cycle_s)
+            for action in actions:
+                machine.dispose(cycle * cycle_s, action)
             if rows:
                 machine.evidence(cycle * cycle_s, sorted((d, x) for d, x in rows.items()))
-            else:
+            elif not actions:
                 machine.silent(cycle * cycle_s)
             return key, cycle, machine.state, machine.confidence, len(machine.detectors)
 
         for f in frames:
             out = []
-            for p, c, d, kind, detail, w, contra in f[cols].itertuples(index=False):
+            for p, c, d, kind, detail, w, contra, action in f[cols].itertuples(index=False):
                 if key is not None and (p, c) != (key, cycle):
                     out.append(close_cycle())
-                    rows = {}
+                    rows, actions = {}, []
                 if p != key:
-                    machine, cycle = Lifecycle(decay, close), None
+                    machine, cycle = Lifecycle(decay, close, reopen_resolved, reopen_disposed), None
                 if cycle is not None and c != cycle:
                     for silent in range(cycle + 1, min(c, cycle + 2 + int(close / cycle_s) + 1)):
                         machine.silent(silent * cycle_s)
                 key, cycle = p, c
                 if d is not None and d == d:
                     rows.setdefault(d, []).append((kind, detail, w, bool(contra)))
+                elif action is not None and action == action:
+                    actions.append(action)
             yield pd.DataFrame(out, columns=["phenomenon", "cycle", "state", "confidence", "detectors"])
         if key is not None:
             yield pd.DataFrame([close_cycle()], columns=["phenomenon", "cycle", "state", "confidence", "detectors"])
 
-    s = detections.select(*cols).repartition("phenomenon").sortWithinPartitions("phenomenon", "cycle", "detector", "kind", "detail")
+    s = detections.select(*cols).repartition("phenomenon").sortWithinPartitions("phenomenon", "cycle", "detector", "kind", "detail", "action")
     return s.mapInPandas(run, LIFECYCLE_SCHEMA)
 
 

@@ -17,6 +17,22 @@ def attacks(events: DataFrame, now: float, window: float = 1800.0, least: int =
     ).where(F.col("n") >= least)
 
 
+def attacks_in_memory(events: DataFrame, cycle_s: float, window: float = 1800.0, least: int = 5) -> DataFrame:
+    """events (target, source, ts, channel, cycle) -> (target, source, cycle, n, first_ts, last_ts, channels): at each cycle in which a pair's frames came in,
+    those that a memory of `window` seconds before its clock (cycle x cycle_s) holds, if they are enough. Frames of one tenth of a second count once, the
+    first that came in; a frame that comes late is held from then on, if its time is still in the window."""
+    tenth = F.floor(F.col("ts") * 10 + 0.5)
+    first = events.withColumn("_tenth", tenth).groupBy("target", "source", "_tenth").agg(F.min(F.struct("cycle", "ts", "channel")).alias("e"))
+    first = first.select("target", "source", "e.*")
+    clocks = first.select("target", "source", F.col("cycle").alias("clock")).distinct()
+    last = F.floor((F.col("ts") + window) / cycle_s)
+    held = first.where(F.col("cycle") <= last).withColumn("clock", F.explode(F.sequence("cycle", last)))
+    g = held.join(clocks, ["target", "source", "clock"]).groupBy("target", "source", F.col("clock").alias("cycle")).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set("channel")).alias("channels")
+    )
+    return g.where(F.col("n") >= least)
+
+
 def peak_rates(events: DataFrame, seconds: int = 60) -> DataFrame:
     """(target, source, n, rate): the most frames in any closed window of `seconds`, per minute; fewer than two frames are their own rate."""
     w = Window.partitionBy("target", "source").orderBy("ts").rangeBetween(-seconds, 0)

@@ -1,18 +1,21 @@
-"""Streaming twins: burst windows, re-appearance slots, incident lifecycle. State lives in the state store; restarts resume from the checkpoint."""
+"""Streaming twins: burst windows, re-appearance slots, attack memory, incident lifecycle. State lives in the state store; restarts resume from the checkpoint."""
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skysift.operators.incidents import Lifecycle
+from skysift.operators.incidents import CLOSED, LIFECYCLE_SCHEMA, REOPEN_DISPOSED_S, REOPEN_RESOLVED_S, Lifecycle
 from skysift.operators.windows import LABELS, SEVERITY
 
+#: Slots of the re-appearance memory.
+DEPTH = 4
 #: transformWithState needs this provider: spark.sql.streaming.stateStore.providerClass.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,6 +42,9 @@ class Slots(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("slots", "slots array<bigint>")
 
+    def handleInitialState(self, key, initial: pd.DataFrame, timerValues) -> None:
+        self.state.update((sorted({int(s) for s in initial["slot"]}),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = set(self.state.get()[0]) if self.state.exists() else set()
         out = []
@@ -52,56 +58,227 @@ class Slots(StatefulProcessor):
                     if (b if a == slot else a) in held:
                         out.append((key[0], a, label, SEVERITY[label]))
             held.add(slot)
-        newest = max(held)
-        self.state.update((sorted(s for s in held if s > newest - 4),))
+        if held:
+            newest = max(held)
+            self.state.update((sorted(s for s in held if s > newest - DEPTH),))
         yield pd.DataFrame(out, columns=["subject", "slot", "label", "severity"])
 
     def close(self) -> None:
         pass
 
 
-def reappearance_stream(stream: DataFrame, width: float) -> DataFrame:
-    """(subject, slot, label, severity), once per slot and label, as they come about."""
-    return stream.select("subject", "ts").groupBy("subject").transformWithStateInPandas(Slots(width), "subject bigint, slot bigint, label string, severity string", "Append", "None")
+def reappearance_stream(stream: DataFrame, width: float, held: DataFrame | None = None) -> DataFrame:
+    """(subject, slot, label, severity), once per slot and label, as they come about. held (subject, slot): slots known before the first row, as rehydrated()
+    gives them."""
+    out = "subject bigint, slot bigint, label string, severity string"
+    rows = stream.select("subject", "ts").groupBy("subject")
+    return rows.transformWithStateInPandas(Slots(width), out, "Append", "None", held.select("subject", "slot").groupBy("subject") if held is not None else None)
+
+
+def held_slots(spark: SparkSession, checkpoint: str, saved_ts: float, width: float) -> DataFrame:
+    """(subject, slot, saved_ts): the slots in a stream's state, by age, 0 the newest at saved_ts: what a snapshot consists of. Read by the state data source
+    from the stream's checkpoint, in partitions, while the stream is at rest."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "slots").load()
+    age = F.lit(int(saved_ts // width)) - F.col("at")
+    s = state.select(F.col("key.subject").alias("subject"), F.explode("value.slots").alias("at")).select("subject", age.alias("slot"))
+    return s.where(F.col("slot").between(0, DEPTH - 1)).withColumn("saved_ts", F.lit(float(saved_ts)))
+
+
+def rehydrated(snapshot: DataFrame, now: float, width: float, most_age: float | None = None) -> DataFrame:
+    """snapshot (subject, slot, saved_ts) -> (subject, slot): what is left of it at `now`, as a new stream's first state; slots are numbered by time again.
+
+    A slot moves on by the slots that have begun since it was saved and goes once it is past the depth, so that the new stream reports what the old one
+    would have. A snapshot that is older than all slots and one more, or has no time, gives nothing."""
+    most_age = (DEPTH + 1) * width if most_age is None else most_age
+    fresh = snapshot.where((F.col("saved_ts") > 0) & (F.lit(float(now)) - F.col("saved_ts") <= most_age))
+    at = fresh.select("subject", (F.floor(F.col("saved_ts") / width) - F.col("slot")).cast("long").alias("slot"))
+    return at.where(F.col("slot") > int(now // width) - DEPTH).distinct()
+
+
+def clocked(rows: DataFrame, cycle_s: float, ticks: DataFrame | None) -> DataFrame:
+    """rows (cycle, ...) with `at`, the clock of the cycle that takes them in, as event time; ticks (cycle) come along as rows of nulls that only move it.
+
+    A row's own time may lie far behind: the clock is that of consumption, which a cursor only moves forward, so no row is late. A cycle is over, and its
+    timers are due, once the clock shows a later one."""
+    if ticks is not None:
+        rows = rows.unionByName(ticks.select("cycle"), allowMissingColumns=True)
+    return rows.withColumn("at", F.timestamp_seconds(F.col("cycle") * cycle_s)).withWatermark("at", f"{cycle_s} seconds")
+
+
+def clock_ticks(spark: SparkSession, cycle_s: float) -> DataFrame:
+    """(cycle): the host's clock as a stream, so that silence passes when no rows come."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.floor(F.col("timestamp").cast("double") / cycle_s).alias("cycle"))
+
+
+def _timer(handle: StatefulProcessorHandle, at_ms: int | None) -> None:
+    """The key's only timer, or none."""
+    held = [t if isinstance(t, int) else t[0] for t in handle.listTimers()]
+    for t in held:
+        if t != at_ms:
+            handle.deleteTimer(t)
+    if at_ms is not None and at_ms not in held:
+        handle.registerTimer(at_ms)
 
 
 class Phenomenon(StatefulProcessor):
-    """Per phenomenon: the lifecycle machine as JSON. Rows are taken in arrival order and never dropped for lateness."""
+    """Per phenomenon: the lifecycle machine as JSON, and a timer at the cycle whose clock next moves it. Rows are taken in the order of their cycles; one
+    that names a cycle before the machine's belongs to the machine's. Once a closed one's window is over nothing is left of it in the state."""
 
-    def __init__(self, cycle_s: float, decay: float, close_after: float):
-        self.cycle_s, self.decay, self.close_after = cycle_s, decay, close_after
+    def __init__(self, cycle_s: float, *times: float):
+        self.cycle_s, self.times = cycle_s, times
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("machine", "json string, cycle bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        m, cycle = Lifecycle(self.decay, self.close_after), None
+    def _load(self) -> tuple[Lifecycle, int | None]:
+        m, cycle = Lifecycle(*self.times), None
         if self.state.exists():
             text, cycle = self.state.get()
             d = json.loads(text)
-            m.state, m.confidence, m.last = d["state"], d["confidence"], d["last"]
+            m.state, m.confidence, m.last, m.closed = d["state"], d["confidence"], d["last"], d["closed"]
             m.detectors, m.contributions = set(d["detectors"]), {tuple(x) for x in d["contributions"]}
+        return m, cycle
+
+    def _save(self, m: Lifecycle, cycle: int) -> None:
+        d = {"state": m.state, "confidence": m.confidence, "last": m.last, "closed": m.closed, "detectors": sorted(m.detectors), "contributions": sorted(m.contributions)}
+        self.state.update((json.dumps(d), int(cycle)))
+        due = m.next_change(cycle, self.cycle_s)
+        _timer(self.handle, None if due is None else int(due * self.cycle_s * 1000))
+
+    def _pass(self, m: Lifecycle, cycle: int, until: int, key: str, out: list) -> tuple[Lifecycle, int, bool]:
+        """Silence up to the cycle `until`: a row for each change, and whether there still is something to remember."""
+        while (due := m.next_change(cycle, self.cycle_s)) is not None and due <= until:
+            if m.state in CLOSED:
+                return Lifecycle(*self.times), due, False
+            m.silent(due * self.cycle_s)
+            cycle = due
+            out.append((key, cycle, m.state, m.confidence, len(m.detectors)))
+        return m, cycle, True
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:  # ticks
+            for _ in rows:
+                pass
+            yield _states([])
+            return
+        m, cycle = self._load()
         frame = pd.concat(list(rows)).sort_values(["cycle", "detector", "kind", "detail"])
-        out = []
+        frame["cycle"] = frame["cycle"].clip(lower=cycle) if cycle is not None else frame["cycle"]
+        out: list = []
         for c, g in frame.groupby("cycle", sort=True):
+            c = int(c)
             if cycle is not None:
-                for silent in range(cycle + 1, min(c, cycle + 3 + int(self.close_after / self.cycle_s))):
-                    m.silent(silent * self.cycle_s)
-            m.evidence(c * self.cycle_s, [(d, [(k, t, w, bool(x)) for k, t, w, x in zip(f["kind"], f["detail"], f["w"], f["contra"])]) for d, f in g.groupby("detector", sort=True)])
+                m, _, _ = self._pass(m, cycle, c - 1, key[0], out)
+            actions = sorted(a for a in g["action"] if isinstance(a, str))
+            if actions:
+                m.silent(c * self.cycle_s)
+            for action in actions:
+                m.dispose(c * self.cycle_s, action)
+            seen = g[g["detector"].notna()]
+            if len(seen):
+                m.evidence(c * self.cycle_s, [(d, [(k, t, w, bool(x)) for k, t, w, x in zip(f["kind"], f["detail"], f["w"], f["contra"])]) for d, f in seen.groupby("detector", sort=True)])
+            elif not actions:
+                m.silent(c * self.cycle_s)
             cycle = c
-            out.append((key[0], int(c), m.state, m.confidence, len(m.detectors)))
-        text = json.dumps({"state": m.state, "confidence": m.confidence, "last": float(m.last), "detectors": sorted(m.detectors), "contributions": sorted(m.contributions)})
-        self.state.update((text, int(cycle)))
-        yield pd.DataFrame(out, columns=["phenomenon", "cycle", "state", "confidence", "detectors"])
+            if m.state is not None:
+                out.append((key[0], c, m.state, m.confidence, len(m.detectors)))
+        if m.state is not None:
+            self._save(m, cycle)
+        yield _states(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out: list = []
+        m, cycle = self._load()
+        if cycle is not None:
+            m, cycle, remembered = self._pass(m, cycle, int(timerValues.getCurrentWatermarkInMs() / 1000 // self.cycle_s), key[0], out)
+            if remembered:
+                self._save(m, cycle)
+            else:
+                self.state.clear()
+                _timer(self.handle, None)
+        yield _states(out)
 
     def close(self) -> None:
         pass
 
 
-def lifecycle_stream(stream: DataFrame, cycle_s: float, decay: float = 120.0, close_after: float = 600.0) -> DataFrame:
-    """The batch operator's rows, as batches arrive."""
-    out = "phenomenon string, cycle bigint, state string, confidence double, detectors int"
-    return stream.groupBy("phenomenon").transformWithStateInPandas(Phenomenon(cycle_s, decay, close_after), out, "Append", "None")
+def _states(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["phenomenon", "cycle", "state", "confidence", "detectors"])
+
+
+def lifecycle_stream(
+    stream: DataFrame, cycle_s: float, decay: float = 120.0, close_after: float = 600.0, ticks: DataFrame | None = None, reopen_resolved: float = REOPEN_RESOLVED_S, reopen_disposed: float = REOPEN_DISPOSED_S
+) -> DataFrame:
+    """The batch operator's rows, as batches arrive; and a row for each cycle whose clock alone lets a phenomenon decay or close, once the clock has passed it.
+
+    An action on a phenomenon that is unknown, or of which nothing is left, gives no row.
+    stream (phenomenon, cycle, detector, kind, detail, w, contra[, action]); ticks (cycle) say how far the clock is when no evidence comes."""
+    rows = stream if "action" in stream.columns else stream.withColumn("action", F.lit(None).cast("string"))
+    rows = rows.select("phenomenon", "cycle", "detector", "kind", "detail", "w", "contra", "action")
+    machine = Phenomenon(cycle_s, decay, close_after, reopen_resolved, reopen_disposed)
+    return clocked(rows, cycle_s, ticks).groupBy("phenomenon").transformWithStateInPandas(machine, LIFECYCLE_SCHEMA, "Append", "EventTime")
+
+
+class Frames(StatefulProcessor):
+    """Per target and source: the frames of the attack window, one for each tenth of a second at most, and a timer that forgets the last of them."""
+
+    def __init__(self, cycle_s: float, window: float, least: int):
+        self.cycle_s, self.window, self.least = cycle_s, window, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("frames", "ts array<double>, channels array<int>, cycle bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out: list = []
+        if key[0] is None and key[1] is None:  # ticks
+            for _ in rows:
+                pass
+            yield _attacks(out)
+            return
+        times, channels, cycle = self.state.get() if self.state.exists() else ([], [], None)
+        held = {math.floor(t * 10 + 0.5): (t, c) for t, c in zip(times, channels)}
+        frame = pd.concat(list(rows)).sort_values(["cycle", "ts", "channel"])
+        frame["cycle"] = frame["cycle"].clip(lower=cycle) if cycle is not None else frame["cycle"]
+        for c, g in frame.groupby("cycle", sort=True):
+            came = len(held)
+            for t, channel in zip(g["ts"].tolist(), g["channel"].tolist()):
+                held.setdefault(math.floor(t * 10 + 0.5), (t, None if pd.isna(channel) else int(channel)))
+            came, cycle = len(held) > came, int(c)
+            oldest = cycle * self.cycle_s - self.window
+            held = {k: v for k, v in held.items() if v[0] >= oldest}
+            if came and len(held) >= self.least:
+                ts = [t for t, _ in held.values()]
+                out.append((*key, cycle, len(held), min(ts), max(ts), sorted({c for _, c in held.values() if c is not None})))
+        if held:
+            kept = sorted(held.values())
+            self.state.update(([t for t, _ in kept], [c for _, c in kept], cycle))
+            _timer(self.handle, int((math.floor((kept[-1][0] + self.window) / self.cycle_s) + 1) * self.cycle_s * 1000))
+        else:
+            self.state.clear()
+            _timer(self.handle, None)
+        yield _attacks(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield _attacks([])
+
+    def close(self) -> None:
+        pass
+
+
+def _attacks(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["target", "source", "cycle", "n", "first_ts", "last_ts", "channels"])
+
+
+def attack_stream(stream: DataFrame, cycle_s: float, window: float = 1800.0, least: int = 5, ticks: DataFrame | None = None) -> DataFrame:
+    """radio.attacks_in_memory as batches arrive. stream (target, source, ts, channel, cycle); a key's state holds ten frames for each second of the window
+    at most, and goes when the clock has passed its last frame by the window."""
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    out = f"target {kinds['target']}, source {kinds['source']}, cycle bigint, n bigint, first_ts double, last_ts double, channels array<int>"
+    rows = clocked(stream.select("target", "source", "ts", "channel", "cycle"), cycle_s, ticks)
+    return rows.groupBy("target", "source").transformWithStateInPandas(Frames(cycle_s, window, least), out, "Append", "EventTime")
 
 
 def run_cycles(stream: DataFrame, cycle, checkpoint: str, every: str | None = "60 seconds"):
