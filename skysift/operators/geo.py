@@ -129,16 +129,22 @@ def _slots(start: F.Column, end: F.Column, width: float) -> F.Column:
     return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
 
 
-def cotravel(entity: DataFrame, operator: DataFrame, radius: float = MERGE_M, gap: float = REVISIT_S) -> DataFrame:
+def cotravel(entity: DataFrame, operator: DataFrame, radius: float = MERGE_M, gap: float = REVISIT_S, lateness: str | None = None) -> DataFrame:
     """Entity visits that meet an operator visit in place (2 x radius) and time. Both sides take an equi-key of grid cell and time slot; a pair that shares
-    several slots is kept in the first of them. Partitions crowded by one cell are Spark's to split; neither side is broadcast unless small."""
+    several slots is kept in the first of them. Partitions crowded by one cell are Spark's to split; neither side is broadcast unless small.
+
+    With `lateness` both sides may be streams: the slot's time is the event time, and a slot that the watermark has passed is dropped from the join's state. A
+    visit is known once it is over, so lateness has to be no less than the longest visit."""
     width = max(gap, 3600.0)
     o = operator.select(F.col("visit").alias("op_visit"), F.col("cluster").alias("op_cluster"), F.col("enter_ts").alias("op_enter"), F.coalesce("exit_ts", F.col("enter_ts") + gap).alias("op_end"), F.col("lat").alias("op_lat"), F.col("lon").alias("op_lon"))
     o = o.withColumn("_cell", F.explode(cells_near("op_lat", "op_lon", 2 * radius))).withColumn("_slot", F.explode(_slots(F.col("op_enter"), F.col("op_end"), width)))
     e = entity.withColumn("_end", F.coalesce("exit_ts", F.col("enter_ts") + gap)).withColumn("_cell", cell("lat", "lon"))
     e = e.withColumn("_slot", F.explode(_slots(F.col("enter_ts"), F.col("_end"), width)))
+    if lateness is not None:
+        e, o = (d.withColumn("_slot", F.timestamp_seconds(F.col("_slot") * width)).withWatermark("_slot", lateness) for d in (e, o))
     met = e.join(o, ["_cell", "_slot"]).where((F.col("enter_ts") <= F.col("op_end")) & (F.col("op_enter") <= F.col("_end")))
-    met = met.where(F.col("_slot") == F.floor(F.greatest("enter_ts", "op_enter") / width))
+    first = F.floor(F.greatest("enter_ts", "op_enter") / width)
+    met = met.where(F.col("_slot") == (first if lateness is None else F.timestamp_seconds(first * width)))
     return met.where(haversine("lat", "lon", "op_lat", "op_lon") <= 2 * radius).drop("_cell", "_slot", "_end")
 
 

@@ -6,11 +6,13 @@ import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from skysift.operators.geo import MERGE_M, REVISIT_S, cotravel, metres
 from skysift.operators.incidents import CLOSED, LIFECYCLE_SCHEMA, REOPEN_DISPOSED_S, REOPEN_RESOLVED_S, Lifecycle
 from skysift.operators.windows import LABELS, SEVERITY
 
@@ -281,6 +283,78 @@ def attack_stream(stream: DataFrame, cycle_s: float, window: float = 1800.0, lea
     return rows.groupBy("target", "source").transformWithStateInPandas(Frames(cycle_s, window, least), out, "Append", "EventTime")
 
 
+class Visits(StatefulProcessor):
+    """Per subject: the leaders of its places, the visit that goes on, and sightings that the watermark has not passed. A timer settles these in order of
+    time; a visit ends where the place changes or after the gap."""
+
+    KINDS = "lats array<double>, lons array<double>, visit bigint, cluster int, enter double, last double, n bigint, wait_ts array<double>, wait_lat array<double>, wait_lon array<double>"
+
+    def __init__(self, radius: float, gap: float):
+        self.radius, self.gap = radius, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("visits", self.KINDS)
+
+    def _settled(self, key, rows: list[tuple[float, float, float]], until: float) -> list[tuple]:
+        lats, lons, visit, cluster, enter, last, n, *wait = self.state.get() if self.state.exists() else ([], [], 0, None, 0.0, 0.0, 0, [], [], [])
+        lats, lons, out = list(lats), list(lons), []
+        rows = sorted([*rows, *zip(*wait)])
+        done = [r for r in rows if r[0] <= until]
+
+        def ended() -> tuple:
+            return (*key, visit, cluster, enter, last, lats[cluster], lons[cluster], n)
+
+        for ts, lat, lon in done:
+            near = np.flatnonzero(metres(np.array(lats), np.array(lons), lat, lon) <= self.radius) if lats else ()
+            if len(near):
+                at = int(near[0])
+            else:
+                at = len(lats)
+                lats.append(lat)
+                lons.append(lon)
+            if cluster is None or cluster != at or ts - last > self.gap:
+                if cluster is not None:
+                    out.append(ended())
+                visit, cluster, enter, n = visit + 1, at, ts, 0
+            last, n = ts, n + 1
+        rest = rows[len(done) :]
+        if cluster is not None and not rest and until > last + self.gap:
+            out.append(ended())
+            cluster = None
+        self.state.update((lats, lons, visit, cluster, enter, last, n, *([r[i] for r in rest] for i in range(3))))
+        due = rest[0][0] if rest else last + self.gap if cluster is not None else None
+        _timer(self.handle, None if due is None else int(due * 1000) + 1)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for f in rows for r in zip(f["ts"].tolist(), f["lat"].tolist(), f["lon"].tolist())]
+        yield _ended(self._settled(key, new, timerValues.getCurrentWatermarkInMs() / 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield _ended(self._settled(key, [], timerValues.getCurrentWatermarkInMs() / 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def _ended(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["subject", "visit", "cluster", "enter_ts", "exit_ts", "lat", "lon", "n"])
+
+
+def visit_stream(stream: DataFrame, radius: float = MERGE_M, gap: float = REVISIT_S, lateness: str = "30 minutes") -> DataFrame:
+    """stream (subject, ts, lat, lon) -> the visits of geo.visits over its leader clusters, each once it is over: another place, or the gap has passed without a
+    sighting. Sightings may come in any order within the lateness. exit_ts is the last sighting; the batch operator leaves it open for the last visit."""
+    s = stream.where("lat is not null and lon is not null").select("subject", "ts", "lat", "lon").withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", lateness)
+    out = f"subject {stream.schema['subject'].dataType.simpleString()}, visit bigint, cluster int, enter_ts double, exit_ts double, lat double, lon double, n bigint"
+    return s.groupBy("subject").transformWithStateInPandas(Visits(radius, gap), out, "Append", "EventTime")
+
+
+def cotravel_stream(entities: DataFrame, operator: DataFrame, longest: str = "1 day", radius: float = MERGE_M, gap: float = REVISIT_S) -> DataFrame:
+    """geo.cotravel of two streams of visits that are over: a join by grid cell and time slot, its state dropped slot by slot behind the slower watermark."""
+    return cotravel(entities, operator, radius, gap, longest)
+
+
 def run_cycles(stream: DataFrame, cycle, checkpoint: str, every: str | None = "60 seconds"):
     """Starts the analysis loop: cycle(batch, number) runs for each micro-batch, every so often, or over all that is there and then ends (every None).
     Offsets live in the checkpoint: a batch whose cycle failed comes again under the same number."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skysift.operators import incidents, radio, windows
+from skysift.operators import geo, incidents, radio, windows
 from skysift.streaming import live
 
 EVIDENCE = "phenomenon string, cycle bigint, detector string, kind string, detail string, w double, contra boolean, action string"
@@ -181,3 +181,55 @@ def test_snapshot_carries_slots_over(spark, tmp_path, pause):
     got = {(r.subject, r.slot, r.label) for r in new.rows()}
     assert {(s, label) for s, _, label in got} == {(s, label) for s, label, _ in both}
     assert {s for _, s, _ in got} <= {int((stop + pause + 5) // width)} and bool(got) == (pause < 1500)
+
+
+VISITS = "subject bigint, visit bigint, cluster int, enter_ts double, exit_ts double, lat double, lon double, n bigint"
+
+
+def walk(rng, subjects, hours):
+    """Sightings of walkers who stay at one of five places for a while and move on; some of them walk with subject 0."""
+    at, out = {}, []
+    for minute in range(0, 60 * hours, 4):
+        for s in range(subjects):
+            if s not in at or rng.random() < 0.05:
+                at[s] = rng.randrange(5)
+            place = at[0] if s % 4 == 1 else at[s]
+            if rng.random() < 0.6:
+                out.append((s, 864000.0 + 60.0 * minute + s / 100, 33.4 + 0.01 * place + 0.00004 * rng.randrange(5), -112.0))
+    return out
+
+
+def test_visits_and_cotravel_of_streams(spark, tmp_path):
+    """Sightings in shuffled files become the batch operator's visits; entity and operator visits as two streams meet as in the batch join, and the join's state
+    does not keep what the watermark has passed."""
+    rng = random.Random(11)
+    rows = walk(rng, 8, 60)
+    last = max(r[1] for r in rows)
+    schema = "subject bigint, ts double, lat double, lon double"
+    feed = Feed(spark, tmp_path / "sightings", schema)
+    rows.sort(key=lambda r: r[1] // 1200)
+    for k in range(0, len(rows), len(rows) // 5 + 1):
+        part = rows[k : k + len(rows) // 5 + 1]
+        rng.shuffle(part)
+        feed.put(part)
+    feed.put([(99, last + 90000.0, 33.4, -112.0)])
+    feed.run(live.visit_stream(feed.stream(), lateness="20 minutes"))
+    batch = geo.visits(geo.assign_clusters(spark.createDataFrame(rows, schema)))
+    shape = lambda r: (r.subject, r.visit, r.cluster, r.enter_ts, r.lat, r.lon, r.n)
+    found = feed.rows()
+    assert sorted(map(shape, found)) == sorted(map(shape, batch.collect()))
+    assert all(r.exit_ts >= r.enter_ts for r in found)
+
+    over = spark.createDataFrame(found, VISITS).orderBy("enter_ts").collect()
+    want = geo.cotravel(spark.createDataFrame([r for r in over if r.subject], VISITS), spark.createDataFrame([r for r in over if not r.subject], VISITS))
+    pair = lambda r: (r.subject, r.visit, r.op_visit, r.enter_ts, r.op_enter)
+    want = sorted(map(pair, want.collect()))
+    sides = [Feed(spark, tmp_path / name, VISITS) for name in ("entities", "operator")]
+    for k in range(6):
+        day = [r for r in over if min(5, (r.exit_ts - 864000) // 43200) == k]
+        for side, mine in zip(sides, ([r for r in day if r.subject], [r for r in day if not r.subject])):
+            side.put([tuple(r) for r in mine])
+    q = sides[0].run(live.cotravel_stream(sides[0].stream(), sides[1].stream(), "12 hours"))
+    assert sorted(map(pair, sides[0].rows())) == want and len(want) > 50
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress]
+    assert held[-1] < max(held) and sum(o["numRowsRemoved"] for p in q.recentProgress for o in p["stateOperators"]) > 0
