@@ -115,10 +115,12 @@ def html(text: str) -> str:
 
 
 def attach_fusion(fields: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Incident fields with their fused block under `fusion` in the evidence; an incident whose fusion is missing ships without it."""
+    """Incident fields with their fused block under `fusion` in the evidence; an incident whose fusion is missing, or whose evidence is no JSON object, ships
+    as it is."""
     e = fields.join(blocks.select(*keys, F.to_json("fusion").alias("_f")), keys, "left")
-    inner = F.regexp_replace("evidence_json", r"\}\s*$", "")
-    return e.withColumn("evidence_json", F.when(F.col("_f").isNull(), F.col("evidence_json")).otherwise(F.concat(inner, F.lit(',"fusion":'), F.col("_f"), F.lit("}")))).drop("_f")
+    entries = F.map_filter(F.from_json("evidence_json", "map<string,variant>"), lambda k, _: k != "fusion")
+    whole = F.to_json(F.map_concat(entries, F.create_map(F.lit("fusion"), F.try_parse_json("_f"))))
+    return e.withColumn("evidence_json", F.when(F.col("_f").isNull(), F.col("evidence_json")).otherwise(F.coalesce(whole, F.col("evidence_json")))).drop("_f")
 
 
 def status_report(snapshot: DataFrame, inputs: DataFrame, active: DataFrame, now: float, stale: float = 150.0, most: int = 20) -> dict:

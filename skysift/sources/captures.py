@@ -99,16 +99,29 @@ def scenario_problems(spark: SparkSession, path: str) -> DataFrame:
     return d.select("scenario_id", F.explode(bad).alias("problem"))
 
 
+#: A string of a Python-style list, in either quotes, with its escapes.
+_LITERAL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+
+
 def ignore_list(spark: SparkSession, path: str) -> DataFrame:
-    """(subject) from a JSON array or a Python-style list in a text file."""
-    t = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace(F.regexp_extract("value", r"(?s)(\[.*\])", 1), "'", '"')
-    return t.select(F.explode(F.from_json(F.regexp_replace(body, r",\s*\]", "]"), "array<string>")).alias("subject")).select(F.upper(F.trim("subject")).alias("subject")).where("subject <> ''").distinct()
+    """(subject) from a JSON array or a Python-style list, assigned to a name or not, in a text file; comments and a last comma may stand in the latter.
+
+    An empty file names nothing; one that is neither raises: an ignore list that is silently empty would alert on all that it names."""
+    t = spark.read.text(path, wholetext=True).withColumn("body", F.regexp_extract("value", r"(?s)(\[.*\])", 1))
+    bare = F.regexp_replace("body", rf"({_LITERAL})|#[^\n]*", "$1")
+    literals = F.regexp_extract_all(bare, F.lit(f"({_LITERAL})"), 1)
+    plain = F.transform(literals, lambda x: F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+    rest = F.regexp_replace(F.regexp_replace(bare, _LITERAL, "s"), r"\s", "")
+    listed = F.when(rest.rlike(r"^\[(s(,s)*,?)?\]$"), plain).otherwise(F.raise_error(F.concat(F.lit("no list of names: "), F.input_file_name())))
+    names = t.select(F.explode(F.coalesce(F.from_json("body", "array<string>", {"allowSingleQuotes": "false"}), listed)).alias("subject"))
+    return names.select(F.upper(F.trim("subject")).alias("subject")).where("subject <> ''").distinct()
 
 
 def probe_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, stamp, ssid) of probe lines; a line takes the nearest stamp before it in its file."""
-    t = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    """(file, line, stamp, ssid) of probe lines; a line takes the nearest stamp before it in its file. A log may be read in any number of pieces: lines are
+    numbered, from 0, by where their piece begins in the file and by their place in it."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"), "value")
     t = t.withColumns({"own": F.nullif(F.regexp_extract("value", r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1), F.lit("")), "ssid": F.nullif(F.regexp_extract("value", r"[Pp]rob\w*[^:]*: ?(\S.*)$", 1), F.lit(""))})
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("stamp", F.last("own", ignorenulls=True).over(w)).where("ssid is not null").select("file", "line", "stamp", "ssid")
+    w = Window.partitionBy("file").orderBy("at", "place")
+    t = t.withColumns({"stamp": F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "line": (F.row_number().over(w) - 1).cast("long")})
+    return t.where("ssid is not null").select("file", "line", "stamp", "ssid")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,28 +19,38 @@ def append_observations(normalized: DataFrame, log: str, rejects: str) -> None:
     bad.write.mode("append").json(rejects)
 
 
-def publish_status(status: DataFrame, path: str) -> None:
-    """One row, replaced as a whole: written aside, then renamed over the old one by the file system, so that a reader finds either. What cannot be put in
-    place stays aside under .parked and the error is the caller's."""
-    spark = status.sparkSession
+def _replace(lines: DataFrame, path: str) -> None:
+    """One file of the only column of a small table, put in the place of the old one by a single rename that overwrites: a reader finds the old or the new. What
+    cannot be put in place stays aside under .parked, and the error is the caller's."""
+    spark = lines.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    status.coalesce(1).write.json(aside)
-    new, old, parked = (jvm.org.apache.hadoop.fs.Path(x) for x in (aside, path, f"{path.rstrip('/')}.parked"))
-    fs = old.getFileSystem(conf)
-    before = jvm.org.apache.hadoop.fs.Path(f"{aside}.old")
-    had = fs.exists(old)
+    hadoop = jvm.org.apache.hadoop.fs
+    aside, target = (hadoop.Path(x) for x in (f"{path.rstrip('/')}.{uuid.uuid4().hex}", path.rstrip("/")))
+    lines.coalesce(1).write.text(aside.toString())
+    fs = target.getFileSystem(conf)
+    new = next(f.getPath() for f in fs.globStatus(hadoop.Path(aside, "part-*")))
+
+    def put(name: str) -> None:
+        there = fs.makeQualified(hadoop.Path(name))
+        if fs.getScheme() == "file":  # where the other call deletes first
+            os.replace(new.toUri().getPath(), there.toUri().getPath())
+            return
+        how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(new, there, how)
+
     try:
-        if had and not fs.rename(old, before) or not fs.rename(new, old):
-            raise OSError(f"cannot replace {path}")
+        put(path.rstrip("/"))
     except Exception:
-        if had and not fs.exists(old):
-            fs.rename(before, old)
-        fs.delete(parked, True)
-        fs.rename(new, parked)
+        put(f"{path.rstrip('/')}.parked")
         raise
-    if had:
-        fs.delete(before, True)
+    finally:
+        fs.delete(aside, True)
+
+
+def publish_status(status: DataFrame, path: str) -> None:
+    """One row as a JSON file, replaced as a whole: at every moment a reader finds the old status or the new one, and what cannot be published is parked."""
+    _replace(status.select(F.to_json(F.struct("*")).alias("value")), path)
 
 
 def append_status(status: DataFrame, history: str, now: float) -> None:
@@ -57,8 +68,8 @@ def publish_failure(spark: SparkSession, path: str, now: float, reason: str) ->
 
 
 def save_ignore_list(subjects: DataFrame, path: str) -> None:
-    """The list as one JSON array in a file of its own, sorted; lists are configuration of bounded size."""
-    subjects.agg(F.to_json(F.array_sort(F.collect_set("subject"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The list as one JSON array in a file of its own, sorted, replaced as a whole; lists are configuration of bounded size."""
+    _replace(subjects.agg(F.to_json(F.array_sort(F.collect_set("subject"))).alias("value")), path)
 
 
 def debrief_markdown(day: str, transitions: DataFrame, top: DataFrame, multi: DataFrame) -> str:
