@@ -131,7 +131,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(rank: np.ndarray):
-    """word, n in; a row for each of a word's rarest bigrams (all places of the third one) out."""
+    """word, ... in; a row for each of a word's rarest bigrams (all places of the third one) out, with what came in beside the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +142,8 @@ def _prefixes(rank: np.ndarray):
             size = np.diff(np.append(head, len(word)))
             third = np.repeat(rank[gram[head + np.minimum(RAREST, size) - 1]], size)
             keep = rank[gram] <= third
-            at = pa.array(word[keep])
-            length = pc.utf8_length(batch.column("word")).take(at)
-            columns = [batch.column("word").take(at), batch.column("n").take(at), length, pa.array(gram[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "length", "gram", "place"])
+            table = batch.take(pa.array(word[keep]))
+            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(gram[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32))], names=[*table.schema.names, "gram", "place"])
 
     return run
 
@@ -169,16 +167,24 @@ def near_words(words: DataFrame) -> DataFrame:
 
     Bigrams are ordered by how often they occur in the words, rarest first. Of two words one edit apart, one of the three first bigrams of each stands
     among those of the other, at the same place or, behind an inserted code point, one further on; so only these meet, and only words whose lengths go
-    with that. A word's distance is worked out inside the join, which puts out none but near pairs."""
+    with that and of which one half is the same, the first or the last, as the edit lies in the other. A word's distance is worked out inside the join,
+    which puts out none but near pairs."""
     counts = words.select("word").mapInArrow(_gram_counts, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most LETTERS squared
     rank = np.zeros(LETTERS**2, np.int64)
     rank[[r.gram for r in sorted(counts, key=lambda r: (r.n, r.gram))]] = np.arange(len(counts))
-    prefixes = materialize(words.mapInArrow(_prefixes(rank), "word string, n long, length int, gram int, place int"), "prefixes")
-    steps = F.array(*(F.struct(F.lit(longer).alias("longer"), F.lit(on).alias("on")) for longer, on in ((0, 0), (1, 0), (1, 1))))
-    left = prefixes.withColumn("s", F.explode(steps)).select(F.col("word").alias("a"), F.col("n").alias("an"), "gram", (F.col("length") + F.col("s.longer")).alias("length"), (F.col("place") + F.col("s.on")).alias("place"), "s.longer")
-    right = prefixes.withColumnsRenamed({"word": "b", "n": "bn"})
-    one = ((F.col("longer") == 1) | (F.col("a") < F.col("b"))) & _one_edit("a", "b", "longer")
-    pairs = left.hint("merge").join(right, (left["gram"] == right["gram"]) & (left["place"] == right["place"]) & (left["length"] == right["length"]) & one).select("a", "an", "b", "bn").distinct()
+    size = F.length("word")
+    half = lambda k: F.struct(F.xxhash64(F.substring("word", 1, k)).alias("first"), F.xxhash64(F.substring("word", size - k + 1, k)).alias("last"))
+    halves = words.select("word", "n", size.alias("length"), *(half(F.floor((size - longer) / 2).cast("int")).alias(f"half{longer}") for longer in (0, 1)))
+    kind = "struct<first: bigint, last: bigint>"
+    prefixes = materialize(halves.mapInArrow(_prefixes(rank), f"word string, n long, length int, half0 {kind}, half1 {kind}, gram int, place int"), "prefixes")
+    key = lambda on, longer, more, side, of: F.xxhash64("gram", F.col("place") + on, F.col("length") + more, F.lit(longer), F.lit(side), F.col(f"half{of}.{side}"))
+    met = lambda keys: F.array(*(F.struct(F.lit(longer).alias("longer"), k.alias("key")) for longer, k in keys))
+    left = prefixes.withColumn("m", F.explode(met([(longer, key(on, longer, longer, side, 0)) for longer, on in ((0, 0), (1, 0), (1, 1)) for side in ("first", "last")])))
+    left = left.select("m.key", "m.longer", F.col("word").alias("a"), F.col("n").alias("an"))
+    right = prefixes.withColumn("m", F.explode(met([(longer, key(0, longer, 0, side, longer)) for longer in (0, 1) for side in ("first", "last")])))
+    right = right.select("m.key", F.col("word").alias("b"), F.col("n").alias("bn"))
+    fits = ((F.col("longer") == 1) | (F.col("a") < F.col("b"))) & (F.length("b") == F.length("a") + F.col("longer")) & _one_edit("a", "b", "longer")
+    pairs = left.hint("merge").join(right, (left["key"] == right["key"]) & fits).select("a", "an", "b", "bn").distinct()
     pairs = materialize(pairs, "pairs")
     return pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("bn").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("an").alias("near_n")))
 
