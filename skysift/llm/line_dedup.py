@@ -139,8 +139,9 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: float = TH
     sizes = gone.agg(F.count("*") + F.sum(F.size("__sky_gone"))).first()[0] or 0
     gone = F.broadcast(gone) if sizes <= BROADCAST_LINES else gone
     joined = row.join(gone, row["doc_id"].eqNullSafe(gone["__sky_gone_doc"]) & (row["__sky_row"] == gone["__sky_gone_hash"]), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__sky_gone", i)), "\n")
+    # array_except hashes the numbers of the lines that go, so that a text's lines are looked through once; transform over one element splits it once
+    staying = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__sky_gone"), lambda i: F.get(parts, i))
+    kept = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), lambda parts: F.array_join(staying(parts), "\n")), 1)
     return joined.select(
         *(F.when(F.col("__sky_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else row[c] for c in row.columns if c != "__sky_row"),
         F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),

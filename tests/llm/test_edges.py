@@ -290,3 +290,16 @@ def test_stages(spark, which, request):
             assert out.columns == docs.columns, name
         docs = out
     assert docs.count() == 0 if which == "empty" else docs.count() > 0
+
+
+def test_line_dedup_of_a_log(spark):
+    """A text of 300,000 lines, nearly all of which go, is written in one pass over its lines."""
+    import time
+
+    log = "\n".join(["the same line of a log, again and again", "another line that comes back all the time", ""] * 100_000 + ["the end of it"])
+    df = spark.createDataFrame([(1, log), (2, "the same line of a log, again and again\nand one of its own here")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup(df).collect()}
+    assert time.time() - began < 90
+    assert got[1].text == "the same line of a log, again and again\nanother line that comes back all the time\n" + "\n" * 100_000 + "the end of it"
+    assert (got[1].n_lines, got[1].n_removed, got[2].text, got[2].n_removed) == (300_001, 199_998, "and one of its own here", 1)
