@@ -126,8 +126,8 @@ class Phenomenon(StatefulProcessor):
     """Per phenomenon: the lifecycle machine as JSON, and a timer at the cycle whose clock next moves it. Rows are taken in the order of their cycles; one
     that names a cycle before the machine's belongs to the machine's. Once a closed one's window is over nothing is left of it in the state."""
 
-    def __init__(self, cycle_s: float, *times: float):
-        self.cycle_s, self.times = cycle_s, times
+    def __init__(self, cycle_s: float, timers: bool, *times: float):
+        self.cycle_s, self.timers, self.times = cycle_s, timers, times
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -145,6 +145,8 @@ class Phenomenon(StatefulProcessor):
     def _save(self, m: Lifecycle, cycle: int) -> None:
         d = {"state": m.state, "confidence": m.confidence, "last": m.last, "closed": m.closed, "detectors": sorted(m.detectors), "contributions": sorted(m.contributions)}
         self.state.update((json.dumps(d), int(cycle)))
+        if not self.timers:
+            return
         due = m.next_change(cycle, self.cycle_s)
         _timer(self.handle, None if due is None else int(due * self.cycle_s * 1000))
 
@@ -210,15 +212,18 @@ def _states(rows: list) -> pd.DataFrame:
 
 
 def lifecycle_stream(
-    stream: DataFrame, cycle_s: float, decay: float = 120.0, close_after: float = 600.0, ticks: DataFrame | None = None, reopen_resolved: float = REOPEN_RESOLVED_S, reopen_disposed: float = REOPEN_DISPOSED_S
+    stream: DataFrame, cycle_s: float, decay: float = 120.0, close_after: float = 600.0, ticks: DataFrame | None = None, reopen_resolved: float = REOPEN_RESOLVED_S, reopen_disposed: float = REOPEN_DISPOSED_S, timers: bool = True
 ) -> DataFrame:
     """The batch operator's rows, as batches arrive; and a row for each cycle whose clock alone lets a phenomenon decay or close, once the clock has passed it.
 
     An action on a phenomenon that is unknown, or of which nothing is left, gives no row.
-    stream (phenomenon, cycle, detector, kind, detail, w, contra[, action]); ticks (cycle) say how far the clock is when no evidence comes."""
+    stream (phenomenon, cycle, detector, kind, detail, w, contra[, action]); ticks (cycle) say how far the clock is when no evidence comes. Without timers a
+    phenomenon hears of time by its own rows only, those without a detector among them, as in replays, whose scenarios have a clock each."""
     rows = stream if "action" in stream.columns else stream.withColumn("action", F.lit(None).cast("string"))
     rows = rows.select("phenomenon", "cycle", "detector", "kind", "detail", "w", "contra", "action")
-    machine = Phenomenon(cycle_s, decay, close_after, reopen_resolved, reopen_disposed)
+    machine = Phenomenon(cycle_s, timers, decay, close_after, reopen_resolved, reopen_disposed)
+    if not timers:
+        return rows.groupBy("phenomenon").transformWithStateInPandas(machine, LIFECYCLE_SCHEMA, "Append", "None")
     return clocked(rows, cycle_s, ticks).groupBy("phenomenon").transformWithStateInPandas(machine, LIFECYCLE_SCHEMA, "Append", "EventTime")
 
 
