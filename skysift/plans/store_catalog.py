@@ -133,10 +133,10 @@ def suppression_reasons(spark, d):
     return store.explain_suppression(s, _flags(spark, d), _baselines(spark, d), ["subject"]).withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query("SELECT k % 3 AS slot, array_to_string(list_sort(list(DISTINCT subject)), ',') AS subjects FROM obs WHERE kind = 'view' AND k < 30 GROUP BY 1")
+@query("SELECT k % 3 AS slot, array_to_string(list_sort(list(DISTINCT subject)), ',') AS subjects FROM obs GROUP BY 1")
 def slot_sets(spark, d):
     """Each slot's subjects as a sorted array."""
-    s = windows.slot_sets(observations(spark, d).where("kind = 'view' AND k < 30").select("subject", (F.col("k") % 3).alias("slot")), "slot", "subject")
+    s = windows.slot_sets(observations(spark, d).select("subject", (F.col("k") % 3).alias("slot")), "slot", "subject")
     return s.select("slot", F.array_join(F.transform("subjects", lambda x: x.cast("string")), ",").alias("subjects"))
 
 
@@ -583,11 +583,6 @@ def legacy_time_groups(spark, d):
     return legacy.time_groups(legacy_stats.temporal(observations(spark, d)))
 
 
-@query("SELECT 33.4484::DOUBLE + i * 0.001::DOUBLE AS lat, -112.074::DOUBLE + i * 0.001::DOUBLE AS lon, (60 * i)::DOUBLE AS ts FROM (SELECT unnest(range(0, 12)) AS i)", obs=False)
-def legacy_route(spark, d):
-    return legacy.simulated_route(spark)
-
-
 @query("SELECT n_name AS name, true AS point, 37::BIGINT AS ring FROM nation", obs=False)
 def kml_placemarks(spark, d):
     """Places as KML: a point and a ring of 37."""

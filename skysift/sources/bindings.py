@@ -17,9 +17,11 @@ def epoch_seconds(column: str):
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {column}) / 1e6D")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """events as sightings: id, ts (epoch seconds), subject, kind, value, k, lat, lon. Places are separable: jitter of 22 m, neighbours 0.9 km apart."""
     e = table(spark, sf_dir, "events")
+    if stream:
+        e = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes no path of a single file
     e = e.select(
         F.col("event_id").alias("id"), epoch_seconds("ts").alias("ts"), F.col("user_id").alias("subject"), F.col("event_type").alias("kind"),
         "value", F.get_json_object("props", "$.k").cast("int").alias("k"),

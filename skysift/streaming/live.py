@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -360,6 +362,29 @@ def cotravel_stream(entities: DataFrame, operator: DataFrame, longest: str = "1
     return cotravel(entities, operator, radius, gap, longest)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, a local one if everything runs in this process, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='skysift-stream-')}"
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    """Runs a stream over all that is there, to its end, and gives its rows. State is kept by RocksDB, which transformWithState needs."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before, folder = spark.conf.get(key, None), shared_folder(spark)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def run_cycles(stream: DataFrame, cycle, checkpoint: str, every: str | None = "60 seconds"):
     """Starts the analysis loop: cycle(batch, number) runs for each micro-batch, every so often, or over all that is there and then ends (every None).
     Offsets live in the checkpoint: a batch whose cycle failed comes again under the same number."""
