@@ -15,15 +15,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "named"]
 
-#: name = value in source and configuration syntax: `a = "x"`, `a: x`, `"a": "x"`, `a := x`, `a => x`, `export A=x`, `<a>x</a>` is read as a: x.
+#: name = value in source and configuration syntax: `a = "x"`, `a: x`, `"a": "x"`, `a := x`, `a => x`, `a += x`, `export A=x`; strings in any quotes, also
+#: tripled, with a prefix, side by side in brackets, or added up over lines; beside these `<a>x</a>` and `f("a", "x")`.
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-_STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
+_BARE = r'''"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^'\\]|\\[\s\S]|'(?!''))*\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`'''
+_STRING = rf"""(?:[rRbBuUfF]{{1,2}}(?=["']))?(?:{_BARE})"""
+_ITEM = rf"(?:{_STRING}|{_NAME})"
 PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[ \t]*(?::=|=>|=(?![=~>])|:(?![/:]))[ \t]*(?P<value>(?P<sum>(?:{_STRING}|{_NAME})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))+)|{_STRING}|[A-Za-z0-9+/_.$={{}}()\-]+)""",
+    rf"""(?<![A-Za-z0-9_.\-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[ \t]*(?P<how>:=|=>|\+=|=(?![=~>])|:(?![/:]))[ \t]*(?P<value>(?P<sum>\(\s*{_STRING}(?:\s*{_STRING})*\s*\)|\(\s*{_ITEM}(?:\s*\+\s*{_ITEM})*\s*\)|{_ITEM}(?:[ \t]*\+\s*{_ITEM})+)|{_STRING}|[A-Za-z0-9+/_.$={{}}()\-]+)""",
     re.ASCII,
 )
+ELEMENT = re.compile(rf"<(?P<name>{_NAME})(?:\s[^<>]*)?>\s*(?P<value>[^<>\s](?:[^<>\n]*[^<>\s])?)\s*</(?P=name)>", re.ASCII)
+ARGUMENT = re.compile(rf"""\(\s*(?P<q>["'])(?P<name>{_NAME})(?P=q)\s*,\s*(?P<value>{_STRING})""", re.ASCII)
 PART = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})", re.ASCII)
 REFERENCE = re.compile(rf"^\$?\{{?({_NAME})\}}?$", re.ASCII)
+#: A name inside a template or a formatted string.
+HOLE = re.compile(rf"\$?\{{[ \t]*({_NAME})[ \t]*\}}", re.ASCII)
 
 #: Words of a target's name and what they add to its score.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "private": 1, "api": 1, "access": 1, "auth": 1, "key": 2, "signing": 1, "encryption": 1, "bearer": 2, "session": 1}
@@ -74,27 +81,63 @@ class _Value:
         return len(self.head) >= LEAST_LENGTH and self.head.lower() not in PLACEHOLDERS and len(self.some) >= LEAST_DISTINCT and not self.blank and (self.digit or not self.alpha)
 
 
+def _string(text: str, a: int, b: int, v: _Value, constants: dict[str, _Value]) -> None:
+    """Adds a string from its prefix to its last quote: what stands between the quotes, and the values of names in the holes of a template."""
+    first = a
+    while text[first] not in "\"'`":
+        first += 1
+    n = 3 if text[first : first + 3] in ('"""', "\'\'\'") and b - first >= 6 else 1
+    low, high = first + n, b - n
+    if text[first] == "`" or "f" in text[a:first].lower():
+        for hole in HOLE.finditer(text, low, high):
+            if hole.start() > low:
+                v.literal(text, low, hole.start())
+            if hole.group(1) in constants:
+                v.value(constants[hole.group(1)])
+            low = hole.end()
+    if high > low or low == first + n:
+        v.literal(text, low, high)
+
+
 def named_literals(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that reach a sensitive name, directly or through other names and concatenation."""
+    """Spans of the literals that reach a sensitive name, directly or through other names, templates and concatenation.
+
+    Names have one scope, the text; comments are read like code, as secrets are left in them too."""
     constants: dict[str, _Value] = {}
     found = []
     for m in PAIR.finditer(text):
         at, value = m.start("value"), m.group("value")
-        if not m.group("sum") and value[0] not in "\"'`" and (r := REFERENCE.match(value)) and r.group(1) in constants:
+        quoted = PART.match(value)
+        quoted = not m.group("sum") and quoted is not None and quoted.group("string") is not None
+        if not m.group("sum") and not quoted and (r := REFERENCE.match(value)) and r.group(1) in constants:
             v = constants[r.group(1)]
         else:
             v = _Value()
-            if m.group("sum") or value[0] in "\"'`":
+            if m.group("sum") or quoted:
                 for p in PART.finditer(value):
                     if p.group("string"):
-                        v.literal(text, at + p.start() + 1, at + p.end() - 1)
+                        _string(text, at + p.start(), at + p.end(), v, constants)
                     elif p.group("name") in constants:
                         v.value(constants[p.group("name")])
             else:
                 v.literal(text, at, at + len(value))
+        if m.group("how") == "+=" and m.group("name") in constants:
+            added, v = v, _Value()
+            v.value(constants[m.group("name")])
+            v.value(added)
         constants[m.group("name")] = v
         if name_score(m.group("name")) >= LEAST_SCORE and v.plausible():
             found.append(v)
+    for pattern, on in ((ELEMENT, "</"), (ARGUMENT, ",")):
+        for m in pattern.finditer(text) if on in text else ():
+            if name_score(m.group("name")) >= LEAST_SCORE:
+                v = _Value()
+                if pattern is ELEMENT:
+                    v.literal(text, *m.span("value"))
+                else:
+                    _string(text, *m.span("value"), v, constants)
+                if v.plausible():
+                    found.append(v)
     spans, visited = set(), set()
     while found:
         v = found.pop()
@@ -113,7 +156,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    more = [(a, 3, b) for a, b in named_literals(text)] if ":" in text or "=" in text else []
+    more = [(a, 3, b) for a, b in named_literals(text)] if any(c in text for c in (":", "=", "</", "(")) else []
     base.sort()
     return base, sorted(base + more)
 
