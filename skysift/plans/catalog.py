@@ -960,7 +960,7 @@ def cursor_advance(spark, d):
     return incidents.cursors(b, ["subject"], "batch", "top")
 
 
-from skysift.plans import store_catalog, stream_catalog  # noqa: E402, F401  register their queries
+from skysift.plans import capture_catalog, store_catalog, stream_catalog  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
