@@ -551,14 +551,18 @@ def open_incident_topk(spark, d):
 @query(f"""+ {_INC}, day AS (SELECT unnest(range(0, 30)) AS dd) SELECT dd::INTEGER AS day, count(*) FILTER (first_ts >= lo AND first_ts < hi) AS opened, count(*) FILTER (last_ts >= lo AND last_ts < hi) AS closed, count(*) FILTER (first_ts < hi AND last_ts >= lo) AS overlapping
 FROM inc, (SELECT dd, {NOW} - (dd + 1) * {DAY} AS lo, {NOW} - dd * {DAY} AS hi FROM day) GROUP BY dd""")
 def debrief_transitions(spark, d):
-    i = _incidents(spark, d)
+    return _transitions(spark, _incidents(spark, d))
+
+
+def _transitions(spark, i):
     day = lambda c: F.floor((NOW - F.col(c)) / DAY)
     back = lambda c: F.when((NOW - F.col(c)) % DAY == 0, day(c) - 1).otherwise(day(c)).cast("int")
     i = i.withColumns({"o": back("first_ts"), "c": back("last_ts")})
     days = spark.range(30).select(F.col("id").cast("int").alias("day"))
     opened = i.groupBy(F.col("o").alias("day")).agg(F.count("*").alias("opened"))
     closed = i.groupBy(F.col("c").alias("day")).agg(F.count("*").alias("closed"))
-    over = i.select(F.explode(F.sequence(F.greatest("c", F.lit(0)), F.least("o", F.lit(29)))).alias("day")).groupBy("day").agg(F.count("*").alias("overlapping"))
+    # a sequence runs backwards where its end is before its beginning: incidents outside the thirty days have none
+    over = i.where("o >= 0 and c <= 29").select(F.explode(F.sequence(F.greatest("c", F.lit(0)), F.least("o", F.lit(29)))).alias("day")).groupBy("day").agg(F.count("*").alias("overlapping"))
     out = days.join(opened, "day", "left").join(closed, "day", "left").join(over, "day", "left")
     return out.na.fill(0, ["opened", "closed", "overlapping"])
 

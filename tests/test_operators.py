@@ -266,3 +266,12 @@ def test_entity_meta_is_the_newest_that_is_not_null(spark):
 
 def test_keywords():
     assert {"bssflood", "apspoof", "changehostname"} <= set(C.DEAUTH_KEYWORDS)
+
+
+def test_transitions_outside_the_days(spark):
+    """Incidents after the clock, or over before the thirty days, overlap none of them; one that spans all overlaps each."""
+    now, day = catalog.NOW, catalog.DAY
+    rows = [(now + 60.0, now + 3600.0), (now, now + 1.0), (now - 32 * day, now - 30.5 * day), (now - 40 * day, now - 30 * day - 1), (now - 40 * day, now + day), (now - 30 * day, now - 30 * day)]
+    got = {r.day: (r.opened, r.closed, r.overlapping) for r in catalog._transitions(spark, spark.createDataFrame(rows, "first_ts double, last_ts double")).collect()}
+    bounds = {d: (now - (d + 1) * day, now - d * day) for d in range(30)}
+    assert got == {d: (sum(lo <= a < hi for a, _ in rows), sum(lo <= b < hi for _, b in rows), sum(a < hi and b >= lo for a, b in rows)) for d, (lo, hi) in bounds.items()}
