@@ -246,7 +246,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     blocks = index.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
     q = queries.coalesce(max(1, lanes // 4)).mapInArrow(_query_blocks, INDEX_SCHEMA).select(*(F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "exact", "wide")))
     q = q.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    met = blocks.join(q, (blocks["lane"] == q["lane"]) & (F.col("dims") == F.col("q_dims"))).select("ids", "exact", "widths", "slices", "wide", "q_ids", "q_exact", "q_wide")
+    # shuffled: the query blocks of all lanes are too many for the driver, though their estimate may look small enough to broadcast
+    met = blocks.join(q.hint("merge"), (blocks["lane"] == q["lane"]) & (F.col("dims") == F.col("q_dims"))).select("ids", "exact", "widths", "slices", "wide", "q_ids", "q_exact", "q_wide")
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long, beyond string")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -146,6 +146,12 @@ def test_topk(spark):
     assert rows(topk.search(none, none)) == []
 
 
+def test_topk_sends_no_query_blocks_through_the_driver(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(100)], "vec_id long, embedding array<float>")
+    out = topk.search(df, df.where("vec_id % 50 = 0"), 3)
+    assert len(rows(out)) == 6 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topk_of_any_finite_size(spark):
     """Components far beyond 32 bits, beside small ones, against Python integers."""
     import random
