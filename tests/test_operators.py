@@ -275,3 +275,25 @@ def test_transitions_outside_the_days(spark):
     got = {r.day: (r.opened, r.closed, r.overlapping) for r in catalog._transitions(spark, spark.createDataFrame(rows, "first_ts double, last_ts double")).collect()}
     bounds = {d: (now - (d + 1) * day, now - d * day) for d in range(30)}
     assert got == {d: (sum(lo <= a < hi for a, _ in rows), sum(lo <= b < hi for _, b in rows), sum(a < hi and b >= lo for a, b in rows)) for d, (lo, hi) in bounds.items()}
+
+
+def test_blocks_of_pairs_agree_with_joins(spark, monkeypatch):
+    """Common names: blocks in place of the join, over several blocks, the same pairs and scores."""
+    rng = random.Random(7)
+    rows = [(f"k{i % 40}", f"n{rng.randrange(12)}", rng.randrange(4), rng.choice([0, 3000, 4000]) + 40.0 * i % 97, 33.4 + 0.0003 * rng.randrange(6), -112.0) for i in range(600)]
+    rows += [("alone", None, None, 1e6, None, None), (None, "n1", 1, 5.0, 33.4, -112.0)]
+    o = spark.createDataFrame(rows, "key string, ssid string, tag int, ts double, lat double, lon double")
+    monkeypatch.setattr(identity.blocks, "LEAST", 8)
+    for located in (False, True):
+        v = identity.views(o, "key", "ssid", "tag", located).where("key is not null")
+        assert identity._crowded(v, "ssids")
+        assert sorted(identity.links(v).collect()) == sorted(identity.link_scores(v, identity._joined_pairs(v, "ssids")).collect()) != []
+    want = sorted(identity._joined_pairs(v, "ssids").collect())
+    assert sorted(identity.candidate_pairs(v).collect()) == want
+    sizes = {r.key: len(r.ssids) for r in v.collect()}
+    assert sorted(identity.shared_counts(v).collect()) == [(*r, sizes[r.key_a] + sizes[r.key_b]) for r in want]
+    c = o.withColumn("fingerprint", F.col("tag")).select("key", "ssid", "fingerprint", "ts")
+    got = [sorted(identity.cycle_pairs(c.where("ts < 3500"), c).collect())]
+    monkeypatch.setattr(identity.blocks, "crowded", lambda *a: False)
+    assert got == [sorted(identity.cycle_pairs(c.where("ts < 3500"), c).collect())] != [[]]
+    assert not any(x in identity.candidate_pairs(v)._jdf.queryExecution().executedPlan().toString() for x in ("MapInArrow",))
