@@ -159,16 +159,23 @@ def cotravel_scores(matches: DataFrame, sees: DataFrame, least_places: int = 2,
 
 def density(v: DataFrame, sightings: DataFrame, operator: int, radius: float = MERGE_M, around: float = 300.0, slot: float = 3600.0) -> DataFrame:
     """(subject, visit, others): distinct subjects, other than the visitor and the operator, seen within the radius and the time around each visit; 0 if
-    there is none. The visits take the cells and time slots (of `slot` seconds) that they reach, each sighting lies in one cell and slot."""
+    there is none. Each sighting takes the cells that it reaches, the visits their own one, and the time slots of their time.
+
+    A subject with one sighting in the cell in a visit's time is counted at once; only those with several are told apart, so that what is shuffled after the
+    join is the visits and a few of the pairs."""
     s = sightings.where((F.col("subject") != operator) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     s = s.select(F.col("subject").alias("other"), F.col("ts").alias("s_ts"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    s = s.withColumns({"_cell": cell("s_lat", "s_lon"), "_slot": F.floor(F.col("s_ts") / slot)})
+    s = s.withColumn("_cell", F.explode(cells_near("s_lat", "s_lon", radius)))
+    one = Window.partitionBy("other", "_cell").orderBy("s_ts")
+    s = s.withColumns({"_before": F.lag("s_ts").over(one), "_after": F.lead("s_ts").over(one), "_slot": F.floor(F.col("s_ts") / slot)})
     w = v.select("subject", "visit", "lat", "lon", (F.col("enter_ts") - around).alias("_from"), (F.coalesce("exit_ts", "enter_ts") + around).alias("_to"))
-    w = w.withColumn("_cell", F.explode(cells_near("lat", "lon", radius))).withColumn("_slot", F.explode(_slots(F.col("_from"), F.col("_to"), slot)))
+    w = w.withColumn("_cell", cell("lat", "lon")).withColumn("_slot", F.explode(_slots(F.col("_from"), F.col("_to"), slot)))
     near = w.join(s, ["_cell", "_slot"]).where((F.col("other") != F.col("subject")) & F.col("s_ts").between(F.col("_from"), F.col("_to")))
-    near = near.where(haversine("lat", "lon", "s_lat", "s_lon") <= radius).select("subject", "visit", "other")
-    alone = v.select("subject", "visit", F.lit(None).cast(s.schema["other"].dataType).alias("other"))
-    return near.unionByName(alone).groupBy("subject", "visit").agg(F.countDistinct("other").alias("others"))
+    alone = F.coalesce(F.col("_before") < F.col("_from"), F.lit(True)) & F.coalesce(F.col("_after") > F.col("_to"), F.lit(True))
+    near = near.where(haversine("lat", "lon", "s_lat", "s_lon") <= radius).select("subject", "visit", alone.cast("long").alias("_one"), F.when(~alone, F.col("other")).alias("other"))
+    none = v.select("subject", "visit", F.lit(0).cast("long").alias("_one"), F.lit(None).cast(s.schema["other"].dataType).alias("other"))
+    g = near.unionByName(none).groupBy("subject", "visit").agg(F.sum("_one").alias("_ones"), F.countDistinct("other").alias("_several"))
+    return g.select("subject", "visit", (F.col("_ones") + F.col("_several")).alias("others"))
 
 
 def nearest_place(points: DataFrame, places: list[tuple], hour: F.Column) -> DataFrame:

@@ -297,3 +297,14 @@ def test_blocks_of_pairs_agree_with_joins(spark, monkeypatch):
     monkeypatch.setattr(identity.blocks, "crowded", lambda *a: False)
     assert got == [sorted(identity.cycle_pairs(c.where("ts < 3500"), c).collect())] != [[]]
     assert not any(x in identity.candidate_pairs(v)._jdf.queryExecution().executedPlan().toString() for x in ("MapInArrow",))
+
+
+def test_density_tells_only_repeated_subjects_apart(spark):
+    """Against plain counts, with subjects seen once and several times around a visit; what the last exchange takes is near the number of visits."""
+    rng = random.Random(3)
+    v = [(i, j, t, rng.choice([None, t + 900.0]), 33.4 + 0.0002 * rng.randrange(3), -112.0) for i in range(4) for j, t in ((1, 1000.0), (2, 9000.0))]
+    s = [(rng.randrange(60), rng.randrange(110) * 100.0, 33.4 + 0.0002 * rng.randrange(3), -112.0 + 0.0001 * rng.randrange(2)) for _ in range(400)]
+    out = geo.density(spark.createDataFrame(v, "subject long, visit long, enter_ts double, exit_ts double, lat double, lon double"), spark.createDataFrame(s, "subject long, ts double, lat double, lon double"), 0)
+    want = {(a, b): len({o for o, ts, p, q in s if o not in (0, a) and t - 300 <= ts <= (e or t) + 300 and float(geo.metres(lat, lon, p, q)) <= geo.MERGE_M}) for a, b, t, e, lat, lon in v}
+    assert {(r.subject, r.visit): r.others for r in out.collect()} == want and max(want.values()) > 5
+    assert "_one" in out._jdf.queryExecution().optimizedPlan().toString()
