@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,9 @@ def _class_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 ONE, TWO = _class_tables()
-CHUNK = 1 << 20
-#: Words whose ids a worker keeps.
+#: Bytes of text that are split at a time, and whose words are looked up together.
+CHUNK, LOOKED_UP = 1 << 19, 4 << 20
+#: Words whose ids a worker keeps: about 30 bytes each.
 MOST_WORDS = 200_000
 
 
@@ -60,29 +62,40 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         end = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(end.values()) + 1, bool)
         self.closes[[i for w, i in end.items() if w.endswith("</w>")]] = True
+        #: Kept words, their ids one after the other, and how many each has.
+        self.known, self.flat, self.sizes = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def fill(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words, tokenized as one text with blanks between; a word's ids end with one that closes a word."""
-        out: dict[bytes, bytes] = {}
+    def fill(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words one after the other, and how many each has; tokenized as one text with blanks between: a word's ids end with one that closes
+        a word."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
+            part = words.slice(at, 2000)
+            data, starts = utf8_buffers(part)
+            text = np.insert(data, starts[1:-1], ord(" ")).tobytes().decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.closes[ids]) + 1
-            if len(cuts) != len(part) or (len(ids) and cuts[-1] != len(ids)):
-                for w in part:
-                    out[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            raw, begin = ids.astype("<u4").tobytes(), 0
-            for w, end in zip(part, cuts.tolist()):
-                out[w] = raw[4 * begin : 4 * end]
-                begin = end
-        if len(self.known) < MOST_WORDS:
-            self.known.update(out)
-        return out
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                each = [self.whole(w.decode()) for w in part.to_pylist()]
+                ids, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
+            flat.append(ids)
+            sizes.append(np.diff(cuts, prepend=0))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of different words: ids, and where in them each word's begin and how many it has. New words are kept while there is room."""
+        index = pc.index_in(words, value_set=self.known)
+        missing = words.filter(index.is_null())
+        flat, sizes = self.fill(missing)
+        flat, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        at = pc.fill_null(index, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(missing))
+        if len(missing) and len(self.known) < MOST_WORDS:
+            self.known, self.flat, self.sizes = pa.concat_arrays([self.known, missing]), flat, sizes
+        return flat, (np.cumsum(sizes) - sizes)[at], sizes[at]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -90,10 +103,24 @@ class _Words:
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text."""
         data, starts = utf8_buffers(pc.utf8_lower(pc.fill_null(texts, "")))
-        for lo, hi in chunks(starts, CHUNK):
-            yield from self._chunk(texts.slice(lo, hi - lo), data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
-
-    def _chunk(self, texts: pa.Array, data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        for a, b in chunks(starts, LOOKED_UP):
+            # split in small pieces; the words of all are looked up together, as most come again
+            split = [(a + lo, *self._split(texts.slice(a + lo, hi - lo), data[starts[a + lo] : starts[a + hi]], starts[a + lo : a + hi + 1] - starts[a + lo])) for lo, hi in chunks(starts[a : b + 1], CHUNK)]
+            words = pa.concat_arrays([tokens.dictionary for _, tokens, _, _ in split]).dictionary_encode()
+            code, done = words.indices.to_numpy(), 0
+            flat, begin, sizes = self.lookup(words.dictionary)
+            for first, tokens, bounds, odd in split:
+                index = code[done : done + len(tokens.dictionary)][tokens.indices.to_numpy()]
+                done += len(tokens.dictionary)
+                count = sizes[index]
+                ends = np.concatenate([[0], np.cumsum(count)])
+                out = flat[np.repeat(begin[index] - ends[:-1], count) + np.arange(int(ends[-1]))]
+                bounds = ends[bounds]
+                for k, whole in enumerate(odd.tolist()):
+                    yield self.whole(texts[first + k].as_py()) if whole else out[bounds[k] : bounds[k + 1]]
+
+    def _split(self, texts: pa.Array, data: np.ndarray, starts: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """Pre-tokens of all texts, each text's first (one more for the end), and whether a text goes to the tokenizer whole."""
         kind = ONE[data]
         lead = np.flatnonzero((data == 0xC2) | (data == 0xC3))
         kind[lead] = kind[lead + 1] = TWO[data[lead] & 1, data[lead + 1] & 63]
@@ -120,21 +147,7 @@ class _Words:
         at = np.flatnonzero(begin)
         offsets = np.append(place[at] - 1, len(packed)).astype(np.int32)
         tokens = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))]).dictionary_encode()
-        raw = tokens.dictionary.to_pylist()
-        known = self.known
-        missing = [w for w in raw if w not in known]
-        fresh = self.fill(missing) if missing else {}
-        each = [known[w] if w in known else fresh[w] for w in raw]
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat = np.frombuffer(b"".join(each), "<u4")
-        index = tokens.indices.to_numpy()
-        count = sizes[index]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        first = (np.cumsum(sizes) - sizes)[index]
-        out = flat[np.repeat(first - ends[:-1], count) + np.arange(int(ends[-1]))]
-        bounds = ends[np.searchsorted(at, starts)]
-        for k in range(len(starts) - 1):
-            yield self.whole(texts[k].as_py()) if odd[k] else out[bounds[k] : bounds[k + 1]]
+        return tokens, np.searchsorted(at, starts), odd > 0
 
 
 @lru_cache(1)
@@ -147,10 +160,11 @@ def _pieces(path: str, capacity: int):
         words = _words(path)
         close = np.array([CLOSE], "<u4").tobytes()
         for batch in batches:
+            found = words.ids(batch.column(2))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 owner, number, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(words.ids(part.column(2))):
+                for k, ids in enumerate(islice(found, part.num_rows)):
                     raw = ids.astype("<u4").tobytes() + close
                     for i, a in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[a : a + 4 * capacity]
@@ -340,6 +354,23 @@ def _decode(raw: bytes) -> Solution:
 ISLAND_SCHEMA = "cell long, island int, lengths binary, population array<binary>, done boolean"
 
 
+SCHEMA = pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary())), ("done", pa.bool_())])
+
+
+def _begin(capacity: int, islands: int):
+    """Of rows (cell, lengths): the best fit of a cell that meets the bound, done and on one island; else an empty population for each island."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                sizes = np.frombuffer(r["lengths"], np.int32).tolist()
+                best = best_fit(list(range(len(sizes))), sizes, capacity)
+                done = len(best) <= least_bins(sizes, capacity, len(best))
+                yield pa.RecordBatch.from_pylist([r | {"island": i, "population": [_encode(best, len(sizes))] if done else [], "done": done} for i in range(1 if done else islands)], SCHEMA)
+
+    return run
+
+
 def _settle(capacity: int, population: int, children: int, seed: int):
     """An epoch on each island: rows (cell, island, lengths, population, done); an empty population is seeded first."""
 
@@ -353,7 +384,7 @@ def _settle(capacity: int, population: int, children: int, seed: int):
                     people = evolve(people, sizes, capacity, children, rng)
                     r["population"] = [_encode(s, len(sizes)) for s in people[:population]]
                     r["done"] = len(people[0]) <= least_bins(sizes, capacity, len(people[0]))
-                yield pa.RecordBatch.from_pylist([r], pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary())), ("done", pa.bool_())]))
+                yield pa.RecordBatch.from_pylist([r], SCHEMA)
 
     return run
 
@@ -361,10 +392,10 @@ def _settle(capacity: int, population: int, children: int, seed: int):
 def migrate(islands: DataFrame, n_islands: int) -> DataFrame:
     """Each island's best goes to the next island of its cell and takes the place of the worst there. Cells that are done keep what they have."""
     elite = islands.select("cell", ((F.col("island") + 1) % n_islands).alias("island"), F.get("population", F.lit(0)).alias("elite"), F.col("done").alias("elite_done"))
-    x = islands.join(elite, ["cell", "island"])
+    x = islands.join(elite, ["cell", "island"], "left")
     better = F.concat(F.slice("population", 1, F.greatest(F.size("population") - 1, F.lit(1))), F.array("elite"))
     return x.select(
-        "cell", "island", "lengths", F.when(F.col("done"), F.col("population")).when(F.col("elite_done"), F.array("elite")).otherwise(better).alias("population"), (F.col("done") | F.col("elite_done")).alias("done")
+        "cell", "island", "lengths", F.when(F.col("done"), F.col("population")).when(F.col("elite_done"), F.array("elite")).otherwise(better).alias("population"), (F.col("done") | F.coalesce("elite_done", F.lit(False))).alias("done")
     )
 
 
@@ -401,14 +432,13 @@ def _pack_cells(items: DataFrame, cell_items: int, capacity: int, islands: int,
     cells = materialize(items.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(n))).repartition(parts, "cell").sortWithinPartitions("cell", "uid"), "cells")
     ordered = cells.repartition(parts, "cell").sortWithinPartitions("cell", "uid")
     start = ordered.mapInArrow(_gather(capacity), "cell long, lengths binary")
-    state = start.select("cell", F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"), "lengths", F.array().cast("array<binary>").alias("population"), F.lit(False).alias("done"))
+    state = materialize(start.mapInArrow(_begin(capacity, islands), ISLAND_SCHEMA), "islands")
     for epoch in range(epochs):
-        state = state.repartition(parts * islands, "cell", "island").mapInArrow(_settle(capacity, POPULATION, CHILDREN, seed + epoch), ISLAND_SCHEMA)
-        state = materialize(state, "islands")
-        if epoch + 1 < epochs:
-            if not state.where("not done").limit(1).count():
-                break
+        if not state.where("not done").limit(1).count():
+            break
+        if epoch:
             state = materialize(migrate(state, islands), "migrated")
+        state = materialize(state.repartition(parts * islands, "cell", "island").mapInArrow(_settle(capacity, POPULATION, CHILDREN, seed + epoch), ISLAND_SCHEMA), "islands")
     best = state.mapInArrow(_count_bins, "cell long, island int, n_bins long, packing binary").groupBy("cell").agg(F.min_by("packing", F.struct("n_bins", "island")).alias("packing"))
     none = cells.select("cell", "uid", "length", F.lit(None).cast("binary").alias("packing"))
     laid = none.unionByName(best.select("cell", F.lit(-1).cast("long").alias("uid"), F.lit(0).cast("long").alias("length"), "packing")).repartition(parts, "cell").sortWithinPartitions("cell", "uid")

@@ -192,6 +192,21 @@ def test_packing(spark, edge, empty):
     assert rows(packing.pack(empty, path)) == []
 
 
+def test_packing_words_of_many_pieces_are_tokenized_once(monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CHUNK", 8)
+    monkeypatch.setattr(packing, "MOST_WORDS", 0)
+    words = packing._Words(str(public_tokenizers.path("word_bpe_49k.json")))
+    filled, fill = [], words.fill
+    monkeypatch.setattr(words, "fill", lambda w: filled.append(len(w)) or fill(w))
+    texts = ["alpha beta 12", "beta, Gamma", None, "it's alpha"] * 20
+    got = [x.tolist() for x in words.ids(pa.array(texts))]
+    assert got == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sum(filled) == len({"alpha", "beta", "1", "2", ",", "gamma"})
+
+
 def test_packing_ids_of_letters_that_lower_case_to_plain_ones():
     """U+0130, the Kelvin and the Angstrom sign: ids are the tokenizer's own, beside texts that take the fast path."""
     import public_tokenizers
