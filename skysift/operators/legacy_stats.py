@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skysift.operators import pairs
+
 
 def hour_of(ts: str) -> F.Column:
     """Hour of day of epoch seconds, in UTC."""
@@ -54,11 +56,9 @@ def hotspots(a: DataFrame, place: str, least: int = 2) -> DataFrame:
 
 
 def correlations(a: DataFrame, place: str, seconds: float, least: int = 3) -> DataFrame:
-    """Pairs seen at one place within `seconds` of each other at least so often: an equi-join on place and time slot, neighbours included."""
-    s = a.select("subject", "ts", place, F.floor(F.col("ts") / seconds).alias("slot"))
-    b = s.select(F.col("subject").alias("other"), F.col("ts").alias("o_ts"), place, F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    met = s.join(b, [place, "slot"]).where((F.col("subject") < F.col("other")) & (F.abs(F.col("ts") - F.col("o_ts")) < seconds))
-    return met.groupBy("subject", "other").agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    """Pairs seen at one place within `seconds` of each other at least so often; counted block against block, as crowds have more meetings than a shuffle holds."""
+    met = pairs.meetings(a.select(F.col("subject").alias("key"), F.col(place).alias("place"), F.col("ts").cast("double").alias("ts")), seconds, least)
+    return met.select(F.col("key_a").alias("subject"), F.col("key_b").alias("other"), F.col("n").alias("together"))
 
 
 def stalking(scores: DataFrame, least_score: float = 0.7) -> DataFrame:

@@ -3,13 +3,14 @@
 import json
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skysift.functions import columns as C
-from skysift.operators import geo, identity, incidents, normalize, radio, windows
+from skysift.operators import geo, identity, incidents, legacy_stats, normalize, pairs, radio, windows
 from skysift.plans import catalog
 from skysift.sources import bindings
 
@@ -308,3 +309,24 @@ def test_density_tells_only_repeated_subjects_apart(spark):
     want = {(a, b): len({o for o, ts, p, q in s if o not in (0, a) and t - 300 <= ts <= (e or t) + 300 and float(geo.metres(lat, lon, p, q)) <= geo.MERGE_M}) for a, b, t, e, lat, lon in v}
     assert {(r.subject, r.visit): r.others for r in out.collect()} == want and max(want.values()) > 5
     assert "_one" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [1 << 21, 40])
+def test_meetings_are_counted_without_a_join_of_sightings(spark, monkeypatch, held):
+    """More blocks than one; ties, times just so far apart, nulls, times that are not finite, and a subject with more meetings than are held at a time."""
+    monkeypatch.setattr(pairs, "LEAST_ROWS", 64)
+    rng = random.Random(11)
+    rows = [(rng.choice(["hub", "hub", *"abcdefghij", None]), rng.choice([0.0, 0.5, 1.0, 1e9 + 0.1, rng.uniform(0, 20)]), rng.choice([1, 2, 3, None])) for _ in range(400)]
+    rows += [("a", float("nan"), 1), ("b", float("inf"), 1), ("a", None, 1)]
+    expected = Counter()
+    for s, t, k in rows:
+        for o, u, m in rows:
+            if s is not None and o is not None and k is not None and k == m and s < o and t is not None and u is not None and abs(t - u) < 0.5:
+                expected[s, o] += 1
+    a = spark.createDataFrame(rows, "subject string, ts double, place int")
+    want = {p: n for p, n in expected.items() if n >= 2}
+    got = pairs.meetings(a.select(F.col("subject").alias("key"), "place", "ts"), 0.5, 2, held)
+    assert {(r.key_a, r.key_b): r.n for r in got.collect()} == want
+    got = legacy_stats.correlations(a, "place", 0.5, 2)
+    assert {(r.subject, r.other): r.together for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().toString()
