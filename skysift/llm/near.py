@@ -165,6 +165,8 @@ def candidate_groups(bands: DataFrame, signatures: DataFrame, values: int, thres
     wanted = small_side(materialize(met.select("node").distinct(), "wanted"))
     sig = signatures.join(wanted, "node", "left_semi").dropDuplicates(["node"])
     edges = met.join(sig, "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_forests(passes), "a long, b long")
+    # written, as components() begins with a kernel too: two in one stage take two Python workers for each task, and executors keep them all
+    edges = materialize(edges, "forests")
     return materialize(components(ready.unionByName(edges)).withColumnRenamed("root", "grp"), "groups")
 
 

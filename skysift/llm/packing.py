@@ -357,11 +357,17 @@ ISLAND_SCHEMA = "cell long, island int, lengths binary, population array<binary>
 SCHEMA = pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary())), ("done", pa.bool_())])
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pieces sorted by (cell, uid): one row per cell, its lengths in that order."""
+    for t in runs(batches, ["cell"]):
+        yield pa.RecordBatch.from_arrays([t.column("cell")[:1].combine_chunks(), pa.array([t.column("length").to_numpy().astype(np.int32).tobytes()], pa.binary())], names=["cell", "lengths"])
+
+
 def _begin(capacity: int, islands: int):
-    """Of rows (cell, lengths): the best fit of a cell that meets the bound, done and on one island; else an empty population for each island."""
+    """Of pieces sorted by (cell, uid): a cell's best fit if it meets the bound, done and on one island; else an empty population for each island."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gather(batches):
             for r in batch.to_pylist():
                 sizes = np.frombuffer(r["lengths"], np.int32).tolist()
                 best = best_fit(list(range(len(sizes))), sizes, capacity)
@@ -399,16 +405,6 @@ def migrate(islands: DataFrame, n_islands: int) -> DataFrame:
     )
 
 
-def _gather(capacity: int):
-    """Of pieces sorted by (cell, uid): one row per cell, its lengths in that order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["cell"]):
-            yield pa.RecordBatch.from_arrays([t.column("cell")[:1].combine_chunks(), pa.array([t.column("length").to_numpy().astype(np.int32).tobytes()], pa.binary())], names=["cell", "lengths"])
-
-    return run
-
-
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pieces sorted by (cell, uid), behind one row of uid -1 with the cell's packing: the bin, its fill, and the offset of each piece."""
     for t in runs(batches, ["cell"]):
@@ -431,8 +427,7 @@ def _pack_cells(items: DataFrame, cell_items: int, capacity: int, islands: int,
     parts = min(n, 4096)
     cells = materialize(items.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(n))).repartition(parts, "cell").sortWithinPartitions("cell", "uid"), "cells")
     ordered = cells.repartition(parts, "cell").sortWithinPartitions("cell", "uid")
-    start = ordered.mapInArrow(_gather(capacity), "cell long, lengths binary")
-    state = materialize(start.mapInArrow(_begin(capacity, islands), ISLAND_SCHEMA), "islands")
+    state = materialize(ordered.mapInArrow(_begin(capacity, islands), ISLAND_SCHEMA), "islands")
     for epoch in range(epochs):
         if not state.where("not done").limit(1).count():
             break

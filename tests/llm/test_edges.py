@@ -324,3 +324,24 @@ def test_line_dedup_of_a_log(spark):
     assert time.time() - began < 90
     assert got[1].text == "the same line of a log, again and again\nanother line that comes back all the time\n" + "\n" * 100_000 + "the end of it"
     assert (got[1].n_lines, got[1].n_removed, got[2].text, got[2].n_removed) == (300_001, 199_998, "and one of its own here", 1)
+
+
+def test_no_stage_has_two_python_workers_a_task(spark, edge, monkeypatch):
+    """Between two kernels there is an exchange or a written table: executors keep a worker for each kernel of a stage, and all its memory."""
+    import public_tokenizers
+    from skysift.llm import graph, storage
+
+    plans, write = [], storage.materialize
+    for module in (graph, line_dedup, near, ngram_join, packing):
+        monkeypatch.setattr(module, "materialize", lambda df, name: plans.append(df) or write(df, name))
+    plans += [line_dedup.dedup(edge), ngram_join.survivors(edge), packing.pack(edge, str(public_tokenizers.path("word_bpe_49k.json")))]
+    for df in plans:
+        above: list[tuple[int, str]] = []
+        for line in df._jdf.queryExecution().sparkPlan().toString().splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [x for x in above if x[0] < depth]
+            if "Exchange" in line or "Repartition" in line:
+                above = [(depth, "Exchange")]
+            elif "MapInArrow" in line:
+                assert not any(kind == "MapInArrow" for _, kind in above), line
+                above.append((depth, "MapInArrow"))
