@@ -113,7 +113,8 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, threshold: fl
     schema = f"doc_id {id_type}, row_hash long, line int, id binary, node long, bytes long, sig binary"
     lines = materialize(docs.select("doc_id", "row_hash", "text").mapInArrow(lambda it: _occurrences(it, least_chars), schema), "lines")
     signed = lines.where("sig is not null").select("node", "sig")
-    groups = near.candidate_groups(signed.mapInArrow(_bands, near.BAND_SCHEMA), signed, ROWS * BANDS, threshold)
+    bands = signed.mapInArrow(near.packer(_bands, lines.count() * BANDS), near.PACKED_SCHEMA)
+    groups = near.candidate_groups(bands, signed, ROWS * BANDS, threshold)
     place = F.struct("doc_id", "row_hash", "line")
     held = lines.drop("sig").join(near.small_side(groups), "node")
     candidates = materialize(held.groupBy("id").agg(F.first("grp").alias("grp"), F.first("bytes").alias("bytes"), F.min(place).alias("first")), "candidates")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skysift.llm import catalog, graph, mixing, near, ngram_join, packing, quality, topk, toxicity, urls
+from skysift.llm import catalog, graph, line_dedup, mixing, near, ngram_join, packing, quality, topk, toxicity, urls
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
@@ -145,6 +145,47 @@ def test_half_alike_texts_make_no_group(spark):
     assert near.candidate_groups(bands, signed.select("node", "sig"), 96, 0.8).count() == 0
 
 
+def test_packed_bands_give_the_same_groups(spark, data, monkeypatch):
+    """Bands travel many to a row, whatever the parts: a few rows for each batch and part, and the same members and edges as one by one."""
+    monkeypatch.setattr(near, "PARTS", 7)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").withColumn("row_hash", F.xxhash64("text"))
+    lines = docs.mapInArrow(lambda it: line_dedup._occurrences(it, 1), "doc_id long, row_hash long, line int, id binary, node long, bytes long, sig binary").where("sig is not null")
+    signed = lines.select("node", "sig").persist()
+    plain = signed.mapInArrow(line_dedup._bands, near.BAND_SCHEMA)
+    packed = signed.mapInArrow(near.packer(line_dedup._bands, plain.count()), near.PACKED_SCHEMA)
+    assert packed.agg(F.sum(F.length("keys") / 8)).first()[0] == plain.count() > 20 * packed.count()
+    groups = [sorted(map(tuple, near.candidate_groups(b, signed, 48, 0.8).collect())) for b in (plain, packed)]
+    assert groups[0] == groups[1] and len(groups[0]) > 20
+    signed.unpersist()
+
+
+def test_intersections_of_near_copies(monkeypatch):
+    """Sizes of intersections against sets, inside a block and across two; what few sets share makes no matrix wider."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 2**63, 300, dtype=np.uint64)
+    sets = [np.concatenate([base[rng.random(300) < 0.9], rng.integers(0, 4000, int(rng.integers(0, 60))).astype(np.uint64)]) for _ in range(120)] + [np.zeros(0, np.uint64)]
+    ends = np.cumsum([0, *map(len, sets)])
+    widths, zeros = [], np.zeros
+    monkeypatch.setattr(near, "PAIRS", 50)
+    monkeypatch.setattr(near, "WIDTH", 128)
+    monkeypatch.setattr(np, "zeros", lambda shape, *a, **k: (widths.append(shape[1]) if np.ndim(shape) and len(shape) == 2 and shape[1] != 121 and shape != (40, 81) else None, zeros(shape, *a, **k))[1])
+    for half in (None, 40):
+        sizes, inter = near.intersections(np.concatenate(sets), ends, half)
+        assert sizes.tolist() == [len(set(s.tolist())) for s in sets]
+        for i, j in combinations(range(121), 2):
+            if half is None or i < half <= j:
+                assert inter[i, j - (half or 0)] == len(set(sets[i].tolist()) & set(sets[j].tolist()))
+    assert sum(widths) <= 2 * 300 + 20 and max(widths) <= 128
+
+
+def test_a_large_group_is_dealt_to_few_blocks(spark):
+    """Two thousand near lines meet in one block, or each of twice as many in two: texts move in proportion, not once for every 512 others."""
+    members = spark.range(2000).selectExpr("1L as grp", "cast(cast(id as string) as binary) as id", "60L as bytes")
+    assert near.block_pairs(members, members).count() == 2000
+    twice = spark.range(4000).selectExpr("1L as grp", "cast(cast(id as string) as binary) as id", "60L as bytes")
+    assert near.block_pairs(twice, twice).count() == 8000
+
+
 def test_union_of_links_only():
     """Kernel output against all pairs: many small groups in one table, repeated rows, blocks across."""
     import pyarrow as pa
