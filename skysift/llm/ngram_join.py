@@ -85,7 +85,7 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
         F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("node", "sig", "empty", "bytes"))
     )
     classes = materialize(classes, "classes")
-    bands = classes.where("not empty").select("node", "sig").mapInArrow(_bands, near.BAND_SCHEMA)
+    bands = classes.where("not empty").select("node", "sig").mapInArrow(near.packer(_bands, classes.count() * BANDS), near.PACKED_SCHEMA)
     groups = near.candidate_groups(bands, classes.where("not empty").select("node", "sig"), ROWS * BANDS, threshold, tolerance)
     members = materialize(classes.join(groups, "node").select("grp", "id", "rep", "copies", "sig", "bytes"), "members")
     named = near.small_side(members.select(F.col("rep.doc_id").alias("__sky_doc"), F.col("rep.row_hash").alias("__sky_hash"), "id"))
