@@ -330,3 +330,29 @@ def test_meetings_are_counted_without_a_join_of_sightings(spark, monkeypatch, he
     got = legacy_stats.correlations(a, "place", 0.5, 2)
     assert {(r.subject, r.other): r.together for r in got.collect()} == want
     assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def _shuffled_rows(spark, df) -> tuple[list, int]:
+    """The rows of df, not collected before, and how many rows that writes to shuffles."""
+    sc = spark.sparkContext
+    group = f"shuffled-{id(df)}"
+    sc.setJobGroup(group, group)
+    rows = df.collect()
+    sc.setJobGroup("other", "other")
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return rows, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_blocks_are_not_copied_for_each_other_block(spark, monkeypatch):
+    """Each key and each packed block is shuffled once, however many blocks there are; keys of several kinds, the same pairs."""
+    monkeypatch.setattr(pairs, "LEAST", 8)
+    rows = [(i, [j for j in range(9) if (i >> j % 6) + j & 1]) for i in range(64)]
+    want = {(a, b, len({*x} & {*y})) for a, x in rows for b, y in rows if a < b and {*x} & {*y}}
+    assert len(want) > 1000
+    for kind in ("long", "int", "string"):
+        v = spark.createDataFrame(rows, "key long, ssids array<int>").withColumn("key", (F.col("key") + 10).cast(kind))
+        got, moved = _shuffled_rows(spark, pairs.compared(v, identity._counted("ssids"), "shared bigint, n_a bigint, n_b bigint"))
+        assert {(int(r.key_a) - 10, int(r.key_b) - 10, r.shared) for r in got} == want
+        assert 64 < moved <= 64 + 8
