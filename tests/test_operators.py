@@ -356,3 +356,13 @@ def test_blocks_are_not_copied_for_each_other_block(spark, monkeypatch):
         got, moved = _shuffled_rows(spark, pairs.compared(v, identity._counted("ssids"), "shared bigint, n_a bigint, n_b bigint"))
         assert {(int(r.key_a) - 10, int(r.key_b) - 10, r.shared) for r in got} == want
         assert 64 < moved <= 64 + 8
+
+
+def test_sightings_are_shuffled_once(spark, monkeypatch):
+    """Only packed blocks are copied for each other block; the same meetings."""
+    monkeypatch.setattr(pairs, "LEAST_ROWS", 64)
+    rows = [(i % 37, float(i % 50), i % 3) for i in range(512)]
+    want = Counter((s, o) for s, t, k in rows for o, u, m in rows if s < o and k == m and abs(t - u) < 1.5)
+    got, moved = _shuffled_rows(spark, pairs.meetings(spark.createDataFrame(rows, "key long, ts double, place int"), 1.5))
+    assert {(r.key_a, r.key_b): r.n for r in got} == want
+    assert 512 < moved <= 512 + 8 * 8 + 8
