@@ -353,7 +353,7 @@ def test_blocks_are_not_copied_for_each_other_block(spark, monkeypatch):
     assert len(want) > 1000
     for kind in ("long", "int", "string"):
         v = spark.createDataFrame(rows, "key long, ssids array<int>").withColumn("key", (F.col("key") + 10).cast(kind))
-        got, moved = _shuffled_rows(spark, pairs.compared(v, identity._counted("ssids"), "shared bigint, n_a bigint, n_b bigint"))
+        got, moved = _shuffled_rows(spark, pairs.compared(v, identity._counted("ssids"), "shared bigint"))
         assert {(int(r.key_a) - 10, int(r.key_b) - 10, r.shared) for r in got} == want
         assert 64 < moved <= 64 + 8
 
@@ -366,3 +366,14 @@ def test_sightings_are_shuffled_once(spark, monkeypatch):
     got, moved = _shuffled_rows(spark, pairs.meetings(spark.createDataFrame(rows, "key long, ts double, place int"), 1.5))
     assert {(r.key_a, r.key_b): r.n for r in got} == want
     assert 512 < moved <= 512 + 8 * 8 + 8
+
+
+@pytest.mark.parametrize("how", ["shared_counts", "candidate_pairs"])
+def test_common_names_move_each_subject_once(spark, monkeypatch, how):
+    """Through the operators of ssid_jaccard and of fingerprint_pairs; the same pairs as by the join on names."""
+    monkeypatch.setattr(pairs, "LEAST", 8)
+    v = spark.createDataFrame([(i, [j for j in range(9) if (i >> j % 6) + j & 1]) for i in range(64)], "key long, ssids array<int>")
+    got, moved = _shuffled_rows(spark, getattr(identity, how)(v))
+    assert 64 < moved <= 64 + 8
+    monkeypatch.setattr(identity.blocks, "crowded", lambda *a: False)
+    assert sorted(got) == sorted(getattr(identity, how)(v).collect()) and len(got) > 1000
