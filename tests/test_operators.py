@@ -377,3 +377,14 @@ def test_common_names_move_each_subject_once(spark, monkeypatch, how):
     assert 64 < moved <= 64 + 8
     monkeypatch.setattr(identity.blocks, "crowded", lambda *a: False)
     assert sorted(got) == sorted(getattr(identity, how)(v).collect()) and len(got) > 1000
+
+
+def test_a_cycle_of_common_names_moves_each_subject_once(spark, monkeypatch):
+    """Eight blocks shuffle a row more for each of seven blocks than one does, not eight times the subjects; the same pairs."""
+    c = spark.createDataFrame([(i, j, j % 3, float(i)) for i in range(64) for j in range(9) if (i >> j % 6) + j & 1], "key long, ssid int, fingerprint int, ts double")
+    got = {}
+    for least in (64, 8):
+        monkeypatch.setattr(pairs, "LEAST", least)
+        got[least] = _shuffled_rows(spark, identity.cycle_pairs(c.where("ts < 50"), c))
+    assert got[8][1] - got[64][1] <= 7
+    assert sorted(got[8][0]) == sorted(got[64][0]) and len(got[8][0]) > 1000
